@@ -22,9 +22,11 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 MAX_RANK_BYTES = 64 << 20
-#: Pieces whose encoding a worker keeps; then the store starts anew. It only bounds memory.
+#: What a worker keeps of pieces, prefixes and token pairs; a full store starts anew. It only bounds memory.
 CACHE_PIECES = 200_000
 CACHE_PIECE_BYTES = 48
+CACHE_PREFIXES = 600_000
+CACHE_PAIRS = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -42,9 +44,15 @@ class Bpe:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
         self.parts: dict[int, tuple[int, int] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.prefixes: dict[bytes, int] = {}
+        lengths: dict[bytes, set[int]] = {}
+        for token, rank in ranks.items():
+            if len(token) == 1 or self.split(rank):
+                lengths.setdefault(token[-2:], set()).add(len(token))
+        #: last two bytes of a token -> lengths of the tokens that end so, longest first
+        self.lengths = {end: tuple(sorted(n, reverse=True)) for end, n in lengths.items()}
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge made this one; None for a token that no merge makes (a single byte)."""
@@ -68,12 +76,12 @@ class Bpe:
         It takes the two apart step by step. A merge across the border happens before the ranks so far are
         reached if the border's bytes have a lower rank than the merges that built either side.
         """
-        key = (left, right)
+        key = left << 24 | right
         known = self.pairs.get(key)
         if known is None:
+            if len(self.pairs) >= CACHE_PAIRS:
+                self.pairs.clear()
             known = self.pairs[key] = self._valid_pair(left, right)
-            if len(self.pairs) > 2_000_000:
-                self.pairs = {}
         return known
 
     def _valid_pair(self, left: int, right: int) -> bool:
@@ -91,10 +99,49 @@ class Bpe:
             else:
                 limit, b = b + 1, split_b[0]
 
+    def last_token(self, raw: bytes, end: int, last) -> int:
+        """The last token of raw[:end]; ``last(begin)`` gives that of a shorter prefix."""
+        ranks, pairs = self.ranks, self.pairs
+        for length in self.lengths.get(raw[max(0, end - 2) : end], ()):
+            begin = end - length
+            if begin > 0:
+                token = ranks.get(raw[begin:end])
+                if token is not None:
+                    left = last(begin)
+                    known = pairs.get(left << 24 | token)
+                    if known or known is None and self.valid_pair(left, token):
+                        return token
+            elif begin == 0:
+                token = ranks.get(raw[:end])
+                if token is not None:
+                    return token
+        token = ranks[raw[end - 1 : end]]
+        if end > 1 and not self.valid_pair(last(end - 1), token):
+            raise ValueError("the vocabulary is no BPE vocabulary")
+        return token
+
     def encode_piece(self, raw: bytes) -> list[int]:
-        """Ids of one piece."""
+        """Ids of one piece. The entries of short pieces' prefixes are shared: a piece goes on from its longest known prefix."""
         whole = self.ranks.get(raw)
-        return [whole] if whole is not None else Prefixes(self).append(raw).ids()
+        if whole is not None:
+            return [whole]
+        if len(raw) > CACHE_PIECE_BYTES:
+            return Prefixes(self).append(raw).ids()
+        known = self.prefixes
+        if len(known) >= CACHE_PREFIXES:
+            known.clear()
+        have, end = len(raw), len(raw)
+        while have and raw[:have] not in known:
+            have -= 1
+        for stop in range(have + 1, end + 1):
+            known[raw[:stop]] = self.last_token(raw, stop, lambda begin: known[raw[:begin]])
+        out, tokens = [], self.tokens
+        while end:
+            token = known[raw[:end]]
+            out.append(token)
+            end -= len(tokens[token])
+        out.reverse()
+        return out
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -107,21 +154,9 @@ class Prefixes:
         self.bpe, self.raw, self.last = bpe, b"", [-1]
 
     def append(self, more: bytes) -> Prefixes:
-        bpe, last, ranks = self.bpe, self.last, self.bpe.ranks
         start, self.raw = len(self.raw), self.raw + more
-        raw = self.raw
-        for end in range(start + 1, len(raw) + 1):
-            for begin in range(max(0, end - bpe.longest), end):
-                token = ranks.get(raw[begin:end])
-                if token is None or begin and last[begin] < 0:
-                    continue
-                if bpe.split(token) is None and end - begin > 1:
-                    continue
-                if not begin or bpe.valid_pair(last[begin], token):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
+        for end in range(start + 1, len(self.raw) + 1):
+            self.last.append(self.bpe.last_token(self.raw, end, self.last.__getitem__))
         return self
 
     def replace_tail(self, keep: int, tail: bytes) -> Prefixes:
@@ -143,19 +178,27 @@ class TextCoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.bpe, self.find, self.store = Bpe(ranks), regex.compile(pattern).findall, {}
+        self.older: dict[str, tuple[int, bytes, bytes]] = {}
 
     def piece(self, text: str) -> tuple[int, bytes, bytes]:
-        ids = self.bpe.encode_piece(text.encode())
-        entry = (len(ids), b",".join(b"%d" % i for i in ids), self.bpe.decode(ids))
+        entry = self.older.get(text)
+        if entry is None:
+            ids = self.bpe.encode_piece(text.encode())
+            entry = (len(ids), ",".join(map(str, ids)).encode(), self.bpe.decode(ids))
         if len(text) <= CACHE_PIECE_BYTES:
             if len(self.store) >= CACHE_PIECES:
-                self.store.clear()
+                self.store, self.older = {}, self.store
             self.store[text] = entry
         return entry
 
     def entries(self, text: str) -> list[tuple[int, bytes, bytes]]:
-        known, piece = self.store.get, self.piece
-        return [known(p) or piece(p) for p in self.find(text)]
+        found, piece = self.find(text), self.piece
+        known = self.store.get
+        out = list(map(known, found))
+        for i, entry in enumerate(out):
+            if entry is None:
+                out[i] = piece(found[i])
+        return out
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the ids as text, SHA-256 of the decoded bytes)"""
