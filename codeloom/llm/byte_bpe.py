@@ -197,7 +197,7 @@ class TextCoder:
         out = list(map(known, found))
         for i, entry in enumerate(out):
             if entry is None:
-                out[i] = piece(found[i])
+                out[i] = self.store.get(found[i]) or piece(found[i])
         return out
 
     def digest(self, text: str | None) -> tuple[int, str, str]:

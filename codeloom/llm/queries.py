@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, decontaminate, histogram_shards, rule_cascade, trie_join
+from . import byte_bpe, cotraining, decontaminate, histogram_shards, rule_cascade, trie_join
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of two co-trained views for all documents."""
+    return cotraining.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short-circuit cascade over all documents."""
     return rule_cascade.score(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", *rule_cascade.DIGEST, "base_failed", "kept")
@@ -85,6 +90,7 @@ FROM d LEFT JOIN c ON d.rid = c.rid LEFT JOIN t ON d.rid = t.rid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_histogram_shards": op2_histogram_shards,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
     "op5_ngram_join": op5_ngram_join,
     "op7_byte_bpe": op7_byte_bpe,
