@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, cotraining, decontaminate, histogram_shards, rule_cascade, trie_join
+from . import byte_bpe, cotraining, decontaminate, histogram_shards, html_consensus, license_scan, rule_cascade, trie_join
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of all documents."""
+    found = license_scan.scan(_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return html_consensus.extract_main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 OP8_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
                   regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]', ' ', 'g'), '[^ ]+') AS w FROM documents),
@@ -95,6 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_join": op5_ngram_join,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_decontamination": op8_decontamination,
+    "op9_license_scan": op9_license_scan,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLE: dict[str, str] = {
