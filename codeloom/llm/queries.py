@@ -9,13 +9,42 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, cotraining, decontaminate, histogram_shards, html_consensus, license_scan, rule_cascade, trie_join
+from . import byte_bpe, cotraining, decontaminate, histogram_shards, html_consensus, license_scan, perspectives, rule_cascade, trie_join, unigram_count
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as each of its speakers sees it."""
+    return perspectives.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+OP1_SQL = r"""
+WITH m AS (SELECT conv_id, turn, role AS speaker, text, count(*) AS copies FROM
+             (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations) GROUP BY ALL),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM m WHERE speaker <> 'system'),
+r AS (SELECT m.conv_id, perspective, turn, speaker, copies, text,
+             CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS chat_role,
+             CASE WHEN speaker = 'system' THEN '<|im_start|>system' || chr(10) WHEN speaker = perspective THEN '<|im_start|>assistant' || chr(10)
+                  ELSE '<|im_start|>user name=' || speaker || chr(10) END AS head
+      FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS rendered FROM r),
+e AS (SELECT *, (sum(length(rendered)) OVER w)::BIGINT AS char_end, row_number() OVER w - 1 AS seq FROM o
+      WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, perspective, seq, turn, speaker, chat_role, rendered, char_end - length(rendered) AS char_start, char_end,
+       CASE WHEN chat_role = 'assistant' THEN char_end - length(rendered) + length(head) ELSE char_end END AS loss_start, char_end AS loss_end, copies
+FROM e
+"""
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of all documents."""
+    counted = unigram_count.count_column(spark, F.col("text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return _documents(spark, sf_dir).select("doc_id", counted.alias("c")).select("doc_id", "c.*")
+
+
 def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards of near-equal bytes."""
     placed = histogram_shards.shard_by_bytes(_documents(spark, sf_dir).select("doc_id", "text"), 24)
@@ -101,10 +130,12 @@ FROM d LEFT JOIN c ON d.rid = c.rid LEFT JOIN t ON d.rid = t.rid
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_perspectives": op1_perspectives,
     "op2_histogram_shards": op2_histogram_shards,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
     "op5_ngram_join": op5_ngram_join,
+    "op6_token_counts": op6_token_counts,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_decontamination": op8_decontamination,
     "op9_license_scan": op9_license_scan,
@@ -112,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_perspectives": OP1_SQL,
     "op4_quality_rules": OP4_SQL,
     "op8_decontamination": OP8_SQL,
 }
