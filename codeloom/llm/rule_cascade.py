@@ -127,7 +127,7 @@ def cascade_column(column: Column, sequence: list[str], measures: tuple[str, ...
     """A struct: the measures asked for, base_failed, kept. Measures that no rule needed are worked out last."""
     table, base = rules or RULES, [r for r in sequence if r in BASE_RULES]
 
-    @F.arrow_udf("struct<" + ",".join(f"{m}:bigint" for m in measures) + ",base_failed:boolean,kept:boolean>")
+    @F.arrow_udf("struct<" + "".join(f"{m}:bigint," for m in measures) + "base_failed:boolean,kept:boolean>")
     def run(texts: pa.Array) -> pa.Array:
         out: list[list] = [[] for _ in measures]
         failed, kept = [], []
