@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, SparkSession
@@ -23,10 +24,10 @@ from pyspark.sql import functions as F
 
 MAX_RANK_BYTES = 64 << 20
 #: What a worker keeps of pieces, prefixes and token pairs; a full store starts anew. It only bounds memory.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 120_000
 CACHE_PIECE_BYTES = 48
-CACHE_PREFIXES = 600_000
-CACHE_PAIRS = 400_000
+CACHE_PREFIXES = 300_000
+CACHE_PAIRS = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -200,6 +201,10 @@ class TextCoder:
                 out[i] = self.store.get(found[i]) or piece(found[i])
         return out
 
+    def ids(self, text: str | None) -> np.ndarray:
+        entries = self.entries(text) if text else []
+        return np.array(b",".join([e[1] for e in entries]).split(b","), np.int32) if entries else np.empty(0, np.int32)
+
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the ids as text, SHA-256 of the decoded bytes)"""
         entries = self.entries(text) if text else []
@@ -237,7 +242,7 @@ def digest_column(spark: SparkSession, column: Column, path: str, pattern: str,
             ids.append(a)
             decoded.append(b)
             if with_ids:
-                lists.append([int(i) for e in coder.entries(text or "") for i in e[1].split(b",")])
+                lists.append(coder.ids(text))
         arrays = [pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
         names = ["n_tokens", "ids_sha256", "decoded_sha256"]
         if with_ids:

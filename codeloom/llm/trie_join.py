@@ -41,7 +41,7 @@ SHINGLE = 5
 PERCENT = 80
 HASH_BITS = 48
 #: A chunk closes at so many documents or shingles. It bounds a task's memory, not the result.
-CHUNK_DOCS, CHUNK_TOKENS = 8_192, 1_500_000
+CHUNK_DOCS, CHUNK_TOKENS = 8_192, 1_000_000
 #: Shingles in one trie task; larger families are joined block by block.
 FAMILY_TOKENS = 4_000_000
 
@@ -69,7 +69,7 @@ def shingle_hashes(raw: bytes | None, known: dict[bytes, int], size: int = SHING
         if code is None:
             code = known[word] = digest(word)
         codes.append(code)
-    if len(known) > 400_000:
+    if len(known) > 200_000:
         known.clear()
     codes = np.array(codes, np.uint64)
     n = len(codes) - size + 1

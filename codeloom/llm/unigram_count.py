@@ -20,7 +20,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 MAX_PIECES = 1_000_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 CACHE_WORD_CHARS = 64
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
