@@ -27,7 +27,7 @@ MAX_RANK_BYTES = 64 << 20
 CACHE_PIECES = 120_000
 CACHE_PIECE_BYTES = 48
 CACHE_PREFIXES = 300_000
-CACHE_PAIRS = 200_000
+CACHE_PAIRS = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -48,12 +48,14 @@ class Bpe:
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[int, bool] = {}
         self.prefixes: dict[bytes, int] = {}
-        lengths: dict[bytes, set[int]] = {}
+        #: tokens read backwards as a tree: byte -> branch, None -> the token that ends here
+        self.endings: dict = {}
         for token, rank in ranks.items():
             if len(token) == 1 or self.split(rank):
-                lengths.setdefault(token[-2:], set()).add(len(token))
-        #: last two bytes of a token -> lengths of the tokens that end so, longest first
-        self.lengths = {end: tuple(sorted(n, reverse=True)) for end, n in lengths.items()}
+                branch = self.endings
+                for byte in reversed(token):
+                    branch = branch.setdefault(byte, {})
+                branch[None] = rank
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge made this one; None for a token that no merge makes (a single byte)."""
@@ -102,43 +104,47 @@ class Bpe:
 
     def last_token(self, raw: bytes, end: int, last) -> int:
         """The last token of raw[:end]; ``last(begin)`` gives that of a shorter prefix."""
-        ranks, pairs = self.ranks, self.pairs
-        for length in self.lengths.get(raw[max(0, end - 2) : end], ()):
-            begin = end - length
-            if begin > 0:
-                token = ranks.get(raw[begin:end])
-                if token is not None:
-                    left = last(begin)
-                    known = pairs.get(left << 24 | token)
-                    if known or known is None and self.valid_pair(left, token):
-                        return token
-            elif begin == 0:
-                token = ranks.get(raw[:end])
-                if token is not None:
+        branch, begin, found = self.endings, end, []
+        while begin:
+            branch = branch.get(raw[begin - 1])
+            if branch is None:
+                break
+            begin -= 1
+            token = branch.get(None)
+            if token is not None:
+                if not begin:
                     return token
-        token = ranks[raw[end - 1 : end]]
-        if end > 1 and not self.valid_pair(last(end - 1), token):
-            raise ValueError("the vocabulary is no BPE vocabulary")
-        return token
+                found.append((begin, token))
+        pairs = self.pairs
+        for begin, token in reversed(found):
+            left = last(begin)
+            known = pairs.get(left << 24 | token)
+            if known or known is None and self.valid_pair(left, token):
+                return token
+        raise ValueError("the vocabulary is no BPE vocabulary over all bytes")
 
     def encode_piece(self, raw: bytes) -> list[int]:
         """Ids of one piece. The entries of short pieces' prefixes are shared: a piece goes on from its longest known prefix."""
         whole = self.ranks.get(raw)
         if whole is not None:
             return [whole]
-        if len(raw) > CACHE_PIECE_BYTES:
+        end = len(raw)
+        if end > CACHE_PIECE_BYTES:
             return Prefixes(self).append(raw).ids()
-        known = self.prefixes
+        known, tokens = self.prefixes, self.tokens
         if len(known) >= CACHE_PREFIXES:
             known.clear()
-        have, end = len(raw), len(raw)
-        while have and raw[:have] not in known:
+        prefixes = [raw[:n] for n in range(end + 1)]
+        have = end
+        while have and prefixes[have] not in known:
             have -= 1
-        for stop in range(have + 1, end + 1):
-            known[raw[:stop]] = self.last_token(raw, stop, lambda begin: known[raw[:begin]])
-        out, tokens = [], self.tokens
+        if have < end:
+            last = lambda begin: known[prefixes[begin]]
+            for stop in range(have + 1, end + 1):
+                known[prefixes[stop]] = self.last_token(raw, stop, last)
+        out = []
         while end:
-            token = known[raw[:end]]
+            token = known[prefixes[end]]
             out.append(token)
             end -= len(tokens[token])
         out.reverse()
