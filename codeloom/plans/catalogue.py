@@ -4,5 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from . import graph_queries, report_queries, search_queries
+
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
+for _module in (search_queries, graph_queries, report_queries):
+    QUERIES.update(_module.REGISTRY.queries)
+    ORACLE.update(_module.REGISTRY.oracle)
