@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 MAX_RANK_BYTES = 64 << 20
 #: What a worker keeps of pieces, prefixes and token pairs; a full store starts anew. It only bounds memory.
-CACHE_PIECES = 120_000
+CACHE_PIECES = 400_000
 CACHE_PIECE_BYTES = 48
-CACHE_PREFIXES = 300_000
+CACHE_PREFIXES = 900_000
 CACHE_PAIRS = 300_000
 
 
@@ -42,20 +42,22 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Bpe:
     """Encoder and decoder over one vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], prefixes: int = CACHE_PREFIXES):
+        self.ranks, self.max_prefixes = ranks, prefixes
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[int, bool] = {}
         self.prefixes: dict[bytes, int] = {}
-        #: tokens read backwards as a tree: byte -> branch, None -> the token that ends here
-        self.endings: dict = {}
+        self.names = {rank: b"%d" % rank for rank in ranks.values()}
+        #: tokens read backwards as a tree: byte -> [branch, the token that ends here or None]
+        self.endings: dict[int, list] = {}
         for token, rank in ranks.items():
             if len(token) == 1 or self.split(rank):
-                branch = self.endings
+                branch, node = self.endings, None
                 for byte in reversed(token):
-                    branch = branch.setdefault(byte, {})
-                branch[None] = rank
+                    node = branch.setdefault(byte, [{}, None])
+                    branch = node[0]
+                node[1] = rank
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge made this one; None for a token that no merge makes (a single byte)."""
@@ -102,24 +104,24 @@ class Bpe:
             else:
                 limit, b = b + 1, split_b[0]
 
-    def last_token(self, raw: bytes, end: int, last) -> int:
-        """The last token of raw[:end]; ``last(begin)`` gives that of a shorter prefix."""
+    def last_token(self, raw: bytes, end: int, known: dict) -> int:
+        """The last token of raw[:end]; ``known`` holds that of shorter prefixes, by the prefix or by its length."""
         branch, begin, found = self.endings, end, []
         while begin:
-            branch = branch.get(raw[begin - 1])
-            if branch is None:
-                break
             begin -= 1
-            token = branch.get(None)
+            node = branch.get(raw[begin])
+            if node is None:
+                break
+            branch, token = node
             if token is not None:
                 if not begin:
                     return token
                 found.append((begin, token))
-        pairs = self.pairs
+        pairs, by_length = self.pairs, type(known) is list
         for begin, token in reversed(found):
-            left = last(begin)
-            known = pairs.get(left << 24 | token)
-            if known or known is None and self.valid_pair(left, token):
+            left = known[begin] if by_length else known[raw[:begin]]
+            valid = pairs.get(left << 24 | token)
+            if valid or valid is None and self.valid_pair(left, token):
                 return token
         raise ValueError("the vocabulary is no BPE vocabulary over all bytes")
 
@@ -132,19 +134,16 @@ class Bpe:
         if end > CACHE_PIECE_BYTES:
             return Prefixes(self).append(raw).ids()
         known, tokens = self.prefixes, self.tokens
-        if len(known) >= CACHE_PREFIXES:
+        if len(known) >= self.max_prefixes:
             known.clear()
-        prefixes = [raw[:n] for n in range(end + 1)]
         have = end
-        while have and prefixes[have] not in known:
+        while have and raw[:have] not in known:
             have -= 1
-        if have < end:
-            last = lambda begin: known[prefixes[begin]]
-            for stop in range(have + 1, end + 1):
-                known[prefixes[stop]] = self.last_token(raw, stop, last)
+        for stop in range(have + 1, end + 1):
+            known[raw[:stop]] = self.last_token(raw, stop, known)
         out = []
         while end:
-            token = known[prefixes[end]]
+            token = known[raw[:end]]
             out.append(token)
             end -= len(tokens[token])
         out.reverse()
@@ -163,7 +162,7 @@ class Prefixes:
     def append(self, more: bytes) -> Prefixes:
         start, self.raw = len(self.raw), self.raw + more
         for end in range(start + 1, len(self.raw) + 1):
-            self.last.append(self.bpe.last_token(self.raw, end, self.last.__getitem__))
+            self.last.append(self.bpe.last_token(self.raw, end, self.last))
         return self
 
     def replace_tail(self, keep: int, tail: bytes) -> Prefixes:
@@ -183,63 +182,64 @@ class Prefixes:
 class TextCoder:
     """Whole texts: pieces by pattern, each distinct piece encoded and decoded once while it is in the store."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.bpe, self.find, self.store = Bpe(ranks), regex.compile(pattern).findall, {}
-        self.older: dict[str, tuple[int, bytes, bytes]] = {}
+    def __init__(self, ranks: dict[bytes, int], pattern: str, pieces: int = CACHE_PIECES, prefixes: int = CACHE_PREFIXES):
+        self.bpe, self.find, self.pieces = Bpe(ranks, prefixes), regex.compile(pattern).findall, pieces
+        self.store: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
 
-    def piece(self, text: str) -> tuple[int, bytes, bytes]:
+    def piece(self, text: str) -> tuple[bytes, bytes]:
+        """(ids as text, decoded bytes)"""
         entry = self.older.get(text)
         if entry is None:
-            ids = self.bpe.encode_piece(text.encode())
-            entry = (len(ids), ",".join(map(str, ids)).encode(), self.bpe.decode(ids))
+            ids, names, tokens = self.bpe.encode_piece(text.encode()), self.bpe.names, self.bpe.tokens
+            entry = (b",".join([names[i] for i in ids]), b"".join([tokens[i] for i in ids]))
         if len(text) <= CACHE_PIECE_BYTES:
-            if len(self.store) >= CACHE_PIECES:
+            if len(self.store) >= self.pieces:
                 self.store, self.older = {}, self.store
             self.store[text] = entry
         return entry
 
-    def entries(self, text: str) -> list[tuple[int, bytes, bytes]]:
-        found, piece = self.find(text), self.piece
-        known = self.store.get
-        out = list(map(known, found))
-        for i, entry in enumerate(out):
-            if entry is None:
-                out[i] = self.store.get(found[i]) or piece(found[i])
+    def entries(self, text: str) -> list[tuple[bytes, bytes]]:
+        found = self.find(text)
+        out = list(map(self.store.get, found))
+        if None in out:
+            for i in [i for i, entry in enumerate(out) if entry is None]:
+                out[i] = self.store.get(found[i]) or self.piece(found[i])
         return out
 
     def ids(self, text: str | None) -> np.ndarray:
         entries = self.entries(text) if text else []
-        return np.array(b",".join([e[1] for e in entries]).split(b","), np.int32) if entries else np.empty(0, np.int32)
+        return np.array(b",".join([e[0] for e in entries]).split(b","), np.int32) if entries else np.empty(0, np.int32)
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the ids as text, SHA-256 of the decoded bytes)"""
-        entries = self.entries(text) if text else []
-        return (
-            sum(e[0] for e in entries),
-            hashlib.sha256(b",".join([e[1] for e in entries])).hexdigest(),
-            hashlib.sha256(b"".join([e[2] for e in entries])).hexdigest(),
-        )
+        if not text:
+            return 0, _EMPTY, _EMPTY
+        entries = self.entries(text)
+        ids, decoded = b",".join([e[0] for e in entries]), b"".join([e[1] for e in entries])
+        return ids.count(b",") + 1, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
+_EMPTY = hashlib.sha256(b"").hexdigest()
 _CODERS: dict[object, TextCoder] = {}
 
 
-def _coder(shared, pattern: str) -> TextCoder:
+def _coder(shared, pattern: str, pieces: int) -> TextCoder:
     """One coder for each worker process, whatever number of tasks it runs."""
-    key = (id(shared.value), pattern)
+    key = (id(shared.value), pattern, pieces)
     if key not in _CODERS:
         _CODERS.clear()
-        _CODERS[key] = TextCoder(shared.value, pattern)
+        _CODERS[key] = TextCoder(shared.value, pattern, pieces, 2 * pieces)
     return _CODERS[key]
 
 
-def digest_column(spark: SparkSession, column: Column, path: str, pattern: str, with_ids: bool = False) -> Column:
+def digest_column(spark: SparkSession, column: Column, path: str, pattern: str, with_ids: bool = False, pieces: int = CACHE_PIECES) -> Column:
     """struct(n_tokens, ids_sha256, decoded_sha256[, ids]) of a text column. One pass, no shuffle."""
     shared = spark.sparkContext.broadcast(load_ranks(path))
 
     @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string" + (",ids:array<int>" if with_ids else "") + ">")
     def run(texts: pa.Array) -> pa.Array:
-        coder = _coder(shared, pattern)
+        coder = _coder(shared, pattern, pieces)
         counts, ids, decoded, lists = [], [], [], []
         for value in texts:
             text = value.as_py()
