@@ -81,7 +81,7 @@ def shingle_hashes(raw: bytes | None, known: dict[bytes, int], size: int = SHING
 
 def _planes(values: np.ndarray) -> bytes:
     """Bytes of equal weight together: the high ones are nearly constant and pack well."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
 
 def _unplanes(raw: bytes, kind) -> np.ndarray:
