@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Suffix tables of the published algorithm.
 _STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
@@ -80,7 +81,7 @@ def stem(word: str) -> str:
     return word
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def porter(terms: pa.Array) -> pa.Array:
     coded = terms.dictionary_encode()
     stems = pa.array([stem(t) if t is not None else None for t in coded.dictionary.to_pylist()], pa.string())

@@ -64,7 +64,7 @@ def character_chunks(df: DataFrame, text: str, size: int = CHUNK, overlap: int =
 def clean_content(text: Column | str) -> Column:
     """Trailing blanks removed, runs of blank lines to one."""
     t = F.regexp_replace(_c(text), r"[ \t]+(?=\n|$)", "")
-    return F.rtrim(F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"\s+$", "")
 
 
 def embedding_text(label: Column, name: Column, path: Column, body: Column, container: Column | None = None, members: Column | None = None, description: Column | None = None) -> Column:
