@@ -41,7 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the documents that are left, with digests of the ids and of the bytes they decode to."""
-    coded = byte_bpe.digest_column(spark, F.col("text"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=True, pieces=120_000)
+    coded = byte_bpe.digest_column(spark, F.col("text"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=True, pieces=40_000)
     return docs.select("doc_id", "lang", "source", coded.alias("c")).select("doc_id", "lang", "source", "c.n_tokens", "c.ids_sha256", "c.decoded_sha256", F.col("c.ids").alias("input_ids"))
 
 
