@@ -39,6 +39,19 @@ FROM e
 """
 
 
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, w[i:i + 4] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5) UNION ALL SELECT rid, w FROM d WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY a.rid, b.rid),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+b AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT rid AS a, rid AS z FROM d UNION SELECT a, y FROM r JOIN b ON z = x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM d LEFT JOIN n ON d.rid = n.rid JOIN r ON r.a = d.rid JOIN d o ON o.rid = r.z GROUP BY d.rid, d.doc_id, n.n
+"""
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram token counts of all documents."""
     counted = unigram_count.count_column(spark, F.col("text"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -145,5 +158,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op1_perspectives": OP1_SQL,
     "op4_quality_rules": OP4_SQL,
+    "op5_ngram_join": OP5_SQL,
     "op8_decontamination": OP8_SQL,
 }
