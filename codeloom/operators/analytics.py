@@ -107,7 +107,7 @@ def modularity(near: DataFrame, members: DataFrame) -> float:
 def community_nodes(members: DataFrame, paths: DataFrame, edges: DataFrame) -> DataFrame:
     """(comm, symbols, cohesion, label): communities of at least two, named by their most frequent telling folder.
 
-    members (id, comm); paths (id, filePath, name). Without a folder the common prefix of three or more names, else Cluster_n.
+    members (id, comm); paths (id, filePath, name). Without a folder the common prefix of three or more names, else Cluster_ and its id.
     """
     sized = cohesion(edges, members).where("symbols >= 2")
     of = members.join(paths, "id")
@@ -119,9 +119,8 @@ def community_nodes(members: DataFrame, paths: DataFrame, edges: DataFrame) -> D
 
     names = of.groupBy("comm").agg(F.min("name").alias("low"), F.max("name").alias("high"), F.count("name").alias("names"))
     named = names.withColumn("prefix", F.when(F.col("names") > 2, common_prefix(F.col("low"), F.col("high"))))
-    number = F.dense_rank().over(Window.orderBy(F.desc("symbols"), "comm")) - 1
-    out = sized.withColumn("number", number).join(top, "comm", "left").join(named.select("comm", "prefix"), "comm", "left")
-    return out.select("comm", "symbols", "cohesion", F.coalesce(capitalize("folder"), F.when(F.length("prefix") > 2, capitalize("prefix")), F.concat(F.lit("Cluster_"), "number")).alias("label"))
+    out = sized.join(top, "comm", "left").join(named.select("comm", "prefix"), "comm", "left")
+    return out.select("comm", "symbols", "cohesion", F.coalesce(capitalize("folder"), F.when(F.length("prefix") > 2, capitalize("prefix")), F.concat(F.lit("Cluster_"), "comm")).alias("label"))
 
 
 # ---- entry points and processes -------------------------------------------------------------------------------

@@ -319,7 +319,11 @@ def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.communities(succession_edges(spark, sf_dir, "1"))
 
 
-@query("strongly_connected")
+@query(
+    "strongly_connected",
+    f"""WITH RECURSIVE {succession_sql('1')}, e AS (SELECT DISTINCT src::INT AS src, dst::INT AS dst FROM succ), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r AS (SELECT src AS a, dst AS b FROM e UNION SELECT a, dst FROM r JOIN e ON b = src)
+SELECT n.id::VARCHAR AS id, least(n.id::VARCHAR, coalesce(min(x.b::VARCHAR), n.id::VARCHAR)) AS scc FROM n LEFT JOIN (SELECT f.a, f.b FROM r f JOIN r g ON f.a = g.b AND f.b = g.a) x ON x.a = n.id GROUP BY n.id""",
+)
 def strongly_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.strongly_connected(succession_edges(spark, sf_dir, "1"))
 
