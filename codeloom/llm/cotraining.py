@@ -185,12 +185,12 @@ def train(docs_features: DataFrame, labels: DataFrame, target: str = "quality",
     prior = float(np.clip(y.mean(), 0.01, 0.99))
     sets = [(text[~held], y[~held]), (meta[~held], y[~held])]
     # rows with a label are no candidates; of the rest, each may be handed over once
-    open_rows = docs_features.join(known.select("doc_id"), "doc_id", "left_anti")
+    open_rows = stored(docs_features.join(known.select("doc_id"), "doc_id", "left_anti").select("doc_id", "lang", "source", "n_chars", "view"), "unlabelled-features")
     taken: set = set()
     models = [fit(*s) for s in sets]
     for _ in range(rounds):
         fresh: list[list] = [[], []]
-        for r in _best(open_rows.select("doc_id", "lang", "source", "n_chars", "view"), models[0], models[1], per_round):
+        for r in _best(open_rows, models[0], models[1], per_round):
             key = (r["view_no"], r["doc_id"], r["tie"])
             if r["sure"] <= 0 or key in taken:
                 continue
