@@ -104,8 +104,8 @@ class Bpe:
             else:
                 limit, b = b + 1, split_b[0]
 
-    def last_token(self, raw: bytes, end: int, known: dict) -> int:
-        """The last token of raw[:end]; ``known`` holds that of shorter prefixes, by the prefix or by its length."""
+    def ending_tokens(self, raw: bytes, end: int) -> list[tuple[int, int]]:
+        """(begin, token) of all tokens that end there, shortest first; only the whole prefix if it is a token."""
         branch, begin, found = self.endings, end, []
         while begin:
             begin -= 1
@@ -115,35 +115,41 @@ class Bpe:
             branch, token = node
             if token is not None:
                 if not begin:
-                    return token
+                    return [(0, token)]
                 found.append((begin, token))
-        pairs, by_length = self.pairs, type(known) is list
-        for begin, token in reversed(found):
-            left = known[begin] if by_length else known[raw[:begin]]
-            valid = pairs.get(left << 24 | token)
-            if valid or valid is None and self.valid_pair(left, token):
-                return token
-        raise ValueError("the vocabulary is no BPE vocabulary over all bytes")
+        return found
+
+    def last_token(self, raw: bytes, end: int) -> int:
+        """The last token of raw[:end], from the shared entries; entries that it depends on are made on the way."""
+        prefix = raw[:end]
+        token = self.prefixes.get(prefix)
+        if token is None:
+            pairs = self.pairs
+            for begin, token in reversed(self.ending_tokens(raw, end)):
+                if not begin:
+                    break
+                left = self.last_token(raw, begin)
+                valid = pairs.get(left << 24 | token)
+                if valid or valid is None and self.valid_pair(left, token):
+                    break
+            else:
+                raise ValueError("the vocabulary is no BPE vocabulary over all bytes")
+            self.prefixes[prefix] = token
+        return token
 
     def encode_piece(self, raw: bytes) -> list[int]:
-        """Ids of one piece. The entries of short pieces' prefixes are shared: a piece goes on from its longest known prefix."""
+        """Ids of one piece. The entries of short pieces' prefixes are shared by all pieces that begin alike."""
         whole = self.ranks.get(raw)
         if whole is not None:
             return [whole]
         end = len(raw)
         if end > CACHE_PIECE_BYTES:
             return Prefixes(self).append(raw).ids()
-        known, tokens = self.prefixes, self.tokens
-        if len(known) >= self.max_prefixes:
-            known.clear()
-        have = end
-        while have and raw[:have] not in known:
-            have -= 1
-        for stop in range(have + 1, end + 1):
-            known[raw[:stop]] = self.last_token(raw, stop, known)
-        out = []
+        if len(self.prefixes) >= self.max_prefixes:
+            self.prefixes.clear()
+        out, tokens = [], self.tokens
         while end:
-            token = known[raw[:end]]
+            token = self.last_token(raw, end)
             out.append(token)
             end -= len(tokens[token])
         out.reverse()
@@ -160,9 +166,11 @@ class Prefixes:
         self.bpe, self.raw, self.last = bpe, b"", [-1]
 
     def append(self, more: bytes) -> Prefixes:
+        bpe, last = self.bpe, self.last
         start, self.raw = len(self.raw), self.raw + more
         for end in range(start + 1, len(self.raw) + 1):
-            self.last.append(self.bpe.last_token(self.raw, end, self.last))
+            ending = reversed(bpe.ending_tokens(self.raw, end))
+            last.append(next(token for begin, token in ending if not begin or bpe.valid_pair(last[begin], token)))
         return self
 
     def replace_tail(self, keep: int, tail: bytes) -> Prefixes:

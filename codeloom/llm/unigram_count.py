@@ -24,6 +24,7 @@ CACHE_WORDS = 150_000
 CACHE_WORD_CHARS = 64
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
+_NEVER = float("-inf")
 
 
 def load_pieces(path: str) -> dict[str, float]:
@@ -56,21 +57,37 @@ class Counter:
         self.older: dict[str, tuple[int, int, float]] = {}
 
     def solve(self, word: str) -> tuple[int, int, float]:
-        """(pieces, of which bytes of unknown characters, score) of the best path."""
-        best, count, byte = [0.0] + [None] * len(word), [0] * (len(word) + 1), [0] * (len(word) + 1)
+        """(pieces, of which bytes of unknown characters, score) of the best path.
+
+        Matches come by their end, for one end the longest (which starts first) before the shorter ones: the order
+        in which the tie rule wants them.
+        """
+        if not self.singles.issuperset(word):
+            return self._solve_with_unknown(word)
+        n = len(word)
+        best, count = [0.0] + [_NEVER] * n, [0] * (n + 1)
+        for last, (length, score) in self.automaton.iter(word):
+            last += 1
+            start = last - length
+            total = best[start] + score
+            if total > best[last]:
+                best[last], count[last] = total, count[start] + 1
+        return count[n], 0, best[n]
+
+    def _solve_with_unknown(self, word: str) -> tuple[int, int, float]:
+        best, count, byte = [0.0] + [_NEVER] * len(word), [0] * (len(word) + 1), [0] * (len(word) + 1)
         ends: list[list] = [[] for _ in word]
         for last, found in self.automaton.iter(word):
             ends[last].append(found)
         for last, found in enumerate(ends):
             end = last + 1
-            for length, score in sorted(found, reverse=True):
-                start = end - length
-                total = best[start] + score
-                if best[end] is None or total > best[end]:
-                    best[end], count[end], byte[end] = total, count[start] + 1, byte[start]
+            for length, score in found:
+                total = best[end - length] + score
+                if total > best[end]:
+                    best[end], count[end], byte[end] = total, count[end - length] + 1, byte[end - length]
             if word[last] not in self.singles:
                 total = best[last] + self.unknown
-                if best[end] is None or total > best[end]:
+                if total > best[end]:
                     n = len(word[last].encode())
                     best[end], count[end], byte[end] = total, count[last] + n, byte[last] + n
         return count[-1], byte[-1], best[-1]
@@ -88,11 +105,10 @@ class Counter:
             return 0, 0, 0.0
         words = self.cut(SPACE + text.replace(" ", SPACE))
         entries = list(map(self.store.get, words))
-        for i, entry in enumerate(entries):
-            if entry is None:
+        if None in entries:
+            for i in [i for i, entry in enumerate(entries) if entry is None]:
                 entries[i] = self._word(words[i])
-        n, byte, score = zip(*entries)
-        return sum(n), sum(byte), sum(score)
+        return sum([e[0] for e in entries]), sum([e[1] for e in entries]), sum([e[2] for e in entries])
 
 
 _COUNTERS: dict[int, Counter] = {}
