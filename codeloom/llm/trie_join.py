@@ -11,7 +11,7 @@ never forms all pairs of a group:
 3. ``prefix`` - the remaining sets are ordered globally, rarest shingle first. Linked sets must share a shingle of
    their prefixes (n - ceil(0.8 n) + 1 shingles). Sets that share a prefix shingle fall into one candidate
    family, found by connected components over star edges (linear in the prefixes, not in the pairs).
-4. ``trie`` - each family's sets go to one task (large families: to block pairs) once. There they are stored in a
+4. ``trie`` - each family's sets go to one task once (large families: see _large_links). There they are stored in a
    prefix tree in the global order; a probe walks the tree, shares the overlap of common branches, and leaves a
    subtree when its overlap so far plus the shorter of the remaining lengths can't reach what 80 percent needs,
    or when all sets below it are already in the probe's component. Overlaps are exact.
@@ -42,8 +42,8 @@ PERCENT = 80
 HASH_BITS = 48
 #: A chunk closes at so many documents or shingles. It bounds a task's memory, not the result.
 CHUNK_DOCS, CHUNK_TOKENS = 8_192, 1_000_000
-#: Shingles in one trie task; larger families are joined block by block.
-FAMILY_TOKENS = 4_000_000
+#: Shingles in one trie task; larger families are cut into blocks.
+FAMILY_TOKENS = 1_000_000
 
 _MASK = np.uint64((1 << HASH_BITS) - 1)
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
@@ -393,27 +393,31 @@ class TrieJoin:
             branch.mixed = True
 
 
-def join_family(members: list[tuple[int, int, int, bytes]], cross: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links (a, b) that connect what similarity connects. Members: (node, n, block, packed (hash, frequency)).
+def join_family(members: list[tuple], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links (a, b) that connect what similarity connects. Members: (side, node, n, known, packed (hash, frequency)).
 
-    With ``cross`` only pairs of different blocks are looked at: block by block pairs of a large family.
+    Sets of side 1 are only probed against those of side 0; without side 1 all are joined with each other. Sets
+    with the same ``known`` component are connected already and cost no comparison.
     """
-    members = sorted({m[0]: m for m in members}.values(), key=lambda m: (m[2], m[1], m[0]))
-    packed = [unpack(m[3]) for m in members]
+    members = sorted({(m[0], m[1]): m for m in members}.values(), key=lambda m: (m[0], m[2], m[1]))
+    packed = [unpack(m[4]) for m in members]
     lengths = [len(p[0]) for p in packed]
     order = np.concatenate([(p[1].astype(np.uint64) << np.uint64(HASH_BITS)) | p[0] for p in packed])
     distinct, ranks, counts = np.unique(order, return_inverse=True, return_counts=True)
     useful = np.cumsum(counts > 1) - 1  # a shingle of one set alone can't be in an overlap
     alive, ranks = counts[ranks] > 1, useful[ranks].astype(np.int32)
-    tree, links, at = TrieJoin(int(useful[-1]) + 1 if len(useful) else 0, percent), [], 0
-    low = members[0][2]
-    for (node, n, block, _), length in zip(members, lengths):
+    tree, links, at, cross = TrieJoin(int(useful[-1]) + 1 if len(useful) else 0, percent), [], 0, members[-1][0] == 1
+    first: dict[int, int] = {}
+    for (_, _, n, known, _) in members:
+        k = tree.new(n)
+        if known is not None:
+            tree.parent[k] = first.setdefault(known, k)
+    for k, ((side, node, _, _, _), length) in enumerate(zip(members, lengths)):
         path = np.sort(ranks[at : at + length][alive[at : at + length]])
         at += length
-        k = tree.new(n)
-        if not cross or block != low:
-            links.extend((members[other][0], node) for other in tree.probe(k, path))
-        if not cross or block == low:
+        if not cross or side == 1:
+            links.extend((members[other][1], node) for other in tree.probe(k, path))
+        if side == 0:
             tree.insert(k, path)
     return links
 
@@ -423,23 +427,53 @@ def _trie_tasks(percent: int):
         key, members = None, []
 
         def links():
-            found = join_family(members, key[1] != key[2], percent) if len(members) > 1 else []
+            found = join_family(members, percent) if len(members) > 1 else []
             a, b = zip(*found) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != key:
+                if row[:2] != key:
                     if members:
                         yield links()
-                    key, members = row[:3], []
-                members.append(row[3:])
+                    key, members = row[:2], []
+                members.append(row[2:])
         if members:
             yield links()
 
     return run
 
 
+def _join_tasks(tasks: DataFrame, percent: int) -> DataFrame:
+    """Links of tasks (comp, task, side, node, n, known, blob)."""
+    columns = ("comp", "task", "side", "node", "n", "known", "blob")
+    return tasks.select(*columns).repartition("comp", "task").sortWithinPartitions("comp", "task").mapInArrow(_trie_tasks(percent), "a bigint, b bigint")
+
+
+def _large_links(large: DataFrame, percent: int) -> DataFrame:
+    """Links of the families that don't fit one task: (comp, node, n, blob, blocks, block), block by block.
+
+    Each block is joined in itself, and one leader of the largest component of each block with the other leaders.
+    That connects nearly all of a family of near copies. What is left of each block, the sets outside the family's
+    main component, is then probed against all other blocks: two sets of one component need no comparison, so the
+    main component is never compared with itself again and only the rest is shipped more than once.
+    """
+    none = F.lit(None).cast("bigint")
+    inside = stored(_join_tasks(large.select("comp", F.col("block").alias("task"), F.lit(0).alias("side"), "node", "n", none.alias("known"), "blob"), percent), "block-links")
+    local = large.select("comp", "block", "node").join(connected_components(inside).withColumnRenamed("comp", "known"), "node", "left").withColumn("known", F.coalesce("known", "node"))
+    sizes = local.groupBy("comp", "block", "known").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("node"))
+    leaders = sizes.groupBy("comp", "block").agg(F.max_by("node", F.struct("size", "node")).alias("node"))
+    met = _join_tasks(large.join(leaders.select("node"), "node", "left_semi").select("comp", F.lit(-1).alias("task"), F.lit(0).alias("side"), "node", "n", none.alias("known"), "blob"), percent)
+    links = stored(inside.unionByName(met), "leader-links")
+    known = large.select("comp", "node").join(connected_components(links).withColumnRenamed("comp", "known"), "node", "left").withColumn("known", F.coalesce("known", "node"))
+    main = known.groupBy("comp", "known").agg(F.count(F.lit(1)).alias("size")).groupBy("comp").agg(F.max_by("known", F.struct("size", "known")).alias("main"))
+    marked = large.join(known.select("node", "known"), "node").join(main, "comp")
+    own = marked.select("comp", F.col("block").alias("task"), F.lit(0).alias("side"), "node", "n", "known", "blob")
+    rest = marked.where("known <> main").withColumn("task", F.explode(F.expr("sequence(0, blocks - 1)"))).where("task <> block")
+    across = _join_tasks(own.unionByName(rest.select("comp", "task", F.lit(1).alias("side"), "node", "n", "known", "blob")), percent)
+    return links.unionByName(across)
+
+
 # ---- the whole join -------------------------------------------------------------------------------------------
 
 
@@ -462,13 +496,12 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     members = sets.select("node", "n", "blob").join(families, "node").dropDuplicates(["node"])
     weight = sets.select("node", "n").distinct().join(families, "node").groupBy("comp").agg(F.ceil(F.sum("n") / family_tokens).cast("int").alias("blocks"))
-    dealt = (
-        members.join(weight, "comp")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-        .withColumn("k", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("comp", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "node", "n", "block", "blob")
-    )
-    links = dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_trie_tasks(percent), "a bigint, b bigint")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
+    dealt = stored(members.join(weight, "comp").withColumn("block", block), "families")
+    small = dealt.where("blocks = 1").select("comp", F.lit(0).alias("task"), F.lit(0).alias("side"), "node", "n", F.lit(None).cast("bigint").alias("known"), "blob")
+    links = _join_tasks(small, percent)
+    if not weight.where("blocks > 1").isEmpty():
+        links = links.unionByName(_large_links(dealt.where("blocks > 1"), percent))
     linked = connected_components(links)
 
     names = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
