@@ -157,18 +157,6 @@ def hashing_embedder(dims: int = 64):
     return embed
 
 
-def random_hyperplanes(vectors: DataFrame, vec: str, bits: int = 12, dims: int = 64, seed: int = 7) -> DataFrame:
-    """An optional approximate index: (.., bucket) by signs of fixed hyperplanes. Exact search is the default."""
-    planes = []
-    for b in range(bits):
-        plane = F.array(*[F.lit(1.0 if (hash((seed, b, d)) & 1) else -1.0) for d in range(dims)])
-        planes.append(F.when(_dot(F.col(vec), plane) >= 0, 1 << b).otherwise(0))
-    total = planes[0]
-    for p in planes[1:]:
-        total = total + p
-    return vectors.withColumn("bucket", total.cast("int"))
-
-
 def open_index(spark: SparkSession, table: str) -> DataFrame | None:
     """A stored postings table; None if it doesn't exist (an empty result is something else)."""
     return spark.table(table) if spark.catalog.tableExists(table) else None

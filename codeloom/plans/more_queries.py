@@ -237,12 +237,6 @@ def stemmed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.groupBy("term").agg(F.countDistinct("doc_id").alias("df"), F.sum("tf").alias("tf"))
 
 
-@query("ann_buckets")
-def ann_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors by random hyperplanes, the optional approximate index."""
-    return search.random_hyperplanes(table(spark, sf_dir, "embeddings"), "embedding").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("body_only", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'line-count' WHEN doc_id % 3 = 1 THEN 'calls' END AS reason FROM documents WHERE text IS NOT NULL")
 def body_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits of every document: a line more, a call more, or words only."""

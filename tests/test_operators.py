@@ -377,6 +377,25 @@ def test_c3_and_mro(spark):
     assert {r["site"]: r["method"] for r in analytics.lookup_with_mro(sites, mro, m).collect()} == {"s": "A.only", "t": "B.run"}
 
 
+def test_c3_equals_python():
+    rng = random.Random(3)
+    agreed = 0
+    for _ in range(300):
+        parents, classes = {}, {}
+        for k in range(7):
+            bases = rng.sample(sorted(classes), min(len(classes), rng.randrange(3)))
+            try:
+                classes[f"K{k}"] = type(f"K{k}", tuple(classes[b] for b in bases), {})
+                want = [c.__name__ for c in classes[f"K{k}"].__mro__[1:-1]]
+                agreed += 1
+            except TypeError:
+                want = None
+            assert analytics.c3({**parents, f"K{k}": bases}, f"K{k}") == want
+            if want is not None:
+                parents[f"K{k}"] = bases
+    assert agreed > 1000
+
+
 def test_method_implements(spark):
     mro = spark.createDataFrame([("Impl", 0, "Iface")], "child string, pos int, ancestor string")
     methods = spark.createDataFrame([("Impl", "i1", "run", ["int"], 1, False), ("Impl", "i2", "run", ["str"], 1, False), ("Iface", "f", "run", ["int"], 1, True)], "owner string, id string, name string, parameterTypes array<string>, parameterCount int, isAbstract boolean")
