@@ -135,7 +135,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     "process_ranking",
     f"""WITH {SESSIONS_SQL}, t AS (
   SELECT session AS process, sum(value) AS total, max(round(value / (value + 100), 4)) AS boost, count(DISTINCT event_id) AS n_symbols FROM sess WHERE event_type = 'purchase' GROUP BY session)
-SELECT process, round(total, 4) AS total, boost, n_symbols, round(total + 0.1 * boost, 4) AS priority, row_number() OVER (ORDER BY round(total + 0.1 * boost, 6) DESC, process)::INTEGER AS rank FROM t QUALIFY rank <= 20""",
+SELECT process, round(total, 4) AS total, boost, n_symbols, round(total + 0.1 * boost, 6) AS priority, row_number() OVER (ORDER BY round(total + 0.1 * boost, 6) DESC, process)::INTEGER AS rank FROM t QUALIFY rank <= 20""",
 )
 def process_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases are the hits, sessions the processes."""
@@ -143,7 +143,7 @@ def process_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = s.select(F.col("event_id").alias("id"), F.col("value").alias("score"))
     cohesion = s.select(F.col("event_id").alias("id"), F.round(F.col("value") / (F.col("value") + 100), 4).alias("cohesion"))
     out = search.process_ranking(hits, s.select(F.col("event_id").alias("id"), F.col("session").alias("process")), cohesion, 20)
-    return out.select("process", F.round("total", 4).alias("total"), "boost", "n_symbols", F.round("priority", 4).alias("priority"), "rank")
+    return out.select("process", F.round("total", 4).alias("total"), "boost", "n_symbols", F.round("priority", 6).alias("priority"), "rank")
 
 
 @query(

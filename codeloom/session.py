@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -25,10 +26,12 @@ def local_session(cpus: int | None = None, app: str = "codeloom") -> SparkSessio
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's spark.checkpoint.dir; set a folder of our own only where none is set (tests)."""
+    """Keep the cluster's spark.checkpoint.dir. Only a local master (tests) gets a folder of its own where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), "codeloom-checkpoints"))
 
 
