@@ -29,10 +29,10 @@ def optional_expand(nodes: DataFrame, edges: DataFrame, kinds: list[str], side:
 
 
 def two_hop(edges: DataFrame, first: str, second: str) -> DataFrame:
-    """(a)-[first]->(b)-[second]->(c), distinct (a, b, c)."""
-    x = edges.where(F.col("type") == first).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    y = edges.where(F.col("type") == second).select(F.col("src").alias("b"), F.col("dst").alias("c"))
-    return x.join(y, "b").select("a", "b", "c").distinct()
+    """(a)-[first]->(b)-[second]->(c), distinct (a, b, c): distinct edges make distinct triples, so the join's result isn't sorted out again."""
+    x = edges.where(F.col("type") == first).select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+    y = edges.where(F.col("type") == second).select(F.col("src").alias("b"), F.col("dst").alias("c")).distinct()
+    return x.join(y, "b").select("a", "b", "c")
 
 
 def via_file(edges: DataFrame, defines: str = "DEFINES", uses: tuple[str, ...] = ("IMPORTS", "CALLS")) -> DataFrame:
