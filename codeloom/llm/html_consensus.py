@@ -1,13 +1,13 @@
 """Main text of web pages by consensus paths of their hosts.
 
-1. Each page is parsed tolerantly and its containers are scored: a block of text counts for the container it
-   stands in and half for the one around it, text in links counts against it.
-2. A page's containers vote, with their share of the page's best score, for their generalised path: the tags and
-   classes from the root down, digits made equal. Votes are summed per (host, path) and over all hosts; a host's
-   winner is the path with most votes of its own plus a small share of the general vote, so a host with a single
-   page still profits from the others. Ties go to the longer, then to the alphabetically first path.
-3. Each page is parsed again and the blocks below its host's path are its text. A page without such a container
-   falls back to its own best one.
+1. Each page is parsed tolerantly and its containers are scored: a block of text counts in full for the container
+   it stands in and for all around it, less the text in links; a block that is mostly links counts nothing.
+2. A page votes for each container that holds all it counted, by its generalised path: the tags and classes from the
+   root down, digits made equal. Votes are summed per (host, path) and over all hosts; a host's winner is the longest
+   path with at least MAJORITY of its votes plus as large a share of the general vote, so a path holds everything on
+   nearly all pages of its host. Ties go to the alphabetically first path.
+3. Each page is parsed again and the blocks below its host's path are its text. A page of which that path holds less
+   than WHOLE falls back to its own smallest container that holds everything.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out by tag, role
 or class. Only (host, path, votes) is shuffled for the vote, pre-aggregated. The winners that differ from the
@@ -26,6 +26,10 @@ from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 100_000
 GENERAL_SHARE = 1.0
+#: Share of a host's votes that its path needs.
+MAJORITY = 0.8
+#: Share of a page's counted text that its host's path must hold.
+WHOLE = 0.9
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s(?:[^>\"']|\"[^\"]{0,20000}\"|'[^']{0,20000}')*|/)?)>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
@@ -130,28 +134,42 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
     return out
 
 
+def _above(path: str):
+    """The path and all around it, up to the root (empty)."""
+    while path:
+        yield path
+        path = path.rpartition("/")[0]
+    yield ""
+
+
+def _weights(parts: list[tuple[str, str, int]]) -> list[int]:
+    """What each block counts: its text less that in links; on a page of links only, its text."""
+    weights = [max(0, len(text) - 2 * linked) for _, text, linked in parts]
+    return weights if any(weights) else [len(text) for _, text, _ in parts]
+
+
+def _shares(parts: list[tuple[str, str, int]]) -> dict[str, float]:
+    scores: dict[str, int] = {}
+    for (path, _, _), weight in zip(parts, _weights(parts)):
+        for above in _above(path) if weight else ():
+            scores[above] = scores.get(above, 0) + weight
+    return {path: score / scores[""] for path, score in scores.items()}
+
+
 def containers(page: str | None) -> dict[str, float]:
-    """path -> share of the best container's score."""
-    scores: dict[str, float] = {}
-    for path, text, linked in blocks(page):
-        worth = len(text) - 2 * linked
-        scores[path] = scores.get(path, 0.0) + worth
-        above = path.rpartition("/")[0]
-        if above:
-            scores[above] = scores.get(above, 0.0) + worth / 2
-    best = max(scores.values(), default=0.0)
-    return {path: score / best for path, score in scores.items() if score > 0} if best > 0 else {}
+    """path -> share of the page's counted text that stands in it or below."""
+    return _shares(blocks(page))
 
 
 def extract(page: str | None, path: str | None) -> str:
-    """The text below the container path; below the page's own best container if it has none."""
+    """The text below the container path; below the page's own whole container if it hasn't nearly all in there."""
     parts = blocks(page)
-    chosen = [text for p, text, _ in parts if path is not None and (p == path or p.startswith(path + "/"))]
-    if not chosen and parts:
-        own = containers(page)
-        best = min(own, key=lambda p: (-own[p], -p.count("/"), p)) if own else parts[0][0]
-        chosen = [text for p, text, _ in parts if p == best or p.startswith(best + "/")]
-    return " ".join(chosen)
+    if not parts:
+        return ""
+    own = _shares(parts)
+    if path is None or own.get(path, 0.0) < WHOLE:
+        path = max((p for p, share in own.items() if share == 1), key=len)
+    return " ".join(text for p, text, _ in parts if p == path or p.startswith(path + "/"))
 
 
 def host_of(url: Column) -> Column:
@@ -160,28 +178,27 @@ def host_of(url: Column) -> Column:
 
 
 def votes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, path, vote) summed over the pages of each host."""
+    """(host, path, vote): on how many of the host's pages the path holds everything."""
 
-    @F.arrow_udf("array<struct<path:string,share:double>>")
-    def score(column: pa.Array) -> pa.Array:
-        rows = [[{"path": p, "share": round(s, 6)} for p, s in containers(t.as_py()).items()] for t in column]
-        return pa.array(rows, pa.list_(pa.struct([("path", pa.string()), ("share", pa.float64())])))
+    @F.arrow_udf("array<string>")
+    def whole(column: pa.Array) -> pa.Array:
+        return pa.array([[p for p, share in containers(t.as_py()).items() if share == 1] for t in column], pa.list_(pa.string()))
 
-    scored = pages.select(host_of(F.col(url)).alias("host"), F.explode(score.asNondeterministic()(html)).alias("v"))
-    # whole millionths, so that the sum doesn't depend on the order of the rows
-    return scored.groupBy("host", F.col("v.path").alias("path")).agg(F.sum(F.round(F.col("v.share") * 1_000_000).cast("long")).alias("vote"))
+    scored = pages.select(host_of(F.col(url)).alias("host"), F.explode(whole.asNondeterministic()(html)).alias("path"))
+    return scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("vote"))
 
 
 def winners(voted: DataFrame) -> tuple[str | None, DataFrame]:
     """The general winner, and (host, path) of the hosts whose winner is another."""
-    general = voted.groupBy("path").agg(F.sum(F.col("vote").cast("decimal(38,0)")).alias("all_votes"))
-    total = general.agg(F.sum("all_votes")).first()[0]
+    general = voted.groupBy("path").agg(F.sum("vote").alias("all_votes"))
+    total = general.agg(F.max("all_votes")).first()[0]  # the root's: all pages with text
     if not total:
         return None, voted.select("host", "path").limit(0)
-    top = general.orderBy(F.desc("all_votes"), F.desc(F.length("path")), "path").first()["path"]
-    weighed = voted.join(general, "path").withColumn("weight", F.col("vote") + F.lit(GENERAL_SHARE * 1_000_000) * F.col("all_votes").cast("double") / F.lit(float(total)))
-    best = Window.partitionBy("host").orderBy(F.desc("weight"), F.desc(F.length("path")), "path")
-    own = weighed.withColumn("n", F.row_number().over(best)).where((F.col("n") == 1) & (F.col("path") != F.lit(top)))
+    top = general.where(F.col("all_votes") >= MAJORITY * total).orderBy(F.desc(F.length("path")), "path").first()["path"]
+    weighed = voted.join(general, "path").withColumn("weight", F.col("vote") + F.lit(GENERAL_SHARE) * F.col("all_votes") / F.lit(float(total)))
+    most = weighed.withColumn("most", F.max("weight").over(Window.partitionBy("host"))).where(F.col("weight") >= MAJORITY * F.col("most"))
+    longest = Window.partitionBy("host").orderBy(F.desc(F.length("path")), "path")
+    own = most.withColumn("n", F.row_number().over(longest)).where((F.col("n") == 1) & (F.col("path") != F.lit(top)))
     return top, own.select("host", "path")
 
 

@@ -430,6 +430,20 @@ def test_html_consensus(spark, sf_dir):
         assert r.text == " ".join(h.unescape(plain).split())
 
 
+def test_html_keeps_articles_of_several_containers(spark):
+    lead, rest, title = "lead " * 180, "rest " * 100, "The title"
+    split = f"<html><body><article><h1>{title}</h1><div class=lead>{lead}</div><div class=rest>{rest}</div></article><footer>f</footer></body></html>"
+    entry = f"<html><body><div class=post><h1>{title}</h1><div class=entry-content><p>{lead}<p>{rest}</div></div><div><a href=x>more</a></div></body></html>"
+    want = " ".join([title, *(lead + rest).split()])
+    odd = "<html><body><div class=other><p>another layout</p></div><article><p>tiny</p></article></body></html>"
+    rows = [(i, "http://a.example/", split) for i in range(9)] + [(i, "http://b.example/", entry) for i in range(10, 19)] + [(30, "http://c.example/", split), (31, "http://c.example/", entry), (40, "http://a.example/", odd)]
+    rows.append((41, "http://d.example/", "<html><body><div><a href=x>one</a></div><div class=b><a href=y>two</a></div></body></html>"))
+    got = {r["page_id"]: r["text"] for r in html_consensus.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got.pop(40) == "another layout tiny" and got.pop(41) == "one two"
+    assert {i: t.removesuffix(" more") for i, t in got.items()} == dict.fromkeys(got, want)
+    assert got[10] == html_consensus.extract(entry, None) == want
+
+
 # ---- whole queries against DuckDB
 
 
