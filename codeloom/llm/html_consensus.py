@@ -10,7 +10,8 @@
    than WHOLE falls back to its own smallest container that holds everything.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out by tag, role
-or class. Only (host, path, votes) is shuffled for the vote, pre-aggregated. The winners that differ from the
+or a whole class or id; html, body, main, article and headings never by class or id, and nothing by class or id where
+that would leave out more than two thirds of a page's text outside links. Only (host, path, votes) is shuffled for the vote, pre-aggregated. The winners that differ from the
 general winner are broadcast if they are at most MAX_BROADCAST_ROWS rows; else the pages are joined by shuffle.
 A null html or url counts as empty. Repeated pages are extracted row by row. An empty table gives no rows.
 """
@@ -30,6 +31,8 @@ GENERAL_SHARE = 1.0
 MAJORITY = 0.8
 #: Share of a page's counted text that its host's path must hold.
 WHOLE = 0.9
+#: Largest share of a page's text outside links that classes and ids may leave out.
+MOST = 2 / 3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s(?:[^>\"']|\"[^\"]{0,20000}\"|'[^']{0,20000}')*|/)?)>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
@@ -43,27 +46,43 @@ _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins k
 _BLOCK_BREAK = frozenset({"br", "hr"})
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table td th tr ul".split())
 _CONTAINERS = frozenset("article main section div td body html center".split())
+_UNWANTED_WORD = r"(?:ad|ads|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|newsletter|subscri\w*|share|sharing|social|sidebar|widget|related|recommend\w*|comments?|commentlist|disqus|replies|respond|footer|header|nav\w*|menu|breadcrumbs?|popup|modal|notice|notices|alert|masthead|toolbar)"
+#: A whole class or id: unwanted words only, but for words of place before and of form behind.
 _UNWANTED = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|newsletter|subscri\w*|share|sharing|social|sidebar|widget|related|recommend\w*|comments?|commentlist|disqus|replies|respond|footer|header|nav\w*|menu|breadcrumbs?|popup|modal|notice|notices|alert|masthead|toolbar)(?:[-_\s]|$)",
+    rf"(?:(?:site|main|global|top|bottom|left|right|primary|secondary)[-_])*{_UNWANTED_WORD}(?:[-_](?:{_UNWANTED_WORD}|area|bar|block|box|buttons?|container|form|icons?|inner|items?|left|links?|list|posts?|right|section|signup|slot|top|bottom|unit|wrap|wrapper|\d+))*",
     re.IGNORECASE,
 )
+#: Never left out for their class or id.
+_KEPT = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 _UNWANTED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _DIGITS = re.compile(r"\d+")
 
 
 class _Element:
-    __slots__ = ("block", "path", "skipped", "tag")
+    __slots__ = ("path", "skipped", "tag", "unwanted")
 
-    def __init__(self, tag: str, path: str, skipped: bool, block: int):
-        self.tag, self.path, self.skipped, self.block = tag, path, skipped, block
+    def __init__(self, tag: str, path: str, skipped: bool, unwanted: bool):
+        self.tag, self.path, self.skipped, self.unwanted = tag, path, skipped, unwanted
 
 
 def blocks(page: str | None) -> list[tuple[str, str, int]]:
-    """(container path, text, characters in links) of the page's wanted blocks, in page order."""
+    """(container path, text, characters in links) of the page's wanted blocks, in page order.
+
+    If classes and ids would leave out more than MOST of the page's text outside links, they are not looked at.
+    """
+    parts, hidden = _parse(page or "", True)
+    if hidden > MOST * (hidden + sum(len(text) - linked for _, text, linked in parts)):
+        parts, _ = _parse(page or "", False)
+    return parts
+
+
+def _parse(page: str, by_class: bool) -> tuple[list[tuple[str, str, int]], int]:
+    """The blocks, and the characters outside links that were left out for a class or id alone."""
     out: list[tuple[str, str, int]] = []
+    hidden = 0
     text: list[str] = []
     linked = 0
-    stack = [_Element("", "", False, 0)]
+    stack = [_Element("", "", False, False)]
     container, links = "", 0
 
     def flush() -> None:
@@ -84,11 +103,13 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
                 links -= 1
         container = stack[-1].path
 
-    at, page = 0, page or ""
+    at = 0
     match = _TOKEN.search(page)
     while match or at < len(page):
         start = match.start() if match else len(page)
-        if start > at and not stack[-1].skipped:
+        if start > at and stack[-1].unwanted and not stack[-1].skipped:
+            hidden += len(" ".join(html_lib.unescape(page[at:start]).split())) if links == 0 else 0
+        elif start > at and not stack[-1].skipped:
             piece = html_lib.unescape(page[at:start])
             text.append(piece)
             if links > 0:
@@ -102,7 +123,7 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
             if depth:
                 pop_to(depth)
         elif tag in _BLOCK_BREAK:
-            if not stack[-1].skipped:
+            if not (stack[-1].skipped or stack[-1].unwanted):
                 text.append(" ")
         elif tag and tag not in _VOID:
             attributes = match[3] or match[6] or ""
@@ -119,19 +140,20 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
                 above = stack[-1]
                 named = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
                 classes = named.get("class", "")
-                skipped = above.skipped or tag in _SKIPPED or bool(named) and (bool(_UNWANTED.search(classes)) or bool(_UNWANTED.search(named.get("id", ""))) or named.get("role", "").lower() in _UNWANTED_ROLES)
+                skipped = above.skipped or tag in _SKIPPED or named.get("role", "").lower() in _UNWANTED_ROLES
+                unwanted = above.unwanted or by_class and bool(named) and tag not in _KEPT and any(_UNWANTED.fullmatch(c) for c in (*classes.split(), *named.get("id", "").split()))
                 path = above.path
                 if tag in _CONTAINERS:
                     step = ".".join([tag, *sorted({_DIGITS.sub("0", c.lower()) for c in classes.split()})])
                     path = f"{path}/{step}"
-                stack.append(_Element(tag, path, skipped, 0))
+                stack.append(_Element(tag, path, skipped, unwanted))
                 if tag == "a":
                     links += 1
                 container = path
         match = _TOKEN.search(page, at)
     pop_to(1)
     flush()
-    return out
+    return out, hidden
 
 
 def _above(path: str):

@@ -444,6 +444,18 @@ def test_html_keeps_articles_of_several_containers(spark):
     assert got[10] == html_consensus.extract(entry, None) == want
 
 
+def test_html_classes_leave_out_no_article():
+    for page in (
+        "<html><body class='single has-sidebar'><h1>T</h1><p>The text</p></body></html>",
+        "<body><article class='post comments-open sidebar'><h1>T</h1><p>The text</p></article><div class=sidebar>no</div></body>",
+        "<body><main id='nav-content'><h2 class='section-header'>T</h2><p>The text</p></main><div class='ad-slot'>no</div></body>",
+        "<body><div class='content with-sidebar'><div class='entry-header'><h1 class=header>T</h1></div><p>The text</p></div><div id='main-nav'>no</div></body>",
+        "<body><div class='sidebar'><h1>T</h1><p>The text</p></div></body>",
+        "<body><div class='widget'>T<p>The <span class=share>text</span></p></div></body>",
+    ):
+        assert html_consensus.extract(page, None) == "T The text", page
+
+
 # ---- whole queries against DuckDB
 
 
