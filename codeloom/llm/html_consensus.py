@@ -34,14 +34,19 @@ WHOLE = 0.9
 #: Largest share of a page's text outside links that classes and ids may leave out.
 MOST = 2 / 3
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s(?:[^>\"']|\"[^\"]{0,20000}\"|'[^']{0,20000}')*|/)?)>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
-    re.DOTALL,
-)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)|<[!?][^>]*>", re.DOTALL)
+#: The rest of a tag: a quote opens a value only after "="; one that is never closed is an ordinary character.
+_TAG_END = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title svg math iframe object select option".split())
-_SKIPPED = frozenset("nav header footer aside form button dialog menu head".split()) | _RAW
+_RAW = frozenset("script style textarea title".split())
+#: Skipped up to their closing tag or that of the element around them; see _parse for those left open.
+_EMBEDDED = frozenset("noscript template svg math iframe object select datalist option optgroup".split())
+_SKIPPED = frozenset("nav header footer aside form button dialog menu head".split()) | _RAW | _EMBEDDED
+_OPTIONS = frozenset({"option", "optgroup"})
+_FRAME = frozenset(["", *"html body main article".split()])
+#: Tags that an embedded element without a closing tag can't hold.
+_HIDDEN_BY_NONE = frozenset("main article section div table h1 h2 h3".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 _BLOCK_BREAK = frozenset({"br", "hr"})
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table td th tr ul".split())
@@ -59,10 +64,10 @@ _DIGITS = re.compile(r"\d+")
 
 
 class _Element:
-    __slots__ = ("path", "skipped", "tag", "unwanted")
+    __slots__ = ("at", "path", "skipped", "tag", "unwanted", "whole")
 
-    def __init__(self, tag: str, path: str, skipped: bool, unwanted: bool):
-        self.tag, self.path, self.skipped, self.unwanted = tag, path, skipped, unwanted
+    def __init__(self, tag: str, path: str, skipped: bool, unwanted: bool, at: int):
+        self.tag, self.path, self.skipped, self.unwanted, self.at, self.whole = tag, path, skipped, unwanted, at, True
 
 
 def blocks(page: str | None) -> list[tuple[str, str, int]]:
@@ -70,19 +75,27 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
 
     If classes and ids would leave out more than MOST of the page's text outside links, they are not looked at.
     """
-    parts, hidden = _parse(page or "", True)
+    page, left_open = page or "", frozenset()
+    while True:
+        parts, hidden, more = _parse(page, True, left_open)
+        if not more:
+            break
+        left_open |= more
     if hidden > MOST * (hidden + sum(len(text) - linked for _, text, linked in parts)):
-        parts, _ = _parse(page or "", False)
+        parts, _, _ = _parse(page, False, left_open)
     return parts
 
 
-def _parse(page: str, by_class: bool) -> tuple[list[tuple[str, str, int]], int]:
-    """The blocks, and the characters outside links that were left out for a class or id alone."""
+def _parse(page: str, by_class: bool, left_open: frozenset[int]) -> tuple[list[tuple[str, str, int]], int, frozenset[int]]:
+    """The blocks, the characters outside links left out for a class or id alone, and the places of embedded elements
+    without a closing tag that would hide containers, headings or the rest of the page's frame; the tags at left_open
+    are not looked at."""
+    more: set[int] = set()
     out: list[tuple[str, str, int]] = []
     hidden = 0
     text: list[str] = []
     linked = 0
-    stack = [_Element("", "", False, False)]
+    stack = [_Element("", "", False, False, 0)]
     container, links = "", 0
 
     def flush() -> None:
@@ -93,10 +106,12 @@ def _parse(page: str, by_class: bool) -> tuple[list[tuple[str, str, int]], int]:
                 out.append((container, joined, linked))
         text, linked = [], 0
 
-    def pop_to(depth: int) -> None:
+    def pop_to(depth: int, closed: int = 0) -> None:
         nonlocal container, links
         while len(stack) > depth:
             gone = stack.pop()
+            if gone.tag in _EMBEDDED and len(stack) != closed and (not gone.whole or stack[-1].tag in _FRAME and gone.tag not in _OPTIONS):
+                more.add(gone.at)
             if gone.tag not in _INLINE:
                 flush()
             if gone.tag == "a":
@@ -116,27 +131,38 @@ def _parse(page: str, by_class: bool) -> tuple[list[tuple[str, str, int]], int]:
                 linked += len(piece)
         if not match:
             break
-        at = match.end()
-        tag = (match[2] or match[5] or "").lower()
-        if tag and (match[1] or match[4]):
+        at, attributes = match.end(), ""
+        tag = (match[2] or "").lower()
+        if tag:
+            rest = _TAG_END.match(page, at)
+            if not rest:  # no ">" any more
+                match, at = None, start
+                stack[-1].skipped or stack[-1].unwanted or text.append(html_lib.unescape(page[at:]))
+                break
+            at, attributes = rest.end(), rest[1]
+        if tag and match[1]:
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
             if depth:
-                pop_to(depth)
+                pop_to(depth, depth)
         elif tag in _BLOCK_BREAK:
             if not (stack[-1].skipped or stack[-1].unwanted):
                 text.append(" ")
         elif tag and tag not in _VOID:
-            attributes = match[3] or match[6] or ""
             if tag in _RAW and not attributes.rstrip().endswith("/"):
                 close = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
                 at = close.end() if close else len(page)
-            else:
+            elif start not in left_open and not (tag in _EMBEDDED and attributes.rstrip().endswith("/")):
                 if tag in _CLOSES_P:
                     p = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p" or stack[i].tag in _CONTAINERS), 0)
                     if p and stack[p].tag == "p":
                         pop_to(p)
+                if tag in _OPTIONS and stack[-1].tag == "option":
+                    pop_to(len(stack) - 1, len(stack) - 1)
                 if tag not in _INLINE:
                     flush()
+                if tag in _HIDDEN_BY_NONE and stack[-1].skipped:
+                    for element in stack:
+                        element.whole = element.whole and element.tag not in _EMBEDDED
                 above = stack[-1]
                 named = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
                 classes = named.get("class", "")
@@ -146,14 +172,14 @@ def _parse(page: str, by_class: bool) -> tuple[list[tuple[str, str, int]], int]:
                 if tag in _CONTAINERS:
                     step = ".".join([tag, *sorted({_DIGITS.sub("0", c.lower()) for c in classes.split()})])
                     path = f"{path}/{step}"
-                stack.append(_Element(tag, path, skipped, unwanted))
+                stack.append(_Element(tag, path, skipped, unwanted, start))
                 if tag == "a":
                     links += 1
                 container = path
         match = _TOKEN.search(page, at)
     pop_to(1)
     flush()
-    return out, hidden
+    return out, hidden, frozenset(more)
 
 
 def _above(path: str):

@@ -456,6 +456,21 @@ def test_html_classes_leave_out_no_article():
         assert html_consensus.extract(page, None) == "T The text", page
 
 
+def test_html_raw_and_attributes():
+    article = "<article><h1>T</h1><p>The text</p></article>"
+    for before in (
+        "<header><form><input list=l><datalist id=l><option value=a><option value=b></datalist></form></header>",
+        "<div><datalist><option value=a>A<option value=b>B</datalist><select><option>One<option>Two</select></div>",
+        "<noscript>", "<iframe src=x>", "<object data=x>", "<svg><path d='M0'/>", "<svg/>", "<select><option>", "<div><noscript>no</div>",
+        "<noscript><iframe src=x>", "<svg><title>no</title><text>no</text></svg><iframe>no</iframe><template><div>no</div></template>",
+        '<p title="' + "a>b " * 10_000 + '"></p>', "<p title='" + "x" * 30_000 + ">no'></p>", "<p it's></p>",
+    ):
+        assert html_consensus.extract(f"<html><body>{before}{article}</body></html>", None) == "T The text", before[:80]
+    assert html_consensus.extract(article + '<p title="open>end', None) == "T The text end"
+    assert html_consensus.extract("<p>a <b", None) == "a <b"
+    assert html_consensus.extract("<body><p>a<object data=x><p>b<option>no</body>", None) == "a b"
+
+
 # ---- whole queries against DuckDB
 
 
