@@ -2,12 +2,14 @@
 
 One view sees the text (how classes of characters follow each other, how words repeat), the other only the page's
 metadata (language, source, length). Both are logistic regressions, fitted on the driver on a bounded sample of
-labelled rows (MAX_LABELLED). In each round both views score every unlabelled document; the rows that one view is
-surest about, a fixed number for each class, become pseudo-labels for the other view. At the end each view's score
+labelled rows (MAX_LABELLED). In each round both views score every unlabelled text that they haven't handed over yet;
+those that one view is surest about become pseudo-labels for the other view: for each class PER_ROUND or the square
+root of the unlabelled texts, whichever is more, copies counted once and from one metadata profile
+no more than a SPREAD-th while others are sure too. At the end each view's score
 is calibrated on labelled rows that no round has seen, and the calibrated views are combined, as independent
 evidence, into the score of every document.
 
-The pseudo-label search covers all documents in every round; only the chosen rows (4 * PER_ROUND) reach the driver.
+The pseudo-label search covers all documents in every round; only the chosen rows (4 * the number above) reach the driver.
 Ties are broken by a hash of the features and then by doc_id, so a rerun gives the same scores. Null texts and null
 metadata are views without content and are scored like any other. Repeated doc_ids are scored row by row. Without
 labels of both classes every document gets the share of good labels (1.0 without labels) and is kept.
@@ -15,6 +17,7 @@ labels of both classes every document gets the share of good labels (1.0 without
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +31,10 @@ from ..session import stored
 #: Labelled rows, at most, that are used to fit and to calibrate; chosen by a hash of doc_id.
 MAX_LABELLED = 8_000
 ROUNDS = 3
-#: Pseudo-labels that each view hands over, for each class and round.
+#: Pseudo-labels that each view hands over, for each class and round, at least.
 PER_ROUND = 100
+#: Profiles over which they are spread.
+SPREAD = 10
 #: A document is rejected below this score. It leans to keeping: a doubtful document stays.
 THRESHOLD = 0.2
 HOLD_OUT = 4  # every fourth labelled row calibrates
@@ -150,24 +155,61 @@ def features(docs: DataFrame) -> DataFrame:
     return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars"), view.asNondeterministic()("text").alias("view")), "quality-features")
 
 
-def _best(table: DataFrame, text: Logistic, meta: Logistic, per_round: int) -> list:
-    """The rows that each view is surest about: per_round for each view and class, over all unlabelled rows."""
-    schema = pa.schema([("view_no", pa.int32()), ("class", pa.int32()), ("sure", pa.float64()), ("tie", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64()), ("view", pa.binary())])
-    ddl = "view_no int, class int, sure double, tie bigint, doc_id bigint, lang string, source string, n_chars bigint, view binary"
+def _profile(meta: np.ndarray) -> np.ndarray:
+    """The metadata profile as a number: its three one-hot positions."""
+    lang, source, length = meta[:, :_LANGS], meta[:, _LANGS : _LANGS + _SOURCES], meta[:, _LANGS + _SOURCES :]
+    return (lang.argmax(1) * _SOURCES + source.argmax(1)) * _LENGTHS + length.argmax(1)
+
+
+def _top(sure: np.ndarray, ties: np.ndarray, profiles: np.ndarray, quota: int, n: int) -> np.ndarray:
+    """Positions of the n surest of at most quota a profile, and of the n surest of all, which fill up where those are
+    too few; a choice of pieces that is cut again when they are put together loses none of the whole's."""
+    order = np.lexsort((ties, -sure))
+    by_profile = order[np.argsort(profiles[order], kind="stable")]
+    starts = np.flatnonzero(np.r_[True, np.diff(profiles[by_profile]) != 0]) if len(order) else np.zeros(0, int)
+    rank = np.empty(len(order), np.int64)
+    rank[by_profile] = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+    spread = order[rank[order] < quota][:n]
+    return np.concatenate([spread, np.setdiff1d(order[:n], spread)])
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """One row for each text view: copies are one candidate."""
+    first = F.min(F.struct("doc_id", "lang", "source", "n_chars")).alias("r")
+    return rows.groupBy("view").agg(first).select("r.*", "view")
+
+
+def _best(table: DataFrame, text: Logistic, meta: Logistic, per_round: int, quota: int, taken: tuple[np.ndarray, np.ndarray]) -> list:
+    """The rows that each view is surest about: per_round for each view and class, over all rows not taken (ties)."""
+    columns = [("view_no", pa.int32()), ("class", pa.int32()), ("profile", pa.int64()), ("sure", pa.float64()), ("tie", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64()), ("view", pa.binary())]
+    ddl = "view_no int, class int, profile bigint, sure double, tie bigint, lang string, source string, n_chars bigint, view binary"
+    schema = pa.schema(columns)
 
     def run(batches):
+        kept: dict[tuple[int, int], pa.Table] = {}
         for batch in batches:
-            ids, lang, source, n_chars, blobs = batch.columns
-            for number, logits in enumerate((text.logit(_text_matrix(blobs)), meta.logit(_meta_matrix(lang, source, n_chars)))):
-                logits = np.round(logits, 6)
-                ties = np.array([xxhash.xxh64_intdigest(b or b"") >> 1 for b in blobs.to_pylist()], np.int64)
+            lang, source, n_chars, blobs = batch.columns
+            metas = _meta_matrix(lang, source, n_chars)
+            profiles = _profile(metas)
+            ties = np.array([xxhash.xxh64_intdigest(b) >> 1 for b in blobs.to_pylist()], np.int64)
+            for number, logits in enumerate((text.logit(_text_matrix(blobs)), meta.logit(metas))):
+                logits, fresh = np.round(logits, 6), ~np.isin(ties, taken[number])
                 for label in (0, 1):
-                    at = np.lexsort((ties, logits if label == 0 else -logits))[:per_round]
-                    part = pa.RecordBatch.from_arrays([ids, lang, source, n_chars, blobs], ["a", "b", "c", "d", "e"]).take(pa.array(at))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number), pa.int32()), pa.array(np.full(len(at), label), pa.int32()), pa.array(np.abs(logits[at]) * np.where((logits[at] > 0) == (label == 1), 1, -1)), pa.array(ties[at]), *part.columns], schema=schema)
-
-    best = Window.partitionBy("view_no", "class").orderBy(F.desc("sure"), "tie", "doc_id")
-    return table.mapInArrow(run, ddl).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= per_round).orderBy("view_no", "class", "rank").collect()
+                    sure = logits if label else -logits
+                    at = np.flatnonzero(fresh & (sure > 0))
+                    at = at[_top(sure[at], ties[at], profiles[at], quota, per_round)]
+                    mine = pa.array(at)
+                    new = pa.Table.from_arrays([pa.array(np.full(len(at), number), pa.int32()), pa.array(np.full(len(at), label), pa.int32()), pa.array(profiles[at], pa.int64()), pa.array(sure[at]), pa.array(ties[at]), *(c.take(mine) for c in (lang, source, n_chars, blobs))], schema=schema)
+                    both = pa.concat_tables([kept[number, label], new]) if (number, label) in kept else new
+                    best = _top(both["sure"].to_numpy(), both["tie"].to_numpy(), both["profile"].to_numpy(), quota, per_round)
+                    kept[number, label] = both.take(pa.array(best)).combine_chunks()
+        for part in kept.values():
+            yield from part.to_batches(10_000)
+
+    spread = Window.partitionBy("view_no", "class", "profile").orderBy(F.desc("sure"), "tie")
+    best = Window.partitionBy("view_no", "class").orderBy(F.col("place") > quota, F.desc("sure"), "tie")
+    found = table.select("lang", "source", "n_chars", "view").mapInArrow(run, ddl).withColumn("place", F.row_number().over(spread))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= per_round).orderBy("view_no", "class", "rank").collect()
 
 
 def train(docs_features: DataFrame, labels: DataFrame, target: str = "quality", rounds: int = ROUNDS, per_round: int = PER_ROUND, max_labelled: int = MAX_LABELLED) -> CoTrained:
@@ -184,17 +226,18 @@ def train(docs_features: DataFrame, labels: DataFrame, target: str = "quality",
         held = np.zeros(len(y), bool)
     prior = float(np.clip(y.mean(), 0.01, 0.99))
     sets = [(text[~held], y[~held]), (meta[~held], y[~held])]
-    # rows with a label are no candidates; of the rest, each may be handed over once
-    open_rows = stored(docs_features.join(known.select("doc_id"), "doc_id", "left_anti").select("doc_id", "lang", "source", "n_chars", "view"), "unlabelled-features")
-    taken: set = set()
+    # rows with a label are no candidates; of the rest, each text may be handed over once by each view
+    unlabelled = docs_features.join(known.select("doc_id"), "doc_id", "left_anti").select("doc_id", "lang", "source", "n_chars", "view")
+    open_rows = stored(_candidates(unlabelled), "unlabelled-features")
+    per_round = max(per_round, math.isqrt(open_rows.count()))
+    taken: list[list[int]] = [[], []]
+    profiles = open_rows.select("lang", "source", F.floor(F.log2(F.greatest(F.lit(0), F.coalesce("n_chars", F.lit(0))) + 1))).distinct().limit(SPREAD).count()
+    quota = -(-per_round // max(1, profiles))
     models = [fit(*s) for s in sets]
     for _ in range(rounds):
         fresh: list[list] = [[], []]
-        for r in _best(open_rows, models[0], models[1], per_round):
-            key = (r["view_no"], r["doc_id"], r["tie"])
-            if r["sure"] <= 0 or key in taken:
-                continue
-            taken.add(key)
+        for r in _best(open_rows, models[0], models[1], per_round, quota, tuple(np.array(t, np.int64) for t in taken)):
+            taken[r["view_no"]].append(r["tie"])
             other = 1 - r["view_no"]
             row = np.frombuffer(r["view"], np.float16) if other == 0 else meta_view(r["lang"], r["source"], r["n_chars"])
             fresh[other].append((row, r["class"]))

@@ -133,6 +133,30 @@ def test_cotraining_held_out(spark, docs, sf_dir):
     assert again.sort_values("doc_id").score.tolist() == scored.sort_values("doc_id").score.tolist()
 
 
+def test_cotraining_hands_over_new_texts_of_several_profiles(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    views = [rng.random(cotraining.N_TEXT).astype(np.float16) for _ in range(400)]
+    rows = [(i, "en", f"s{i % 12}", 2 ** (i % 3 + 5), views[i].tobytes()) for i in range(400)] + [(1_000 + i, "en", "s0", 32, views[60].tobytes()) for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_chars long, view binary").repartition(3)
+    labels = spark.createDataFrame([(i, int(views[i][0] > 0.5)) for i in range(60)], "doc_id long, quality int")
+    seen, best = [], cotraining._best
+    monkeypatch.setattr(cotraining, "_best", lambda *a: seen.append(best(*a)) or seen[-1])
+    cotraining.train(table, labels, per_round=20)
+    assert len(seen) == cotraining.ROUNDS and all(seen)
+    for view_no in (0, 1):
+        handed = [r["view"] for rows in seen for r in rows if r["view_no"] == view_no]
+        assert len(handed) == len(set(handed)) > 100
+        for part in ([r for r in rows if r["view_no"] == view_no and r["class"] == c] for rows in seen for c in (0, 1)):
+            assert len(part) <= 20 and (len({r["profile"] for r in part}) > 1 or not part)
+    assert cotraining._top(np.array([3.0, 2, 1, 5]), np.arange(4), np.array([1, 1, 2, 1]), 2, 3).tolist() == [3, 0, 2, 1]
+    # 14,400 unlabelled texts hand over more than the least number
+    view = f"unhex(concat(substr(lpad(hex(id), 4, '0'), 1, 2), '00', substr(lpad(hex(id), 4, '0'), 3, 2), '00', repeat('0030', {cotraining.N_TEXT - 2})))"
+    many = spark.range(14_400).selectExpr("id + 60 AS doc_id", "'en' AS lang", "concat('s', id % 12) AS source", "id % 97 AS n_chars", f"{view} AS view")
+    seen.clear()
+    cotraining.train(table.where("doc_id < 60").unionByName(many), labels, rounds=1)
+    assert max(len([r for r in seen[0] if (r["view_no"], r["class"]) == k]) for k in ((0, 0), (0, 1), (1, 0), (1, 1))) == 120
+
+
 def test_cotraining_edges(spark, odd, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     assert cotraining.classify(odd, labels.limit(0)).where("score = 1.0 AND keep").count() == len(ODD)
