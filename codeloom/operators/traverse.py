@@ -6,11 +6,16 @@ folder (lineage stays short, a lost executor costs one level). Nothing of the gr
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 
+#: Rounds after which the parts of a result that grows in rounds are written as one, so that its plan stays small.
+MAX_PARTS = 50
+
 
 def bfs(edges: DataFrame, seeds: DataFrame, direction: str = "up", max_depth: int = 3, node_filter: DataFrame | None = None, per_seed: bool = False) -> DataFrame:
     """(id, depth, parent, type, confidence) of what the seeds (id) reach, seeds excluded; with per_seed also (seed).
@@ -69,21 +74,26 @@ def ancestors(heritage: DataFrame, max_depth: int = 32) -> DataFrame:
     return seen
 
 
-def topological_levels(edges: DataFrame, max_levels: int = 1_000) -> DataFrame:
+def topological_levels(edges: DataFrame, max_levels: int | None = None) -> DataFrame:
     """(id, level): level 0 has no outgoing edge, each next level only points to lower ones; cycles get level -1.
 
     edges: src depends on dst. Nodes on or above a cycle can't be ordered and are reported last.
+    More than max_levels levels, if it is given, are an error.
     """
     left = cut(edges.select("src", "dst").where("src <> dst").distinct())
     nodes = cut(edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct())
     levels = None
-    for level in range(max_levels):
+    for level in count():
         blocked = left.select(F.col("src").alias("id")).distinct()
         ready = cut(nodes.join(blocked, "id", "left_anti"))
         if ready.isEmpty():
             break
+        if level == max_levels:
+            raise RuntimeError(f"more than {max_levels} levels")
         part = ready.withColumn("level", F.lit(level))
         levels = part if levels is None else levels.unionByName(part)
+        if level % MAX_PARTS == MAX_PARTS - 1:
+            levels = cut(levels)
         nodes = cut(nodes.join(ready, "id", "left_anti"))
         left = cut(left.join(ready.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
     rest = nodes.withColumn("level", F.lit(-1))
@@ -150,18 +160,36 @@ def longest_per_ends(paths: DataFrame, path: str = "path") -> DataFrame:
     return ends.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__a", "__b", "__n")
 
 
-def strongly_connected(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def strongly_connected(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(id, scc): scc is the smallest id of the component. Forward-backward colouring in rounds.
 
     Each round spreads the largest id forward until it is stable; the nodes that reach their colour's root backwards
-    form its component and leave the graph.
+    form its component and leave the graph. Before each round nodes without edges in or out, components of their own,
+    are taken off until there are none. More than max_rounds rounds of colouring, if it is given, are an error.
     """
     left = cut(edges.select("src", "dst").where("src <> dst").distinct())
     nodes = cut(edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct())
-    out = None
-    for _ in range(max_rounds):
+    out, parts = None, 0
+
+    def add(part: DataFrame) -> None:
+        nonlocal out, parts
+        out, parts = part if out is None else out.unionByName(part), parts + 1
+        if parts % MAX_PARTS == 0:
+            out = cut(out)
+
+    for number in count():
+        while True:
+            inner = left.select(F.col("src").alias("id")).intersect(left.select(F.col("dst").alias("id")))
+            alone = cut(nodes.join(inner, "id", "left_anti"))
+            if alone.isEmpty():
+                break
+            add(alone.withColumn("scc", F.col("id")))
+            nodes = cut(nodes.join(alone, "id", "left_anti"))
+            left = cut(left.join(alone.withColumnRenamed("id", "src"), "src", "left_anti").join(alone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
         if nodes.isEmpty():
             break
+        if number == max_rounds:
+            raise RuntimeError(f"components left after {max_rounds} rounds")
         colour = cut(nodes.withColumn("c", F.col("id")))
         while True:
             pushed = left.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("in_c"))
@@ -180,8 +208,7 @@ def strongly_connected(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
             if frontier.isEmpty():
                 break
             hit = cut(hit.unionByName(frontier))
-        part = hit.join(hit.groupBy("c").agg(F.min("id").alias("scc")), "c").select("id", "scc")
-        out = part if out is None else out.unionByName(part)
+        add(hit.join(hit.groupBy("c").agg(F.min("id").alias("scc")), "c").select("id", "scc"))
         nodes = cut(nodes.join(hit.select("id"), "id", "left_anti"))
         gone = hit.select("id")
         left = cut(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))

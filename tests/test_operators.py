@@ -94,6 +94,17 @@ def test_topological_levels_and_scc(spark):
     assert {r["id"]: r["scc"] for r in traverse.strongly_connected(e).collect()} == {"a": "a", "b": "b", "c": "c", "x": "x", "y": "x", "z": "z"}
 
 
+def test_levels_and_components_are_whole_or_an_error(spark):
+    chain = spark.createDataFrame([(f"{i:02}", f"{i - 1:02}") for i in range(7, 0, -1)], "src string, dst string")
+    assert {r["id"]: r["scc"] for r in traverse.strongly_connected(chain, max_rounds=3).collect()} == {f"{i:02}": f"{i:02}" for i in range(8)}
+    cycles = spark.createDataFrame([("x", "y"), ("y", "x"), ("y", "a"), ("a", "b"), ("b", "a")], "src string, dst string")
+    with pytest.raises(RuntimeError):
+        traverse.strongly_connected(cycles, max_rounds=1)
+    with pytest.raises(RuntimeError):
+        traverse.topological_levels(chain, max_levels=3)
+    assert traverse.topological_levels(chain, max_levels=8).where("level = CAST(id AS INT)").count() == 8
+
+
 def test_traces_cycles_depth_and_dedupe(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("b", "d"), ("d", "e")], "src string, dst string")
     got = sorted(tuple(r["path"]) for r in traverse.traces(e, frame(spark, ["a"])).collect())
