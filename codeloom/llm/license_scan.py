@@ -4,7 +4,8 @@ A text is reduced to its words (A-Z lower-cased) joined by one blank. A notice o
 k = max(1, m // CHARS_PER_EDIT) single-character edits. Cut into k + 1 pieces, a notice with at most k edits keeps
 one piece whole; an Aho-Corasick automaton over all pieces finds these seeds in one pass. Around each seed the
 regex library's fuzzy matching, with the same bound and best-match semantics, verifies the notice and reports its
-span and edits. Overlapping windows of a notice are verified once.
+span and edits. Overlapping windows of a notice are verified once; the stretches before and behind a best match are
+searched again, so a worse occurrence beside a better one is found too.
 
 Nulls and texts without words have no places, no labels and score 0. Base phrases count every place, overlaps
 included. score: 1 for a base phrase, else 1 - edits / m of the best notice, else 0.
@@ -81,13 +82,23 @@ class NoticeSearch:
                     spans.append([a, b])
         return found
 
+    def _matches(self, number: int, words: str, start: int, end: int):
+        """Disjoint occurrences: the best of the stretch, then those of the stretches before and behind it."""
+        least, open_parts = len(self.notices[number][0]) - self.edits[number], [(start, end)]
+        while open_parts:
+            a, b = open_parts.pop()
+            match = self.verify[number].search(words, a, b) if b - a >= least else None
+            if match:
+                yield match
+                open_parts += [(a, match.start()), (match.end(), b)]
+
     def fuzzy(self, words: str) -> list[tuple[str, str, int, int, int]]:
         """(notice, label, start, end, edits) in the joined words."""
         out = []
         for number, spans in self.windows(words).items():
             notice, label = self.notices[number]
             for a, b in spans:
-                for match in self.verify[number].finditer(words, max(0, a), min(len(words), b)):
+                for match in self._matches(number, words, a, min(len(words), b)):
                     out.append((notice, label, match.start(), match.end(), sum(match.fuzzy_counts)))
         return sorted(out, key=lambda m: (m[2], m[3], m[0]))
 

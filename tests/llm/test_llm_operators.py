@@ -420,6 +420,13 @@ def test_license_seeds_lose_no_match():
             assert label in found["labels"].split(",") or any(label in other for other in found["labels"].split(","))
 
 
+def test_license_damaged_notice_beside_a_whole_one():
+    search = license_scan.NoticeSearch({"released under the mit license": "mit"}, {})
+    for words in ("released undr the mit license released under the mit license", "released under the mit license released undr the mit license"):
+        found = search.scan(words.encode())["spans"]
+        assert [(s["first_word"], s["edits"]) for s in found] == [(0, int("undr" in words[:20])), (5, int("undr" in words[30:]))]
+
+
 # ---- 10
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body class="x-1"><nav><a href="/">menu</a></nav><div class="cookie-notice">cookies</div><div id="sidebar">side</div>
