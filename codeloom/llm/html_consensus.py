@@ -73,26 +73,33 @@ class _Element:
 def blocks(page: str | None) -> list[tuple[str, str, int]]:
     """(container path, text, characters in links) of the page's wanted blocks, in page order.
 
-    If classes and ids would leave out more than MOST of the page's text outside links, they are not looked at.
+    If classes and ids would leave out more than MOST of the page's text outside links, they are not looked at. Where
+    an article or main keeps text, only what they leave out inside of such counts.
     """
     page, left_open = page or "", frozenset()
     while True:
-        parts, hidden, more = _parse(page, True, left_open)
+        parts, hidden, inside, more = _parse(page, True, left_open)
         if not more:
             break
         left_open |= more
+    if any(_in_article(path) for path, _, _ in parts):
+        hidden = inside
     if hidden > MOST * (hidden + sum(len(text) - linked for _, text, linked in parts)):
-        parts, _, _ = _parse(page, False, left_open)
+        parts, _, _, _ = _parse(page, False, left_open)
     return parts
 
 
-def _parse(page: str, by_class: bool, left_open: frozenset[int]) -> tuple[list[tuple[str, str, int]], int, frozenset[int]]:
-    """The blocks, the characters outside links left out for a class or id alone, and the places of embedded elements
+def _in_article(path: str) -> bool:
+    return any(step.partition(".")[0] in ("article", "main") for step in path.split("/"))
+
+
+def _parse(page: str, by_class: bool, left_open: frozenset[int]) -> tuple[list[tuple[str, str, int]], int, int, frozenset[int]]:
+    """The blocks, the characters outside links left out for a class or id alone, those in an article, and the places of embedded elements
     without a closing tag that would hide containers, headings or the rest of the page's frame; the tags at left_open
     are not looked at."""
     more: set[int] = set()
     out: list[tuple[str, str, int]] = []
-    hidden = 0
+    hidden = inside = 0
     text: list[str] = []
     linked = 0
     stack = [_Element("", "", False, False, 0)]
@@ -123,7 +130,9 @@ def _parse(page: str, by_class: bool, left_open: frozenset[int]) -> tuple[list[t
     while match or at < len(page):
         start = match.start() if match else len(page)
         if start > at and stack[-1].unwanted and not stack[-1].skipped:
-            hidden += len(" ".join(html_lib.unescape(page[at:start]).split())) if links == 0 else 0
+            lost = len(" ".join(html_lib.unescape(page[at:start]).split())) if links == 0 else 0
+            hidden += lost
+            inside += lost if _in_article(stack[-1].path) else 0
         elif start > at and not stack[-1].skipped:
             piece = html_lib.unescape(page[at:start])
             text.append(piece)
@@ -179,7 +188,7 @@ def _parse(page: str, by_class: bool, left_open: frozenset[int]) -> tuple[list[t
         match = _TOKEN.search(page, at)
     pop_to(1)
     flush()
-    return out, hidden, frozenset(more)
+    return out, hidden, inside, frozenset(more)
 
 
 def _above(path: str):

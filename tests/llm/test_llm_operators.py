@@ -485,6 +485,7 @@ def test_html_classes_leave_out_no_article():
         "<body><div class='widget'>T<p>The <span class=share>text</span></p></div></body>",
     ):
         assert html_consensus.extract(page, None) == "T The text", page
+    assert html_consensus.extract("<body><div class=ad>An advert that is longer than it</div><article>Short</article></body>", None) == "Short"
 
 
 def test_html_raw_and_attributes():
