@@ -48,3 +48,11 @@ def window_ids(ids: np.ndarray, width: int) -> np.ndarray:
         current = np.unique(pairs, return_inverse=True)[1]
         have += step
     return current
+
+
+def fresh(name: str, df) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

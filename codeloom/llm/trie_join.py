@@ -3,22 +3,31 @@
 Two documents link when the Jaccard similarity of their sets of 5-word shingles is at least 80 percent. The join
 never forms all pairs of a group:
 
-1. ``chunks`` - each task turns its texts into sets of 48-bit shingle hashes and packs chunks of some thousand
+1. ``chunks`` - each task turns its texts into sets of 64-bit shingle hashes and packs chunks of some thousand
    documents. Equal sets of a chunk are folded into one. Each chunk deals its distinct shingles, delta coded, to
-   hash ranges: one compact row per chunk and range, whatever the frequency of a shingle.
+   hash ranges: one compact row per chunk and range, whatever the frequency of a shingle. The number of ranges
+   follows from the bytes of the texts, and a chunk grows with it, so rows stay worth their overhead.
 2. ``document frequency`` - each range counts in how many places a shingle occurs and sends the shared ones back
    to their chunks. A set less than 80 percent of whose shingles occur elsewhere can't link and is done.
-3. ``prefix`` - the remaining sets are ordered globally, rarest shingle first. Linked sets must share a shingle of
+3. ``classes`` - sets of one size that share the same shingles with others are equally similar to any other set, so
+   one of them stands for all: a passage that many documents hold besides words of their own costs one set. Classes
+   are told apart by 128 bits and numbered by their first set, so no two of them are ever taken for one another.
+4. ``prefix`` - classes are ordered globally, rarest shingle first. Linked sets must share a shingle of
    their prefixes (n - ceil(0.8 n) + 1 shingles). Sets that share a prefix shingle fall into one candidate
    family, found by connected components over star edges (linear in the prefixes, not in the pairs).
-4. ``trie`` - each family's sets go to one task once (large families: see _large_links). There they are stored in a
+5. ``trie`` - each family's sets go to one task once (large families: see _large_links). There they are stored in a
    prefix tree in the global order; a probe walks the tree, shares the overlap of common branches, and leaves a
    subtree when its overlap so far plus the shorter of the remaining lengths can't reach what 80 percent needs,
    or when all sets below it are already in the probe's component. Overlaps are exact.
-5. ``components`` - links found (a spanning forest of each task) are closed by connected components.
+6. ``components`` - links found (a spanning forest of each task) are closed by connected components.
 
-Hashes of 48 bits can only err if two different shingles of one compared pair collide (about 1e-9 for sets of
-500). Documents without words have no set and link with nothing. Documents with equal sets always link.
+Shingles are compared by 64-bit hashes: a result can only err where two different shingles of one text or of one
+compared pair collide (about 1e-14 for sets of 500). Documents without words (null, empty, blank) have no set and link
+with nothing. Documents with equal sets always link. Repeated rows are rows of their own. An empty table gives no rows.
+Other columns, whatever their names, are not read.
+
+Limits of the layout: up to some 4 TB of text a range holds RANGE_BYTES of text; beyond, MAX_CHUNK_TOKENS bounds the
+number of ranges and a range grows in proportion (at 100 TB about 1.2 GB packed in a task).
 """
 
 from __future__ import annotations
@@ -30,22 +39,23 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .components import connected_components
-from .textops import LOWER_TABLE
+from .components import SALTS, connected_components, with_least, with_total
+from .textops import LOWER_TABLE, fresh
 
 SHINGLE = 5
 PERCENT = 80
-HASH_BITS = 48
+HASH_BITS = 64
 #: A chunk closes at so many documents or shingles. It bounds a task's memory, not the result.
-CHUNK_DOCS, CHUNK_TOKENS = 8_192, 1_000_000
+CHUNK_DOCS, CHUNK_TOKENS, MAX_CHUNK_TOKENS = 8_192, 1_000_000, 16_000_000
+#: Text for each hash range, about, and shingles of a chunk for each range, at least.
+RANGE_BYTES, RANGE_TOKENS = 32 << 20, 128
 #: Shingles in one trie task; larger families are cut into blocks.
 FAMILY_TOKENS = 1_000_000
 
-_MASK = np.uint64((1 << HASH_BITS) - 1)
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
 
@@ -61,7 +71,7 @@ def shingle_hashes(raw: bytes | None, known: dict[bytes, int], size: int = SHING
     if not words:
         return np.empty(0, np.uint64)
     if len(words) < size:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64) & _MASK
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
     digest = xxhash.xxh64_intdigest
     codes = []
     for word in words:
@@ -76,7 +86,7 @@ def shingle_hashes(raw: bytes | None, known: dict[bytes, int], size: int = SHING
     total = codes[:n] * np.uint64(_ODD[0])
     for k in range(1, size):
         total = _mix(total) + codes[k : k + n] * np.uint64(_ODD[k % len(_ODD)])
-    return np.unique(_mix(total) & _MASK)
+    return np.unique(_mix(total))
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -93,7 +103,7 @@ _PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of numbers; the first must be sorted 48-bit numbers and is delta coded."""
+    """Arrays of numbers; the first must be sorted and is delta coded."""
     first, rest = arrays[0].astype(np.uint64), arrays[1:]
     gaps = np.diff(first, prepend=np.uint64(0))
     wide = bool(len(gaps)) and int(gaps.max()) >> 32 != 0
@@ -118,33 +128,32 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 # ---- 1 chunks -------------------------------------------------------------------------------------------------
 
 _SEVERAL = 0xFFFF
+#: Sets that one task can number: a set's number is the task's partition and its place there.
+_TASK_BITS = 40
 
-_CHUNK_ROW = pa.schema([("chunk", pa.int64()), ("range", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("nodes", pa.list_(pa.int64())), ("blob", pa.binary())])
-_CHUNK_DDL = "chunk bigint, range int, doc_ids array<bigint>, sizes array<bigint>, nodes array<bigint>, blob binary"
+_CHUNK_ROW = pa.schema([("chunk", pa.int64()), ("range", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())), ("nodes", pa.list_(pa.int64())), ("blob", pa.binary())])
+_CHUNK_DDL = "chunk bigint, range int, doc_ids array<bigint>, keys array<string>, sizes array<bigint>, nodes array<bigint>, blob binary"
 
 
 class _Chunk:
-    """Some thousand documents of one task. Its name comes from the task's partition, so a rerun repeats it."""
+    """Some thousand documents of one task. Its name and its sets' numbers come from the task's partition, so a rerun repeats them."""
 
-    def __init__(self, name: int):
-        self.name = name
-        self.sets: dict[int, int] = {}
+    def __init__(self, name: int, first: int):
+        self.name, self.first = name, first
+        self.sets: dict[bytes, int] = {}
         self.tokens: list[np.ndarray] = []
         self.docs: list[tuple] = []
         self.n = 0
 
-    def add(self, doc_id, hashes: np.ndarray) -> None:
+    def add(self, doc_id, key, hashes: np.ndarray) -> None:
         node = None
         if len(hashes):
-            node = struct.unpack("<q", struct.pack("<Q", xxhash.xxh3_64_intdigest(hashes.tobytes())))[0]
-            if node not in self.sets:
-                self.sets[node] = len(self.sets)
+            place = self.sets.setdefault(xxhash.xxh3_128_digest(hashes.tobytes()), len(self.sets))
+            node = self.first + place
+            if place == len(self.tokens):
                 self.tokens.append(hashes)
                 self.n += len(hashes)
-        self.docs.append((doc_id, len(hashes), node))
-
-    def full(self) -> bool:
-        return len(self.docs) >= CHUNK_DOCS or self.n >= CHUNK_TOKENS
+        self.docs.append((doc_id, key, len(hashes), node))
 
     def rows(self, ranges: int):
         """The documents with the shingles that several sets of the chunk hold; then each range's distinct shingles.
@@ -166,29 +175,29 @@ class _Chunk:
             counts = counts.astype(np.uint16)
             cuts = np.searchsorted(tokens, np.array([(r << HASH_BITS) // ranges for r in range(1, ranges)], np.uint64))
             parts = [(r, pack(tokens[lo:hi], owner[lo:hi], counts[lo:hi])) for r, (lo, hi) in enumerate(itertools.pairwise([0, *cuts.tolist(), len(tokens)])) if hi > lo]
-        yield self.name, -1 - self.name % ranges, [d[0] for d in self.docs], [d[1] for d in self.docs], [d[2] for d in self.docs], several
+        yield self.name, -1 - self.name % ranges, *([d[k] for d in self.docs] for k in range(4)), several
         for r, blob in parts:
-            yield self.name, r, None, None, None, blob
+            yield self.name, r, None, None, None, None, blob
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_CHUNK_ROW)], schema=_CHUNK_ROW)
 
 
-def _chunker(ranges: int, size: int):
+def _chunker(ranges: int, size: int, chunk_tokens: int):
     def run(batches):
         from pyspark import TaskContext
 
         known: dict[bytes, int] = {}
-        names = itertools.count(TaskContext.get().partitionId() << 32)
-        chunk = _Chunk(next(names))
+        start = TaskContext.get().partitionId() << _TASK_BITS
+        names, chunk = itertools.count(start + 1), _Chunk(start, start)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1).cast(pa.large_binary())):
-                chunk.add(doc_id.as_py(), shingle_hashes(text.as_py(), known, size))
-                if chunk.full():
+            for doc_id, key, text in zip(batch.column(0), batch.column(1), batch.column(2).cast(pa.large_binary())):
+                chunk.add(doc_id.as_py(), key.as_py(), shingle_hashes(text.as_py(), known, size))
+                if len(chunk.docs) >= CHUNK_DOCS or chunk.n >= chunk_tokens:
                     for row in chunk.rows(ranges):
                         yield _batch([row])
-                    chunk = _Chunk(next(names))
+                    chunk = _Chunk(next(names), chunk.first + len(chunk.sets))
         if chunk.docs:
             for row in chunk.rows(ranges):
                 yield _batch([row])
@@ -213,14 +222,14 @@ def _frequencies(table: pa.Table) -> pa.Table:
         own, at = df[at : at + len(hashes)], at + len(hashes)
         shared = own > 1
         if shared.any():
-            rows.append((chunk, 0, None, None, None, pack(hashes[shared], owner[shared], own[shared])))
+            rows.append((chunk, 0, None, None, None, None, pack(hashes[shared], owner[shared], own[shared])))
     return pa.Table.from_batches([_batch(rows)], schema=_CHUNK_ROW)
 
 
-# ---- 3 sets that can link -------------------------------------------------------------------------------------
+# ---- 3 classes that can link ----------------------------------------------------------------------------------
 
-_SET_ROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("blob", pa.binary()), ("prefix", pa.list_(pa.int64()))])
-_SET_DDL = "doc_id bigint, n bigint, node bigint, blob binary, prefix array<bigint>"
+_SET_ROW = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("n", pa.int64()), ("node", pa.int64()), ("same", pa.binary()), ("alike", pa.bool_()), ("blob", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+_SET_DDL = "doc_id bigint, key string, n bigint, node bigint, same binary, alike boolean, blob binary, prefix array<bigint>"
 
 
 def _needed(percent: int, n: int) -> int:
@@ -230,19 +239,23 @@ def _needed(percent: int, n: int) -> int:
 
 def _assembler(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        """One chunk: rows of its documents (blob null) and of its sets that can link (with blob)."""
+        """One chunk: rows of its documents (blob null) and of its sets that can link (with blob).
+
+        ``same`` names the class; ``alike`` tells whether sets of the class link with each other.
+        """
         tokens, owner, df, several = [], [], [], None
         docs: list[tuple] = []
         for row in table.to_pylist():
             if row["doc_ids"] is not None:
-                docs = list(zip(row["doc_ids"], row["sizes"], row["nodes"]))
+                docs = list(zip(row["doc_ids"], row["keys"], row["sizes"], row["nodes"]))
                 several = unpack(row["blob"]) if row["blob"] else None
             else:
                 a, b, c = unpack(row["blob"])
                 tokens.append(a)
                 owner.append(b)
                 df.append(c)
-        rows = [(*d, None, None) for d in docs]
+        classes: dict[int, tuple] = {}
+        sets = []
         if tokens:
             tokens, owner, df = map(np.concatenate, (tokens, owner, df))
             if several is not None and len(several[0]):
@@ -252,7 +265,7 @@ def _assembler(percent: int):
                 tokens = np.concatenate([tokens[~known], several[0]])
                 df = np.concatenate([df[~known], counts[np.searchsorted(names, several[0])]])
                 owner = np.concatenate([owner[~known], several[1]])
-            sizes = {node: n for _, n, node in docs if node is not None}
+            sizes = {node: n for _, _, n, node in docs if node is not None}
             at = np.lexsort((tokens, df, owner))
             tokens, owner, df = tokens[at], owner[at], df[at]
             bounds = np.searchsorted(owner, np.arange(len(sizes) + 1))
@@ -263,36 +276,18 @@ def _assembler(percent: int):
                 mine = tokens[lo:hi]
                 width = n - _needed(percent, n) + 1 - (n - len(mine))
                 by_hash = np.argsort(mine)
-                rows.append((None, n, node, pack(mine[by_hash], df[lo:hi][by_hash]), mine[:width].astype(np.int64)))
+                ordered = mine[by_hash]
+                same = xxhash.xxh3_128_digest(ordered.tobytes() + struct.pack("<q", n))
+                classes[node] = same, (100 + percent) * len(mine) >= 2 * percent * n
+                sets.append((None, None, n, node, *classes[node], pack(ordered, df[lo:hi][by_hash]), mine[:width].view(np.int64)))
+        rows = [(doc_id, key, n, node, *classes.get(node, (None, None)), None, None) for doc_id, key, n, node in docs] + sets
         arrays = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_SET_ROW)]
         return pa.Table.from_arrays(arrays, schema=_SET_ROW)
 
     return run
 
 
-def _stars(batches):
-    """Rows (token, node), sorted: edges from the smallest node of each token to the others."""
-    last, head, done = None, None, set()
-    for batch in batches:
-        tokens, nodes = (np.asarray(c) for c in batch.columns)
-        if not len(tokens):
-            continue
-        new = np.concatenate([[last is None or tokens[0] != last], tokens[1:] != tokens[:-1]])
-        heads = np.where(new, nodes, 0)
-        at = np.maximum.accumulate(np.where(new, np.arange(len(nodes)), -1))
-        heads = np.where(at >= 0, nodes[np.maximum(at, 0)], 0 if head is None else head)
-        last, head = tokens[-1], heads[-1]
-        apart = heads != nodes
-        fresh = set(zip(heads[apart].tolist(), nodes[apart].tolist())) - done
-        if len(done) > 200_000:
-            done = set()
-        done |= fresh
-        if fresh:
-            a, b = zip(*fresh)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-# ---- 4 trie ---------------------------------------------------------------------------------------------------
+# ---- 5 trie ---------------------------------------------------------------------------------------------------
 
 
 class _Branch:
@@ -402,11 +397,13 @@ def join_family(members: list[tuple], percent: int = PERCENT) -> list[tuple[int,
     members = sorted({(m[0], m[1]): m for m in members}.values(), key=lambda m: (m[0], m[2], m[1]))
     packed = [unpack(m[4]) for m in members]
     lengths = [len(p[0]) for p in packed]
-    order = np.concatenate([(p[1].astype(np.uint64) << np.uint64(HASH_BITS)) | p[0] for p in packed])
-    distinct, ranks, counts = np.unique(order, return_inverse=True, return_counts=True)
-    useful = np.cumsum(counts > 1) - 1  # a shingle of one set alone can't be in an overlap
+    tokens, frequency = (np.concatenate([p[k] for p in packed]) for k in (0, 1))
+    distinct, first_place, ranks, counts = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
+    by_frequency = np.lexsort((distinct, frequency[first_place]))
+    useful = np.empty(len(distinct), np.int64)
+    useful[by_frequency] = np.cumsum(counts[by_frequency] > 1) - 1  # a shingle of one set alone can't be in an overlap
     alive, ranks = counts[ranks] > 1, useful[ranks].astype(np.int32)
-    tree, links, at, cross = TrieJoin(int(useful[-1]) + 1 if len(useful) else 0, percent), [], 0, members[-1][0] == 1
+    tree, links, at, cross = TrieJoin(int(useful.max()) + 1 if len(useful) else 0, percent), [], 0, members[-1][0] == 1
     first: dict[int, int] = {}
     for (_, _, n, known, _) in members:
         k = tree.new(n)
@@ -450,69 +447,138 @@ def _join_tasks(tasks: DataFrame, percent: int) -> DataFrame:
     return tasks.select(*columns).repartition("comp", "task").sortWithinPartitions("comp", "task").mapInArrow(_trie_tasks(percent), "a bigint, b bigint")
 
 
-def _large_links(large: DataFrame, percent: int) -> DataFrame:
-    """Links of the families that don't fit one task: (comp, node, n, blob, blocks, block), block by block.
+def _task(*parts) -> Column:
+    return F.concat_ws("/", *(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
-    Each block is joined in itself, and one leader of the largest component of each block with the other leaders.
-    That connects nearly all of a family of near copies. What is left of each block, the sets outside the family's
-    main component, is then probed against all other blocks: two sets of one component need no comparison, so the
-    main component is never compared with itself again and only the rest is shipped more than once.
-    """
+
+def _blocks(sets: DataFrame, group: str, family_tokens: int) -> DataFrame:
+    """sets with ``blocks``, how many tasks the shingles of their group need, and ``block``, which of them is theirs."""
+    weighed = with_total(sets, group, F.col("node"), F.sum("n"), F.sum, "weight")
+    counted = weighed.withColumn("blocks", F.ceil(F.col("weight") / family_tokens).cast("int")).drop("weight")
+    return counted.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+
+
+def _main_part(large: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links inside the blocks of large families and between one leader of each block, and the sets with their
+    component so far (``known``) and whether it is their family's largest (``main``)."""
     none = F.lit(None).cast("bigint")
-    inside = stored(_join_tasks(large.select("comp", F.col("block").alias("task"), F.lit(0).alias("side"), "node", "n", none.alias("known"), "blob"), percent), "block-links")
+    inside = stored(_join_tasks(large.select("comp", _task(F.col("block")).alias("task"), F.lit(0).alias("side"), "node", "n", none.alias("known"), "blob"), percent), "block-links")
     local = large.select("comp", "block", "node").join(connected_components(inside).withColumnRenamed("comp", "known"), "node", "left").withColumn("known", F.coalesce("known", "node"))
     sizes = local.groupBy("comp", "block", "known").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("node"))
     leaders = sizes.groupBy("comp", "block").agg(F.max_by("node", F.struct("size", "node")).alias("node"))
-    met = _join_tasks(large.join(leaders.select("node"), "node", "left_semi").select("comp", F.lit(-1).alias("task"), F.lit(0).alias("side"), "node", "n", none.alias("known"), "blob"), percent)
+    met = _join_tasks(large.join(leaders.select("node"), "node", "left_semi").select("comp", _task("leaders").alias("task"), F.lit(0).alias("side"), "node", "n", none.alias("known"), "blob"), percent)
     links = stored(inside.unionByName(met), "leader-links")
     known = large.select("comp", "node").join(connected_components(links).withColumnRenamed("comp", "known"), "node", "left").withColumn("known", F.coalesce("known", "node"))
-    main = known.groupBy("comp", "known").agg(F.count(F.lit(1)).alias("size")).groupBy("comp").agg(F.max_by("known", F.struct("size", "known")).alias("main"))
-    marked = large.join(known.select("node", "known"), "node").join(main, "comp")
-    own = marked.select("comp", F.col("block").alias("task"), F.lit(0).alias("side"), "node", "n", "known", "blob")
-    rest = marked.where("known <> main").withColumn("task", F.explode(F.expr("sequence(0, blocks - 1)"))).where("task <> block")
-    across = _join_tasks(own.unionByName(rest.select("comp", "task", F.lit(1).alias("side"), "node", "n", "known", "blob")), percent)
-    return links.unionByName(across)
+    largest = known.groupBy("comp", "known").agg(F.count(F.lit(1)).alias("size")).groupBy("comp").agg(F.max_by("known", F.struct("size", "known")).alias("largest"))
+    mains = known.join(largest.select(F.col("largest").alias("known"), F.lit(True).alias("main")), "known", "left")
+    return links, large.join(mains.select("node", "known", F.coalesce("main", F.lit(False)).alias("main")), "node")
 
 
-# ---- the whole join -------------------------------------------------------------------------------------------
+def _rest_tasks(marked: DataFrame, family_tokens: int) -> DataFrame:
+    """Trie tasks that compare what is outside the main components with all it can link with.
 
+    Sets that link share a prefix shingle, so a set outside its family's main component meets, for each of its prefix
+    shingles, only the sets with that shingle: a set is shipped once for each such shingle, however many blocks its
+    family has. A shingle whose sets don't fit one task is cut into blocks, each of which meets the set.
+    """
+    dealt = marked.select("comp", "node", "n", "known", "main", "blob", F.explode("prefix").alias("token"))
+    wanted = dealt.where("NOT main").select("comp", "token").distinct()
+    groups = dealt.join(wanted, ["comp", "token"], "left_semi").withColumn("group", F.concat_ws("/", "comp", "token"))
+    cut = _blocks(groups, "group", family_tokens)
+    columns = ("node", "n", "known", "blob")
+    own = cut.select("comp", _task("own", F.col("token"), F.col("block")).alias("task"), F.lit(0).alias("side"), *columns)
+    several = cut.where("blocks > 1")
+    here = several.select("comp", _task("away", F.col("token"), F.col("block")).alias("task"), F.lit(0).alias("side"), *columns)
+    away = several.where("NOT main").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).where("other <> block")
+    return own.unionByName(here).unionByName(away.select("comp", _task("away", F.col("token"), F.col("other")).alias("task"), F.lit(1).alias("side"), *columns))
 
-def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE, family_tokens: int = FAMILY_TOKENS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: the smallest doc_id reachable by links, its own included.
 
-    Rows with a null or repeated doc_id keep their rows; a null doc_id never becomes a component's name unless
-    all of its component are null. docs must give the same rows per partition when it is read again (a table).
+def _large_links(large: DataFrame, percent: int, family_tokens: int) -> DataFrame:
+    """Links of the families that don't fit one task: (comp, node, n, blob, prefix, blocks, block).
+
+    Each block is joined in itself, and one leader of the largest component of each block with the other leaders.
+    That connects nearly all of a family of near copies; two sets of one component need no comparison, so its main
+    component is never compared with itself again. What is left goes through _rest_tasks.
     """
-    spark = docs.sparkSession
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    chunks = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_chunker(ranges, size), _CHUNK_DDL)
+    links, marked = _main_part(large, percent)
+    marked = stored(marked, "families-so-far")
+    return links.unionByName(_join_tasks(_rest_tasks(marked, family_tokens), percent))
+
+
+# ---- the whole join -------------------------------------------------------------------------------------------
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, key: Column, percent: int, size: int, family_tokens: int) -> DataFrame:
+    """(doc_id, key, n, group) of every row: rows of one group are linked; without words the group is null."""
+    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), key.cast("string").alias("key"), F.col(text).cast("string").alias("text"))
+    size_of_all = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(1, min(MAX_CHUNK_TOKENS // RANGE_TOKENS, -(-size_of_all // RANGE_BYTES)))
+    chunk_tokens = max(CHUNK_TOKENS, RANGE_TOKENS * ranges)
+    chunks = narrow.mapInArrow(_chunker(ranges, size, chunk_tokens), _CHUNK_DDL)
     shared = chunks.groupBy("range").applyInArrow(_frequencies, _CHUNK_DDL)
     table = stored(shared.groupBy("chunk").applyInArrow(_assembler(percent), _SET_DDL), "shingle-sets")
-    rows, sets = table.where("blob IS NULL").select("doc_id", "n", "node"), table.where("blob IS NOT NULL")
+    rows, sets = table.where("blob IS NULL").select("doc_id", "key", "n", "node", "same", "alike"), table.where("blob IS NOT NULL")
+    classes = stored(sets.groupBy("same").agg(F.min("node").alias("class")), "shingle-classes")
+    sets = sets.select("node", "n", "blob", "prefix").join(classes.select(F.col("class").alias("node")), "node", "left_semi")
 
-    pairs = sets.select(F.explode("prefix").alias("token"), "node")
-    stars = pairs.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_stars, "a bigint, b bigint")
+    pairs = sets.select("node", F.explode("prefix").alias("token"))
+    stars = with_least(pairs, "token", "node", "head").select(F.col("head").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     families = connected_components(stars)
 
-    members = sets.select("node", "n", "blob").join(families, "node").dropDuplicates(["node"])
-    weight = sets.select("node", "n").distinct().join(families, "node").groupBy("comp").agg(F.ceil(F.sum("n") / family_tokens).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
-    dealt = stored(members.join(weight, "comp").withColumn("block", block), "families")
-    small = dealt.where("blocks = 1").select("comp", F.lit(0).alias("task"), F.lit(0).alias("side"), "node", "n", F.lit(None).cast("bigint").alias("known"), "blob")
+    dealt = stored(_blocks(sets.join(families, "node"), "comp", family_tokens), "families")
+    small = dealt.where("blocks = 1").select("comp", _task("all").alias("task"), F.lit(0).alias("side"), "node", "n", F.lit(None).cast("bigint").alias("known"), "blob")
     links = _join_tasks(small, percent)
-    if not weight.where("blocks > 1").isEmpty():
-        links = links.unionByName(_large_links(dealt.where("blocks > 1"), percent))
+    large = dealt.where("blocks > 1")
+    if not large.select("comp").isEmpty():
+        links = links.unionByName(_large_links(large, percent, family_tokens))
     linked = connected_components(links)
 
-    names = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
-    joined = names.join(linked, "node", "left").select("node", "first", F.coalesce("comp", "node").alias("comp"))
-    smallest = joined.groupBy("comp").agg(F.min("first").alias("component"))
-    labels = joined.join(smallest, "comp").select("node", "component")
-    return rows.join(labels, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    named = classes.join(linked.withColumnRenamed("node", "class"), "class", "left")
+    grouped = _join_salted(rows, named)
+    # a class whose sets are not alike and that links with no other is no group: its rows keep their own sets
+    return grouped.select("doc_id", "key", "n", "node", F.coalesce("comp", F.when(F.col("alike"), F.col("class")), "node").alias("group"))
+
+
+def _join_salted(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """rows with (class, comp) of their class. A class may hold a third of all rows: its rows are spread by salts."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "node", "key"), F.lit(SALTS)).cast("int"))
+    present = dealt.where("same IS NOT NULL").select("same", "salt").distinct().join(named, "same")
+    return dealt.join(present, ["same", "salt"], "left")
+
+
+def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE, family_tokens: int = FAMILY_TOKENS) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: the smallest doc_id reachable by links, its own included.
 
+    Rows with a null or repeated doc_id keep their rows; a null doc_id never becomes a component's name unless
+    all of its component are null. docs must give the same rows per partition when it is read again (a table).
+    """
+    found = _grouped(docs, doc_id, text, F.lit(None), percent, size, family_tokens)
+    named = with_total(found, "group", F.struct("doc_id", "node"), F.min("doc_id"), F.min, "component")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of each component stays: the one named by it. Of repeated doc_ids one row stays; null doc_ids stay."""
-    found = similar_components(docs, doc_id, text, **options)
-    keepers = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.where(F.col(doc_id).isNotNull()).join(keepers, doc_id, "left_semi").dropDuplicates([doc_id]).select(*docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE, family_tokens: int = FAMILY_TOKENS) -> DataFrame:
+    """One row of each component stays, with the columns of docs: that of the smallest doc_id (nulls last), then of the
+    smallest MD5 of its text; of rows equal in both the one with the smallest hash of all its columns.
+
+    Rows are told apart by doc_id and text, so repeated and null doc_ids lose no text of another component. Rows
+    without words link with nothing and all stay.
+    """
+    columns, name, mark = docs.columns, fresh("key", docs), fresh("copies", docs)
+    digest = F.md5(F.col(text).cast("binary"))
+    found = _grouped(docs, doc_id, text, digest, percent, size, family_tokens).where(F.col("group").isNotNull())
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    best = found.groupBy("group", "doc_id", "key").agg(F.count(F.lit(1)).alias("copies")).groupBy("group").agg(F.min_by(F.struct("doc_id", "key", "copies"), order).alias("r"))
+    keepers = stored(best.select("r.*"), "keepers").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("copies").alias("__copies"))
+    keyed = docs.withColumn(name, digest)
+    blank = ~F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+
+    def match(part: DataFrame) -> DataFrame:
+        return keyed.join(part, (F.col(name) == F.col("__key")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__id")), "left_semi")
+
+    out = match(keepers.where("__copies = 1")).select(*columns).unionByName(docs.where(blank))
+    repeated = keepers.where("__copies > 1")
+    if not repeated.isEmpty():
+        again = match(repeated).withColumn(mark, F.struct(F.xxhash64(*columns).alias("h"), F.struct(*columns).alias("r")))
+        out = out.unionByName(again.groupBy(doc_id, name).agg(F.min_by(f"{mark}.r", f"{mark}.h").alias(mark)).select(f"{mark}.*"))
+    return out

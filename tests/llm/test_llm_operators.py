@@ -272,10 +272,50 @@ def test_trie_join_edges(spark, odd):
     assert trie_join.similar_components(odd.limit(0)).count() == 0
 
 
+def test_keep_one_with_repeated_and_null_ids(spark):
+    """No text without a partner is lost and no copy stays, whatever the ids."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue cyan pink gold grey")
+    rows = [(3, a, 1), (7, a, 2), (7, b, 3), (None, c, 4), (None, c, 5), (None, "only words of its own in this row", 6), (None, None, 7), (None, None, 8), (9, "", 9), (9, b, 10), (9, a, 11), (7, b, 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __key int").withColumnRenamed("__key", "key")
+    kept = trie_join.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(3, a), (7, b), (None, c), (None, "only words of its own in this row"), (None, None), (None, None), (9, "")], key=str)
+    assert sorted(map(tuple, trie_join.keep_one(df.repartition(3)).select("doc_id", "text").collect()), key=str) == got
+    assert trie_join.keep_one(df.limit(0)).count() == 0
+
+
+def test_a_passage_beside_own_words_is_one_class(spark):
+    """Texts of which 75 percent are one passage don't link with each other, but all with the passage alone at 80 percent."""
+    passage = " ".join(f"p{i}" for i in range(84))  # 80 shingles
+    for own, linked in ((16, True), (30, False)):
+        rows = [(i, passage + " " + " ".join(f"x{i}y{k}" for k in range(own + 4))) for i in range(1, 40)] + [(0, passage)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = sorted(map(tuple, trie_join.similar_components(df).collect()), key=str)
+        assert got == slow_components(rows) and ({d: c for d, _, c in got}[1] == 0) == linked
+
+
+def test_rest_of_a_large_family_ships_by_shingles(spark):
+    """A family of sets that share shingles but don't link: no set goes to all blocks, and no link is lost."""
+    rng, rows = random.Random(8), []
+    common = [[f"c{g}w{i}" for i in range(12)] for g in range(12)]
+    for i in range(150):
+        words = [w for g in sorted(rng.sample(range(12), 2)) for w in common[g]] + [f"d{i}w{k}" for k in range(rng.choice([1, 6]))]
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2, "doc_id")
+    got = sorted(map(tuple, trie_join.similar_components(df, family_tokens=200).collect()), key=str)
+    assert got == slow_components(rows)
+    sets = spark.createDataFrame([(1, i, 20, i, i == 0, b"", [i % 10, 10 + i % 7]) for i in range(400)], "comp long, node long, n long, known long, main boolean, blob binary, prefix array<long>")
+    shipped = trie_join._rest_tasks(sets, 1_000_000)
+    assert shipped.count() <= 2 * 400 and shipped.where("side = 1").count() == 0
+    cut = trie_join._rest_tasks(sets, 500)  # tasks of at most about 25 sets: 320 blocks in all, two or three for a shingle
+    assert cut.count() <= 400 * (2 + 2 + 2 * 2)
+
+
 def test_pack_round_trip():
     rng = np.random.default_rng(5)
     for n in (0, 1, 1000):
-        a = np.unique(rng.integers(0, 1 << 48, n, dtype=np.uint64))
+        a = np.unique(rng.integers(0, (1 << 64) - 1, n, dtype=np.uint64))
         b = rng.integers(0, 9, len(a)).astype(np.uint16)
         x, y = trie_join.unpack(trie_join.pack(a, b))
         assert (x == a).all() and (y == b).all()
@@ -285,6 +325,8 @@ def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000)]
     got = {r["node"]: r["comp"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(201)) and all(got[1000 + i] == 1000 for i in range(300)) and 5000 not in got
+    with pytest.raises(RuntimeError):
+        components.connected_components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long"), max_rounds=1)
 
 
 # ---- 6
