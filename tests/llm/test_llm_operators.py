@@ -435,6 +435,7 @@ def test_license_base_and_edits(spark, odd, texts):
     rows = license_scan.scan(df.selectExpr("*", "'x' AS labels")).collect()
     for r, text in zip(rows, [x[1] for x in ODD] + extra):
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == slow_base(text)
+    assert license_scan.scan(df.limit(0)).count() == 0
     by_id = {r["doc_id"]: r for r in rows}
     assert by_id[101]["labels"] == "apache" and by_id[101]["base_labels"] == "" and 0 < by_id[101]["score"] < 1
     assert by_id[102]["labels"] == "all-rights-reserved" and by_id[103]["labels"] == "" and by_id[104]["score"] == 1.0
@@ -458,10 +459,65 @@ def test_license_seeds_lose_no_match():
                     s.insert(i, rng.choice("abcxyz"))
                 elif len(s) > 3:
                     del s[i]
-            found = search.scan(f"some words {''.join(s)} more words".encode())
+            words = " ".join(f"some words {''.join(s)} more words".split())
+            if slow_edits(notice, words, 11) > search.edits[number]:
+                continue  # a word of one character that goes takes its blank along: an edit more
+            found = search.scan(words.encode())
             assert label in found["labels"].split(",") or any(label in other for other in found["labels"].split(","))
 
 
+def slow_edits(notice, words, start):
+    """Fewest edits between the notice and the words from start up to any word's end (by dynamic programming)."""
+    row, best = list(range(len(notice) + 1)), None
+    for n, char in enumerate(words[start : start + 2 * len(notice)], 1):
+        row = [n] + [min(row[j] + (char != notice[j - 1]), row[j] + 1) for j in range(1, len(notice) + 1)]
+        for j in range(1, len(notice) + 1):
+            row[j] = min(row[j], row[j - 1] + 1)
+        if start + n == len(words) or words[start + n] == " ":
+            best = row[-1] if best is None else min(best, row[-1])
+    return best
+
+
+def test_license_spans_equal_brute_force():
+    notices = {"released under the mit license": "mit", "mozilla public license": "mpl", "licensed under cc by sa 4 0": "cc-by-sa", "creative commons attribution sharealike": "x"}
+    search, rng = license_scan.NoticeSearch(notices, {}), random.Random(11)
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            s = list(rng.choice(list(notices)))
+            for _ in range(rng.randrange(4)):
+                i, kind = rng.randrange(len(s)), rng.randrange(3)
+                s[i : i + 1] = [[rng.choice("abe l")], [s[i], rng.choice("abe l")], []][kind]
+            parts += ["".join(s), rng.choice(["", "mit", "license x", "public"])]
+        words = " ".join(" ".join(parts).split())
+        begins = [i for i in range(len(words)) if i == 0 or words[i - 1] == " "]
+        spans = search.fuzzy(words)
+        for number, (notice, _) in enumerate(search.notices):
+            want = {(b, e) for b in begins for e in [slow_edits(notice, words, b)] if e is not None and e <= search.edits[number]}
+            places = search.starts(words).get(number, ())
+            assert {(b, search.occurrence(number, words, b)[1]) for b in places if search.occurrence(number, words, b)} == want
+            mine = [(a, z, e) for n, _, a, z, e in spans if n == notice]
+            assert all(x[1] <= y[0] for x, y in zip(mine, mine[1:])) and {(a, e) for a, _, e in mine} <= want
+            # every occurrence is reported or overlaps one that is at least as good
+            for b, e in want:
+                end = search.occurrence(number, words, b)[0]
+                assert any(a < end and b < z and (x, a) <= (e, b) for a, z, x in mine)
+
+
+def test_license_search_is_linear():
+    import time
+
+    search = license_scan.NoticeSearch()
+    for notice in ("released under the mit license ", "released undr the mit licence "):
+        seconds = []
+        for size in (100_000, 400_000):
+            began = time.perf_counter()
+            found = search.scan((notice * (size // len(notice))).encode())
+            seconds.append(time.perf_counter() - began)
+            assert len(found["spans"]) >= size // len(notice)
+        assert seconds[1] < 12 * seconds[0] + 0.5
+
+
 def test_license_damaged_notice_beside_a_whole_one():
     search = license_scan.NoticeSearch({"released under the mit license": "mit"}, {})
     for words in ("released undr the mit license released under the mit license", "released under the mit license released undr the mit license"):
