@@ -470,7 +470,7 @@ def slow_edits(notice, words, start):
     """Fewest edits between the notice and the words from start up to any word's end (by dynamic programming)."""
     row, best = list(range(len(notice) + 1)), None
     for n, char in enumerate(words[start : start + 2 * len(notice)], 1):
-        row = [n] + [min(row[j] + (char != notice[j - 1]), row[j] + 1) for j in range(1, len(notice) + 1)]
+        row = [n] + [min(row[j - 1] + (char != notice[j - 1]), row[j] + 1) for j in range(1, len(notice) + 1)]
         for j in range(1, len(notice) + 1):
             row[j] = min(row[j], row[j - 1] + 1)
         if start + n == len(words) or words[start + n] == " ":
