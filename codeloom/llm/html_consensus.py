@@ -13,7 +13,10 @@ Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 or a whole class or id; html, body, main, article and headings never by class or id, and nothing by class or id where
 that would leave out more than two thirds of a page's text outside links. Only (host, path, votes) is shuffled for the vote, pre-aggregated. The winners that differ from the
 general winner are broadcast if they are at most MAX_BROADCAST_ROWS rows; else the pages are joined by shuffle.
-A null html or url counts as empty. Repeated pages are extracted row by row. An empty table gives no rows.
+A null html or url counts as empty. Repeated pages are extracted row by row. An empty table gives no rows. Columns
+named text or n_chars are replaced, others of any name are kept. Pages of any length and nesting are read whole in time
+linear in their length; a container more than MAX_DEPTH deep counts as part of the one around it, and a step of a path
+longer than MAX_STEP characters goes by its hash.
 """
 
 from __future__ import annotations
@@ -22,9 +25,12 @@ import html as html_lib
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .textops import fresh
+
 MAX_BROADCAST_ROWS = 100_000
 GENERAL_SHARE = 1.0
 #: Share of a host's votes that its path needs.
@@ -33,8 +39,11 @@ MAJORITY = 0.8
 WHOLE = 0.9
 #: Largest share of a page's text outside links that classes and ids may leave out.
 MOST = 2 / 3
+MAX_DEPTH, MAX_STEP = 256, 200
+#: How often a page is read at most to settle which embedded elements without a closing tag hide something.
+READINGS = 6
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)|<[!?][^>]*>", re.DOTALL)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)|<[!?][^>]*(?:>|\Z)", re.DOTALL)
 #: The rest of a tag: a quote opens a value only after "="; one that is never closed is an ordinary character.
 _TAG_END = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
@@ -64,10 +73,10 @@ _DIGITS = re.compile(r"\d+")
 
 
 class _Element:
-    __slots__ = ("at", "path", "skipped", "tag", "unwanted", "whole")
+    __slots__ = ("at", "depth", "path", "skipped", "tag", "unwanted", "whole")
 
-    def __init__(self, tag: str, path: str, skipped: bool, unwanted: bool, at: int):
-        self.tag, self.path, self.skipped, self.unwanted, self.at, self.whole = tag, path, skipped, unwanted, at, True
+    def __init__(self, tag: str, path: str, depth: int, skipped: bool, unwanted: bool, at: int):
+        self.tag, self.path, self.depth, self.skipped, self.unwanted, self.at, self.whole = tag, path, depth, skipped, unwanted, at, True
 
 
 def blocks(page: str | None) -> list[tuple[str, str, int]]:
@@ -77,7 +86,7 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
     an article or main keeps text, only what they leave out inside of such counts.
     """
     page, left_open = page or "", frozenset()
-    while True:
+    for _ in range(READINGS):
         parts, hidden, inside, more = _parse(page, True, left_open)
         if not more:
             break
@@ -102,8 +111,11 @@ def _parse(page: str, by_class: bool, left_open: frozenset[int]) -> tuple[list[t
     hidden = inside = 0
     text: list[str] = []
     linked = 0
-    stack = [_Element("", "", False, False, 0)]
+    stack = [_Element("", "", 0, False, False, 0)]
     container, links = "", 0
+    places: dict[str, list[int]] = {}  # tag -> its places in the stack
+    boxes: list[int] = []  # places of containers
+    unbroken: list[_Element] = []  # open embedded elements that are whole so far
 
     def flush() -> None:
         nonlocal text, linked
@@ -115,10 +127,18 @@ def _parse(page: str, by_class: bool, left_open: frozenset[int]) -> tuple[list[t
 
     def pop_to(depth: int, closed: int = 0) -> None:
         nonlocal container, links
+        above = stack[depth - 1].tag
+        for place in range(depth, len(stack)):
+            gone = stack[place]
+            if gone.tag in _EMBEDDED and place != closed and (not gone.whole or above in _FRAME and gone.tag not in _OPTIONS):
+                more.add(gone.at)  # and what it held counts as held by the element around it
+            else:
+                above = gone.tag
         while len(stack) > depth:
             gone = stack.pop()
-            if gone.tag in _EMBEDDED and len(stack) != closed and (not gone.whole or stack[-1].tag in _FRAME and gone.tag not in _OPTIONS):
-                more.add(gone.at)
+            places[gone.tag].pop()
+            if gone.tag in _CONTAINERS:
+                boxes.pop()
             if gone.tag not in _INLINE:
                 flush()
             if gone.tag == "a":
@@ -150,9 +170,8 @@ def _parse(page: str, by_class: bool, left_open: frozenset[int]) -> tuple[list[t
                 break
             at, attributes = rest.end(), rest[1]
         if tag and match[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth:
-                pop_to(depth, depth)
+            if places.get(tag):
+                pop_to(places[tag][-1], places[tag][-1])
         elif tag in _BLOCK_BREAK:
             if not (stack[-1].skipped or stack[-1].unwanted):
                 text.append(" ")
@@ -162,26 +181,31 @@ def _parse(page: str, by_class: bool, left_open: frozenset[int]) -> tuple[list[t
                 at = close.end() if close else len(page)
             elif start not in left_open and not (tag in _EMBEDDED and attributes.rstrip().endswith("/")):
                 if tag in _CLOSES_P:
-                    p = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p" or stack[i].tag in _CONTAINERS), 0)
-                    if p and stack[p].tag == "p":
-                        pop_to(p)
+                    if places.get("p") and places["p"][-1] > (boxes[-1] if boxes else 0):
+                        pop_to(places["p"][-1])
                 if tag in _OPTIONS and stack[-1].tag == "option":
                     pop_to(len(stack) - 1, len(stack) - 1)
                 if tag not in _INLINE:
                     flush()
                 if tag in _HIDDEN_BY_NONE and stack[-1].skipped:
-                    for element in stack:
-                        element.whole = element.whole and element.tag not in _EMBEDDED
+                    for element in unbroken:
+                        element.whole = False
+                    unbroken.clear()
                 above = stack[-1]
                 named = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
                 classes = named.get("class", "")
                 skipped = above.skipped or tag in _SKIPPED or named.get("role", "").lower() in _UNWANTED_ROLES
                 unwanted = above.unwanted or by_class and bool(named) and tag not in _KEPT and any(_UNWANTED.fullmatch(c) for c in (*classes.split(), *named.get("id", "").split()))
-                path = above.path
+                path, depth = above.path, above.depth
                 if tag in _CONTAINERS:
-                    step = ".".join([tag, *sorted({_DIGITS.sub("0", c.lower()) for c in classes.split()})])
-                    path = f"{path}/{step}"
-                stack.append(_Element(tag, path, skipped, unwanted, start))
+                    boxes.append(len(stack))
+                    if depth < MAX_DEPTH:
+                        step = ".".join([tag, *sorted({_DIGITS.sub("0", c.lower().replace("/", "|")) for c in classes.split()})])
+                        path, depth = f"{path}/{step if len(step) <= MAX_STEP else f'{tag}.{xxhash.xxh3_128_hexdigest(step)}'}", depth + 1
+                places.setdefault(tag, []).append(len(stack))
+                stack.append(_Element(tag, path, depth, skipped, unwanted, start))
+                if tag in _EMBEDDED:
+                    unbroken.append(stack[-1])
                 if tag == "a":
                     links += 1
                 container = path
@@ -271,9 +295,9 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", ma
         return pa.array([extract(t.as_py(), p.as_py()) for t, p in zip(column, path)], pa.string())
 
     held = [c for c in pages.columns if c not in ("text", "n_chars")]
-    keyed = pages.select(*held, host_of(F.col(url)).alias("__host"))
-    own = stored(own.select(F.col("host").alias("__host"), F.col("path").alias("__path")), "host-paths")
+    host, path, out = (fresh(c, pages) for c in ("host_key", "path_key", "main_text"))
+    own = stored(own.select(F.col("host").alias(host), F.col("path").alias(path)), "host-paths")
     small = own.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
-    joined = keyed.join(F.broadcast(own) if small else own, "__host", "left")
-    found = joined.withColumn("text", text.asNondeterministic()(html, F.coalesce("__path", F.lit(top).cast("string"))))
-    return found.select(*held, "text", F.length("text").cast("long").alias("n_chars"))
+    joined = pages.withColumn(host, host_of(F.col(url))).join(F.broadcast(own) if small else own, host, "left")
+    found = joined.select(*held, text.asNondeterministic()(html, F.coalesce(path, F.lit(top).cast("string"))).alias(out))
+    return found.select(*held, F.col(out).alias("text"), F.length(out).cast("long").alias("n_chars"))

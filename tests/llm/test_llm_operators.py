@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -586,6 +587,84 @@ def test_html_classes_leave_out_no_article():
     assert html_consensus.extract("<body><div class=ad>An advert that is longer than it</div><article>Short</article></body>", None) == "Short"
 
 
+def test_html_nesting_is_linear_and_whole():
+    """Deep and unclosed nesting is read in time linear in the page, and no text below the deepest step is lost."""
+    import time
+
+    for shape in ("<div>", "<span>", "<svg>", "<p><b>", "<svg><div>", "<object><object>", "<div class=x1><section>"):
+        took = []
+        for n in (8_000, 32_000):
+            began = time.perf_counter()
+            assert html_consensus.extract(shape * n + "the text", None) == "the text"
+            took.append(time.perf_counter() - began)
+        assert took[1] < 12 * took[0] + 1, shape
+    closing = "<span>" * 20_000 + "x" + "</p>" * 20_000
+    assert html_consensus.extract(closing, None) == "x"
+    deep = "".join(f"<div><p>level {i}</p>" for i in range(600))
+    assert html_consensus.extract(deep, None) == " ".join(f"level {i}" for i in range(600))
+    assert html_consensus.extract("<!" * 50_000 + " lost in a declaration", None) == ""
+    wide = f"<div class='{'c' * 5_000} w-1/2'><p>one</p></div><div class='{'c' * 5_000}'><p>two</p></div>"
+    assert html_consensus.extract(wide, None) == "one two"
+
+
+class Plain(HTMLParser):
+    """The text of a well-formed page by the standard library's parser, without the parts named to it."""
+
+    def __init__(self, out):
+        super().__init__()
+        self.skip, self.out, self.hidden, self.parts = out, 0, 0, []
+        self.stack = []
+
+    def handle_starttag(self, tag, attributes):
+        named = dict(attributes)
+        gone = tag in self.skip or named.get("class") in self.skip
+        if tag not in ("br", "img", "hr"):
+            self.stack.append((tag, gone))
+            self.hidden += gone
+        self.parts.append("" if tag in ("b", "i", "a") else " ")
+
+    def handle_endtag(self, tag):
+        self.hidden -= self.stack.pop()[1]
+        self.parts.append("" if tag in ("b", "i", "a") else " ")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data)
+
+
+def test_html_equals_the_library_on_random_pages(spark):
+    """Random articles in random layouts: the whole article and nothing around it, against the standard parser."""
+    rng, words = random.Random(4), "lorem ipsum dolor sit amet consectetur adipiscing elit &amp; &lt;b&gt; &eacute;".split()
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+
+    def body(depth):
+        kind = rng.randrange(7)
+        if kind == 0 and depth:
+            return f"<div class='{rng.choice(['lead', 'rest', 'col-1', 'has-sidebar', 'entry-header'])}'>{''.join(body(depth - 1) for _ in range(rng.randrange(1, 4)))}</div>"
+        if kind == 1:
+            return f"<h2 class='section-header'>{say(3)}</h2>"
+        if kind == 2:
+            return f"<ul><li>{say(4)}</li><li>{say(2)} <i>{say(1)}</i></li></ul>"
+        if kind == 3:
+            return f"<div class='{rng.choice(['ad', 'share-buttons', 'newsletter'])}'>{say(3)}</div>"
+        if kind == 4:
+            return f"<script>{say(3).replace('&', '')} <b> </script><img alt='{'x>' * rng.choice([1, 15_000])}'>"
+        return f"<p>{say(rng.randrange(8, 30))} <b>{say(2)}</b>{say(1)}<br>{say(2)}</p>"
+
+    rows, want = [], []
+    for i in range(120):
+        article = f"<article class='{rng.choice(['post', 'post with-comments', 'entry'])}'><h1>{say(4)}</h1><p>{say(40)}</p>{''.join(body(2) for _ in range(rng.randrange(1, 6)))}</article>"
+        parser = Plain({"ad", "share-buttons", "newsletter", "script"})
+        parser.feed(article)
+        want.append(" ".join("".join(parser.parts).split()))
+        frame = f"<html><head><title>t</title></head><body class='single has-sidebar'><nav><a href='/'>{say(3)}</a></nav><header><svg viewBox='0'/>{say(2)}</header>{article}<div class='comments'><p>{say(9)}</p></div><aside>{say(5)}</aside><footer>{say(4)}</footer></body></html>"
+        rows.append((i, f"http://h{i % 5}.example/{i}", frame, 1, 2))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, __host int, __path int").withColumnRenamed("__host", "host_key").withColumnRenamed("__path", "path_key")
+    for renamed in (pages, pages.toDF("page_id", "url", "html", "__host", "__path")):
+        got = {r["page_id"]: r["text"] for r in html_consensus.extract_main_text(renamed).collect()}
+        assert [got[i] for i in range(120)] == want
+
+
 def test_html_raw_and_attributes():
     article = "<article><h1>T</h1><p>The text</p></article>"
     for before in (
