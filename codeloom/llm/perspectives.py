@@ -8,9 +8,12 @@ Concatenating the pieces of a perspective in order gives the training text; no r
 Messages are ordered by turn (null first), then speaker, then text. Exact repeats of a message (same conversation,
 turn, speaker and text) are one message with a count. Messages of a context role (system) stay context in every
 perspective. A null speaker is called ``unknown``, a null text is empty; a null conversation is a conversation.
+Texts of any length are rendered whole. A text or name can't forge a turn: MARK in either gets a blank behind its first
+character, and line ends in names become blanks. An empty table gives no rows; other columns are never read.
 
-Offsets are prefix sums in two steps: within buckets of BUCKET turns, and over the buckets' sums, so a
-conversation that holds a third of all rows is spread over many tasks.
+Offsets are prefix sums in two steps: the messages are sorted once by range, each range being a bucket, and summed
+within buckets and over the buckets' sums. So a conversation that holds a third of all rows is spread over many tasks,
+even if all its turns are null or equal.
 """
 
 from __future__ import annotations
@@ -18,9 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET = 256
+from ..session import stored
+
 CONTEXT_ROLES = ("system",)
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+#: What the marks of a turn begin with.
+MARK = "<|im_"
 
 
 def _speaker_head(own: Column, speaker: Column, context: Column) -> Column:
@@ -28,25 +34,30 @@ def _speaker_head(own: Column, speaker: Column, context: Column) -> Column:
     return F.when(context, F.lit(f"{OPEN}system\n")).when(own, F.lit(f"{OPEN}assistant\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), speaker, F.lit("\n")))
 
 
-def messages(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", context_roles: tuple[str, ...] = CONTEXT_ROLES, bucket: int = BUCKET) -> DataFrame:
-    """(conv_id, turn, speaker, text, copies, context, bucket): distinct messages."""
+def _safe(text: Column) -> Column:
+    return F.replace(text, F.lit(MARK), F.lit(f"{MARK[0]} {MARK[1:]}"))
+
+
+def messages(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", context_roles: tuple[str, ...] = CONTEXT_ROLES) -> DataFrame:
+    """(conv_id, turn, speaker, text, copies, context): distinct messages."""
     named = df.select(
         F.col(conv).alias("conv_id"),
         F.col(turn).cast("long").alias("turn"),
-        F.coalesce(F.col(role).cast("string"), F.lit("unknown")).alias("speaker"),
-        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+        _safe(F.translate(F.coalesce(F.col(role).cast("string"), F.lit("unknown")), "\r\n", "  ")).alias("speaker"),
+        _safe(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text"),
     )
     distinct = named.groupBy("conv_id", "turn", "speaker", "text").agg(F.count(F.lit(1)).alias("copies"))
-    return distinct.withColumn("context", F.col("speaker").isin(*context_roles)).withColumn("bucket", F.floor(F.col("turn") / bucket))
+    return distinct.withColumn("context", F.col("speaker").isin(*context_roles))
 
 
-def rotate(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", context_roles: tuple[str, ...] = CONTEXT_ROLES, bucket: int = BUCKET) -> DataFrame:
+def rotate(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", context_roles: tuple[str, ...] = CONTEXT_ROLES) -> DataFrame:
     """One row per conversation, perspective and message.
 
     conv_id, perspective, seq (from 0), turn, speaker, chat_role, rendered, char_start, char_end, loss_start,
     loss_end (equal where nothing counts), copies. Offsets are code points from the start of the dialogue.
     """
-    said = messages(df, conv, turn, role, text, context_roles, bucket)
+    sorted_once = messages(df, conv, turn, role, text, context_roles).repartitionByRange("conv_id", "turn", "speaker", "text")
+    said = stored(sorted_once.withColumn("bucket", F.spark_partition_id()), "dialogue-messages")
     as_user = F.length(_speaker_head(F.lit(False), F.col("speaker"), F.col("context"))) + F.length("text") + len(CLOSE)
     as_self = F.length(_speaker_head(F.lit(True), F.col("speaker"), F.col("context"))) + F.length("text") + len(CLOSE)
     # sums of each bucket and speaker; null keys are made joinable

@@ -23,7 +23,8 @@ def op1_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH m AS (SELECT conv_id, turn, role AS speaker, text, count(*) AS copies FROM
-             (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations) GROUP BY ALL),
+             (SELECT conv_id, turn, replace(translate(coalesce(role, 'unknown'), chr(13) || chr(10), '  '), '<|im_', '< |im_') AS role,
+                     replace(coalesce(text, ''), '<|im_', '< |im_') AS text FROM conversations) GROUP BY ALL),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM m WHERE speaker <> 'system'),
 r AS (SELECT m.conv_id, perspective, turn, speaker, copies, text,
              CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS chat_role,
