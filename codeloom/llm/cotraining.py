@@ -11,8 +11,11 @@ evidence, into the score of every document.
 
 The pseudo-label search covers all documents in every round; only the chosen rows (4 * the number above) reach the driver.
 Ties are broken by a hash of the features and then by doc_id, so a rerun gives the same scores. Null texts and null
-metadata are views without content and are scored like any other. Repeated doc_ids are scored row by row. Without
-labels of both classes every document gets the share of good labels (1.0 without labels) and is kept.
+metadata are views without content and are scored like any other, empty texts likewise, and texts of any length are
+read whole. Repeated rows are scored row by row; of rows with one labelled doc_id the one with the smallest text view
+is fitted on, so no label brings more than one row to the driver. Columns of other names are kept whatever they are
+called. An empty table gives no rows. Without labels of both classes every document gets the share of good labels (1.0
+without labels) and is kept.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .textops import fresh
 
 #: Labelled rows, at most, that are used to fit and to calibrate; chosen by a hash of doc_id.
 MAX_LABELLED = 8_000
@@ -215,7 +219,8 @@ def _best(table: DataFrame, text: Logistic, meta: Logistic, per_round: int, quot
 def train(docs_features: DataFrame, labels: DataFrame, target: str = "quality", rounds: int = ROUNDS, per_round: int = PER_ROUND, max_labelled: int = MAX_LABELLED) -> CoTrained:
     known = labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y")).dropDuplicates(["doc_id"])
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    chosen = docs_features.join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("view")).collect()  # at most max_labelled labels
+    held_rows = docs_features.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("view", "lang", "source", "n_chars")).alias("r"))
+    chosen = held_rows.select("doc_id", "y", "r.*").orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # at most max_labelled rows
     y = np.array([r["y"] for r in chosen], float)
     if len(y) < 8 or y.min() == y.max():
         return CoTrained(None, None, float(y.mean()) if len(y) else 1.0)
@@ -289,4 +294,5 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The documents with a score of at least the threshold, with the columns of docs. No shuffle of the texts."""
     model = train(features(docs), labels, **options)
-    return docs.withColumn("__s", score_column(model)).where(F.col("__s.score") >= threshold).select(*docs.columns)
+    name = fresh("scores", docs)
+    return docs.withColumn(name, score_column(model)).where(F.col(f"{name}.score") >= threshold).select(*docs.columns)
