@@ -5,8 +5,10 @@ rejects; the cascade then runs the rules in falling order of rejections per seco
 rejects. The order only changes the work: the verdict is the same for every order, because a document is kept
 only if no rule rejects it.
 
-Nulls and empty texts have no words and fail the base rule ``too_few_words``. Ties in rejections per second are
-broken by the rule's name. Columns of the input whose names clash with an output column are replaced.
+Nulls, empty and blank texts have no words and fail the base rule ``too_few_words``. Texts of any length are measured
+whole, repeated rows each for themselves, and an empty table gives no rows. Ties in rejections per second are broken by
+the rule's name. Columns of the input whose names clash with an output column are replaced by ``score``; ``keep``
+returns the input's columns, whatever they are called.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textops import BLANKS, word_ids, window_ids
+from .textops import BLANKS, fresh, word_ids, window_ids
 
 #: Rows, about, on which cost and selectivity are estimated. The verdict doesn't depend on them.
 SAMPLE_ROWS = 2_000
@@ -141,7 +143,6 @@ def cascade_column(column: Column, sequence: list[str], measures: tuple[str, ...
         arrays = [pa.array(v, pa.int64()) for v in out] + [pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_())]
         return pa.StructArray.from_arrays(arrays, [*measures, "base_failed", "kept"])
 
-
     return run.asNondeterministic()(column)
 
 
@@ -150,12 +151,13 @@ def score(df: DataFrame, text: str = "text", measures: tuple[str, ...] = DIGEST,
     sequence = order(estimate(df, text, sample_rows=sample_rows))
     outputs = [*measures, "base_failed", "kept"]
     held = [c for c in df.columns if c not in outputs]
-    scored = df.select(*held, cascade_column(F.col(text), sequence, measures).alias("__cascade"))
-    return scored.select(*held, *(F.col(f"__cascade.{c}").alias(c) for c in outputs))
+    name = fresh("cascade", df)
+    scored = df.select(*held, cascade_column(F.col(text), sequence, measures).alias(name))
+    return scored.select(*held, *(F.col(f"{name}.{c}").alias(c) for c in outputs))
 
 
 def keep(df: DataFrame, text: str = "text") -> DataFrame:
     """The documents that no rule rejects, with the columns of df."""
     sequence = order(estimate(df, text))
-    name = "__cascade"
+    name = fresh("cascade", df)
     return df.withColumn(name, cascade_column(F.col(text), sequence, ())).where(F.col(f"{name}.kept")).select(*df.columns)
