@@ -4,10 +4,12 @@ For every prefix of a piece of text exactly one token can come last in the BPE e
 encoder stores that token for each prefix length: token ``t`` is last at ``end`` if the last token before ``t``
 and ``t`` are the encoding of their own joined bytes. Because each entry only depends on shorter prefixes, text
 can be appended by going on from the stored entries (``Prefixes.append``), and an edit only throws away the
-entries behind it (``Prefixes.replace_tail``). Reading the entries backwards gives the ids.
+entries until they agree with the old ones again (``Prefixes.replace``). Reading the entries backwards gives the ids.
+``TextPrefixes`` does the same for a whole text: an edit re-cuts the pieces around it until a cut falls on an old one.
 
 A piece is one match of the tokenizer's pattern; pieces are encoded apart, and no special tokens exist. Nulls
-and empty texts have no tokens. The vocabulary is read once on the driver and broadcast; its size is checked
+and empty texts have no tokens; texts of any length are encoded whole, repeated rows each for themselves; an empty
+table gives no rows, and other columns are never read. The vocabulary is read once on the driver and broadcast; its size is checked
 against MAX_RANK_BYTES, a bound that doesn't depend on the data.
 """
 
@@ -15,6 +17,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +53,7 @@ class Bpe:
         self.pairs: dict[int, bool] = {}
         self.prefixes: dict[bytes, int] = {}
         self.names = {rank: b"%d" % rank for rank in ranks.values()}
+        self.longest = max(map(len, ranks), default=1)
         #: tokens read backwards as a tree: byte -> [branch, the token that ends here or None]
         self.endings: dict[int, list] = {}
         for token, rank in ranks.items():
@@ -164,20 +169,43 @@ class Prefixes:
 
     def __init__(self, bpe: Bpe):
         self.bpe, self.raw, self.last = bpe, b"", [-1]
+        #: Entries that the last change made anew.
+        self.made = 0
 
-    def append(self, more: bytes) -> Prefixes:
+    def _entry(self, end: int) -> int:
         bpe, last = self.bpe, self.last
-        start, self.raw = len(self.raw), self.raw + more
+        self.made += 1
+        return next(token for begin, token in reversed(bpe.ending_tokens(self.raw, end)) if not begin or bpe.valid_pair(last[begin], token))
+
+    def append(self, more: bytes) -> Prefixes:
+        start, self.raw, self.made = len(self.raw), self.raw + more, 0
         for end in range(start + 1, len(self.raw) + 1):
-            ending = reversed(bpe.ending_tokens(self.raw, end))
-            last.append(next(token for begin, token in ending if not begin or bpe.valid_pair(last[begin], token)))
+            self.last.append(self._entry(end))
+        return self
+
+    def replace(self, start: int, stop: int, new: bytes) -> Prefixes:
+        """Put other bytes in the place of raw[start:stop]; entries before them stay, and so do those behind from where on they agree.
+
+        An entry depends on the bytes of one token's length before it and on the entries there. So once as many entries
+        in a row as the longest token has bytes equal the old ones, with no changed byte among theirs, all later ones do.
+        """
+        old, self.made = self.last, 0
+        behind = old[stop + 1 :]
+        self.raw = self.raw[:start] + new + self.raw[stop:]
+        self.last = old[: start + 1]
+        first, equal = start + len(new) + 1, 0
+        for end in range(start + 1, len(self.raw) + 1):
+            token = self._entry(end)
+            self.last.append(token)
+            equal = equal + 1 if end >= first and behind[end - first] == token else 0
+            if equal >= self.bpe.longest and end - start - len(new) >= self.bpe.longest:
+                self.last += behind[end - first + 1 :]
+                break
         return self
 
     def replace_tail(self, keep: int, tail: bytes) -> Prefixes:
         """Keep the first bytes and their entries; encode the new tail behind them."""
-        self.raw = self.raw[:keep]
-        del self.last[keep + 1 :]
-        return self.append(tail)
+        return self.replace(keep, len(self.raw), tail)
 
     def ids(self) -> list[int]:
         out, end = [], len(self.raw)
@@ -187,6 +215,55 @@ class Prefixes:
         return out[::-1]
 
 
+class TextPrefixes:
+    """A whole text's pieces with their prefixes, kept for appends and edits anywhere."""
+
+    def __init__(self, bpe: Bpe, pattern: str, text: str = ""):
+        self.bpe, self.match = bpe, regex.compile(pattern).match
+        self.text, self.cuts, self.pieces = "", [0], []
+        #: Pieces that the last change encoded anew.
+        self.made = 0
+        self.replace(0, 0, text)
+
+    def append(self, more: str) -> TextPrefixes:
+        return self.replace(len(self.text), len(self.text), more)
+
+    def replace(self, start: int, stop: int, new: str) -> TextPrefixes:
+        """Put another text in the place of text[start:stop].
+
+        What a piece ends with depends on the characters up to the end of the white space behind it, so pieces that
+        end before the white space in front of the edit stay. Behind the edit, cutting only looks forwards: from the
+        first cut on that an old one falls on, everything is as it was.
+        """
+        near = start
+        while near and self.text[near - 1].isspace():
+            near -= 1
+        keep = max(0, bisect_left(self.cuts, near) - 1)
+        grown = len(new) - (stop - start)
+        self.text = self.text[:start] + new + self.text[stop:]
+        at, cuts, pieces = self.cuts[keep], self.cuts[: keep + 1], self.pieces[:keep]
+        self.made, end = 0, len(self.text)
+        while at < end:
+            if at >= start + len(new):
+                old = bisect_left(self.cuts, at - grown)
+                if old < len(self.cuts) and self.cuts[old] == at - grown:
+                    cuts += [c + grown for c in self.cuts[old + 1 :]]
+                    pieces += self.pieces[old:]
+                    break
+            found = self.match(self.text, at)
+            stretch = found.end() if found and found.end() > at else at + 1
+            # characters that no match of the pattern takes are no tokens, as in findall
+            pieces.append(Prefixes(self.bpe).append(self.text[at:stretch].encode()) if found and found.end() > at else Prefixes(self.bpe))
+            at = stretch
+            cuts.append(at)
+            self.made += 1
+        self.cuts, self.pieces = cuts, pieces
+        return self
+
+    def ids(self) -> list[int]:
+        return [i for piece in self.pieces for i in piece.ids()]
+
+
 class TextCoder:
     """Whole texts: pieces by pattern, each distinct piece encoded and decoded once while it is in the store."""
 
@@ -217,24 +294,27 @@ class TextCoder:
 
     def ids(self, text: str | None) -> np.ndarray:
         entries = self.entries(text) if text else []
-        return np.array(b",".join([e[0] for e in entries]).split(b","), np.int32) if entries else np.empty(0, np.int32)
+        return _numbers(b",".join([e[0] for e in entries]))
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """(number of ids, SHA-256 of the ids as text, SHA-256 of the decoded bytes)"""
+    def digest(self, text: str | None) -> tuple[int, str, str, bytes]:
+        """(number of ids, SHA-256 of the ids as text, SHA-256 of the decoded bytes, the ids as text)"""
         if not text:
-            return 0, _EMPTY, _EMPTY
+            return 0, _EMPTY, _EMPTY, b""
         entries = self.entries(text)
         ids, decoded = b",".join([e[0] for e in entries]), b"".join([e[1] for e in entries])
-        return ids.count(b",") + 1, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        return ids.count(b",") + 1, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids
+
+
+def _numbers(ids: bytes) -> np.ndarray:
+    return np.array(ids.split(b","), np.int32) if ids else np.empty(0, np.int32)
 
 
 _EMPTY = hashlib.sha256(b"").hexdigest()
-_CODERS: dict[object, TextCoder] = {}
+_CODERS: dict[str, TextCoder] = {}
 
 
-def _coder(shared, pattern: str, pieces: int) -> TextCoder:
+def _coder(key: str, shared, pattern: str, pieces: int) -> TextCoder:
     """One coder for each worker process, whatever number of tasks it runs."""
-    key = (id(shared.value), pattern, pieces)
     if key not in _CODERS:
         _CODERS.clear()
         _CODERS[key] = TextCoder(shared.value, pattern, pieces, 2 * pieces)
@@ -243,20 +323,20 @@ def _coder(shared, pattern: str, pieces: int) -> TextCoder:
 
 def digest_column(spark: SparkSession, column: Column, path: str, pattern: str, with_ids: bool = False, pieces: int = CACHE_PIECES) -> Column:
     """struct(n_tokens, ids_sha256, decoded_sha256[, ids]) of a text column. One pass, no shuffle."""
-    shared = spark.sparkContext.broadcast(load_ranks(path))
+    shared, key = spark.sparkContext.broadcast(load_ranks(path)), uuid.uuid4().hex
 
     @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string" + (",ids:array<int>" if with_ids else "") + ">")
     def run(texts: pa.Array) -> pa.Array:
-        coder = _coder(shared, pattern, pieces)
+        coder = _coder(key, shared, pattern, pieces)
         counts, ids, decoded, lists = [], [], [], []
         for value in texts:
             text = value.as_py()
-            n, a, b = coder.digest(text)
+            n, a, b, joined = coder.digest(text)
             counts.append(n)
             ids.append(a)
             decoded.append(b)
             if with_ids:
-                lists.append(coder.ids(text))
+                lists.append(_numbers(joined))
         arrays = [pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
         names = ["n_tokens", "ids_sha256", "decoded_sha256"]
         if with_ids:
