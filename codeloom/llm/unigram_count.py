@@ -8,11 +8,14 @@ pieces that end with it, and counts one piece for each of its UTF-8 bytes.
 
 Where no piece holds a blank behind another character, the best path of a text is made of the best paths of its
 words, so each distinct word is solved once while it is in the store. Scores are summed as doubles. Nulls and empty
-texts have no tokens. The vocabulary is read on the driver, checked against MAX_PIECES, and broadcast.
+texts have no tokens; texts of any length are counted whole, repeated rows each for themselves; an empty table gives no
+rows, and other columns are never read. The vocabulary is read on the driver, checked against MAX_PIECES, and broadcast.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import ahocorasick
 import pyarrow as pa
 import regex
@@ -111,16 +114,15 @@ class Counter:
         return sum([e[0] for e in entries]), sum([e[1] for e in entries]), sum([e[2] for e in entries])
 
 
-_COUNTERS: dict[int, Counter] = {}
+_COUNTERS: dict[str, Counter] = {}
 
 
 def count_column(spark: SparkSession, column: Column, path: str) -> Column:
     """struct(n_tokens, n_byte_tokens, score) of a text column. One pass, no shuffle."""
-    shared = spark.sparkContext.broadcast(load_pieces(path))
+    shared, key = spark.sparkContext.broadcast(load_pieces(path)), uuid.uuid4().hex
 
     @F.arrow_udf("struct<n_tokens:bigint,n_byte_tokens:bigint,score:double>")
     def run(texts: pa.Array) -> pa.Array:
-        key = id(shared.value)
         if key not in _COUNTERS:
             _COUNTERS.clear()
             _COUNTERS[key] = Counter(shared.value)
