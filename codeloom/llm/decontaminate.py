@@ -7,25 +7,33 @@ examined. Where the shift is 0, the block's bucket lists the patterns that end i
 all words decides. Patterns of different length go to searchers of their own, so that a short item does not
 shorten everybody's jumps.
 
-The benchmark is split into blocks of at most MAX_BLOCK_BYTES of text; each block is broadcast by itself and the
-documents pass through one searcher after the other, so what is broadcast is bounded however large the
-benchmark is. Nulls and texts without words have no hits; items without words have no windows. An item_id of
-null counts as the string ``null``; repeated item_ids count once.
+The benchmark is split into blocks of at most MAX_BLOCK_BYTES of text; an item that is longer is cut into stretches that
+overlap by a window less a word, so it has the same windows. One block is broadcast and searched in the same pass that
+writes the result. More blocks are taken one after the other: the texts are written once with a row number, each block is
+broadcast, its hits (rows with hits only) are written, and the broadcast is destroyed before the next; then the hits are
+put together by row. So what is alive at once on the driver and in a worker is bounded however large the benchmark is.
+
+Null, empty and blank texts have no words and no hits; texts of any length are searched whole; items without words have
+no windows. An item_id of null counts as the string ``null``; repeated item_ids count once, repeated rows each for
+themselves. Empty tables give no rows or no hits. Columns that clash with an output column are replaced by ``report``;
+others are kept whatever they are called.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import alnum_words
+from ..session import stored
+from .textops import alnum_words, fresh
 
 WINDOW = 10
-#: UTF-8 bytes of item texts that one broadcast holds at most (unless a single item is longer).
+#: UTF-8 bytes of item texts that one broadcast holds, about.
 MAX_BLOCK_BYTES = 16 << 20
 
 
@@ -98,50 +106,102 @@ def merge(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def item_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", max_bytes: int = MAX_BLOCK_BYTES) -> list[DataFrame]:
+def _stretches(width: int, max_bytes: int):
+    """Rows (item, text): long texts cut into stretches of words that overlap by width - 1 words."""
+
+    def run(batches):
+        for batch in batches:
+            items, texts = [], []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
+                raw = text.as_py()
+                if len(raw) <= max_bytes:
+                    items.append(item)
+                    texts.append(raw)
+                    continue
+                words, at = alnum_words(raw), 0
+                while at < len(words):
+                    end, size = at, 0
+                    while end < len(words) and (size < max_bytes or end - at < width):
+                        size += len(words[end]) + 1
+                        end += 1
+                    items.append(item)
+                    texts.append(b" ".join(words[at:end]))
+                    if end == len(words):
+                        break
+                    at = end - width + 1
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())], ["item", "text"])
+
+    return run
+
+
+def item_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", max_bytes: int = MAX_BLOCK_BYTES, width: int = WINDOW) -> list[DataFrame]:
     """The benchmark in blocks whose texts stay within max_bytes in the mean; a hash of the item deals them out."""
-    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("text")).where(F.col(text).isNotNull())
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // max_bytes))
+    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.col(text).cast("string").alias("text")).where(F.col(text).isNotNull())
+    total, longest = rows.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
+    if (longest or 0) > max_bytes:
+        rows = rows.mapInArrow(_stretches(width, max_bytes // 2), "item string, text string")
+    n = max(1, -(-(total or 0) // max_bytes))
     return [rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) for i in range(n)] if n > 1 else [rows]
 
 
-_SEARCHERS: dict[int, Searcher] = {}
+_SEARCHERS: dict[str, Searcher] = {}
 
 _HITS = "struct<n_words:bigint,starts:array<int>,ends:array<int>,items:array<string>>"
 
 
 def _marker(shared, width: int):
-    """A UDF (text[, hits so far]) -> hits for one broadcast block of items."""
+    """A UDF text -> hits for one broadcast block of items."""
+    key = uuid.uuid4().hex
 
     @F.arrow_udf(_HITS)
-    def run(*columns: pa.Array) -> pa.Array:
-        key = id(shared.value)
+    def run(texts: pa.Array) -> pa.Array:
         if key not in _SEARCHERS:
             _SEARCHERS.clear()
             _SEARCHERS[key] = Searcher(shared.value, width)
         searcher, out = _SEARCHERS[key], []
-        earlier = columns[1].to_pylist() if len(columns) > 1 else None
-        for i, value in enumerate(columns[0].cast(pa.large_binary())):
+        for value in texts.cast(pa.large_binary()):
             words = alnum_words(value.as_py())
             starts, ends, items = searcher.scan(words)
-            if earlier:
-                old = earlier[i]
-                starts, ends = merge([*zip(starts, ends), *zip(old["starts"], old["ends"])])
-                items |= set(old["items"])
             out.append({"n_words": len(words), "starts": starts, "ends": ends, "items": sorted(items)})
         return pa.array(out, _ARROW)
 
     return run.asNondeterministic()
 
 
+def _broadcast(df: DataFrame, block: DataFrame):
+    """The items of one block; a bound on them is the block's."""
+    return df.sparkSession.sparkContext.broadcast([(r["item"], r["text"].encode()) for r in block.toLocalIterator()])
+
+
 def mark(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WINDOW, max_bytes: int = MAX_BLOCK_BYTES, name: str = "hits") -> DataFrame:
-    """df with a column ``name``: struct(n_words, starts, ends, items), word positions of the hit stretches. No shuffle of df."""
-    sc = df.sparkSession.sparkContext
-    for k, block in enumerate(item_blocks(benchmark, item, item_text, max_bytes)):
-        run = _marker(sc.broadcast([(r["item"], r["text"].encode()) for r in block.toLocalIterator()]), width)
-        df = df.withColumn(name, run(text, name) if k else run(text))
-    return df
+    """df with a column ``name``: struct(n_words, starts, ends, items), word positions of the hit stretches.
+
+    With a benchmark of one block no row of df is shuffled; with more, df is written once and joined with its hits.
+    """
+    blocks = item_blocks(benchmark, item, item_text, max_bytes, width)
+    if len(blocks) == 1:
+        return df.withColumn(name, _marker(_broadcast(df, blocks[0]), width)(text))
+    row, each = fresh("row_number", df), fresh("row_hits", df)
+    table = stored(df.withColumn(row, F.monotonically_increasing_id()), "numbered-texts")
+    found = None
+    for block in blocks:
+        shared = _broadcast(df, block)
+        hits = table.select(row, _marker(shared, width)(text).alias(each))
+        hits = hits.where(F.size(f"{each}.starts") > 0) if found is not None else hits  # the first block brings the word counts
+        part = stored(hits, "block-hits")
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    spans = F.flatten(F.collect_list(F.arrays_zip(F.col(f"{each}.starts").alias("a"), F.col(f"{each}.ends").alias("b"))))
+    whole = found.groupBy(row).agg(F.max(f"{each}.n_words").alias("n_words"), spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"{each}.items")))).alias("items"))
+
+    @F.arrow_udf("struct<starts:array<int>,ends:array<int>>")
+    def merged(column: pa.Array) -> pa.Array:
+        pairs = [merge([(s["a"], s["b"]) for s in row]) for row in column.to_pylist()]
+        kind = pa.list_(pa.int32())
+        return pa.StructArray.from_arrays([pa.array([p[k] for p in pairs], kind) for k in (0, 1)], ["starts", "ends"])
+
+    put = whole.withColumn("m", merged("spans")).select(row, F.struct("n_words", "m.starts", "m.ends", "items").alias(name))
+    return table.drop(name).join(put, row).drop(row)
 
 
 _ARROW = pa.struct([("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
@@ -151,27 +211,30 @@ def n_hit(name: str = "hits"):
     return F.aggregate(F.zip_with(f"{name}.ends", f"{name}.starts", lambda b, a: (b - a).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
 
 
+def _outputs(name: str) -> dict:
+    return {
+        "n_words": F.col(f"{name}.n_words"),
+        "n_hit": n_hit(name),
+        "n_items": F.size(f"{name}.items").cast("long"),
+        "items_sha256": F.sha2(F.array_join(f"{name}.items", ","), 256),
+        "contaminated": F.size(f"{name}.starts") > 0,
+        "items": F.col(f"{name}.items"),
+        "starts": F.col(f"{name}.starts"),
+        "ends": F.col(f"{name}.ends"),
+    }
+
+
 def report(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Columns of df plus n_words, n_hit, n_items, items_sha256, contaminated, items, starts, ends."""
-    outputs = {
-        "n_words": F.col("hits.n_words"),
-        "n_hit": n_hit(),
-        "n_items": F.size("hits.items").cast("long"),
-        "items_sha256": F.sha2(F.array_join("hits.items", ","), 256),
-        "contaminated": F.size("hits.starts") > 0,
-        "items": F.col("hits.items"),
-        "starts": F.col("hits.starts"),
-        "ends": F.col("hits.ends"),
-    }
-    held = [c for c in df.columns if c not in outputs and c != "hits"]
-    text = options.get("text", "text")
-    marked = mark(df.select(*held, *([text] if text not in held else [])), benchmark, **options)
-    return marked.select(*held, *(c.alias(n) for n, c in outputs.items()))
+    outputs = _outputs("hits")
+    held, name, text = [c for c in df.columns if c not in outputs], fresh("hits", df), options.get("text", "text")
+    marked = mark(df.select(*held, *([text] if text not in held else [])), benchmark, name=name, **options)
+    return marked.select(*held, *(c.alias(n) for n, c in _outputs(name).items()))
 
 
 def clean(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a benchmark passage, with the columns of df."""
-    name = "__hits"
+    name = fresh("hits", df)
     return mark(df, benchmark, name=name, **options).where(F.size(f"{name}.starts") == 0).select(*df.columns)
 
 
