@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import graph_queries, more_queries, report_queries, search_queries
+from . import cypher_queries, graph_queries, more_queries, report_queries, search_queries
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
-for _module in (search_queries, graph_queries, report_queries, more_queries):
+for _module in (search_queries, graph_queries, report_queries, more_queries, cypher_queries):
     QUERIES.update(_module.REGISTRY.queries)
     ORACLE.update(_module.REGISTRY.oracle)
