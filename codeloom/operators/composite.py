@@ -37,9 +37,9 @@ def node_hits(graph: Graph, terms: list[str], limit: int = 20, conjunctive: bool
 
 
 def file_hits(hits: DataFrame, limit: int = 20) -> DataFrame:
-    """(filePath, score, node_ids, rank): a file scores the sum of its three best nodes."""
+    """(filePath, score, node_ids, rank): a file scores the sum of its three best nodes, to nine places so that no order of adding decides."""
     top = top_per_key(hits, "filePath", [F.desc("score"), "id"], 3)
-    files = top.groupBy("filePath").agg(F.sum("score").alias("score"), F.array_sort(F.collect_list("id")).alias("node_ids"))
+    files = top.groupBy("filePath").agg(F.round(F.sum("score"), 9).alias("score"), F.array_sort(F.collect_list("id")).alias("node_ids"))
     return ranked(files, [F.desc("score"), "filePath"], limit)
 
 

@@ -139,9 +139,9 @@ def process_detail(graph: Graph, name: str) -> DataFrame:
 
 def list_repos(repos: DataFrame) -> DataFrame:
     """Repositories (name, path, remoteUrl, ..) with their sibling clones: same remote, other path."""
-    s = repos.where("remoteUrl IS NOT NULL").select("remoteUrl", F.col("path").alias("sibling"))
-    pairs = repos.join(s, "remoteUrl").where("path <> sibling").groupBy("path").agg(F.sort_array(F.collect_set("sibling")).alias("siblings"))
-    return repos.join(pairs, "path", "left")
+    clones = repos.where("remoteUrl IS NOT NULL").groupBy("remoteUrl").agg(F.sort_array(F.collect_set("path")).alias("clones"))
+    others = F.array_remove("clones", F.col("path"))
+    return repos.join(clones, "remoteUrl", "left").withColumn("siblings", F.when(F.size(others) > 0, others)).drop("clones")
 
 
 def files_with_exports(nodes: DataFrame) -> DataFrame:
