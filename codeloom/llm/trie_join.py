@@ -518,7 +518,10 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, key: Column, percent: int,
     ranges = max(1, min(MAX_CHUNK_TOKENS // RANGE_TOKENS, -(-size_of_all // RANGE_BYTES)))
     chunk_tokens = max(CHUNK_TOKENS, RANGE_TOKENS * ranges)
     chunks = narrow.mapInArrow(_chunker(ranges, size, chunk_tokens), _CHUNK_DDL)
+    many = ranges > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # more ranges than the session's partitions: a task for each
+    chunks = chunks.repartition(ranges, "range") if many else chunks
     shared = chunks.groupBy("range").applyInArrow(_frequencies, _CHUNK_DDL)
+    shared = shared.repartition(ranges, "chunk") if many else shared
     table = stored(shared.groupBy("chunk").applyInArrow(_assembler(percent), _SET_DDL), "shingle-sets")
     rows, sets = table.where("blob IS NULL").select("doc_id", "key", "n", "node", "same", "alike"), table.where("blob IS NOT NULL")
     classes = stored(sets.groupBy("same").agg(F.min("node").alias("class")), "shingle-classes")
