@@ -54,17 +54,17 @@ def cohesion(edges: DataFrame, members: DataFrame, sample: int | None = 50) -> D
     return sizes.join(share, "comm", "left").select("comm", "symbols", F.when(F.col("symbols") <= 1, 1.0).otherwise(F.coalesce(F.least("c", F.lit(1.0)), F.lit(1.0))).alias("cohesion"))
 
 
-def communities(edges: DataFrame, rounds: int = 5, large: int = 10_000) -> DataFrame:
+def communities(edges: DataFrame, rounds: int = 5, large: int | None = None) -> DataFrame:
     """(id, comm): deterministic label propagation, weighted by modularity gain; comm is the smallest id inside.
 
     Every round each node looks at the labels of its neighbours and takes the one with the largest modularity gain
     (links to the label minus what its total degree lets expect), ties to the smallest label. Nodes move in two
-    alternating halves (by a hash) so that neighbours don't swap labels for ever. Large graphs first drop edges of
-    low confidence and nodes of degree one, and use few rounds.
+    alternating halves (by a hash) so that neighbours don't swap labels for ever. Every node and edge counts at every
+    size; only who sets ``large`` asks for the quicker mode of graphs with more nodes than that: without edges of low
+    confidence and nodes of degree one, in few rounds.
     """
     near = cut(neighbours(edges))
-    n = near.select("a").distinct().count()
-    if n > large:
+    if large is not None and near.select("a").distinct().count() > large:
         strong = edges.where("confidence IS NULL OR confidence >= 0.5") if "confidence" in edges.columns else edges
         near = neighbours(strong)
         firm = near.groupBy("a").agg(F.count(F.lit(1)).alias("d")).where("d >= 2").select("a")

@@ -118,21 +118,48 @@ def longest_prefix(paths: DataFrame, prefixes: DataFrame) -> DataFrame:
     return paths.join(hit, "path", "left")
 
 
+def _segments(path: str) -> Column:
+    return F.filter(F.split(path, "/"), lambda s: s != "")
+
+
+def _masked(segments: Column, mask: Column) -> Column:
+    """The segments as one key, dynamic positions left open."""
+    return F.array_join(F.zip_with(segments, mask, lambda s, open_: F.when(open_, "*").otherwise(s)), "/")
+
+
+def _keyed_matches(urls: DataFrame, known: DataFrame) -> DataFrame:
+    """(fetch, route, seq): urls (fetch, n, s) of n segments s against routes (route, seq, n, mask, key) with the same n."""
+    shapes = known.select("n", "mask").distinct()
+    few = shapes.limit(MAX_SHAPES + 1).count() <= MAX_SHAPES
+    tried = urls.join(F.broadcast(shapes) if few else shapes, "n").withColumn("key", _masked(F.slice("s", F.lit(1), F.col("n")), F.col("mask")))
+    return tried.join(known.select("route", "seq", "mask", "key"), ["mask", "key"]).select("fetch", "route", "seq")
+
+
+#: Shapes of routes (which segments are dynamic) that are broadcast at most.
+MAX_SHAPES = 10_000
+
+
 def first_route_match(fetches: DataFrame, routes: DataFrame, matcher) -> DataFrame:
-    """Fetches (fetch) with the first route (route, seq) that matches. Routes are keyed by their segment count.
+    """Fetches (fetch) with the first route (route, seq) that matches; matcher(fetch column, route column) -> Column.
 
-    matcher(fetch column, route column) -> Column. Catch-all routes are compared apart; both sides keep their size.
+    Routes have few shapes: which of their segments are dynamic. A fetch is tried once for each shape of its length, and
+    joined by its literal segments, so the join is on equal keys however many routes there are. Catch-all routes are
+    keyed by the segments in front. Fetches with dynamic segments of their own (templates) are compared by length.
     """
-    count = lambda c: F.size(F.filter(F.split(c, "/"), lambda s: s != ""))
-    urls = fetches.select("fetch").distinct().withColumn("n", count(F.col("fetch")))
-    known = routes.select("route", "seq").withColumn("n", count(F.col("route")))
-    rest = F.col("route").rlike(r"\[\[?\.\.\.[^/]*$")
-    fixed = urls.join(known.where(~rest), "n").where(matcher(F.col("fetch"), F.col("route")))
-    # a catch-all of m fixed segments can match every fetch of at least m: each fetch is keyed by 0..its own count
-    spread = urls.withColumn("m", F.explode(F.sequence(F.lit(0), F.col("n"))))
-    open_end = spread.join(known.where(rest).withColumn("m", F.col("n") - 1).drop("n"), "m").where(matcher(F.col("fetch"), F.col("route")))
+    urls = fetches.select("fetch").distinct().withColumn("s", _segments("fetch"))
+    template = F.exists("s", lambda x: x.startswith("["))
+    known = routes.select("route", "seq").withColumn("s", _segments("route"))
+    rest = F.coalesce(F.try_element_at("s", F.lit(-1)).startswith("[...") | F.try_element_at("s", F.lit(-1)).startswith("[[..."), F.lit(False))
+    known = known.withColumn("rest", rest).withColumn("s", F.when(rest, F.slice("s", F.lit(1), F.greatest(F.size("s") - 1, F.lit(0)))).otherwise(F.col("s")))
+    known = known.withColumn("n", F.size("s")).withColumn("mask", F.transform("s", lambda x: x.startswith("["))).withColumn("key", _masked(F.col("s"), F.col("mask")))
+    plain, odd = urls.where(~template), urls.where(template)
+    fixed = _keyed_matches(plain.withColumn("n", F.size("s")), known.where("NOT rest"))
+    open_end = _keyed_matches(plain.withColumn("n", F.explode(F.sequence(F.lit(0), F.size("s")))), known.where("rest"))
+    lengths = known.select("route", "seq", "rest", F.col("n").alias("least"))
+    by_length = odd.withColumn("least", F.explode(F.sequence(F.lit(0), F.size("s")))).join(lengths, "least").where(F.col("rest") | (F.col("least") == F.size("s"))).select("fetch", "route", "seq")
+    found = fixed.unionByName(open_end).unionByName(by_length.where(matcher(F.col("fetch"), F.col("route"))))
     w = Window.partitionBy("fetch").orderBy("seq", "route")
-    return fixed.select("fetch", "route", "seq").unionByName(open_end.select("fetch", "route", "seq")).withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+    return found.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
 
 def typed_as(props: DataFrame, names: DataFrame) -> DataFrame:

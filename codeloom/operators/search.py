@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 # BM25 parameters and the offset of reciprocal rank fusion.
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -28,27 +32,25 @@ def _is(term: str):
     return lambda x: x == F.lit(term)
 
 
-def bm25(docs: DataFrame, query: list[str], doc_id: str = "doc_id", text: str = "text", conjunctive: bool = False, k1: float = K1, b: float = B) -> DataFrame:
-    """(doc_id, score) of the documents with any (conjunctive: every) query term.
+def bm25(docs: DataFrame, query: list[str], doc_id: str = "doc_id", text: str = "text", conjunctive: bool = False, k1: float = K1, b: float = B, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, score, columns to keep) of the documents with any (conjunctive: every) query term.
 
-    The query terms are matched while a document is tokenised, so only their counts are aggregated: the corpus is
-    scanned once and what is shuffled are a few numbers.
+    The query terms are matched while a document is tokenised, and the counts, a few numbers for each document, are
+    stored: the texts are read and tokenised once, the statistics and the scores come from the counts.
     """
     terms = sorted(set(query))
-    words = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("w"))
+    words = docs.select(F.col(doc_id).alias("doc_id"), *keep, tokens(text).alias("w"))
     counts = [F.size(F.filter("w", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    tf = words.select("doc_id", F.size("w").alias("dl"), *counts)
+    tf = stored(words.select("doc_id", *keep, F.size("w").alias("dl"), *counts), "term-counts")
     stats = tf.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]).first()
     n, avgdl = stats["n"] or 0, stats["avgdl"] or 1.0
-    import math
-
     score, every, some = F.lit(0.0), F.lit(True), F.lit(False)
     for i in range(len(terms)):
         df, f = stats[f"df{i}"] or 0, F.col(f"tf{i}").cast("double")
         idf = math.log(1 + (n - df + 0.5) / (df + 0.5))
         score = score + F.lit(idf) * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.lit(float(avgdl))))
         every, some = every & (F.col(f"tf{i}") > 0), some | (F.col(f"tf{i}") > 0)
-    return tf.where(every if conjunctive else some).select("doc_id", score.alias("score"))
+    return tf.where(every if conjunctive else some).select("doc_id", score.alias("score"), *keep)
 
 
 def bm25_index(index: DataFrame, query: list[str], k1: float = K1, b: float = B, conjunctive: bool = False) -> DataFrame:
@@ -112,9 +114,14 @@ def rrf(lists: dict[str, DataFrame], key: str, offset: int, limit: int | None =
 
 
 def hybrid(text_hits: DataFrame, vector_hits: DataFrame, key: str, limit: int = 10) -> DataFrame:
-    """File-level hybrid search: text list (key, score, rank), vector list (key, distance, rank)."""
-    fused = rrf({"bm25": text_hits, "semantic": vector_hits}, key, 1)
-    out = fused.join(text_hits.select(key, F.col("score").alias("bm25_score")), key, "left").join(vector_hits.select(key, (1 - F.col("distance")).alias("semantic_score")), key, "left")
+    """File-level hybrid search: text list (key, score, rank), vector list (key, distance, rank).
+
+    Both scores travel with the ranks through one union and one aggregation, so neither list is made twice.
+    """
+    none, fused = F.lit(None).cast("double"), 1.0 / (F.lit(RRF_K) + F.col("rank"))
+    left = text_hits.select(key, fused.alias("s"), F.lit("bm25").alias("src"), F.col("score").cast("double").alias("bm25_score"), none.alias("semantic_score"))
+    right = vector_hits.select(key, fused.alias("s"), F.lit("semantic").alias("src"), none.alias("bm25_score"), (1 - F.col("distance")).alias("semantic_score"))
+    out = left.unionByName(right).groupBy(key).agg(F.sum("s").alias("score"), F.array_join(F.sort_array(F.collect_set("src")), ",").alias("sources"), F.max("bm25_score").alias("bm25_score"), F.max("semantic_score").alias("semantic_score"))
     return ranked(out, [F.desc("score"), key], limit)
 
 

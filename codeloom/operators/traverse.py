@@ -142,15 +142,16 @@ def traces(calls: DataFrame, entries: DataFrame, max_depth: int = 10, branching:
 
 
 def drop_contained(paths: DataFrame, path: str = "path") -> DataFrame:
-    """Paths that are no contiguous part of a longer (or equal, earlier) one.
+    """Paths that are no contiguous part of a longer one.
 
-    Candidates are joined on (first element, its position in the other path), not all with all.
+    Every path is exploded into its proper parts (traces are short), and a path equal to some part goes: an equi join
+    on whole paths, so a node that all paths share is no hot key.
     """
-    keyed = paths.select(F.col(path).alias("p")).distinct().withColumn("text", F.concat(F.lit("\u0001"), F.array_join("p", "\u0001"), F.lit("\u0001")))
-    inside = keyed.select(F.col("p").alias("longer"), F.col("text").alias("longer_text"), F.posexplode("p").alias("at", "first"))
-    short = keyed.withColumn("first", F.col("p")[0])
-    contained = short.join(inside, "first").where((F.size("longer") > F.size("p")) & F.col("longer_text").contains(F.col("text"))).select("p").distinct()
-    return keyed.join(contained, "p", "left_anti").select(F.col("p").alias(path))
+    keyed = paths.select(F.col(path).alias("p")).distinct()
+    n = F.size("p")
+    cuts = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda at: F.slice("p", at, size))))
+    parts = keyed.where(n > 1).select(F.explode(cuts).alias("p")).distinct()
+    return keyed.join(parts, "p", "left_anti").select(F.col("p").alias(path))
 
 
 def longest_per_ends(paths: DataFrame, path: str = "path") -> DataFrame:

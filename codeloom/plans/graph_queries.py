@@ -56,21 +56,21 @@ def file_mediated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "diamond",
-    f"""WITH {succession_sql('1')}, e AS (SELECT DISTINCT src, dst FROM succ)
+    f"""WITH {succession_sql()}, e AS (SELECT DISTINCT src, dst FROM succ)
 SELECT t1.dst AS top, x.dst AS left_mid, y.dst AS right_mid, x.src AS bottom FROM e x JOIN e y ON x.src = y.src AND x.dst < y.dst JOIN e t1 ON t1.src = x.dst JOIN e t2 ON t2.src = y.dst AND t2.dst = t1.dst""",
 )
 def diamond(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.diamonds(succession_edges(spark, sf_dir, "1").withColumn("type", F.lit("CALLS")), "CALLS")
+    return relational.diamonds(succession_edges(spark, sf_dir).withColumn("type", F.lit("CALLS")), "CALLS")
 
 
 @query(
     "k_hop",
-    f"""WITH {succession_sql('1')}, e AS (SELECT DISTINCT src, dst FROM succ), s AS (SELECT src AS seed FROM e GROUP BY src ORDER BY src::BIGINT LIMIT 20),
+    f"""WITH {succession_sql()}, e AS (SELECT DISTINCT src, dst FROM succ), s AS (SELECT src AS seed FROM e GROUP BY src ORDER BY src::BIGINT LIMIT 20),
 h1 AS (SELECT DISTINCT seed, dst AS id FROM s JOIN e ON src = seed), h2 AS (SELECT DISTINCT seed, dst AS id FROM h1 JOIN e ON src = id), h3 AS (SELECT DISTINCT seed, dst AS id FROM h2 JOIN e ON src = id)
 SELECT seed, id, 1 AS hops FROM h1 UNION ALL SELECT seed, id, 2 FROM h2 UNION ALL SELECT seed, id, 3 FROM h3""",
 )
 def k_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = succession_edges(spark, sf_dir, "1")
+    e = succession_edges(spark, sf_dir)
     return relational.k_hop(e, _seeds(e, 20), 3)
 
 
@@ -111,7 +111,7 @@ def context_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return side("dst", "incoming").unionByName(side("src", "outgoing"))
 
 
-def _bfs_sql(near: str, far: str, depth: int, n: int, priority: str = "1") -> str:
+def _bfs_sql(near: str, far: str, depth: int, n: int, priority: str | None = None) -> str:
     return f"""WITH RECURSIVE {succession_sql(priority)}, s AS (SELECT src AS id FROM succ GROUP BY src ORDER BY src::BIGINT LIMIT {n}),
 r AS (SELECT id, 0 AS depth FROM s UNION SELECT {far}, depth + 1 FROM r JOIN succ ON {near} = id WHERE depth < {depth})
 SELECT id, min(depth)::INTEGER AS depth FROM r GROUP BY id HAVING min(depth) > 0"""
@@ -119,24 +119,24 @@ SELECT id, min(depth)::INTEGER AS depth FROM r GROUP BY id HAVING min(depth) > 0
 
 @query("impact_upstream", _bfs_sql("dst", "src", 3, 5))
 def impact_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = succession_edges(spark, sf_dir, "1")
+    e = succession_edges(spark, sf_dir)
     return traverse.bfs(e, _seeds(e, 5), "up", 3).select("id", "depth")
 
 
 @query("impact_downstream", _bfs_sql("src", "dst", 3, 5))
 def impact_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = succession_edges(spark, sf_dir, "1")
+    e = succession_edges(spark, sf_dir)
     return traverse.bfs(e, _seeds(e, 5), "down", 3).select("id", "depth")
 
 
 @query("importer_closure", _bfs_sql("dst", "src", 4, 5).replace("HAVING min(depth) > 0", ""))
 def importer_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that import the seeds, directly or not, within four levels, seeds included."""
-    e = succession_edges(spark, sf_dir, "1")
+    e = succession_edges(spark, sf_dir)
     return traverse.closure(e, _seeds(e, 5), "up", 4)[0]
 
 
-_ENRICH = f"""WITH RECURSIVE {succession_sql('1')}, s AS (SELECT src AS id FROM succ GROUP BY src ORDER BY src::BIGINT LIMIT 5),
+_ENRICH = f"""WITH RECURSIVE {succession_sql()}, s AS (SELECT src AS id FROM succ GROUP BY src ORDER BY src::BIGINT LIMIT 5),
 r AS (SELECT id, 0 AS depth FROM s UNION SELECT src, depth + 1 FROM r JOIN succ ON dst = id WHERE depth < 3),
 f AS (SELECT id, min(depth) AS depth FROM r GROUP BY id HAVING min(depth) > 0)"""
 
@@ -146,7 +146,7 @@ f AS (SELECT id, min(depth) AS depth FROM r GROUP BY id HAVING min(depth) > 0)""
     f"{_ENRICH} SELECT c_nationkey AS module, count(DISTINCT id)::BIGINT AS hits, CASE WHEN max((depth = 1)::INT) = 1 THEN 'direct' ELSE 'indirect' END AS impact FROM f JOIN customer ON c_custkey::VARCHAR = id GROUP BY 1",
 )
 def impact_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = succession_edges(spark, sf_dir, "1")
+    e = succession_edges(spark, sf_dir)
     found = traverse.bfs(e, _seeds(e, 5), "up", 3)
     members = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_nationkey").alias("module"))
     return impact.affected_modules(found, members, None)
@@ -158,7 +158,7 @@ def impact_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def impact_processes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A process is a priority and year, a step a month."""
-    e = succession_edges(spark, sf_dir, "1")
+    e = succession_edges(spark, sf_dir)
     found = traverse.bfs(e, _seeds(e, 5), "up", 3)
     steps = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("id"), F.concat("o_orderpriority", F.year("o_orderdate")).alias("process"), F.month("o_orderdate").alias("step"))
     return impact.affected_processes(found, steps)
@@ -173,7 +173,7 @@ SELECT total, direct, processes, modules, CASE WHEN direct >= 30 OR processes >=
  WHEN direct >= 5 OR total >= 30 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM t, p, m""",
 )
 def impact_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = succession_edges(spark, sf_dir, "1")
+    e = succession_edges(spark, sf_dir)
     found = traverse.bfs(e, _seeds(e, 5), "up", 3)
     steps = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("id"), F.concat("o_orderpriority", F.year("o_orderdate")).alias("process"), F.month("o_orderdate").alias("step"))
     members = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_nationkey").alias("module"))
@@ -182,7 +182,7 @@ def impact_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "cross_repo_impact",
-    f"""WITH RECURSIVE {succession_sql('1')}, rp AS (SELECT c_custkey::VARCHAR AS id, n_regionkey AS repo FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    f"""WITH RECURSIVE {succession_sql()}, rp AS (SELECT c_custkey::VARCHAR AS id, n_regionkey AS repo FROM customer JOIN nation ON c_nationkey = n_nationkey),
 inn AS (SELECT src, dst FROM succ JOIN rp a ON src = a.id JOIN rp b ON dst = b.id WHERE a.repo = b.repo),
 lnk AS (SELECT src, dst, confidence FROM succ JOIN rp a ON src = a.id JOIN rp b ON dst = b.id WHERE a.repo <> b.repo),
 s AS (SELECT src AS id FROM succ GROUP BY src ORDER BY src::BIGINT LIMIT 5),
@@ -195,7 +195,7 @@ SELECT id, repo, depth, phase, link_confidence FROM (SELECT id, depth::INTEGER A
 )
 def cross_repo_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions are repositories; edges between regions are contract links."""
-    e = succession_edges(spark, sf_dir, "1")
+    e = succession_edges(spark, sf_dir)
     n = table(spark, sf_dir, "nation")
     repo = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").cast("string").alias("id"), F.col("n_regionkey").alias("repo"))
     both = e.join(repo.select(F.col("id").alias("src"), F.col("repo").alias("r1")), "src").join(repo.select(F.col("id").alias("dst"), F.col("repo").alias("r2")), "dst")
@@ -235,14 +235,14 @@ def semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").join(big, "c_custkey", "left_semi").select("c_custkey", "c_name")
 
 
-@query("anti_join", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("anti_join", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
 def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
-@query("union_distinct", f"WITH {succession_sql('1')}, b AS (SELECT dst AS src, src AS dst FROM succ) SELECT DISTINCT src, dst FROM (SELECT src, dst FROM succ UNION ALL SELECT src, dst FROM b)")
+@query("union_distinct", f"WITH {succession_sql()}, b AS (SELECT dst AS src, src AS dst FROM succ) SELECT DISTINCT src, dst FROM (SELECT src, dst FROM succ UNION ALL SELECT src, dst FROM b)")
 def union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = succession_edges(spark, sf_dir, "1").select("src", "dst")
+    e = succession_edges(spark, sf_dir).select("src", "dst")
     return relational.union_distinct([e, e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))], ["src", "dst"])
 
 
@@ -264,16 +264,16 @@ def cluster_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "degree_entry_score",
-    f"""WITH {succession_sql('1')}, o AS (SELECT src AS id, count(*) AS callees FROM succ GROUP BY src), i AS (SELECT dst AS id, count(*) AS callers FROM succ GROUP BY dst)
+    f"""WITH {succession_sql()}, o AS (SELECT src AS id, count(*) AS callees FROM succ GROUP BY src), i AS (SELECT dst AS id, count(*) AS callers FROM succ GROUP BY dst)
 SELECT o.id, callees, coalesce(callers, 0) AS callers, round(callees / (coalesce(callers, 0) + 1.0) * CASE WHEN c_mktsegment = 'BUILDING' THEN 2.0 ELSE 1.0 END, 6) AS score FROM o LEFT JOIN i ON o.id = i.id JOIN customer ON c_custkey::VARCHAR = o.id""",
 )
 def degree_entry_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entry score of customers: callees / (callers + 1), doubled for the exported (BUILDING)."""
     nodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.lit("Function").alias("label"), F.lit("x").alias("name"), F.lit("a/b.go").alias("filePath"), (F.col("c_mktsegment") == "BUILDING").alias("isExported"))
-    return analytics.entry_points(nodes, succession_edges(spark, sf_dir, "1"), None).select("id", "callees", "callers", F.round("score", 6).alias("score"))
+    return analytics.entry_points(nodes, succession_edges(spark, sf_dir), None).select("id", "callees", "callers", F.round("score", 6).alias("score"))
 
 
-_TRACE_BASE = f"""WITH RECURSIVE {succession_sql('1')}, e AS (SELECT DISTINCT src, dst FROM succ),
+_TRACE_BASE = f"""WITH RECURSIVE {succession_sql()}, e AS (SELECT DISTINCT src, dst FROM succ),
 b AS (SELECT src, dst FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 4),
 s AS (SELECT src AS id FROM e GROUP BY src ORDER BY src::BIGINT LIMIT 20),
 p AS (SELECT id AS entry, [id] AS path, 1 AS n, id AS tip FROM s UNION ALL SELECT entry, list_append(path, dst), n + 1, dst FROM p JOIN b ON src = tip WHERE n < 5 AND NOT list_contains(path, dst)),
@@ -283,7 +283,7 @@ d AS (SELECT entry, path, n FROM p WHERE n = 5 OR NOT EXISTS (SELECT 1 FROM b WH
 @query("trace_paths", f"{_TRACE_BASE} SELECT entry, array_to_string(path, '>') AS path FROM d WHERE n >= 3")
 def trace_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All finished traces of at most five nodes from twenty entries."""
-    e = succession_edges(spark, sf_dir, "1").select("src", "dst").distinct()
+    e = succession_edges(spark, sf_dir).select("src", "dst").distinct()
     found = traverse.traces(e, _seeds(e, 20), max_depth=5, per_entry=1_000_000)
     return found.select("entry", F.array_join("path", ">").alias("path"))
 
@@ -295,37 +295,48 @@ k AS (SELECT path, n, path[1] AS a, path[n] AS z FROM t WHERE NOT EXISTS (SELECT
 SELECT array_to_string(path, '>') AS path FROM k QUALIFY row_number() OVER (PARTITION BY a, z ORDER BY n DESC, path) = 1""",
 )
 def trace_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = succession_edges(spark, sf_dir, "1").select("src", "dst").distinct()
+    e = succession_edges(spark, sf_dir).select("src", "dst").distinct()
     found = traverse.traces(e, _seeds(e, 20), max_depth=5, per_entry=1_000_000)
     return traverse.longest_per_ends(traverse.drop_contained(found)).select(F.array_join("path", ">").alias("path"))
 
 
 @query(
     "topo_levels",
-    f"""WITH RECURSIVE {succession_sql('1')}, e AS (SELECT DISTINCT src::BIGINT AS src, dst::BIGINT AS dst FROM succ WHERE dst::BIGINT > src::BIGINT AND dst::BIGINT - src::BIGINT < 400),
+    f"""WITH RECURSIVE {succession_sql()}, e AS (SELECT DISTINCT src::BIGINT AS src, dst::BIGINT AS dst FROM succ WHERE dst::BIGINT > src::BIGINT),
 r AS (SELECT DISTINCT dst AS id, 0 AS l FROM e UNION SELECT src, l + 1 FROM r JOIN e ON dst = id),
 n AS (SELECT src AS id FROM e UNION SELECT dst FROM e)
 SELECT n.id::VARCHAR AS id, coalesce(max(l), 0)::INTEGER AS level FROM n LEFT JOIN r ON n.id = r.id GROUP BY n.id""",
 )
 def topo_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of the succession graph that only steps upwards by less than 400: acyclic."""
-    e = succession_edges(spark, sf_dir, "1").where("CAST(dst AS BIGINT) > CAST(src AS BIGINT) AND CAST(dst AS BIGINT) - CAST(src AS BIGINT) < 400")
+    """All edges of the succession graph that step upwards: acyclic."""
+    e = succession_edges(spark, sf_dir).where("CAST(dst AS BIGINT) > CAST(src AS BIGINT)")
     return traverse.topological_levels(e)
 
 
 @query("communities")
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label propagation with modularity moves; invariants are tested (cover, determinism, modularity)."""
-    return analytics.communities(succession_edges(spark, sf_dir, "1"))
+    """Label propagation with modularity moves; what must hold of it is communities_hold."""
+    return analytics.communities(succession_edges(spark, sf_dir))
+
+
+@query("communities_hold", f"WITH {succession_sql()}, n AS (SELECT src AS id FROM succ UNION SELECT dst FROM succ) SELECT id, 1::BIGINT AS communities, true AS smallest_names_it, true AS better_than_none FROM n")
+def communities_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each node is in one community, which its smallest member names, and the partition has a positive modularity."""
+    e = succession_edges(spark, sf_dir)
+    found = analytics.communities(e)
+    first = found.groupBy("comm").agg(F.min("id").alias("first"))
+    good = analytics.modularity(analytics.neighbours(e), found) > 0
+    per = found.join(first, "comm").groupBy("id").agg(F.countDistinct("comm").alias("communities"), F.every(F.col("first") == F.col("comm")).alias("smallest_names_it"))
+    return per.withColumn("better_than_none", F.lit(good))
 
 
 @query(
     "strongly_connected",
-    f"""WITH RECURSIVE {succession_sql('1')}, e AS (SELECT DISTINCT src::INT AS src, dst::INT AS dst FROM succ), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r AS (SELECT src AS a, dst AS b FROM e UNION SELECT a, dst FROM r JOIN e ON b = src)
+    f"""WITH RECURSIVE {succession_sql()}, e AS (SELECT DISTINCT src::INT AS src, dst::INT AS dst FROM succ), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r AS (SELECT src AS a, dst AS b FROM e UNION SELECT a, dst FROM r JOIN e ON b = src)
 SELECT n.id::VARCHAR AS id, least(n.id::VARCHAR, coalesce(min(x.b::VARCHAR), n.id::VARCHAR)) AS scc FROM n LEFT JOIN (SELECT f.a, f.b FROM r f JOIN r g ON f.a = g.b AND f.b = g.a) x ON x.a = n.id GROUP BY n.id""",
 )
 def strongly_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.strongly_connected(succession_edges(spark, sf_dir, "1"))
+    return traverse.strongly_connected(succession_edges(spark, sf_dir))
 
 
 @query(

@@ -18,48 +18,63 @@ from .registry import Registry
 REGISTRY = Registry()
 query = REGISTRY.query
 
-_UP = "CAST(dst AS BIGINT) > CAST(src AS BIGINT) AND CAST(dst AS BIGINT) - CAST(src AS BIGINT) < 200"
-_UP_SQL = f"{succession_sql('1')}, h AS (SELECT DISTINCT src AS child, dst AS parent FROM succ WHERE {_UP})"
+_HERITAGE_SQL = "h AS (SELECT 'C' || p_partkey AS child, 'C' || (p_partkey // d) AS parent, min(d) AS seq FROM part, (SELECT unnest([3, 5]) AS d) WHERE p_partkey > 0 GROUP BY ALL)"
 
 
 def _heritage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of the succession graph that only steps upwards: an acyclic hierarchy."""
-    e = succession_edges(spark, sf_dir, "1").where(_UP).select(F.col("src").alias("child"), F.col("dst").alias("parent")).distinct()
-    return e.withColumn("kind", F.lit("EXTENDS")).withColumn("seq", F.col("parent").cast("int"))
+    """All parts as classes: class k extends k // 3 and k // 5, a deep hierarchy with shared bases."""
+    p = table(spark, sf_dir, "part").where("p_partkey > 0").select("p_partkey", F.explode(F.array(F.lit(3), F.lit(5))).alias("d"))
+    name = lambda k: F.concat(F.lit("C"), k.cast("string"))
+    e = p.groupBy(name(F.col("p_partkey")).alias("child"), name(F.floor(F.col("p_partkey") / F.col("d"))).alias("parent")).agg(F.min("d").alias("seq"))
+    return e.withColumn("kind", F.lit("EXTENDS"))
 
 
-@query("ancestor_closure", f"WITH RECURSIVE {_UP_SQL}, r AS (SELECT child, parent AS ancestor, 1 AS depth FROM h UNION SELECT r.child, h.parent, depth + 1 FROM r JOIN h ON h.child = ancestor WHERE depth < 32) SELECT child, ancestor, min(depth)::INTEGER AS depth FROM r GROUP BY child, ancestor")
+_ANCESTORS_SQL = f"{_HERITAGE_SQL}, r AS (SELECT child, parent AS ancestor, 1 AS depth FROM h UNION SELECT r.child, h.parent, depth + 1 FROM r JOIN h ON h.child = ancestor), m AS (SELECT child, ancestor, min(depth)::INTEGER AS depth FROM r GROUP BY ALL)"
+
+
+@query("ancestor_closure", f"WITH RECURSIVE {_ANCESTORS_SQL} SELECT * FROM m")
 def ancestor_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.ancestors(_heritage(spark, sf_dir))
 
 
+@query("mro_holds", f"WITH RECURSIVE {_ANCESTORS_SQL} SELECT child, count(*)::BIGINT AS ancestors, true AS each_once, true AS parents_in_order FROM m GROUP BY child")
+def mro_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order has each ancestor once, in whole positions from 0; where C3 succeeds, own parents stand as written."""
+    heritage = _heritage(spark, sf_dir)
+    order = analytics.linearize(heritage)
+    whole = order.groupBy("child").agg(F.count(F.lit(1)).alias("ancestors"), ((F.countDistinct("ancestor") == F.count(F.lit(1))) & (F.max("pos") + 1 == F.count(F.lit(1)))).alias("each_once"))
+    placed = heritage.join(order.withColumnRenamed("ancestor", "parent"), ["child", "parent"]).where("exact")
+    kept = placed.groupBy("child").agg((F.max_by("pos", "seq") >= F.max("pos")).alias("parents_in_order"))
+    return whole.join(kept, "child", "left").withColumn("parents_in_order", F.coalesce("parents_in_order", F.lit(True)))
+
+
 @query("mro_c3")
 def mro_c3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C3 orders of the acyclic hierarchy; inconsistent ones fall back to breadth first (exact = false)."""
+    """C3 orders of the hierarchy; inconsistent ones fall back to breadth first (exact = false). What must hold is mro_holds."""
     return analytics.linearize(_heritage(spark, sf_dir))
 
 
-@query("direct_or_inherited", f"WITH RECURSIVE {_UP_SQL}, r AS (SELECT child, parent AS ancestor, 1 AS depth FROM h UNION SELECT r.child, h.parent, depth + 1 FROM r JOIN h ON h.child = ancestor WHERE depth < 32), m AS (SELECT child, ancestor, min(depth) AS depth FROM r GROUP BY ALL) SELECT child, count(*)::BIGINT AS ancestors, count(*) FILTER (depth = 1)::BIGINT AS direct FROM m GROUP BY child")
+@query("direct_or_inherited", f"WITH RECURSIVE {_ANCESTORS_SQL} SELECT child, count(*)::BIGINT AS ancestors, count(*) FILTER (depth = 1)::BIGINT AS direct FROM m GROUP BY child")
 def direct_or_inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.ancestors(_heritage(spark, sf_dir)).groupBy("child").agg(F.count(F.lit(1)).alias("ancestors"), F.count_if(F.col("depth") == 1).alias("direct"))
 
 
-@query("depth_buckets", f"""WITH RECURSIVE {succession_sql('1')}, s AS (SELECT src AS id FROM succ GROUP BY src ORDER BY src::BIGINT LIMIT 5), r AS (SELECT id, 0 AS depth FROM s UNION SELECT src, depth + 1 FROM r JOIN succ ON dst = id WHERE depth < 3),
+@query("depth_buckets", f"""WITH RECURSIVE {succession_sql()}, s AS (SELECT src AS id FROM succ GROUP BY src ORDER BY src::BIGINT LIMIT 5), r AS (SELECT id, 0 AS depth FROM s UNION SELECT src, depth + 1 FROM r JOIN succ ON dst = id WHERE depth < 3),
 f AS (SELECT id, min(depth) AS depth FROM r GROUP BY id HAVING min(depth) > 0) SELECT depth::INTEGER AS depth, count(*)::BIGINT AS n, md5(string_agg(id, ',' ORDER BY id)) AS ids_md5 FROM f GROUP BY depth""")
 def depth_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = succession_edges(spark, sf_dir, "1")
+    e = succession_edges(spark, sf_dir)
     seeds = e.select(F.col("src").alias("id")).distinct().orderBy(F.col("id").cast("long")).limit(5)
     return traverse.depth_buckets(traverse.bfs(e, seeds, "up", 3)).select("depth", "n", F.md5(F.array_join("ids", ",")).alias("ids_md5"))
 
 
 @query(
     "write_set",
-    f"""WITH RECURSIVE {succession_sql('1')}, s AS (SELECT src AS id FROM succ GROUP BY src ORDER BY src::BIGINT LIMIT 3), r AS (SELECT id, 0 AS depth FROM s UNION SELECT src, depth + 1 FROM r JOIN succ ON dst = id WHERE depth < 2),
+    f"""WITH RECURSIVE {succession_sql()}, s AS (SELECT src AS id FROM succ GROUP BY src ORDER BY src::BIGINT LIMIT 3), r AS (SELECT id, 0 AS depth FROM s UNION SELECT src, depth + 1 FROM r JOIN succ ON dst = id WHERE depth < 2),
 w AS (SELECT DISTINCT id FROM r) SELECT id AS path FROM w UNION SELECT src FROM succ WHERE dst IN (SELECT id FROM w)""",
 )
 def write_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changed files with importers up to two levels, and the files one import further."""
-    e = succession_edges(spark, sf_dir, "1")
+    e = succession_edges(spark, sf_dir)
     seeds = e.select(F.col("src").alias("id")).distinct().orderBy(F.col("id").cast("long")).limit(3)
     reached, _ = traverse.closure(e, seeds, "up", 2)
     return incremental.boundary(reached.select(F.col("id").alias("path")), e.select("src", "dst"))
@@ -230,6 +245,13 @@ def siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(sizes, ["c_nationkey", "c_mktsegment"]).where("n > 1").select(F.col("c_custkey").alias("repo"), (F.col("n") - 1).alias("siblings"))
 
 
+@query("stem_totals", "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')) AS term FROM documents) SELECT doc_id, count(*)::BIGINT AS terms FROM t GROUP BY doc_id")
+def stem_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stemming gathers terms, it loses none: the counts of each document's stems add up to its terms."""
+    index = search.postings(table(spark, sf_dir, "documents"), "doc_id", "text", porter)
+    return index.groupBy("doc_id").agg(F.sum("tf").alias("terms"))
+
+
 @query("stemmed_terms")
 def stemmed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency of stemmed terms: the index that a stemming full-text search reads."""
@@ -245,13 +267,13 @@ def body_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.body_only(d.select("doc_id", F.col("text").alias("old"), new.alias("new"))).select("doc_id", "reason")
 
 
-@query("cohesion", f"""WITH {succession_sql('1')}, m AS (SELECT c_custkey::VARCHAR AS id, c_nationkey AS comm FROM customer), nb AS (SELECT src AS a, dst AS b FROM succ UNION SELECT dst, src FROM succ),
+@query("cohesion", f"""WITH {succession_sql()}, m AS (SELECT c_custkey::VARCHAR AS id, c_nationkey AS comm FROM customer), nb AS (SELECT src AS a, dst AS b FROM succ UNION SELECT dst, src FROM succ),
 s AS (SELECT comm, count(*)::BIGINT AS symbols FROM m GROUP BY comm), c AS (SELECT x.comm, avg((x.comm = y.comm)::INT) AS c FROM nb JOIN m x ON a = x.id JOIN m y ON b = y.id GROUP BY x.comm)
 SELECT s.comm, symbols, round(CASE WHEN symbols <= 1 THEN 1.0 ELSE coalesce(c, 1.0) END, 6) AS cohesion FROM s LEFT JOIN c ON s.comm = c.comm""")
 def cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cohesion of nations over all members (no sample)."""
     members = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_nationkey").alias("comm"))
-    return analytics.cohesion(succession_edges(spark, sf_dir, "1"), members, None).withColumn("cohesion", F.round("cohesion", 6))
+    return analytics.cohesion(succession_edges(spark, sf_dir), members, None).withColumn("cohesion", F.round("cohesion", 6))
 
 
 @query("frontier_semi_join", f"WITH {TRADE_SQL} SELECT type, count(*)::BIGINT AS n FROM trade_edges WHERE dst IN (SELECT id FROM trade_nodes WHERE label IN ('Supplier', 'Nation')) GROUP BY type")
@@ -280,8 +302,8 @@ def tolerant_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where(predicates.tolerant_confidence(0.97)).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("risk_by_target", f"WITH {succession_sql('1')}, d AS (SELECT dst AS id, count(*) AS direct FROM succ GROUP BY dst) SELECT id, direct::BIGINT AS direct, CASE WHEN direct >= 30 THEN 'CRITICAL' WHEN direct >= 15 THEN 'HIGH' WHEN direct >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM d")
+@query("risk_by_target", f"WITH {succession_sql()}, d AS (SELECT dst AS id, count(*) AS direct FROM succ GROUP BY dst) SELECT id, direct::BIGINT AS direct, CASE WHEN direct >= 30 THEN 'CRITICAL' WHEN direct >= 15 THEN 'HIGH' WHEN direct >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM d")
 def risk_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risk class of changing each node by its direct dependents alone."""
-    d = succession_edges(spark, sf_dir, "1").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("direct"))
+    d = succession_edges(spark, sf_dir).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("direct"))
     return d.withColumn("risk", impact.impact_risk(F.col("direct"), F.lit(0), F.lit(0), F.col("direct")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as text_fn
-from ..operators import relational, search
+from ..operators import composite, relational, search
 from ..sources.tables import table
 from .derived import SESSIONS_SQL, sessions
 from .registry import Registry
@@ -79,7 +79,7 @@ def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("top3_sum_per_source", f"WITH {BM25_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(score, 6) DESC, doc_id) AS n FROM bm) SELECT source, round(sum(round(score, 6)), 5) AS score FROM r WHERE n <= 3 GROUP BY source")
 def top3_sum_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _text(spark, sf_dir).withColumn("score", F.round("score", 6)).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    hits = _text(spark, sf_dir, keep=("source",)).withColumn("score", F.round("score", 6))
     return relational.top3_sum(hits, "source", tie="doc_id").select("source", F.round("score", 5).alias("score"))
 
 
@@ -113,9 +113,11 @@ def rrf_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rrf_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source is a repository of a group; its list is ranked by itself."""
-    hits = _text(spark, sf_dir).withColumn("score", F.round("score", 6)).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    hits = _text(spark, sf_dir, keep=("source",)).withColumn("score", F.round("score", 6))
+    best = relational.top_per_key(hits, "source", [F.desc("score"), "doc_id"], 5)
     w = Window.partitionBy("source").orderBy(F.desc("score"), "doc_id")
-    return hits.withColumn("n", F.row_number().over(w)).where("n <= 5").select("source", "doc_id", F.round(1.0 / (60 + F.col("n")), 9).alias("score"))
+    lists = best.select(F.col("source").alias("repo"), F.col("doc_id").alias("process"), F.row_number().over(w).alias("rank"), F.lit("").alias("filePath"))
+    return composite.group_query(lists, 1_000_000).select(F.col("repo").alias("source"), F.col("process").alias("doc_id"), F.round("score", 9).alias("score"))
 
 
 @query(
