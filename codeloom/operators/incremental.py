@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Graph
+from ..session import stored
 from .relational import hash_diff
 from .traverse import closure
 
@@ -52,9 +53,9 @@ def changed_subgraph(graph: Graph, paths: DataFrame) -> Graph:
     folders = paths.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("filePath")).distinct()
     wide = graph.nodes.where("label IN ('Community', 'Process', 'Route', 'Tool')")
     above = graph.nodes.where("label = 'Folder'").join(folders, "filePath", "left_semi").select(*graph.nodes.columns)
-    nodes = mine.select(*graph.nodes.columns).unionByName(wide).unionByName(above).dropDuplicates(["id"])
-    ids, own = nodes.select("id"), mine.select("id")
-    kept = graph.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    nodes = stored(mine.select(*graph.nodes.columns).unionByName(wide).unionByName(above).dropDuplicates(["id"]), "changed-nodes")
+    ids, own = nodes.select("id"), nodes.join(paths.select(F.col("path").alias("filePath")).distinct(), "filePath", "left_semi").select("id")
+    kept = stored(graph.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"), "changed-edges")
     a = kept.join(own.withColumnRenamed("id", "src"), "src", "left_semi").select(*graph.edges.columns)
     b = kept.join(own.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*graph.edges.columns)
     return Graph(nodes, a.unionByName(b).distinct())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Graph, label_of
+from ..session import stored
 
 
 def folders_and_files(paths: DataFrame, path: str = "path") -> DataFrame:
@@ -41,13 +42,13 @@ def upsert_nodes(graph: Graph, rows: DataFrame) -> Graph:
 
 def delete_files(graph: Graph, paths: DataFrame) -> Graph:
     """Nodes of the files, every edge at them, and folders left without files."""
-    gone = graph.nodes.join(paths.select("filePath").distinct(), "filePath", "left_semi").select("id").distinct()
+    gone = stored(graph.nodes.join(paths.select("filePath").distinct(), "filePath", "left_semi").select("id").distinct(), "nodes-of-files")
     nodes = graph.nodes.join(gone, "id", "left_anti")
     folders = nodes.where("label = 'Folder'").select(F.col("id").alias("fid"), F.col("filePath").alias("folder"))
     parts = F.split("filePath", "/")
     used = nodes.where("label = 'File'").select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("folder")).distinct()
     empty = folders.join(used, "folder", "left_anti").select(F.col("fid").alias("id"))
-    gone = gone.unionByName(empty)
+    gone = stored(gone.unionByName(empty), "gone-nodes")  # used three times: by nodes and by both ends of edges
     nodes = graph.nodes.join(gone, "id", "left_anti")
     edges = graph.edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
     return Graph(nodes, edges.select(*graph.edges.columns))
