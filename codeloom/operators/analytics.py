@@ -197,13 +197,13 @@ def c3(parents: dict[str, list[str]], name: str, active: frozenset = frozenset()
     return out
 
 
-def linearize(heritage: DataFrame, max_depth: int = 32) -> DataFrame:
+def linearize(heritage: DataFrame) -> DataFrame:
     """(child, pos, ancestor) in C3 order; breadth-first order where C3 has no answer.
 
     heritage (child, parent, seq). Each child's own ancestors' edges are collected (a class has few ancestors), so
     hierarchies are spread over tasks by child.
     """
-    above = ancestors(heritage, max_depth)
+    above = ancestors(heritage)
     scope = above.select("child", "ancestor", "depth").unionByName(heritage.select("child", F.col("child").alias("ancestor"), F.lit(0).alias("depth")).distinct())
     edges = scope.join(heritage.select(F.col("child").alias("ancestor"), "parent", "seq"), "ancestor").select(F.col("child").alias("root"), F.col("ancestor").alias("child"), "parent", "seq", "depth")
 

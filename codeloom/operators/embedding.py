@@ -40,11 +40,13 @@ def structural_names(graph: Graph) -> DataFrame:
 
 
 def declarations_only(text):
-    """Bodies in braces removed, innermost first (three levels)."""
+    """Bodies in braces behind a parameter list removed, innermost first, however deep they are nested."""
     text = F.col(text) if isinstance(text, str) else text
-    for _ in range(3):
-        text = F.regexp_replace(text, r"\)\s*(?::\s*[\w<>\[\]., |]+)?\s*\{[^{}]*\}", ") { … }")
-    return text
+    done = "\u0001"  # stands for a removed body while those around it are looked at
+    opened = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
+    shell = rf"(\)\s*(?::\s*[\w<>\[\]., |]+)?)\s*\{{[^{{}}]*\}}"
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), opened)), text, lambda a, _: F.regexp_replace(a, shell, f") {done}"))
+    return F.replace(folded, F.lit(done), F.lit("{ … }"))
 
 
 def embedding_inputs(graph: Graph) -> DataFrame:

@@ -118,9 +118,11 @@ def tie_break(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
-def scope_lookup(sites: DataFrame, scopes: DataFrame, bindings: DataFrame, max_depth: int = 64) -> DataFrame:
+def scope_lookup(sites: DataFrame, scopes: DataFrame, bindings: DataFrame, max_depth: int = 1_000) -> DataFrame:
     """(site, id, hops): the nearest enclosing scope that binds the name; a binding hides outer ones.
 
+    Scopes nested deeper than max_depth, or in a circle, are an error.
+
     sites (site, scope, name), scopes (scope, parent), bindings (scope, name, id).
     """
     current = sites.select("site", "scope", "name", F.lit(0).alias("hops"))
@@ -131,8 +133,8 @@ def scope_lookup(sites: DataFrame, scopes: DataFrame, bindings: DataFrame, max_d
         rest = current.join(hit.select("site").distinct(), "site", "left_anti")
         current = cut(rest.join(scopes.where("parent IS NOT NULL"), "scope").select("site", F.col("parent").alias("scope"), "name", (F.col("hops") + 1).alias("hops")))
         if current.isEmpty():
-            break
-    return out
+            return out
+    raise RuntimeError(f"scopes are nested more than {max_depth} deep")
 
 
 def wildcard_bindings(imports: DataFrame, exports: DataFrame, cap: int = 1_000) -> DataFrame:
@@ -142,10 +144,10 @@ def wildcard_bindings(imports: DataFrame, exports: DataFrame, cap: int = 1_000)
     return j.withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap).select("file", "name", "id")
 
 
-def propagate_types(known: DataFrame, links: DataFrame, max_rounds: int = 32) -> DataFrame:
+def propagate_types(known: DataFrame, links: DataFrame) -> DataFrame:
     """Fixpoint of types over import links: known (name, type), links (name, source); the first type reached stays."""
     state = cut(known.select("name", "type").dropDuplicates(["name"]))
-    for _ in range(max_rounds):
+    while True:  # every round adds names or is the last
         fresh = cut(links.join(state.withColumnRenamed("name", "source"), "source").select("name", "type").join(state.select("name"), "name", "left_anti").groupBy("name").agg(F.min("type").alias("type")))
         if fresh.isEmpty():
             break

@@ -167,3 +167,18 @@ def hashing_embedder(dims: int = 64):
 def open_index(spark: SparkSession, table: str) -> DataFrame | None:
     """A stored postings table; None if it doesn't exist (an empty result is something else)."""
     return spark.table(table) if spark.catalog.tableExists(table) else None
+
+
+def create_index(docs: DataFrame, table: str, doc_id: str = "doc_id", text: str = "text", stem=None) -> DataFrame:
+    """Build postings and store them as a table, sorted by term so that a search reads few row groups."""
+    if docs.sparkSession.catalog.tableExists(table):
+        raise ValueError(f"index {table} exists; drop it first")
+    postings(docs, doc_id, text, stem).sortWithinPartitions("term", "doc_id").write.saveAsTable(table)
+    return docs.sparkSession.table(table)
+
+
+def drop_index(spark: SparkSession, table: str) -> bool:
+    """True if there was one."""
+    there = spark.catalog.tableExists(table)
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    return there

@@ -60,12 +60,12 @@ def include_closure(includes: DataFrame, seeds: DataFrame, cap: int = 5_000, max
     return found.withColumn("position", F.row_number().over(w)).where(F.col("position") <= cap).select("seed", "id", "depth", "position")
 
 
-def ancestors(heritage: DataFrame, max_depth: int = 32) -> DataFrame:
-    """(child, ancestor, depth): every ancestor with its smallest distance; heritage (child, parent, ..)."""
+def ancestors(heritage: DataFrame) -> DataFrame:
+    """(child, ancestor, depth): every ancestor with its smallest distance, however far; heritage (child, parent, ..)."""
     step = heritage.select(F.col("child").alias("mid"), F.col("parent").alias("ancestor")).distinct()
     seen = cut(heritage.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
     frontier = seen
-    for depth in range(2, max_depth + 1):
+    for depth in count(2):
         hop = frontier.select("child", F.col("ancestor").alias("mid")).join(step, "mid").where("child <> ancestor").select("child", "ancestor").distinct()
         frontier = cut(hop.join(seen.select("child", "ancestor"), ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():

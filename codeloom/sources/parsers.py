@@ -182,14 +182,14 @@ def parse_python(files: DataFrame) -> DataFrame:
 
 
 def parse_cobol(files: DataFrame, copybooks: DataFrame | None = None, max_copybook_bytes: int = 64 << 20) -> DataFrame:
-    """Facts of COBOL sources. Copybooks (name, content) are expanded if they fit the bound, else reported as COPY only."""
+    """Facts of COBOL sources, copybooks (name, content) expanded. Those go to every task, so more than the bound is an error."""
     if copybooks is None:
         return _rows(files, cobol_facts)
     from pyspark.sql import functions as F
 
     size = copybooks.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()[0]
     if size > max_copybook_bytes:
-        return _rows(files, cobol_facts)
+        raise ValueError(f"copybooks hold {size} bytes, more than {max_copybook_bytes}; raise max_copybook_bytes or pass those in use")
     books = {r["name"].upper(): r["content"] for r in copybooks.select("name", "content").collect()}
     return _rows(files, lambda text: cobol_facts(expand_copies(text, books)))
 
