@@ -200,6 +200,71 @@ def test_cotraining_edges(spark, odd, sf_dir):
     assert cotraining.keep(odd, labels).columns == odd.columns
 
 
+def plain_cotraining(rows, labels, order, rounds, per_round):
+    """Co-training row by row: (text score, metadata score, combined score) of each row. rows (doc_id, text, lang, source,
+    n_chars), labels doc_id -> 0 or 1, order: the labelled ids as the sample takes them."""
+    view = {i: cotraining.text_view(r[1].encode() if r[1] else None) for i, r in enumerate(rows)}
+    meta = {i: cotraining.meta_view(*r[2:5]) for i, r in enumerate(rows)}
+    of = {}
+    for i, r in enumerate(rows):
+        if r[0] in labels and (r[0] not in of or view[i].tobytes() < view[of[r[0]]].tobytes()):
+            of[r[0]] = i
+    chosen = [of[d] for d in order if d in of]
+    y = np.array([labels[rows[i][0]] for i in chosen], float)
+    held = np.arange(len(y)) % cotraining.HOLD_OUT == 0
+    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
+        held = np.zeros(len(y), bool)  # too few of a class: calibrated on the rows it is fitted on
+    kept = [i for i, h in zip(chosen, held) if not h]
+    train_x = [[view[i] for i in kept], [meta[i] for i in kept]]
+    train_y = [list(y[~held]), list(y[~held])]
+    first = {}
+    for i, r in sorted(enumerate(rows), key=lambda e: (e[1][0] is not None, e[1][0] or 0)):
+        if r[0] not in labels:
+            first.setdefault(view[i].tobytes(), i)
+    open_rows = list(first.values())
+    tie = {i: cotraining.xxhash.xxh64_intdigest(view[i].tobytes()) >> 1 for i in open_rows}
+    profile = {i: tuple(np.flatnonzero(meta[i])) for i in open_rows}
+    per_round = max(per_round, int(len(open_rows) ** 0.5))
+    spread = {(rows[i][2], rows[i][3], int(np.log2(1 + max(0, rows[i][4] or 0)))) for i in open_rows}
+    quota = -(-per_round // max(1, min(cotraining.SPREAD, len(spread))))
+    models, taken = [cotraining.fit(np.array(x), np.array(t)) for x, t in zip(train_x, train_y)], [set(), set()]
+    for _ in range(rounds):
+        fresh = [[], []]
+        for number, source in enumerate((view, meta)):
+            logit = {i: round(float(models[number].logit(source[i][None])[0]), 6) for i in open_rows}
+            for label in (0, 1):
+                sure = {i: v if label else -v for i, v in logit.items() if tie[i] not in taken[number]}
+                ranked = sorted((i for i in sure if sure[i] > 0), key=lambda i: (-sure[i], tie[i]))
+                seen, places = {}, {}
+                for i in ranked:
+                    seen[profile[i]] = places[i] = seen.get(profile[i], 0) + 1
+                best = sorted(ranked, key=lambda i: (places[i] > quota, -sure[i], tie[i]))[:per_round]
+                fresh[1 - number] += [(i, label) for i in best]
+        for number, source in enumerate((view, meta)):
+            train_x[number] += [source[i] for i, _ in fresh[number]]
+            train_y[number] += [label for _, label in fresh[number]]
+            taken[1 - number] |= {tie[i] for i, _ in fresh[number]}
+        models = [cotraining.fit(np.array(x), np.array(t)) for x, t in zip(train_x, train_y)]
+    on = held if held.any() else ~held
+    for model, source in zip(models, (view, meta)):
+        cotraining.calibrate(model, np.array([source[i] for i in np.array(chosen)[on]]), y[on])
+    whole = cotraining.CoTrained(*models, float(np.clip(y.mean(), 0.01, 0.99)))
+    return [tuple(float(p[0]) for p in whole.parts(view[i][None], meta[i][None])) for i in range(len(rows))]
+
+
+def test_cotraining_equals_a_plain_version(spark, docs, sf_dir):
+    """The distributed search for pseudo-labels, round by round, against one that looks at every row by itself."""
+    from pyspark.sql import functions as F
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality IN (0, 1)")
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    order = [r["doc_id"] for r in labels.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    got = cotraining.classify(docs.repartition(5), labels, rounds=2, per_round=12).collect()
+    want = plain_cotraining(rows, {r["doc_id"]: r["quality"] for r in labels.collect()}, order, 2, 12)
+    mine = sorted((r["doc_id"], r["text_score"], r["meta_score"], r["score"]) for r in got)
+    assert np.allclose(mine, sorted((r[0], *w) for r, w in zip(rows, want)), atol=1e-4)
+
+
 def test_cotraining_names_and_repeated_rows(spark, docs, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     clash = docs.selectExpr("*", "1 AS scores", "2 AS __s")
@@ -763,6 +828,34 @@ def test_html_equals_the_library_on_random_pages(spark):
         assert [got[i] for i in range(120)] == want
 
 
+def test_html_votes_equal_plain_counts(spark):
+    """The paths that hosts agree on, by counting every page's whole containers one by one."""
+    rng = random.Random(9)
+    layouts = ["<article class=post>{}</article>", "<div class='content c{}'>{}</div>", "<main><section class=body>{}</section></main>", "<div><div class=x>{}</div></div>"]
+    rows = []
+    for i in range(90):
+        host = rng.choice("abc")
+        layout = layouts[0] if host == "a" else rng.choice(layouts[1:3]) if host == "b" else rng.choice(layouts)
+        text = "<p>" + " ".join(rng.choice(["lorem", "ipsum", "dolor"]) for _ in range(rng.randrange(5, 40)))
+        body = layout.format(i, text) if layout.count("{}") == 2 else layout.format(text)
+        rows.append((i, f"http://{host}.example/{i}", f"<html><body><div class=top><a href=x>more links</a></div>{body}</body></html>"))
+    vote, general = {}, {}
+    for _, url, page in rows:
+        for path, share in html_consensus.containers(page).items():
+            if share == 1:
+                vote[url[7], path] = vote.get((url[7], path), 0) + 1
+                general[path] = general.get(path, 0) + 1
+    total, chosen = max(general.values()), {}
+    for host in "abc":
+        weight = {p: n + general[p] / total for (h, p), n in vote.items() if h == host}
+        fit = [p for p, w in weight.items() if w >= html_consensus.MAJORITY * max(weight.values())]
+        chosen[host] = min(fit, key=lambda p: (-len(p), p))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: r["text"] for r in html_consensus.extract_main_text(pages).collect()}
+    assert got == {i: html_consensus.extract(page, chosen[url[7]]) for i, url, page in rows}
+    assert chosen["a"] == "/html/body/article.post"
+
+
 def test_html_raw_and_attributes():
     article = "<article><h1>T</h1><p>The text</p></article>"
     for before in (
