@@ -12,7 +12,7 @@ from ..functions import extract, predicates, text
 from ..model import Graph
 from ..operators import analytics, composite, contracts, embedding, incremental, resolution
 from ..session import ensure_checkpoint_dir
-from ..sources import parsers, repo, sinks
+from ..sources import brace_parsers, parsers, repo, sinks
 from ..sources.tables import table
 from .code_graph import CODE_SQL, code_graph
 from .registry import Registry
@@ -338,6 +338,18 @@ def python_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsers.parse_python(f).select("path", "kind", "name", "startLine")
 
 
+@plain("typescript_facts", f"SELECT {_PATH.format('.ts')} AS path, unnest(['import', 'Class', 'heritage', 'Constructor', 'Method', 'call', 'Function', 'call']) AS kind, unnest(['./m' || p_size, 'C' || p_partkey, 'Base', 'constructor', 'run', 'this.helper', 'main', 'C' || p_partkey]) AS name, unnest([NULL, NULL, 'C' || p_partkey, 'C' || p_partkey, 'C' || p_partkey, 'C' || p_partkey || '.run', NULL, 'main']) AS own, unnest([1, 2, 2, 3, 4, 5, 8, 8]) AS \"startLine\" FROM part")
+def typescript_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _files(spark, sf_dir, ".ts", _s("import { a } from './m", F.col("p_size"), "';"), _s("export class C", _KEY, " extends Base {"), "  constructor(x: Map<string, number>) { super(x); }", "  run(a: number): void {", "    this.helper(a, 'fake(1)'); // other(2)", "  }", "}", _s("function main() { return new C", _KEY, "(1); }"))
+    return brace_parsers.parse_typescript(f).select("path", "kind", "name", F.when(F.col("kind") != "import", F.col("owner")).alias("own"), "startLine")
+
+
+@plain("java_facts", f"SELECT {_PATH.format('.java')} AS path, unnest(['import', 'Class', 'heritage', 'heritage', 'Method', 'call']) AS kind, unnest(['java.util', 'C' || p_partkey, 'Base', 'Pet', 'run', 'helper']) AS name, unnest([1, 2, 2, 2, 3, 4]) AS \"startLine\", unnest([0, NULL, 0, 0, 2, p_size % 2 + 1]) AS n FROM part")
+def java_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _files(spark, sf_dir, ".java", "import java.util.List;", _s("public class C", _KEY, " extends Base implements Pet {"), "  public List<String> run(int a, Map<String, Integer> b) {", F.concat(F.lit("    if (a > 0) helper(a"), F.when(F.col("p_size") % 2 == 1, ", b").otherwise(""), F.lit(");")), "  }", "}")
+    return brace_parsers.parse_java(f).select("path", "kind", "name", "startLine", F.col("count").alias("n"))
+
+
 @plain("cobol_facts", f"SELECT {_PATH.format('.cbl')} AS path, unnest(['Module', 'Function', 'perform', 'call']) AS kind, unnest(['PROG' || p_partkey, 'MAIN-PARA', 'NEXT-PARA', 'SUB' || (p_partkey % 10)]) AS name FROM part")
 def cobol_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _files(spark, sf_dir, ".cbl", "       IDENTIFICATION DIVISION.", _s("       PROGRAM-ID. PROG", _KEY, "."), "       PROCEDURE DIVISION.", "       MAIN-PARA.", "           PERFORM NEXT-PARA.", _s("           CALL 'SUB", _KEY % 10, "'."))

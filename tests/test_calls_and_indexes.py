@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.urls import route_matches
 from codeloom.operators import analytics, calls, embedding, relational, reports, resolution, search, traverse, vector_index
 from codeloom.sources import parsers, state
+from codeloom.sources.brace_parsers import brace_facts
 
 
 def test_receiver_calls(spark):
@@ -111,3 +112,30 @@ def test_contained_paths_and_routes(spark):
 def test_siblings_without_pairs(spark):
     repos = spark.createDataFrame([("/a", "u"), ("/b", "u"), ("/c", "v"), ("/d", None)], "path string, remoteUrl string")
     assert {r["path"]: r["siblings"] for r in reports.list_repos(repos).collect()} == {"/a": ["/b"], "/b": ["/a"], "/c": None, "/d": None}
+
+
+TS = """import { a as b, type C } from './x';
+import D, * as E from "y";
+// class Ghost {}
+export abstract class Dog<T> extends Animal<T> implements Pet, Loud {
+  constructor(name: string, private m: Map<string, number>) { super(name); }
+  async bark(n: number): Promise<void> {
+    if (n > 0) { this.say(n, "x(1)"); }
+  }
+}
+interface Pet { feed(x: Food): void; }
+const arrow = async (x) => { helper(x); };
+"""
+
+
+def test_typescript_and_java_facts():
+    facts = [f[:3] + f[5:] for f in brace_facts(TS, "typescript")]
+    assert [f[1:4] for f in facts if f[0] == "import"] == [("./x", "b", "a"), ("./x", "C", "C"), ("y", "D", "default"), ("y", "E", "*")]
+    assert [f[1:3] for f in facts if f[0] == "heritage"] == [("Animal", "Dog"), ("Pet", "Dog"), ("Loud", "Dog")]
+    assert [(f[0], f[1], f[2], f[4]) for f in facts if f[0] in ("Constructor", "Method", "Function")] == [("Constructor", "constructor", "Dog", 2), ("Method", "bark", "Dog", 1), ("Method", "feed", "Pet", 1), ("Function", "arrow", None, 1)]
+    assert [(f[1], f[2], f[3], f[4]) for f in facts if f[0] == "call"] == [("this.say", "Dog.bark", "member", 2), ("helper", "arrow", "free", 1)]
+    java = brace_facts("class A<T> extends B<T> {\n @X(1)\n public A(int a) { super(a); }\n List<T> run(Map<K, V> m) throws E { return this.go(m, new C()); }\n abstract void none();\n}", "java")
+    assert [(f[0], f[1], f[2]) for f in java if f[0] != "call"] == [("Class", "A", None), ("heritage", "B", "A"), ("Constructor", "A", "A"), ("Method", "run", "A"), ("Method", "none", "A")]
+    assert [(f[1], f[5]) for f in java if f[0] == "call"] == [("this.go", "member"), ("C", "constructor")]
+    assert brace_facts("", "java") == [] and brace_facts("class {", "typescript") == []
+    assert len(brace_facts("class A {" * 200, "java")) > 0
