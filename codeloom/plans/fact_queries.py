@@ -316,55 +316,62 @@ def _files(spark: SparkSession, sf_dir: str, ending: str, *lines) -> DataFrame:
 
 
 _PATH = "'m' || p_size || '/p' || p_partkey || '{}'"
-_KEY, _TYPE = F.col("p_partkey"), F.lower(F.col("p_type"))
+
+
+def _key() -> Column:
+    return F.col("p_partkey")
+
+
+def _type() -> Column:
+    return F.lower(F.col("p_type"))
 
 
 @plain("markdown_sections", f"SELECT {_PATH.format('.md')} AS path, unnest([1, 2, 2]) AS level, unnest([p_type, 'a', 'b' || p_partkey]) AS title, unnest([1, 3, 8]) AS \"startLine\", unnest([9, 7, 9]) AS \"endLine\" FROM part")
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings outside code fences with the lines they span."""
-    f = _files(spark, sf_dir, ".md", _s("# ", F.col("p_type")), "text", "## a", "```", "# no heading", "```", "more", _s("## b", _KEY), "end")
+    f = _files(spark, sf_dir, ".md", _s("# ", F.col("p_type")), "text", "## a", "```", "# no heading", "```", "more", _s("## b", _key()), "end")
     return repo.markdown_sections(f).select("path", F.col("level").cast("int").alias("level"), "title", F.col("startLine").cast("int").alias("startLine"), F.col("endLine").cast("int").alias("endLine"))
 
 
 @plain("markdown_links", f"SELECT {_PATH.format('.md')} AS src, 'm' || p_size || '/p' || q || '.md' AS dst FROM (SELECT a.p_size, a.p_partkey, b.p_partkey AS q FROM part a JOIN part b ON b.p_partkey = a.p_partkey // 2 AND b.p_size = a.p_size)")
 def markdown_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relative links, of which only those to files that exist count."""
-    return repo.markdown_links(_files(spark, sf_dir, ".md", _s("see [half](./p", F.floor(_KEY / 2), ".md) and [web](https://x/y.md)")))
+    return repo.markdown_links(_files(spark, sf_dir, ".md", _s("see [half](./p", F.floor(_key() / 2), ".md) and [web](https://x/y.md)")))
 
 
 @plain("python_facts", f"SELECT {_PATH.format('.py')} AS path, unnest(['import', 'Class', 'heritage', 'Method', 'call', 'Function']) AS kind, unnest(['os', 'C' || p_partkey, 'Base', 'run', 'helper', 'main']) AS name, unnest([1, 2, 2, 3, 4, 5]) AS \"startLine\" FROM part")
 def python_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _files(spark, sf_dir, ".py", "import os", _s("class C", _KEY, "(Base):"), "    def run(self, a):", "        return helper(a)", "def main(): pass")
+    f = _files(spark, sf_dir, ".py", "import os", _s("class C", _key(), "(Base):"), "    def run(self, a):", "        return helper(a)", "def main(): pass")
     return parsers.parse_python(f).select("path", "kind", "name", "startLine")
 
 
 @plain("typescript_facts", f"SELECT {_PATH.format('.ts')} AS path, unnest(['import', 'Class', 'heritage', 'Constructor', 'Method', 'call', 'Function', 'call']) AS kind, unnest(['./m' || p_size, 'C' || p_partkey, 'Base', 'constructor', 'run', 'this.helper', 'main', 'C' || p_partkey]) AS name, unnest([NULL, NULL, 'C' || p_partkey, 'C' || p_partkey, 'C' || p_partkey, 'C' || p_partkey || '.run', NULL, 'main']) AS own, unnest([1, 2, 2, 3, 4, 5, 8, 8]) AS \"startLine\" FROM part")
 def typescript_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _files(spark, sf_dir, ".ts", _s("import { a } from './m", F.col("p_size"), "';"), _s("export class C", _KEY, " extends Base {"), "  constructor(x: Map<string, number>) { super(x); }", "  run(a: number): void {", "    this.helper(a, 'fake(1)'); // other(2)", "  }", "}", _s("function main() { return new C", _KEY, "(1); }"))
+    f = _files(spark, sf_dir, ".ts", _s("import { a } from './m", F.col("p_size"), "';"), _s("export class C", _key(), " extends Base {"), "  constructor(x: Map<string, number>) { super(x); }", "  run(a: number): void {", "    this.helper(a, 'fake(1)'); // other(2)", "  }", "}", _s("function main() { return new C", _key(), "(1); }"))
     return brace_parsers.parse_typescript(f).select("path", "kind", "name", F.when(F.col("kind") != "import", F.col("owner")).alias("own"), "startLine")
 
 
 @plain("java_facts", f"SELECT {_PATH.format('.java')} AS path, unnest(['import', 'Class', 'heritage', 'heritage', 'Method', 'call']) AS kind, unnest(['java.util', 'C' || p_partkey, 'Base', 'Pet', 'run', 'helper']) AS name, unnest([1, 2, 2, 2, 3, 4]) AS \"startLine\", unnest([0, NULL, 0, 0, 2, p_size % 2 + 1]) AS n FROM part")
 def java_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _files(spark, sf_dir, ".java", "import java.util.List;", _s("public class C", _KEY, " extends Base implements Pet {"), "  public List<String> run(int a, Map<String, Integer> b) {", F.concat(F.lit("    if (a > 0) helper(a"), F.when(F.col("p_size") % 2 == 1, ", b").otherwise(""), F.lit(");")), "  }", "}")
+    f = _files(spark, sf_dir, ".java", "import java.util.List;", _s("public class C", _key(), " extends Base implements Pet {"), "  public List<String> run(int a, Map<String, Integer> b) {", F.concat(F.lit("    if (a > 0) helper(a"), F.when(F.col("p_size") % 2 == 1, ", b").otherwise(""), F.lit(");")), "  }", "}")
     return brace_parsers.parse_java(f).select("path", "kind", "name", "startLine", F.col("count").alias("n"))
 
 
 @plain("cobol_facts", f"SELECT {_PATH.format('.cbl')} AS path, unnest(['Module', 'Function', 'perform', 'call']) AS kind, unnest(['PROG' || p_partkey, 'MAIN-PARA', 'NEXT-PARA', 'SUB' || (p_partkey % 10)]) AS name FROM part")
 def cobol_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _files(spark, sf_dir, ".cbl", "       IDENTIFICATION DIVISION.", _s("       PROGRAM-ID. PROG", _KEY, "."), "       PROCEDURE DIVISION.", "       MAIN-PARA.", "           PERFORM NEXT-PARA.", _s("           CALL 'SUB", _KEY % 10, "'."))
+    f = _files(spark, sf_dir, ".cbl", "       IDENTIFICATION DIVISION.", _s("       PROGRAM-ID. PROG", _key(), "."), "       PROCEDURE DIVISION.", "       MAIN-PARA.", "           PERFORM NEXT-PARA.", _s("           CALL 'SUB", _key() % 10, "'."))
     return parsers.parse_cobol(f).where("kind <> 'division'").select("path", "kind", "name")
 
 
 @plain("jcl_facts", f"SELECT {_PATH.format('.jcl')} AS path, unnest(['job', 'step', 'dataset']) AS kind, unnest(['J' || (p_partkey % 1000), 'S1', 'DATA.SET' || (p_partkey % 10)]) AS name, unnest([NULL, 'PROG', 'SHR']) AS detail FROM part")
 def jcl_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _files(spark, sf_dir, ".jcl", _s("//J", _KEY % 1000, " JOB (1),'X'"), "//S1 EXEC PGM=PROG", _s("//IN DD DSN=DATA.SET", _KEY % 10, ","), "//   DISP=SHR")
+    f = _files(spark, sf_dir, ".jcl", _s("//J", _key() % 1000, " JOB (1),'X'"), "//S1 EXEC PGM=PROG", _s("//IN DD DSN=DATA.SET", _key() % 10, ","), "//   DISP=SHR")
     return parsers.parse_jcl(f).select("path", "kind", "name", "detail")
 
 
 @plain("vue_facts", "SELECT p_partkey, 'let v = ' || p_size AS script, 'MyCard,x-' || lower(p_type) AS components FROM part")
 def vue_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.concat(F.lit("<template><MyCard/><x-"), _TYPE, F.lit("></x-"), _TYPE, F.lit("></template><script>let v = "), F.col("p_size").cast("string"), F.lit("</script>"))
+    body = F.concat(F.lit("<template><MyCard/><x-"), _type(), F.lit("></x-"), _type(), F.lit("></template><script>let v = "), F.col("p_size").cast("string"), F.lit("</script>"))
     return table(spark, sf_dir, "part").select("p_partkey", extract.vue_script(body).alias("script"), F.array_join(extract.vue_components(body), ",").alias("components"))
 
 
@@ -382,19 +389,19 @@ def response_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plain("orm_queries", f"SELECT {_PATH.format('.ts')} AS path, unnest([1, 2])::INT AS line, unnest(['prisma', 'supabase']) AS orm, unnest([lower(p_type), 't' || p_size]) AS model, unnest(['findMany', 'select']) AS method FROM part")
 def orm_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _files(spark, sf_dir, ".ts", _s("await prisma.", _TYPE, ".findMany()"), _s("supabase.from('t", F.col("p_size"), "').select('*')"))
+    f = _files(spark, sf_dir, ".ts", _s("await prisma.", _type(), ".findMany()"), _s("supabase.from('t", F.col("p_size"), "').select('*')"))
     return extract.orm_queries(f).select("path", F.col("line").cast("int").alias("line"), "orm", "model", "method")
 
 
 @plain("code_routes", f"SELECT {_PATH.format('.ts')} AS path, unnest([1, 2, 3])::INT AS line, unnest(['GET', 'POST', 'PUT']) AS method, unnest(['/a/' || p_size, '/b/' || p_partkey, '/c']) AS route FROM part")
 def code_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _files(spark, sf_dir, ".ts", _s("app.get('/a/", F.col("p_size"), "', h)"), _s("Route::post('/b/", _KEY, "', h)"), "@PutMapping(\"/c\")")
+    f = _files(spark, sf_dir, ".ts", _s("app.get('/a/", F.col("p_size"), "', h)"), _s("Route::post('/b/", _key(), "', h)"), "@PutMapping(\"/c\")")
     return extract.code_routes(f).select("path", F.col("line").cast("int").alias("line"), "method", "route")
 
 
 @plain("tool_definitions", f"SELECT {_PATH.format('.ts')} AS path, 'tool_' || p_partkey AS name, left('does ' || p_name || repeat('y', 220), 200) AS description FROM part")
 def tool_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _files(spark, sf_dir, ".ts", _s("{ name: 'tool_", _KEY, "', description: 'does ", F.col("p_name"), "y" * 220, "', inputSchema: {} }"))
+    f = _files(spark, sf_dir, ".ts", _s("{ name: 'tool_", _key(), "', description: 'does ", F.col("p_name"), "y" * 220, "', inputSchema: {} }"))
     return extract.tool_definitions(f)
 
 
@@ -407,7 +414,7 @@ def middleware_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plain("rpc_contracts", f"SELECT {_PATH.format('.proto')} AS path, 'grpc::pkg.' || lower(p_type) || '/' || unnest(['Get' || p_partkey, 'Put']) AS contract_id FROM part UNION ALL SELECT {_PATH.format('.thrift')}, 'thrift::ns.a.svc' || p_size || '/ping' FROM part")
 def rpc_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Methods of Protocol Buffers and Thrift services."""
-    proto = _files(spark, sf_dir, ".proto", "package pkg;", _s("service ", F.col("p_type"), " { rpc Get", _KEY, "(A) returns (B); rpc Put(A) returns (B); }"))
+    proto = _files(spark, sf_dir, ".proto", "package pkg;", _s("service ", F.col("p_type"), " { rpc Get", _key(), "(A) returns (B); rpc Put(A) returns (B); }"))
     thrift = _files(spark, sf_dir, ".thrift", "namespace java ns.a", _s("service Svc", F.col("p_size"), " {"), "  i32 ping(1: i32 a)", "}")
     return extract.grpc_contracts(proto).unionByName(extract.thrift_contracts(thrift))
 
@@ -420,7 +427,7 @@ def topic_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plain("include_contracts", f"SELECT {_PATH.format('.c')} AS path, 'include::ext' || p_size || '.h' AS contract_id FROM part")
 def include_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers that no file of the repository provides; the file's own name is one that does."""
-    return extract.include_contracts(_files(spark, sf_dir, ".c", _s('#include "ext', F.col("p_size"), '.h"'), _s('#include "p', _KEY, '.c"')))
+    return extract.include_contracts(_files(spark, sf_dir, ".c", _s('#include "ext', F.col("p_size"), '.h"'), _s('#include "p', _key(), '.c"')))
 
 
 @plain("service_boundaries", "SELECT 'm' || p_size AS service, 2::BIGINT AS markers, 0.9::DOUBLE AS confidence FROM part GROUP BY p_size")
@@ -434,8 +441,8 @@ def service_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plain("workspace_dependencies", "SELECT 'm' || p_partkey || '/package.json' AS path, 'node' AS kind, '@x/' || lower(p_type) AS name, unnest(['left-' || p_size, 'right']) AS dependency FROM part")
 def workspace_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = _s('{"name": "@x/', _TYPE, '", "dependencies": {"left-', F.col("p_size"), '": "1", "right": "2"}}')
-    return extract.workspace_dependencies(table(spark, sf_dir, "part").select(_s("m", _KEY, "/package.json").alias("path"), body.alias("content")))
+    body = _s('{"name": "@x/', _type(), '", "dependencies": {"left-', F.col("p_size"), '": "1", "right": "2"}}')
+    return extract.workspace_dependencies(table(spark, sf_dir, "part").select(_s("m", _key(), "/package.json").alias("path"), body.alias("content")))
 
 
 # ---- sinks

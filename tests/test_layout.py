@@ -16,6 +16,11 @@ def test_entry_without_the_subpackage(tmp_path):
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, timeout=120)
 
 
+def test_entry_is_imported_without_a_session():
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'hybrid_search' in q and set(o) <= set(q); from pyspark import SparkContext; assert SparkContext._active_spark_context is None"
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
 def test_no_import_of_the_subpackage():
     for path in (ROOT / "codeloom").rglob("*.py"):
         if "llm" not in path.relative_to(ROOT / "codeloom").parts:
