@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, cotraining, decontaminate, histogram_shards, html_consensus, license_scan, perspectives, rule_cascade, trie_join, unigram_count
+from . import byte_bpe, cotraining, decontaminate, histogram_shards, html_consensus, license_scan, perspectives, rule_cascade, structure_repair, trie_join, unigram_count
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +126,57 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_consensus.extract_main_text(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations repaired by their cheapest edits."""
+    damaged = structure_repair.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return structure_repair.repair(damaged, copies="copies")
+
+
+#: crc32 by bytes of an ASCII text, with its table of 256 remainders computed here.
+CRC_SQL = """crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS rest)"""
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB: the unsigned crc32 of an ASCII text, where the table crc is at hand."""
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, rest[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE {CRC_SQL},
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations, crc),
+m AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM k WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text)) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM m),
+f AS (SELECT *, left(role, 1) AS letter, NOT regexp_matches(text, '[^ 	-]') AS is_blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS met,
+             NOT regexp_matches(text, '[.!?][ 	-]*$') AS open_end, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+t AS (SELECT *, is_blank OR met AS gone, CASE WHEN open_end AND NOT is_blank AND NOT met THEN 3 ELSE 0 END AS more FROM f),
+b AS (SELECT DISTINCT conv_id, n + 1 AS i, [0, 6, 3, 0]::BIGINT[] AS v FROM t
+      UNION ALL
+      SELECT conv_id, i, [least(r[1], 3 + r[3], 6 + r[4]), least(r[2], 3 + r[3], 6 + r[4]), least(r[3], 3 + r[4]), least(r[4], 3 + r[3])] FROM (
+        SELECT t.conv_id, t.i, [least(4 + v[1], CASE WHEN gone THEN 99999 WHEN letter = 's' THEN more + v[2] WHEN letter = 'u' THEN more + v[3] ELSE 99999 END, CASE WHEN gone THEN 99999 ELSE 3 + more + v[3] END),
+               least(4 + v[2], CASE WHEN gone THEN 99999 WHEN letter = 'u' THEN more + v[3] ELSE 3 + more + v[3] END),
+               least(4 + v[3], CASE WHEN gone THEN 99999 WHEN letter = 'a' THEN more + v[4] ELSE 3 + more + v[4] END),
+               least(4 + v[4], CASE WHEN gone THEN 99999 WHEN letter = 'u' THEN more + v[3] ELSE 3 + more + v[3] END)]::BIGINT[] AS r
+        FROM b JOIN t ON b.conv_id IS NOT DISTINCT FROM t.conv_id AND t.i = b.i - 1)),
+w AS (SELECT conv_id, i AS i, 1 AS s, '' AS audit, []::VARCHAR[] AS lines FROM b WHERE i = 1
+      UNION ALL
+      SELECT conv_id, CASE WHEN a = 'I' THEN i ELSE i + 1 END, CASE a WHEN 'D' THEN s WHEN 'K' THEN kept ELSE wanted END, audit || a,
+             CASE a WHEN 'D' THEN lines WHEN 'I' THEN list_append(lines, put || ':') WHEN 'K' THEN list_append(lines, role || ':' || text) ELSE list_append(lines, put || ':' || text) END
+      FROM (SELECT *, CASE WHEN role IS NOT NULL AND 4 + v1[s] = v[s] THEN 'D' WHEN 3 + v[wanted] = v[s] THEN 'I' WHEN NOT gone AND kept > 0 AND more + v1[kept] = v[s] THEN 'K' ELSE 'R' END AS a FROM (
+        SELECT w.*, b.v, c.v AS v1, t.role, t.text, t.gone, t.more, [3, 3, 4, 3][s] AS wanted, CASE WHEN s = 3 THEN 'assistant' ELSE 'user' END AS put,
+               CASE WHEN letter = 's' AND s = 1 THEN 2 WHEN letter = 'u' AND s <> 3 THEN 3 WHEN letter = 'a' AND s = 3 THEN 4 ELSE 0 END AS kept
+        FROM w JOIN b ON b.conv_id IS NOT DISTINCT FROM w.conv_id AND b.i = w.i LEFT JOIN b c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.i = w.i + 1
+        LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i WHERE b.v[s] > 0 OR t.i IS NOT NULL))),
+e AS (SELECT w.* FROM w JOIN b ON b.conv_id IS NOT DISTINCT FROM w.conv_id AND b.i = w.i LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i WHERE t.i IS NULL AND b.v[s] = 0),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(is_blank::BIGINT) AS blank, sum((met AND NOT is_blank)::BIGINT) AS duplicate, sum((more > 0)::BIGINT) AS truncated,
+             sum((i > 1 AND before || letter NOT IN ('su', 'ua', 'au'))::BIGINT) AS illegal FROM t GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(v[1], 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id AND b.i = 1
+"""
+
+
 OP8_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
                   regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]', ' ', 'g'), '[^ ]+') AS w FROM documents),
@@ -154,6 +205,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_license_scan": op9_license_scan,
     "op10_html_extraction": op10_html_extraction,
+    "op13_structure_repair": op13_structure_repair,
 }
 
 ORACLE: dict[str, str] = {
@@ -161,4 +213,5 @@ ORACLE: dict[str, str] = {
     "op4_quality_rules": OP4_SQL,
     "op5_ngram_join": OP5_SQL,
     "op8_decontamination": OP8_SQL,
+    "op13_structure_repair": OP13_SQL,
 }

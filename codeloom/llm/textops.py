@@ -56,3 +56,27 @@ def fresh(name: str, df) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def rows_of(batches):
+    """The rows of Arrow batches as tuples, one batch alive at a time."""
+    for batch in batches:
+        yield from zip(*(column.to_pylist() for column in batch.columns), strict=True)
+
+
+def batched(rows, schema: pa.Schema, max_rows: int = 5_000, max_bytes: int = 16 << 20):
+    """Arrow batches of tuples, cut by their number and by the bytes of their texts."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, (bytes, str)))
+        if len(held) >= max_rows or size >= max_bytes:
+            yield _batch(held, schema)
+            held, size = [], 0
+    if held:
+        yield _batch(held, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)

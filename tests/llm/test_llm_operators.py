@@ -888,4 +888,4 @@ def test_query_equals_sql(spark, sf_dir, name):
 
 
 def test_every_operator_is_registered(spark, sf_dir):
-    assert sorted(queries.QUERIES) == sorted(f"op{n}_{x}" for n, x in enumerate(["perspectives", "histogram_shards", "quality_classifier", "quality_rules", "ngram_join", "token_counts", "byte_bpe", "decontamination", "license_scan", "html_extraction"], 1))
+    assert sorted(queries.QUERIES) == sorted(f"op{n}_{x}" for n, x in enumerate(["perspectives", "histogram_shards", "quality_classifier", "quality_rules", "ngram_join", "token_counts", "byte_bpe", "decontamination", "license_scan", "html_extraction", "conversation_trie", "class_scores", "structure_repair"], 1))
