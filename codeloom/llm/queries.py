@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, cotraining, decontaminate, histogram_shards, html_consensus, license_scan, perspectives, rule_cascade, structure_repair, trie_join, unigram_count
+from . import byte_bpe, conversation_trie, cotraining, decontaminate, histogram_shards, html_consensus, license_scan, perspectives, rule_cascade, structure_repair, trie_join, unigram_count
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,14 +141,39 @@ def crc_sql(text: str) -> str:
     return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, rest[(xor(c, b) & 255) + 1])), 4294967295)"
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations."""
+    return conversation_trie.build_rebuilt(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+OP11_SQL = rf"""
+WITH {CRC_SQL},
+o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+      FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, conv_id - conv_id % 5 AS source, {crc_sql("conv_id::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM o), crc),
+j AS (SELECT ids.conv_id, pos, 1 AS part, role, text FROM ids JOIN o ON o.conv_id = source AND pos <= h UNION ALL SELECT o.conv_id, pos, 2, role, text FROM o JOIN ids ON o.conv_id = ids.conv_id AND pos > h),
+s AS (SELECT ids.conv_id, coalesce(seq, []) AS seq FROM ids LEFT JOIN (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY part, pos) AS seq FROM j GROUP BY conv_id) USING (conv_id)),
+m AS (SELECT conv_id, len(seq) AS n, unnest(range(0, len(seq) + 1)) AS depth, seq FROM s),
+g AS (SELECT depth, seq[:depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CASE WHEN n = depth THEN conv_id::VARCHAR END, ',' ORDER BY conv_id) AS ends FROM m GROUP BY ALL),
+u AS (SELECT depth, path, conv_id, n_convs, (n_convs - 1) * CASE WHEN depth > 0 THEN strlen(path[depth].t) ELSE 0 END AS own, unnest(range(0, depth + 1)) AS up FROM g),
+k AS (SELECT p.depth, p.path, count(*) AS n FROM g p JOIN g c ON c.depth = p.depth + 1 AND c.path[:p.depth] = p.path GROUP BY ALL),
+f AS (SELECT u.*, k.n IS NULL AS leaf FROM u LEFT JOIN k ON k.depth = u.depth AND k.path = u.path),
+t AS (SELECT up AS depth, path[:up] AS path, sum(leaf::BIGINT) AS n_leaves, sum(own) AS saved FROM f GROUP BY ALL)
+SELECT g.conv_id, g.depth, p.conv_id AS parent_conv_id, g.n_convs, coalesce(k.n, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(g.ends, '')) AS ends_sha256
+FROM g JOIN t ON t.depth = g.depth AND t.path = g.path LEFT JOIN k ON k.depth = g.depth AND k.path = g.path LEFT JOIN g p ON p.depth = g.depth - 1 AND p.path = g.path[:g.depth - 1]
+"""
+
+
 OP13_SQL = rf"""
 WITH RECURSIVE {CRC_SQL},
 k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations, crc),
 m AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
              unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM k WHERE kind <> 0),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text)) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM m),
-f AS (SELECT *, left(role, 1) AS letter, NOT regexp_matches(text, '[^ 	-]') AS is_blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS met,
-             NOT regexp_matches(text, '[.!?][ 	-]*$') AS open_end, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+f AS (SELECT *, left(role, 1) AS letter, NOT regexp_matches(text, '[^ 	-
+]') AS is_blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS met,
+             NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS open_end, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
 t AS (SELECT *, is_blank OR met AS gone, CASE WHEN open_end AND NOT is_blank AND NOT met THEN 3 ELSE 0 END AS more FROM f),
 b AS (SELECT DISTINCT conv_id, n + 1 AS i, [0, 6, 3, 0]::BIGINT[] AS v FROM t
       UNION ALL
@@ -205,6 +230,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_license_scan": op9_license_scan,
     "op10_html_extraction": op10_html_extraction,
+    "op11_conversation_trie": op11_conversation_trie,
     "op13_structure_repair": op13_structure_repair,
 }
 
@@ -213,5 +239,6 @@ ORACLE: dict[str, str] = {
     "op4_quality_rules": OP4_SQL,
     "op5_ngram_join": OP5_SQL,
     "op8_decontamination": OP8_SQL,
+    "op11_conversation_trie": OP11_SQL,
     "op13_structure_repair": OP13_SQL,
 }
