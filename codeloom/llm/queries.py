@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, conversation_trie, cotraining, decontaminate, histogram_shards, html_consensus, license_scan, perspectives, rule_cascade, structure_repair, trie_join, unigram_count
+from . import byte_bpe, class_scores, conversation_trie, cotraining, decontaminate, histogram_shards, html_consensus, license_scan, perspectives, rule_cascade, structure_repair, trie_join, unigram_count
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +126,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_consensus.extract_main_text(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op12_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by Brown classes of the training documents' words."""
+    return class_scores.score(_documents(spark, sf_dir))
+
+
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damaged conversations repaired by their cheapest edits."""
     damaged = structure_repair.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
@@ -231,6 +236,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_html_extraction": op10_html_extraction,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_class_scores": op12_class_scores,
     "op13_structure_repair": op13_structure_repair,
 }
 
