@@ -9,9 +9,11 @@
 3. Each page is parsed again and the blocks below its host's path are its text. A page of which that path holds less
    than WHOLE falls back to its own smallest container that holds everything.
 
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out by tag, role
-or a whole class or id; html, body, main, article and headings never by class or id, and nothing by class or id where
-that would leave out more than two thirds of a page's text outside links. Only (host, path, votes) is shuffled for the vote, pre-aggregated. The winners that differ from the
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out by tag, role or
+the words of a class or id, however much of the page they are; a header or footer element inside an article is one of
+them. A word says nothing behind has, with, no and the like, before open, layout and the like (these tell a state of the
+page), and header says nothing behind what it is the head of (entry-header). html, body, main, article and headings are
+never left out by class or id. Only where they would leave a page no text at all are classes and ids not looked at. Only (host, path, votes) is shuffled for the vote, pre-aggregated. The winners that differ from the
 general winner are broadcast if they are at most MAX_BROADCAST_ROWS rows; else the pages are joined by shuffle.
 A null html or url counts as empty. Repeated pages are extracted row by row. An empty table gives no rows. Columns
 named text or n_chars are replaced, others of any name are kept. Pages of any length and nesting are read whole in time
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -37,8 +40,6 @@ GENERAL_SHARE = 1.0
 MAJORITY = 0.8
 #: Share of a page's counted text that its host's path must hold.
 WHOLE = 0.9
-#: Largest share of a page's text outside links that classes and ids may leave out.
-MOST = 2 / 3
 MAX_DEPTH, MAX_STEP = 256, 200
 #: How often a page is read at most to settle which embedded elements without a closing tag hide something.
 READINGS = 6
@@ -60,12 +61,12 @@ _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins k
 _BLOCK_BREAK = frozenset({"br", "hr"})
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table td th tr ul".split())
 _CONTAINERS = frozenset("article main section div td body html center".split())
-_UNWANTED_WORD = r"(?:ad|ads|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|newsletter|subscri\w*|share|sharing|social|sidebar|widget|related|recommend\w*|comments?|commentlist|disqus|replies|respond|footer|header|nav\w*|menu|breadcrumbs?|popup|modal|notice|notices|alert|masthead|toolbar)"
-#: A whole class or id: unwanted words only, but for words of place before and of form behind.
-_UNWANTED = re.compile(
-    rf"(?:(?:site|main|global|top|bottom|left|right|primary|secondary)[-_])*{_UNWANTED_WORD}(?:[-_](?:{_UNWANTED_WORD}|area|bar|block|box|buttons?|container|form|icons?|inner|items?|left|links?|list|posts?|right|section|signup|slot|top|bottom|unit|wrap|wrapper|\d+))*",
-    re.IGNORECASE,
-)
+_UNWANTED_WORD = re.compile(r"ads?|advert\w*|adsense|banners?|promo\w*|sponsor\w*|cookies?|consent|gdpr|newsletters?|subscri\w*|share|sharing|social|sidebars?|widgets?|related|recommend\w*|comments?|commentlist|disqus|replies|respond|footer|header|nav|navs|navbar|navi|navigation|menus?|menubar|breadcrumbs?|popups?|modal|notices?|alerts?|masthead|toolbar")
+_NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Words of a class behind which, or before which, an unwanted word tells a state of the page; and what a header is the head of.
+_STATE_BEFORE = frozenset("has with without no not is".split())
+_STATE_BEHIND = frozenset("open closed enabled disabled layout template".split())
+_HEAD_OF = frozenset("entry post article story section content chapter".split())
 #: Never left out for their class or id.
 _KEPT = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 _UNWANTED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -79,36 +80,36 @@ class _Element:
         self.tag, self.path, self.depth, self.skipped, self.unwanted, self.at, self.whole = tag, path, depth, skipped, unwanted, at, True
 
 
+@lru_cache(maxsize=10_000)
+def _names_unwanted(name: str) -> bool:
+    """Whether a class or id has a word of what is left out."""
+    words = [w.lower() for w in _NAME_WORD.findall(name)]
+    for i, word in enumerate(words):
+        if _UNWANTED_WORD.fullmatch(word) and not _STATE_BEFORE.intersection(words[:i]) and not _STATE_BEHIND.intersection(words[i + 1 : i + 2]):
+            if word != "header" or not _HEAD_OF.intersection(words[:i]):
+                return True
+    return False
+
+
 def blocks(page: str | None) -> list[tuple[str, str, int]]:
     """(container path, text, characters in links) of the page's wanted blocks, in page order.
 
-    If classes and ids would leave out more than MOST of the page's text outside links, they are not looked at. Where
-    an article or main keeps text, only what they leave out inside of such counts.
+    Classes and ids are not looked at where they would leave no text at all.
     """
     page, left_open = page or "", frozenset()
     for _ in range(READINGS):
-        parts, hidden, inside, more = _parse(page, True, left_open)
+        parts, more = _parse(page, True, left_open)
         if not more:
             break
         left_open |= more
-    if any(_in_article(path) for path, _, _ in parts):
-        hidden = inside
-    if hidden > MOST * (hidden + sum(len(text) - linked for _, text, linked in parts)):
-        parts, _, _, _ = _parse(page, False, left_open)
-    return parts
-
-
-def _in_article(path: str) -> bool:
-    return any(step.partition(".")[0] in ("article", "main") for step in path.split("/"))
+    return parts or _parse(page, False, left_open)[0]
 
 
-def _parse(page: str, by_class: bool, left_open: frozenset[int]) -> tuple[list[tuple[str, str, int]], int, int, frozenset[int]]:
-    """The blocks, the characters outside links left out for a class or id alone, those in an article, and the places of embedded elements
-    without a closing tag that would hide containers, headings or the rest of the page's frame; the tags at left_open
-    are not looked at."""
+def _parse(page: str, by_class: bool, left_open: frozenset[int]) -> tuple[list[tuple[str, str, int]], frozenset[int]]:
+    """The blocks, and the places of embedded elements without a closing tag that would hide containers, headings or
+    the rest of the page's frame; the tags at left_open are not looked at."""
     more: set[int] = set()
     out: list[tuple[str, str, int]] = []
-    hidden = inside = 0
     text: list[str] = []
     linked = 0
     stack = [_Element("", "", 0, False, False, 0)]
@@ -149,11 +150,7 @@ def _parse(page: str, by_class: bool, left_open: frozenset[int]) -> tuple[list[t
     match = _TOKEN.search(page)
     while match or at < len(page):
         start = match.start() if match else len(page)
-        if start > at and stack[-1].unwanted and not stack[-1].skipped:
-            lost = len(" ".join(html_lib.unescape(page[at:start]).split())) if links == 0 else 0
-            hidden += lost
-            inside += lost if _in_article(stack[-1].path) else 0
-        elif start > at and not stack[-1].skipped:
+        if start > at and not (stack[-1].skipped or stack[-1].unwanted):
             piece = html_lib.unescape(page[at:start])
             text.append(piece)
             if links > 0:
@@ -195,7 +192,7 @@ def _parse(page: str, by_class: bool, left_open: frozenset[int]) -> tuple[list[t
                 named = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
                 classes = named.get("class", "")
                 skipped = above.skipped or tag in _SKIPPED or named.get("role", "").lower() in _UNWANTED_ROLES
-                unwanted = above.unwanted or by_class and bool(named) and tag not in _KEPT and any(_UNWANTED.fullmatch(c) for c in (*classes.split(), *named.get("id", "").split()))
+                unwanted = above.unwanted or by_class and bool(named) and tag not in _KEPT and any(map(_names_unwanted, (*classes.split(), *named.get("id", "").split())))
                 path, depth = above.path, above.depth
                 if tag in _CONTAINERS:
                     boxes.append(len(stack))
@@ -212,7 +209,7 @@ def _parse(page: str, by_class: bool, left_open: frozenset[int]) -> tuple[list[t
         match = _TOKEN.search(page, at)
     pop_to(1)
     flush()
-    return out, hidden, inside, frozenset(more)
+    return out, frozenset(more)
 
 
 def _above(path: str):

@@ -748,6 +748,16 @@ def test_html_classes_leave_out_no_article():
     ):
         assert html_consensus.extract(page, None) == "T The text", page
     assert html_consensus.extract("<body><div class=ad>An advert that is longer than it</div><article>Short</article></body>", None) == "Short"
+    many = "".join(f"<div class=comment><p>Comment {i} says a lot more than the article does</p></div>" for i in range(30))
+    for page in (
+        f"<main><p>Short.</p><section id='comments'>{many}</section></main>",
+        f"<article><p>Short.</p>{many}</article>",
+        f"<div class='content'><p>Short.</p></div><div class='ad'>{many}</div>",
+        f"<body class='has-sidebar no-ads'><div class='page without-menu sidebar-layout'><p>Short.</p></div><div class='sponsored-content'>{many}</div><div class='user-comments'>{many}</div><div id='cookie-notice-v2'>{many}</div></body>",
+        f"<article class='comments-closed'><header><p>head</p></header><p>Short.</p><div class='userComments'>{many}</div><div class='post-footer'>f</div></article>",
+    ):
+        assert html_consensus.extract(page, None) == "Short.", page[:60]
+    assert html_consensus.extract("<div><p>A commentary</p><p class='shared commentary navy'>on headers</p></div>", None) == "A commentary on headers"
 
 
 def test_html_nesting_is_linear_and_whole():
@@ -809,18 +819,19 @@ def test_html_equals_the_library_on_random_pages(spark):
         if kind == 2:
             return f"<ul><li>{say(4)}</li><li>{say(2)} <i>{say(1)}</i></li></ul>"
         if kind == 3:
-            return f"<div class='{rng.choice(['ad', 'share-buttons', 'newsletter'])}'>{say(3)}</div>"
+            return f"<div class='{rng.choice(out)}'>{say(rng.choice([3, 300]))}</div>"
         if kind == 4:
             return f"<script>{say(3).replace('&', '')} <b> </script><img alt='{'x>' * rng.choice([1, 15_000])}'>"
         return f"<p>{say(rng.randrange(8, 30))} <b>{say(2)}</b>{say(1)}<br>{say(2)}</p>"
 
+    out = ["ad", "share-buttons", "newsletter", "sponsored-content", "user-comments", "cookie-notice-v2", "adUnit", "entry__comments"]
     rows, want = [], []
     for i in range(120):
         article = f"<article class='{rng.choice(['post', 'post with-comments', 'entry'])}'><h1>{say(4)}</h1><p>{say(40)}</p>{''.join(body(2) for _ in range(rng.randrange(1, 6)))}</article>"
-        parser = Plain({"ad", "share-buttons", "newsletter", "script"})
+        parser = Plain({*out, "script"})
         parser.feed(article)
         want.append(" ".join("".join(parser.parts).split()))
-        frame = f"<html><head><title>t</title></head><body class='single has-sidebar'><nav><a href='/'>{say(3)}</a></nav><header><svg viewBox='0'/>{say(2)}</header>{article}<div class='comments'><p>{say(9)}</p></div><aside>{say(5)}</aside><footer>{say(4)}</footer></body></html>"
+        frame = f"<html><head><title>t</title></head><body class='single has-sidebar'><nav><a href='/'>{say(3)}</a></nav><header><svg viewBox='0'/>{say(2)}</header>{article}<div class='{rng.choice(["comments", "comment-list", *out])}'><p>{say(rng.choice([9, 900]))}</p></div><aside>{say(5)}</aside><footer>{say(4)}</footer></body></html>"
         rows.append((i, f"http://h{i % 5}.example/{i}", frame, 1, 2))
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, __host int, __path int").withColumnRenamed("__host", "host_key").withColumnRenamed("__path", "path_key")
     for renamed in (pages, pages.toDF("page_id", "url", "html", "__host", "__path")):
