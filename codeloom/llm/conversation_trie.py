@@ -7,8 +7,8 @@ copies) is a path: its conversations leave the loop and the nodes below it are m
 the depth to which different conversations agree, not their length. Reverse level-by-level joins of children on their
 parents then roll up leaves and savings.
 
-Hot groups: rows are dealt by (group, salt of conv_id), pre-aggregated there, and the group's few salts are put together
-and sent back, so a first turn that a third of all conversations share is no task of its own. Turn positions and sums
+Hot groups: groups are pre-aggregated before they are shuffled, and the rows of a group that a third of all conversations
+share are split by the adaptive skew join, on whose other side a group is one row. Turn positions and sums
 of bytes are taken in two steps, inside range buckets and over the buckets' sums, so no conversation is one task.
 ``ends_sha256`` is a stream of the members' ids in order: SHA-256 can't be computed in parts, so the ids (8 bytes each)
 of copies that end at one node meet in one task, never in memory.
@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, stored
-from .components import SALTS
 from .textops import batched, rows_of
 
 #: Turns that the query's rebuilt conversations may take from another conversation.
@@ -73,13 +72,14 @@ def rebuilt(placed: DataFrame, ids: DataFrame, most: int = MOST_SHARED) -> DataF
     return taken.select("conv_id", "pos", "said", "bytes", "upto").unionByName(tail)
 
 
-def _salted(rows: DataFrame) -> DataFrame:
-    """Each group (parent, said) gets its node: smallest conv_id, members, and whether all members are the same."""
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)).cast("int"))
-    cells = dealt.groupBy("parent", "said", "salt").agg(F.min("conv_id").alias("node"), F.count(F.lit(1)).alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi"))
-    groups = cells.groupBy("parent", "said").agg(F.min("node").alias("node"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    back = cells.select("parent", "said", "salt").join(groups, ["parent", "said"]).select("parent", "said", "salt", "node", "n", (F.col("lo") == F.col("hi")).alias("path"))
-    return dealt.join(back, ["parent", "said", "salt"])
+def _grouped(rows: DataFrame) -> DataFrame:
+    """Each group (parent, said) gives its rows their node: smallest conv_id, members, and whether all members are the same.
+
+    The groups are added up before they are shuffled, and are the small side of the join back; a hot group's rows are
+    split by the adaptive skew join.
+    """
+    groups = rows.groupBy(F.col("parent").alias("p"), F.col("said").alias("s")).agg(F.min("conv_id").alias("node"), F.count(F.lit(1)).alias("n"), (F.min("whole") == F.max("whole")).alias("path"))
+    return rows.join(groups, (F.col("parent") == F.col("p")) & (F.col("said") == F.col("s"))).drop("p", "s", "said")
 
 
 def _digests(batches):
@@ -112,19 +112,17 @@ def trie(placed: DataFrame, ids: DataFrame) -> DataFrame:
     all_of = ids.select("conv_id").join(sums, "conv_id", "left")
     convs = all_of.select("conv_id", F.coalesce("len", F.lit(0)).alias("len"), F.coalesce("total", F.lit(0)).alias("total"), F.struct(F.coalesce("len", F.lit(0)), F.coalesce("x", F.lit(0)), F.coalesce("y", F.lit(0))).alias("whole"))
     state = ["conv_id", "len", "total", "whole"]
-    live = cut(_salted(convs.withColumn("parent", F.lit(0).cast("long")).withColumn("said", F.lit(b"")).withColumn("bytes", F.lit(0).cast("long")).withColumn("upto", F.lit(0).cast("long"))))
+    live = cut(_grouped(convs.withColumn("parent", F.lit(0).cast("long")).withColumn("said", F.lit(b"")).withColumn("bytes", F.lit(0).cast("long")).withColumn("upto", F.lit(0).cast("long"))))
     levels, left, ends, depth = [], [], [], 0
     while not live.isEmpty():
         at = F.lit(depth).cast("long")
-        levels.append(
-            cut(live.groupBy("parent", "node", "n", "path").agg(F.min("bytes").alias("bytes"), F.min("upto").alias("upto"), F.min("len").alias("len"), F.min("total").alias("total")))
-            .withColumn("depth", at)
-        )
+        # a node's smallest member stands for it
+        levels.append(live.where("conv_id = node").select("node", "parent", "n", "path", "bytes", "upto", "len", "total").withColumn("depth", at))
         left.append(levels[-1].where(F.col("path") & (F.col("len") > at)).select(F.col("node").alias("conv_id"), at.alias("d"), "n", "len", "total"))
         ends.append(live.where(F.col("path") | (F.col("len") == at)).select(F.col("len").alias("depth"), "node", "conv_id"))
         next_turn = placed.where(F.col("pos") == depth + 1).select("conv_id", "said", "bytes", "upto")
         going = live.where(~F.col("path") & (F.col("len") > at)).select(*state, F.col("node").alias("parent")).join(next_turn, "conv_id")
-        live = cut(_salted(going))
+        live = cut(_grouped(going))
         depth += 1
     if not levels:
         return _result(placed.sparkSession)
