@@ -14,7 +14,8 @@ How it is spread: no table of word pairs is made, whose rows would be half the c
 that are numbered by a dictionary of their own (bounded bytes and words, whatever the texts), and the vocabulary into
 shards by a hash of the word (bounded words). Then chunks and shards exchange messages: a shard tells a chunk the
 classes of its words, a chunk tells a shard the neighbours' classes of its words, already added up. A word is in a
-chunk's message once, however often it stands there, so no word is hot. Only the counts of class pairs (CLASSES squared)
+chunk's message once, however often it stands there, so no word is hot. The chunks are a bucketed table and stay where
+they are; only the messages are shuffled. Only the counts of class pairs (CLASSES squared)
 and the seeds (CLASSES words) come to the driver.
 
 Defined results: A-Z are lower-cased, words are cut at blank, tab, line and page ends; a null or empty text is its end
@@ -25,6 +26,7 @@ never read. Results don't depend on how the rows are dealt.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from dataclasses import dataclass
 from functools import partial
@@ -35,7 +37,7 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import ensure_checkpoint_dir, stored
 from .textops import LOWER_TABLE, batched, rows_of, texts
 
 CLASSES = 32
@@ -393,12 +395,22 @@ def _pairs(told: DataFrame, classes: int) -> np.ndarray:
     return out.reshape(classes, classes)
 
 
+def _bucketed(chunks: DataFrame) -> DataFrame:
+    """Chunks stored in buckets by their id in the shared folder, so that no round shuffles them again."""
+    spark = chunks.sparkSession
+    ensure_checkpoint_dir(spark)
+    name = f"lm_chunks_{uuid.uuid4().hex}"
+    writer = chunks.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk")
+    writer.option("path", f"{spark.sparkContext.getCheckpointDir()}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def fit(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_id", classes: int = CLASSES, rounds: int = ROUNDS) -> Model:
     """Classes of all words of the texts that aren't held out; of all rounds the one that tells most is kept."""
     if not 4 <= classes < UNKNOWN:
         raise ValueError(f"classes must lie between 4 and {UNKNOWN - 1}")
     narrow = docs.select(F.col(doc_id).cast("long").alias("i"), held.alias("h"), F.col(text).cast("string").alias("t"))
-    chunks = stored(narrow.mapInArrow(_chunks, _CHUNK_DDL), "lm-chunks")
+    chunks = _bucketed(narrow.mapInArrow(_chunks, _CHUNK_DDL))
     shards = max(1, -(-(chunks.agg(F.sum("n_words")).first()[0] or 0) // SHARD_WORDS))
     spelled = chunks.select("chunk", "n_words", "words", "counts").mapInArrow(partial(_spell, shards=shards), _MESSAGE_DDL)
     vocabulary = stored(spelled.repartition("shard").sortWithinPartitions("shard", "chunk").mapInArrow(_vocabulary, _MESSAGE_DDL), "lm-vocabulary")
