@@ -139,3 +139,13 @@ def in_package_dir(path: Column | str, suffix: Column | str) -> Column:
 def callable_candidate(kind: Column, kinds: list[str], required: Column, total: Column, given: Column) -> Column:
     """Right kind and an arity that fits; unknown arities fit."""
     return kind.isin(*kinds) & (given.isNull() | total.isNull() | given.between(F.coalesce(required, total), total))
+
+
+# Words of Cypher that write.
+WRITING_WORDS = "CREATE DELETE SET MERGE REMOVE DROP ALTER COPY DETACH FOREACH INSTALL LOAD".split()
+
+
+def writes(statement: Column) -> Column:
+    """Whether a statement has a writing word outside of strings that is no :Label."""
+    bare = F.regexp_replace(statement, r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`", "''")
+    return F.rlike(bare, F.lit(rf"(?i)(?<!:)\b(?:{'|'.join(WRITING_WORDS)})\b"))

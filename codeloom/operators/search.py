@@ -53,10 +53,15 @@ def bm25(docs: DataFrame, query: list[str], doc_id: str = "doc_id", text: str =
     return tf.where(every if conjunctive else some).select("doc_id", score.alias("score"), *keep)
 
 
-def bm25_index(index: DataFrame, query: list[str], k1: float = K1, b: float = B, conjunctive: bool = False) -> DataFrame:
-    """The same over stored postings (doc_id, term, tf, dl)."""
+def posting_totals(index: DataFrame) -> DataFrame:
+    """(n, avgdl): one row, the number of documents with a word and their mean length."""
     docs = index.groupBy("doc_id").agg(F.first("dl").alias("dl"))
-    totals = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def bm25_index(index: DataFrame, query: list[str], k1: float = K1, b: float = B, conjunctive: bool = False, totals: DataFrame | None = None) -> DataFrame:
+    """The same over stored postings (doc_id, term, tf, dl); totals: those of posting_totals, if they are kept."""
+    totals = posting_totals(index) if totals is None else totals
     hits = index.where(F.col("term").isin(*query))
     df = hits.groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
     f, dl = F.col("tf").cast("double"), F.col("dl")

@@ -1,25 +1,32 @@
 """An inverted-file index over vectors: cells around centroids, searched near the query first.
 
-The centroids are fitted on a bounded sample (SAMPLE_ROWS, chosen by a hash of the key); every row is put into the cell
-of its nearest centroid and stored with it. A search reads only the cells nearest to the query. ``recall`` measures
-what that misses against the exact scan, which stays available (search.vector_topk) and is what ``probes=None`` gives.
-Null vectors and those of other lengths than the first are kept in a cell of their own that every search reads.
+The number of cells follows the rows (about their square root, MAX_CELLS at most). The centroids are fitted on a bounded
+sample (SAMPLE_ROWS, chosen by a hash of the key); every row is put into the cell of its nearest centroid, and the rows
+are stored in folders by cell, so a search opens only the files of the cells nearest to the query. All queries of a
+batch are searched in one job: each is joined with the rows of its own cells. ``recall`` measures against the exact
+scan what the cells not read would have given. Null vectors and those of other lengths than the first are kept in a cell
+of their own that every search reads.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .search import vector_distances
+from .search import cosine_distance, vector_distances
 
 SAMPLE_ROWS = 20_000
-CELLS, PROBES, ROUNDS = 16, 8, 12
+MAX_CELLS, ROUNDS = 4_096, 12
+#: Share of the cells that a search reads unless told otherwise, and how many at least.
+PROBE_SHARE, MIN_PROBES = 0.25, 4
+#: Recall that a search should reach, and the queries by which that is measured.
+TARGET, TRIALS = 0.9, 50
 _ODD = -1
 
 
@@ -44,27 +51,67 @@ def fit_centroids(sample: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.nd
 
 @dataclass
 class VectorIndex:
-    """Stored rows with their cell, and the centroids (cells * dimensions numbers)."""
+    """Stored rows in folders by cell, and the centroids (cells * dimensions numbers)."""
 
     rows: DataFrame
     centroids: np.ndarray
     key: str
     vec: str
+    least_probes: int = MIN_PROBES
 
-    def search(self, query: list[float], k: int, probes: int | None = PROBES, max_distance: float = 2.5) -> DataFrame:
-        """The k nearest rows of the ``probes`` cells nearest to the query; of all cells for None."""
+    @property
+    def probes(self) -> int:
+        return min(len(self.centroids), max(self.least_probes, math.ceil(PROBE_SHARE * len(self.centroids))))
+
+    def near(self, query, probes: int) -> list[int]:
+        """The cells to read for a query, the odd one among them."""
+        order = np.argsort(-(self.centroids @ np.asarray(query, float)), kind="stable")[:probes]
+        return [_ODD, *map(int, order)]
+
+    def search(self, query: list[float], k: int, probes: int | None = 0, max_distance: float = 2.5) -> DataFrame:
+        """The k nearest rows of the ``probes`` cells nearest to the query (0: the index's own number; None: all cells)."""
         rows = self.rows
         if probes is not None and len(self.centroids):
-            order = np.argsort(-(self.centroids @ np.asarray(query, float)), kind="stable")[:probes]
-            rows = rows.where(F.col("cell").isin([_ODD, *map(int, order)]))
+            rows = rows.where(F.col("cell").isin(self.near(query, probes or self.probes)))
         return vector_distances(rows, query, self.vec, max_distance).orderBy("distance", self.key).limit(k)
 
-
-def build(vectors: DataFrame, key: str, vec: str = "embedding", cells: int = CELLS, sample_rows: int = SAMPLE_ROWS) -> VectorIndex:
-    """Fit on the sample, then put every row into its cell. One pass, no shuffle of the vectors but the write's."""
+    def search_all(self, queries: DataFrame, k: int, probes: int | None = 0) -> DataFrame:
+        """(query, key, distance, rank): the k nearest rows of each query (query, vector), all in one job.
+
+        Each query is sent to its own cells; within a task only the k best rows of each query go on, so the shuffle
+        carries k rows for each query and cell and not all rows of the cells.
+        """
+        number = probes or self.probes
+        centroids, every = self.centroids, [_ODD, *range(len(self.centroids))]
+
+        @F.arrow_udf("array<int>")
+        def cells(column: pa.Array) -> pa.Array:
+            width = centroids.shape[1] if len(centroids) else 0
+            out = []
+            for v in column.to_pylist():
+                known = v is not None and len(v) == width and None not in v and probes is not None
+                out.append([_ODD, *np.argsort(-(centroids @ np.asarray(v, float)), kind="stable")[:number].tolist()] if known else every)
+            return pa.array(out, pa.list_(pa.int32()))
+
+        asked = queries.select("query", "vector", F.explode(cells.asNondeterministic()("vector")).alias("cell"))
+        rows = self.rows.select(F.col(self.key).alias("key"), F.col(self.vec).alias("v"), "cell")
+        scored = rows.join(asked, "cell").select("query", "key", "cell", cosine_distance(F.col("v"), F.col("vector")).alias("distance"))
+        cut = scored.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(16)))
+        own = Window.partitionBy("query", "cell", "salt").orderBy("distance", "key")
+        best = cut.withColumn("n", F.row_number().over(own)).where(F.col("n") <= k)
+        return best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "key"))).where(F.col("rank") <= k).select("query", "key", "distance", "rank")
+
+
+def build(vectors: DataFrame, key: str, vec: str = "embedding", cells: int | None = None, sample_rows: int = SAMPLE_ROWS, target: float | None = TARGET) -> VectorIndex:
+    """Fit on the sample, then put every row into its cell and the cells into folders.
+
+    How many cells a search reads by itself is measured: as many as reach the target recall for TRIALS rows of the
+    sample as queries (None: PROBE_SHARE of the cells, not measured).
+    """
     some = vectors.where(F.col(vec).isNotNull()).orderBy(F.xxhash64(key), key).limit(sample_rows).select(vec).collect()
     width = len(some[0][0]) if some else 0
     sample = np.array([r[0] for r in some if len(r[0]) == width and None not in r[0]], float).reshape(-1, max(1, width))
+    cells = cells or max(1, min(MAX_CELLS, math.isqrt(vectors.count())))
     centroids = fit_centroids(sample, cells) if width and len(sample) else np.zeros((0, width))
 
     @F.arrow_udf("int")
@@ -76,24 +123,28 @@ def build(vectors: DataFrame, key: str, vec: str = "embedding", cells: int = CEL
             out[at] = (np.array([values[i] for i in at], float) @ centroids.T).argmax(1)
         return pa.array(out)
 
-    return VectorIndex(stored(vectors.withColumn("cell", cell.asNondeterministic()(vec)), "vector-index"), centroids, key, vec)
+    placed = vectors.withColumn("cell", cell.asNondeterministic()(vec))
+    # a large cell is spread over several tasks and files
+    index = VectorIndex(stored(placed.repartition("cell", F.pmod(F.xxhash64(key), F.lit(8))), "vector-index", "cell"), centroids, key, vec)
+    if target is not None and len(sample):
+        trials = [(i, sample[i].tolist()) for i in np.linspace(0, len(sample) - 1, min(TRIALS, len(sample))).astype(int).tolist()]
+        index.least_probes = enough_probes(index, vectors.sparkSession.createDataFrame(trials, "query long, vector array<double>"), target=target)
+    return index
 
 
-def recall(index: VectorIndex, queries: dict, k: int = 10, probes: int = PROBES) -> float:
-    """The share of the exact k nearest rows that the index finds, over some queries (key -> vector)."""
-    hit = total = 0
-    for query in queries.values():
-        exact = {r[0] for r in index.search(query, k, None).select(index.key).collect()}
-        hit += len(exact & {r[0] for r in index.search(query, k, probes).select(index.key).collect()})
-        total += len(exact)
-    return hit / max(1, total)
+def recall(index: VectorIndex, queries: DataFrame, k: int = 10, probes: int | None = 0) -> float:
+    """The share of the exact k nearest rows that the index finds over all queries (query, vector): one job."""
+    exact = index.search_all(queries, k, None).select("query", "key")
+    found = index.search_all(queries, k, probes).select("query", "key", F.lit(1).alias("hit"))
+    row = exact.join(found, ["query", "key"], "left").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits")).first()
+    return (row["hits"] or 0) / row["n"] if row["n"] else 1.0
 
 
-def enough_probes(index: VectorIndex, queries: dict, k: int = 10, target: float = 0.9) -> int:
-    """The fewest probes (by steps of a quarter more) whose measured recall reaches the target; all cells if none less does."""
-    probes = PROBES
-    while probes < len(index.centroids):
+def enough_probes(index: VectorIndex, queries: DataFrame, k: int = 10, target: float = 0.9) -> int:
+    """The fewest probes, doubled from the least on, whose measured recall reaches the target; all cells if none less does."""
+    probes = min(MIN_PROBES, len(index.centroids))
+    while 0 < probes < len(index.centroids):
         if recall(index, queries, k, probes) >= target:
             return probes
-        probes += max(1, probes // 4)
+        probes = min(len(index.centroids), 2 * probes)
     return len(index.centroids)

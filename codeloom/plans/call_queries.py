@@ -85,27 +85,71 @@ def free_call_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.free_call_fallback(sites, sites.where("file NOT LIKE '%/f1%'"), defs)
 
 
-@REGISTRY.query("vector_index_recall", "SELECT count(*)::BIGINT AS indexed, true AS whole_recall_exact, true AS recall_reached FROM embeddings")
-def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row is indexed; all cells give the exact answer, and as many as were measured to be enough at least nine tenths of it."""
+_NEAREST_SQL = """WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
+d AS (SELECT query, vec_id AS key, 1 - list_cosine_similarity(embedding::DOUBLE[], v) AS distance FROM embeddings, q)"""
+
+
+def _index(spark: SparkSession, sf_dir: str) -> tuple[vector_index.VectorIndex, DataFrame]:
+    """The index over all embeddings, and as queries those whose id is divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings")
-    index = vector_index.build(vectors, "vec_id")
-    queries = {r["vec_id"]: r["embedding"] for r in vectors.where("vec_id % 100 = 0").collect()}  # the queries whose recall is measured
-    whole = vector_index.recall(index, queries, probes=vector_index.CELLS)
-    some = vector_index.recall(index, queries, probes=vector_index.enough_probes(index, queries))
-    return index.rows.agg(F.count(F.lit(1)).alias("indexed")).withColumn("whole_recall_exact", F.lit(whole == 1.0)).withColumn("recall_reached", F.lit(some >= 0.9))
+    return vector_index.build(vectors, "vec_id"), vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
 
 
-@REGISTRY.query("crash_marker", "SELECT unnest(['before', 'during', 'after']) AS step, unnest([false, true, false]) AS dirty")
+@REGISTRY.query("vector_index_search", f"{_NEAREST_SQL} SELECT query, key, round(distance, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(distance, 6), key) <= 10")
+def vector_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows of each query, in one job through all cells of the index."""
+    index, queries = _index(spark, sf_dir)
+    return index.search_all(queries, 10, None).select("query", "key", F.round("distance", 6).alias("distance"))
+
+
+@REGISTRY.query("vector_index_recall", "SELECT count(*)::BIGINT AS indexed, count(*) FILTER (vec_id % 50 = 0)::BIGINT AS queries, true AS whole_recall_exact, true AS recall_reached FROM embeddings")
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row is indexed; all cells give the exact answer, and as many as were measured to be enough when it was built at least nine tenths of it."""
+    index, queries = _index(spark, sf_dir)
+    whole = vector_index.recall(index, queries, probes=len(index.centroids))
+    some = vector_index.recall(index, queries)
+    counts = index.rows.agg(F.count(F.lit(1)).alias("indexed"), F.count_if(F.col("vec_id") % 50 == 0).alias("queries"))
+    return counts.withColumn("whole_recall_exact", F.lit(whole == 1.0)).withColumn("recall_reached", F.lit(some >= 0.9))
+
+
+@REGISTRY.query("vector_index_recall_by_probes")
+def vector_index_recall_by_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What share of the exact ten nearest the index finds over all queries, by how many of its cells are read."""
+    index, queries = _index(spark, sf_dir)
+    exact = index.search_all(queries, 10, None).select("query", "key")
+    out, probes = None, min(vector_index.MIN_PROBES, len(index.centroids))
+    while probes:
+        found = index.search_all(queries, 10, probes).select("query", "key", F.lit(1).alias("hit"))
+        part = exact.join(found, ["query", "key"], "left").agg(F.lit(probes).alias("probes"), F.lit(len(index.centroids)).alias("cells"), (F.sum("hit") / F.count(F.lit(1))).alias("recall"))
+        out = part if out is None else out.unionByName(part)
+        probes = 0 if probes >= len(index.centroids) else min(2 * probes, len(index.centroids))
+    return out if out is not None else spark.createDataFrame([], "probes int, cells int, recall double")
+
+
+@REGISTRY.query("crash_marker", "SELECT doc_id, unnest(['first', 'second', 'third']) AS build, unnest([false, true, false]) AS dirty, unnest([NULL, 'second', 'second']) AS made_in FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id")
 def crash_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A build is marked while it runs; a marker that stays tells of a crash."""
-    path, seen = _folder(spark, "build"), []
-    seen.append(("before", state.is_dirty(spark, path)))
-    state.mark_dirty(spark, path)
-    seen.append(("during", state.is_dirty(spark, path)))
-    state.clear_dirty(spark, path)
-    seen.append(("after", state.is_dirty(spark, path)))
-    return spark.createDataFrame(seen, "step string, dirty boolean")
+    """Three builds over all documents: the first breaks behind its first half, so the second finds the marker and makes all anew, and the third finds none and reuses all."""
+    path = _folder(spark, "build")
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id").distinct()
+    rows = []
+
+    def build(name: str, breaks: bool) -> None:
+        dirty = state.is_dirty(spark, path)
+        state.mark_dirty(spark, path)
+        done = state.has_folder(spark, f"{path}/made") and not dirty
+        if not done:
+            docs.where("doc_id % 2 = 0").withColumn("made_in", F.lit(name)).write.mode("overwrite").parquet(f"{path}/made")
+            if breaks:
+                rows.append(docs.select("doc_id", F.lit(name).alias("build"), F.lit(dirty).alias("dirty"), F.lit(None).cast("string").alias("made_in")))
+                return  # as a build that is killed: the marker stays, and half of the rows are there
+            docs.where("doc_id % 2 <> 0").withColumn("made_in", F.lit(name)).write.mode("append").parquet(f"{path}/made")
+        state.clear_dirty(spark, path)
+        made = spark.read.parquet(f"{path}/made")
+        rows.append(docs.join(made, "doc_id", "left").select("doc_id", F.lit(name).alias("build"), F.lit(dirty).alias("dirty"), "made_in"))
+
+    for name in ("first", "second", "third"):
+        build(name, name == "first")
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @REGISTRY.query("finalize_cache", "SELECT doc_id AS key, md5(text || CASE WHEN doc_id % 3 = 0 THEN '!' ELSE '' END) AS hash, CASE WHEN doc_id % 3 = 0 THEN 'second' ELSE 'first' END AS made_in FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY ALL")

@@ -41,10 +41,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet below the shared checkpoint folder and read it back (column pruning kept)."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df once as Parquet below the shared checkpoint folder and read it back (column pruning kept).
+
+    by: a column whose values become folders, so that a filter on it opens only theirs.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)

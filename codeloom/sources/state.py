@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -14,6 +14,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def has_folder(spark: SparkSession, path: str) -> bool:
+    return _exists(spark, path)
+
+
 def mark_dirty(spark: SparkSession, path: str, reason: str = "build") -> None:
     """Leave a marker in the shared folder before a build changes anything there."""
     spark.createDataFrame([(reason,)], "reason string").coalesce(1).write.mode("overwrite").json(f"{path}/_dirty")
@@ -29,24 +33,30 @@ def clear_dirty(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def latest_folder(spark: SparkSession, root: str, mark: str = "_SUCCESS") -> str | None:
+    """The name of the newest folder below root whose mark, which is written last, is there; None if there is none."""
+    if not _exists(spark, root):
+        return None
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [(system.getFileStatus(path(e.getPath(), mark)).getModificationTime(), e.getPath().getName()) for e in system.listStatus(path(root)) if system.exists(path(e.getPath(), mark))]
+    return max(done)[1] if done else None
+
+
 def finalized(inputs: DataFrame, cache: str, make: Callable[[DataFrame], DataFrame], key: str = "key", value: str = "hash") -> DataFrame:
     """Results of make(inputs) by (key, hash), those of unchanged inputs from the stored folder ``cache``.
 
-    make returns rows that carry key and hash. The whole state is written anew beside the old one, so a crash leaves the
-    old; a new folder is a version of its own.
+    make returns rows that carry key and hash. The whole state is written anew beside the old one under a name of its own,
+    so a crash leaves the old and two builds at once don't meet; the newest folder that was completed counts.
     """
     spark = inputs.sparkSession
-    versions = f"{cache}/versions"
-    latest = None
-    if _exists(spark, versions):
-        latest = spark.read.parquet(versions).agg(F.max("version")).first()[0]
+    version, latest = uuid.uuid4().hex, latest_folder(spark, cache)
     if latest is None:
-        out, version = make(inputs), 0
+        out = make(inputs)
     else:
-        old, version = spark.read.parquet(f"{cache}/v{latest}"), latest + 1
+        old = spark.read.parquet(f"{cache}/{latest}")
         same = old.join(inputs.select(key, value).distinct(), [key, value], "left_semi")
         fresh = make(inputs.join(old.select(key, value).distinct(), [key, value], "left_anti"))
         out = same.unionByName(fresh)
-    out.write.mode("overwrite").parquet(f"{cache}/v{version}")
-    spark.createDataFrame([(version,)], "version long").write.mode("append").parquet(versions)
-    return spark.read.parquet(f"{cache}/v{version}")
+    out.write.parquet(f"{cache}/{version}")
+    return spark.read.parquet(f"{cache}/{version}")

@@ -35,8 +35,12 @@ def test_vector_index(spark):
     queries = {i: rows[i][1] for i in range(0, 400, 50)}
     exact = search.vector_topk(vectors, queries[50], 5, "vec_id", max_distance=2.5).select("vec_id").collect()
     assert index.search(queries[50], 5, None).select("vec_id").collect() == exact
-    probes = vector_index.enough_probes(index, queries)
-    assert vector_index.recall(index, queries, probes=probes) >= 0.9
+    asked = spark.createDataFrame([*queries.items(), (999, [1.0])], "query long, vector array<float>")
+    probes = vector_index.enough_probes(index, asked)
+    assert vector_index.recall(index, asked, probes=probes) >= 0.9 and vector_index.recall(index, asked, probes=8) == 1.0
+    every = index.search_all(asked, 5, None).where("query = 50").orderBy("rank").select(F.col("key").alias("vec_id")).collect()
+    assert every == exact
+    assert "cell" in index.search(queries[50], 5, 1)._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
     assert vector_index.build(vectors.limit(0), "vec_id").search([1.0], 3).count() == 0
 
 
