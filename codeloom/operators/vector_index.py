@@ -95,7 +95,7 @@ class VectorIndex:
 
         asked = queries.select("query", "vector", F.explode(cells.asNondeterministic()("vector")).alias("cell"))
         rows = self.rows.select(F.col(self.key).alias("key"), F.col(self.vec).alias("v"), "cell")
-        scored = rows.join(asked, "cell").select("query", "key", "cell", cosine_distance(F.col("v"), F.col("vector")).alias("distance"))
+        scored = rows.join(asked, "cell").select("query", "key", "cell", cosine_distance(F.col("v"), F.col("vector")).alias("distance")).where("distance IS NOT NULL")
         cut = scored.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(16)))
         own = Window.partitionBy("query", "cell", "salt").orderBy("distance", "key")
         best = cut.withColumn("n", F.row_number().over(own)).where(F.col("n") <= k)
