@@ -75,11 +75,12 @@ def rebuilt(placed: DataFrame, ids: DataFrame, most: int = MOST_SHARED) -> DataF
 def _grouped(rows: DataFrame) -> DataFrame:
     """Each group (parent, said) gives its rows their node: smallest conv_id, members, and whether all members are the same.
 
-    The groups are added up before they are shuffled, and are the small side of the join back; a hot group's rows are
-    split by the adaptive skew join.
+    The groups are added up before they are shuffled and stored, so that the join back is one of two exchanges, in which
+    the adaptive skew join splits a hot group's rows.
     """
+    rows = cut(rows)
     groups = rows.groupBy(F.col("parent").alias("p"), F.col("said").alias("s")).agg(F.min("conv_id").alias("node"), F.count(F.lit(1)).alias("n"), (F.min("whole") == F.max("whole")).alias("path"))
-    return rows.join(groups, (F.col("parent") == F.col("p")) & (F.col("said") == F.col("s"))).drop("p", "s", "said")
+    return rows.join(cut(groups), (F.col("parent") == F.col("p")) & (F.col("said") == F.col("s"))).drop("p", "s", "said")
 
 
 def _digests(batches):
