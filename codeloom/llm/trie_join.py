@@ -481,19 +481,28 @@ def _rest_tasks(marked: DataFrame, family_tokens: int) -> DataFrame:
     """Trie tasks that compare what is outside the main components with all it can link with.
 
     Sets that link share a prefix shingle, so a set outside its family's main component meets, for each of its prefix
-    shingles, only the sets with that shingle: a set is shipped once for each such shingle, however many blocks its
-    family has. A shingle whose sets don't fit one task is cut into blocks, each of which meets the set.
+    shingles, only the sets with that shingle. Which sets meet is settled on (node, shingle) rows without the sets
+    themselves. Shingles of little weight are packed: as many of a family's as fit a task share one, where a set stands
+    once however many of them it has. A shingle whose sets don't fit one task is cut into blocks, each of which
+    meets the sets outside. Only then a set is shipped, once for each task that needs it.
     """
-    dealt = marked.select("comp", "node", "n", "known", "main", "blob", F.explode("prefix").alias("token"))
-    wanted = dealt.where("NOT main").select("comp", "token").distinct()
-    groups = dealt.join(wanted, ["comp", "token"], "left_semi").withColumn("group", F.concat_ws("/", "comp", "token"))
-    cut = _blocks(groups, "group", family_tokens)
-    columns = ("node", "n", "known", "blob")
-    own = cut.select("comp", _task("own", F.col("token"), F.col("block")).alias("task"), F.lit(0).alias("side"), *columns)
+    pairs = marked.select("comp", "node", "n", "main", F.explode("prefix").alias("token"))
+    wanted = pairs.where("NOT main").select("comp", "token").distinct()
+    met = stored(pairs.join(wanted, ["comp", "token"], "left_semi"), "rest-pairs")
+    weights = met.groupBy("comp", "token").agg(F.sum("n").alias("weight"))
+    light = F.col("weight") <= family_tokens
+    packs = weights.where(light).groupBy("comp").agg(F.ceil(F.sum("weight") / family_tokens).cast("long").alias("packs"))
+    named = F.when(light, _task("pack", F.pmod(F.xxhash64("token"), F.col("packs")))).otherwise(_task("token", F.col("token")))
+    groups = stored(weights.join(packs, "comp", "left").select("comp", "token", named.alias("name")), "rest-groups")
+    # stored, so that the join is one of two exchanges, in which a hot shingle's rows are split by the adaptive skew join
+    whole = met.join(groups, ["comp", "token"]).select("comp", "name", "node", "n", "main").distinct()
+    cut = _blocks(whole.withColumn("group", F.concat_ws("/", "comp", "name")), "group", family_tokens)
+    own = cut.select("comp", _task("own", F.col("name"), F.col("block")).alias("task"), F.lit(0).alias("side"), "node")
     several = cut.where("blocks > 1")
-    here = several.select("comp", _task("away", F.col("token"), F.col("block")).alias("task"), F.lit(0).alias("side"), *columns)
+    here = several.select("comp", _task("away", F.col("name"), F.col("block")).alias("task"), F.lit(0).alias("side"), "node")
     away = several.where("NOT main").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).where("other <> block")
-    return own.unionByName(here).unionByName(away.select("comp", _task("away", F.col("token"), F.col("other")).alias("task"), F.lit(1).alias("side"), *columns))
+    tasks = own.unionByName(here).unionByName(away.select("comp", _task("away", F.col("name"), F.col("other")).alias("task"), F.lit(1).alias("side"), "node"))
+    return tasks.join(marked.select("node", "n", "known", "blob"), "node")
 
 
 def _large_links(large: DataFrame, percent: int, family_tokens: int) -> DataFrame:
