@@ -7,11 +7,13 @@ examined. Where the shift is 0, the block's bucket lists the patterns that end i
 all words decides. Patterns of different length go to searchers of their own, so that a short item does not
 shorten everybody's jumps.
 
-The benchmark is split into blocks of at most MAX_BLOCK_BYTES of text; an item that is longer is cut into stretches that
-overlap by a window less a word, so it has the same windows. One block is broadcast and searched in the same pass that
-writes the result. More blocks are taken one after the other: the texts are written once with a row number, each block is
-broadcast, its hits (rows with hits only) are written, and the broadcast is destroyed before the next; then the hits are
-put together by row. So what is alive at once on the driver and in a worker is bounded however large the benchmark is.
+The benchmark's repeats are taken out, and the rest is split into blocks of at most MAX_BLOCK_BYTES of text by sums of
+their bytes; an item that is longer than half a block is cut into stretches that overlap by a window less a word, so it
+has the same windows. One block is broadcast and searched in the same pass that writes the result. More blocks are taken
+one after the other: the texts are written once with a row number, and once more as their words alone, which is all that
+the blocks read; each block is broadcast, its hits (rows with hits only) are written, and the broadcast is destroyed
+before the next; then the hits are put together by row. So what is alive at once on the driver and in a worker is
+bounded however large the benchmark is and however often an item stands in it.
 
 Null, empty and blank texts have no words and no hits; texts of any length are searched whole; items without words have
 no windows. An item_id of null counts as the string ``null``; repeated item_ids count once, repeated rows each for
@@ -26,14 +28,14 @@ import uuid
 from collections import defaultdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
 from .textops import alnum_words, fresh
 
 WINDOW = 10
-#: UTF-8 bytes of item texts that one broadcast holds, about.
+#: UTF-8 bytes of item texts that one broadcast holds at most.
 MAX_BLOCK_BYTES = 16 << 20
 
 
@@ -135,13 +137,25 @@ def _stretches(width: int, max_bytes: int):
 
 
 def item_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", max_bytes: int = MAX_BLOCK_BYTES, width: int = WINDOW) -> list[DataFrame]:
-    """The benchmark in blocks whose texts stay within max_bytes in the mean; a hash of the item deals them out."""
-    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.col(text).cast("string").alias("text")).where(F.col(text).isNotNull())
+    """The benchmark's distinct items in blocks whose texts hold at most max_bytes each.
+
+    Items are summed up inside buckets of a hash and over the buckets' sums, so no task holds all items; a block ends
+    where the sum passes the next half of max_bytes, and no stretch is longer than the other half.
+    """
+    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.col(text).cast("string").alias("text")).where(F.col(text).isNotNull()).distinct()
     total, longest = rows.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
-    if (longest or 0) > max_bytes:
-        rows = rows.mapInArrow(_stretches(width, max_bytes // 2), "item string, text string")
-    n = max(1, -(-(total or 0) // max_bytes))
-    return [rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) for i in range(n)] if n > 1 else [rows]
+    if (total or 0) <= max_bytes:
+        return [rows]
+    half = max(1, max_bytes // 2)
+    if longest > half:
+        # a stretch ends behind the word that fills it; a window of width words may be longer than half a block
+        rows = rows.mapInArrow(_stretches(width, max(1, half // 2)), "item string, text string").distinct()
+    sized = rows.withColumn("bucket", F.pmod(F.xxhash64("item", "text"), F.lit(-(-2 * total // max_bytes)))).withColumn("size", F.octet_length("text").cast("long"))
+    inside = Window.partitionBy("bucket").orderBy("item", F.xxhash64("text"), "text").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sized.groupBy("bucket").agg(F.sum("size").alias("whole"))
+    before = sums.select("bucket", (F.sum("whole").over(Window.orderBy("bucket")) - F.col("whole")).alias("before"))  # a row for each half block
+    placed = stored(sized.withColumn("upto", F.sum("size").over(inside)).join(before, "bucket").select("item", "text", F.floor((F.col("before") + F.col("upto") - F.col("size")) / half).alias("block")), "benchmark-blocks")
+    return [placed.where(F.col("block") == r["block"]).select("item", "text") for r in placed.select("block").distinct().orderBy("block").collect()]
 
 
 _SEARCHERS: dict[str, Searcher] = {}
@@ -168,6 +182,16 @@ def _marker(shared, width: int):
     return run.asNondeterministic()
 
 
+def _spelled():
+    """A UDF text -> its words with a blank between; searching these finds the same words."""
+
+    @F.arrow_udf("binary")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([b" ".join(alnum_words(t.as_py())) for t in texts.cast(pa.large_binary())], pa.binary())
+
+    return run.asNondeterministic()
+
+
 def _broadcast(df: DataFrame, block: DataFrame):
     """The items of one block; a bound on them is the block's."""
     return df.sparkSession.sparkContext.broadcast([(r["item"], r["text"].encode()) for r in block.toLocalIterator()])
@@ -183,10 +207,11 @@ def mark(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "i
         return df.withColumn(name, _marker(_broadcast(df, blocks[0]), width)(text))
     row, each = fresh("row_number", df), fresh("row_hits", df)
     table = stored(df.withColumn(row, F.monotonically_increasing_id()), "numbered-texts")
+    words = stored(table.select(F.col(row).alias("row"), _spelled()(text).alias("words")), "text-words")
     found = None
     for block in blocks:
         shared = _broadcast(df, block)
-        hits = table.select(row, _marker(shared, width)(text).alias(each))
+        hits = words.select(F.col("row").alias(row), _marker(shared, width)("words").alias(each))
         hits = hits.where(F.size(f"{each}.starts") > 0) if found is not None else hits  # the first block brings the word counts
         part = stored(hits, "block-hits")
         shared.destroy()

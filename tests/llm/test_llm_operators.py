@@ -428,6 +428,10 @@ def test_rest_of_a_large_family_ships_by_shingles(spark):
     sets = spark.createDataFrame([(1, i, 20, i, i == 0, b"", [i % 10, 10 + i % 7]) for i in range(400)], "comp long, node long, n long, known long, main boolean, blob binary, prefix array<long>")
     shipped = trie_join._rest_tasks(sets, 1_000_000)
     assert shipped.count() <= 2 * 400 and shipped.where("side = 1").count() == 0
+    # what is shipped grows with the sets, not with their prefix shingles: those that fit one task share it
+    for n in (200, 400):
+        many = spark.createDataFrame([(1, i, 200, i, i == 0, b"", [i % 7, *range(1_000 + i, 1_040 + i)]) for i in range(n)], "comp long, node long, n long, known long, main boolean, blob binary, prefix array<long>")
+        assert trie_join._rest_tasks(many, 10_000_000).count() == n
     cut = trie_join._rest_tasks(sets, 500)  # tasks of at most about 25 sets: 320 blocks in all, two or three for a shingle
     assert cut.count() <= 400 * (2 + 2 + 2 * 2)
 
@@ -898,5 +902,18 @@ def test_query_equals_sql(spark, sf_dir, name):
     pd.testing.assert_frame_equal(norm(got), norm(want), check_dtype=False)
 
 
+def test_blocks_of_a_repeated_benchmark_are_bounded(spark):
+    """Repeats of an item are one, and no block holds more than its bytes, long items and equal texts included."""
+    rows = [("same", "one item that stands here very often indeed and more")] * 3_000 + [(f"i{k}", " ".join(f"w{k}x{j}" for j in range(3 + k % 40))) for k in range(200)] + [("long", " ".join(f"l{j}" for j in range(3_000)))]
+    bench = spark.createDataFrame(rows, "item_id string, text string")
+    blocks = [b.collect() for b in decontaminate.item_blocks(bench, max_bytes=2_000)]
+    assert len(blocks) > 10 and all(sum(len(r["text"]) for r in b) <= 2_000 for b in blocks)
+    assert sum(r["item"] == "same" for b in blocks for r in b) == 1
+    docs = spark.createDataFrame([(0, "x " + rows[0][1] + " y"), (1, " ".join(f"l{j}" for j in range(500, 520))), (2, None), (3, "nothing at all")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in decontaminate.report(docs, bench, max_bytes=2_000).collect()}
+    unique = sorted(set(rows))
+    assert got == {r["doc_id"]: decontaminate.brute_force(r["text"], unique) for r in docs.collect()}
+
+
 def test_every_operator_is_registered(spark, sf_dir):
     assert sorted(queries.QUERIES) == sorted(f"op{n}_{x}" for n, x in enumerate(["perspectives", "histogram_shards", "quality_classifier", "quality_rules", "ngram_join", "token_counts", "byte_bpe", "decontamination", "license_scan", "html_extraction", "conversation_trie", "class_scores", "structure_repair"], 1))
