@@ -351,6 +351,25 @@ def typescript_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brace_parsers.parse_typescript(f).select("path", "kind", "name", F.when(F.col("kind") != "import", F.col("owner")).alias("own"), "startLine")
 
 
+@plain("typescript_shapes", f"""WITH s AS (SELECT *, {_PATH.format('.ts')} AS path, p_partkey % 4 AS k FROM part),
+f AS (SELECT path, unnest(['Function', 'call', 'call']) AS kind, unnest(['k' || p_partkey, 'cb', 'h' || p_size]) AS name, unnest([NULL, 'k' || p_partkey, 'k' || p_partkey]) AS own, unnest([2, 1, 1]) AS n FROM s WHERE k = 0
+  UNION ALL SELECT path, unnest(['Function', 'call']), unnest(['q' || p_partkey, 'z']), unnest([NULL, 'q' || p_partkey]), unnest([1, 2]) FROM s WHERE k = 1
+  UNION ALL SELECT path, unnest(['Class', 'Method', 'call', 'Method']), unnest(['C' || p_partkey, 'on', 'this.run', 'run']), unnest([NULL, 'C' || p_partkey, 'C' || p_partkey || '.on', 'C' || p_partkey]), unnest([NULL, 1, 1, 2]) FROM s WHERE k = 2
+  UNION ALL SELECT path, unnest(['Interface', 'Method', 'Function', 'call', 'call']), unnest(['P', 'area', 'r' || p_size, 'd', 'w']), unnest([NULL, 'P', NULL, 'r' || p_size, 'r' || p_size]), unnest([NULL, 0, 2, 0, 0]) FROM s WHERE k = 3)
+SELECT path, kind, name, own, n FROM f""")
+def typescript_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of four shapes: callbacks and templates, bare arrows, arrows and results of object types in classes, defaults."""
+    key, size = _key(), F.col("p_size")
+    shape = [
+        _s("function k", key, "(cb: (x: number) => void, m: Map<string, number>): void {\n  cb(1); return `a ${h", size, "('x(1)')} b(2)`; }"),
+        _s("const q", key, " = x => z(x, '", F.replace("p_name", F.lit("'"), F.lit("")), "');"),
+        _s("class C", key, " {\n  on = (e: Event): void => { this.run(e); };\n  run(a: [number, string], b?: () => void): Promise<{ ok: boolean }> { }\n}"),
+        _s("interface P { area(): number; }\nconst r", size, " = async (a, b = d()): Promise<void> => { w(/* v(1) */); };"),
+    ]
+    f = _files(spark, sf_dir, ".ts", F.element_at(F.array(*shape), (key % 4 + 1).cast("int")))
+    return brace_parsers.parse_typescript(f).select("path", "kind", "name", F.col("owner").alias("own"), F.col("count").alias("n"))
+
+
 @plain("java_facts", f"SELECT {_PATH.format('.java')} AS path, unnest(['import', 'Class', 'heritage', 'heritage', 'Method', 'call']) AS kind, unnest(['java.util', 'C' || p_partkey, 'Base', 'Pet', 'run', 'helper']) AS name, unnest([1, 2, 2, 2, 3, 4]) AS \"startLine\", unnest([0, NULL, 0, 0, 2, p_size % 2 + 1]) AS n FROM part")
 def java_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _files(spark, sf_dir, ".java", "import java.util.List;", _s("public class C", _key(), " extends Base implements Pet {"), "  public List<String> run(int a, Map<String, Integer> b) {", F.concat(F.lit("    if (a > 0) helper(a"), F.when(F.col("p_size") % 2 == 1, ", b").otherwise(""), F.lit(");")), "  }", "}")

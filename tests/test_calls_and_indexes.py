@@ -143,3 +143,50 @@ def test_typescript_and_java_facts():
     assert [(f[1], f[5]) for f in java if f[0] == "call"] == [("this.go", "member"), ("C", "constructor")]
     assert brace_facts("", "java") == [] and brace_facts("class {", "typescript") == []
     assert len(brace_facts("class A {" * 200, "java")) > 0
+
+
+MORE = """function k(cb: (x: number) => void, m: Map<string, number>): { a: number } { cb(1, f(2, 3)); return `x ${h(1)} ${`in ${g({a: 1})}`}`; }
+const q = x => z(x);
+const r = async (a, b = d()): Promise<void> => { w(); };
+class C {
+  handle = (e: Event): void => { this.run(e); };
+  run(cb: (x: number) => void = () => {}, ...rest: [number, string][]): Promise<{ ok: boolean }> {
+    return go(a, (b) => { deep(b, `y(1)`); });
+  }
+  last(a: string,): void { end(
+    1); }
+}
+interface P { area(): number; named?(a: string): void }
+function tail() {}
+"""
+
+
+def test_callbacks_templates_and_short_arrows():
+    facts = brace_facts(MORE, "typescript")
+    declared = [(f[0], f[1], f[2], f[3], f[4], f[5], f[6]) for f in facts if f[0] in ("Function", "Method")]
+    assert declared == [
+        ("Function", "k", None, 1, 1, "{ a: number }", 2), ("Function", "q", None, 2, 2, None, 1), ("Function", "r", None, 3, 3, "Promise<void>", 2), ("Method", "handle", "C", 5, 5, "void", 1),
+        ("Method", "run", "C", 6, 8, "Promise<{ ok: boolean }>", 2), ("Method", "last", "C", 9, 10, "void", 1), ("Method", "area", "P", 12, 12, "number", 0), ("Method", "named", "P", 12, 12, "void", 1), ("Function", "tail", None, 13, 13, None, 0),
+    ]
+    calls = [(f[1], f[2], f[6]) for f in facts if f[0] == "call"]
+    assert calls == [("cb", "k", 2), ("f", "k", 2), ("h", "k", 1), ("g", "k", 1), ("z", "q", 1), ("d", "r", 0), ("w", "r", 0), ("this.run", "C.handle", 1), ("go", "C.run", 2), ("deep", "C.run", 2), ("end", "C.last", 1)]
+
+
+def test_files_are_read_in_time_linear_in_their_length():
+    import time
+
+    method = "  m{0}(a: number, cb: (x: number) => void): void {{ this.x{0}(a); }}\n"
+    shapes = {
+        "methods": lambda n: "class A {\n" + "".join(method.format(i) for i in range(n)) + "}", "calls": lambda n: "f(" * n + ")" * n, "open": lambda n: "class A { m() { " * n,
+        "arrows": lambda n: "const a = (b) => " * n, "templates": lambda n: "`${" * n + "}`" * n, "generics": lambda n: "a<b," * n, "quotes": lambda n: "x = '" * n, "types": lambda n: "f(): (" * n,
+    }
+    for name, shape in shapes.items():
+        took = []
+        for n in (2_500, 10_000):
+            began = time.perf_counter()
+            brace_facts(shape(n), "typescript")
+            brace_facts(shape(n), "java")
+            took.append(time.perf_counter() - began)
+        assert took[1] < 10 * took[0] + 0.5, (name, took)
+    facts = brace_facts(shapes["methods"](10_000), "typescript")
+    assert sum(f[0] == "Method" for f in facts) == 10_000 == sum(f[0] == "call" for f in facts)
