@@ -7,8 +7,10 @@ copies) is a path: its conversations leave the loop and the nodes below it are m
 the depth to which different conversations agree, not their length. Reverse level-by-level joins of children on their
 parents then roll up leaves and savings.
 
-Hot groups: groups are pre-aggregated before they are shuffled, and the rows of a group that a third of all conversations
-share are split by the adaptive skew join, on whose other side a group is one row. Turn positions and sums
+Hot groups: groups are pre-aggregated before they are shuffled. The join that brings a node back to its conversations
+moves about 100 bytes for each; the rows of a first turn that a third of all conversations share meet in one of its tasks
+(as a sorted stream against a single row, nothing is held), since no exchange stands between the aggregate and the join
+where the adaptive skew join could split them; storing the groups first splits them, but takes too many small jobs. Turn positions and sums
 of bytes are taken in two steps, inside range buckets and over the buckets' sums, so no conversation is one task.
 ``ends_sha256`` is a stream of the members' ids in order: SHA-256 can't be computed in parts, so the ids (8 bytes each)
 of copies that end at one node meet in one task, never in memory.
@@ -75,12 +77,10 @@ def rebuilt(placed: DataFrame, ids: DataFrame, most: int = MOST_SHARED) -> DataF
 def _grouped(rows: DataFrame) -> DataFrame:
     """Each group (parent, said) gives its rows their node: smallest conv_id, members, and whether all members are the same.
 
-    The groups are added up before they are shuffled and stored, so that the join back is one of two exchanges, in which
-    the adaptive skew join splits a hot group's rows.
+    The groups are added up before they are shuffled, and are the small side of the join back.
     """
-    rows = cut(rows)
     groups = rows.groupBy(F.col("parent").alias("p"), F.col("said").alias("s")).agg(F.min("conv_id").alias("node"), F.count(F.lit(1)).alias("n"), (F.min("whole") == F.max("whole")).alias("path"))
-    return rows.join(cut(groups), (F.col("parent") == F.col("p")) & (F.col("said") == F.col("s"))).drop("p", "s", "said")
+    return rows.join(groups, (F.col("parent") == F.col("p")) & (F.col("said") == F.col("s"))).drop("p", "s", "said")
 
 
 def _digests(batches):

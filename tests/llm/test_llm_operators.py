@@ -898,7 +898,8 @@ def test_query_equals_sql(spark, sf_dir, name):
     got = queries.QUERIES[name](spark, sf_dir).toPandas()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
-    norm = lambda d: d[columns].astype(str).sort_values(columns).reset_index(drop=True)
+    plain = lambda v: "NULL" if v is None or v is pd.NA or v != v else str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
+    norm = lambda d: d[columns].astype(object).map(plain).sort_values(columns).reset_index(drop=True)
     pd.testing.assert_frame_equal(norm(got), norm(want), check_dtype=False)
 
 
