@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .analytics import lookup_with_mro
-from .resolution import CALLABLE, narrow_overloads, propagate_types, resolve_tiers
+from .resolution import CALLABLE, lone_candidates, propagate_types
 
 # Which statement about a name counts first.
 ORIGINS = {"annotation": 0, "parameter": 1, "construction": 2, "return": 3}
@@ -49,9 +49,7 @@ def receiver_calls(sites: DataFrame, environment: DataFrame, classes: DataFrame,
 
 def tiered_calls(sites: DataFrame, defs: DataFrame, imports: DataFrame, packages: DataFrame | None = None) -> DataFrame:
     """(site, id, confidence): callable candidates of the nearest tier that fit the arguments, where only one is left."""
-    found = narrow_overloads(resolve_tiers(sites, defs, imports, packages), defs, sites)
-    alone = found.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.max("confidence").alias("confidence"))
-    return alone.where("n = 1").select("site", "id", "confidence")
+    return lone_candidates(sites, defs, imports, packages)
 
 
 def free_call_fallback(sites: DataFrame, resolved: DataFrame, defs: DataFrame) -> DataFrame:

@@ -42,20 +42,58 @@ def resolve_tiers(sites: DataFrame, defs: DataFrame, imports: DataFrame, package
     (packages: file, package); anywhere.
     """
     d = defs.select("id", "name", F.col("file").alias("def_file"))
-    same = sites.join(d, "name").where("file = def_file").select("site", "id", F.lit(1).alias("rank"), F.lit("same-file").alias("tier"))
-    named = sites.join(reexport_chain(imports, defs).withColumnRenamed("local", "name"), ["file", "name"]).select("site", "id", F.lit(2).alias("rank"), F.lit("import-scoped").alias("tier"))
-    whole = sites.join(imports.select("file", F.col("source").alias("def_file")).distinct(), "file").join(d, ["def_file", "name"]).select("site", "id", F.lit(3).alias("rank"), F.lit("import-scoped").alias("tier"))
-    parts = [same, named, whole]
-    if packages is not None:
-        mates = packages.select("file", "package").join(packages.select(F.col("file").alias("def_file"), "package"), "package").where("file <> def_file").select("file", "def_file")
-        parts.append(sites.join(mates, "file").join(d, ["def_file", "name"]).select("site", "id", F.lit(4).alias("rank"), F.lit("import-scoped").alias("tier")))
-    parts.append(sites.join(d, "name").select("site", "id", F.lit(5).alias("rank"), F.lit("global").alias("tier")))
-    whole_union = parts[0]
-    for p in parts[1:]:
-        whole_union = whole_union.unionByName(p)
-    best = whole_union.withColumn("n", F.rank().over(Window.partitionBy("site").orderBy("rank"))).where("n = 1").select("site", "id", "tier").distinct()
+    best, sites = None, cut(sites)
+    for keys, table, rank, tier in _tiers(sites, d, imports, defs, packages):
+        part = rank.join(table.hint("merge"), keys).select("site", "id", F.lit(tier).alias("tier"))
+        best = part if best is None else best.unionByName(part)
     levels = F.create_map(*[F.lit(x) for p in TIER_CONFIDENCE.items() for x in p])
-    return best.withColumn("confidence", levels[F.col("tier")])
+    return best.distinct().withColumn("confidence", levels[F.col("tier")])
+
+
+def _tiers(sites: DataFrame, d: DataFrame, imports: DataFrame, defs: DataFrame, packages: DataFrame | None) -> list[tuple]:
+    """(keys, definitions, rows of sites, tier) for each tier: only the sites whose first tier it is, with its keys.
+
+    Which tier is a site's first is settled on distinct keys, so a name that many files define costs nothing where a
+    nearer tier has it.
+    """
+    chain = reexport_chain(imports, defs).select("file", F.col("local").alias("name"), "id").distinct()
+    near = imports.select("file", F.col("source").alias("def_file")).distinct()
+    own = F.col("file").alias("def_file")
+    steps = [(["def_file", "name"], d, sites.select("site", own, "name"), "same-file"), (["file", "name"], chain, sites.select("site", "file", "name"), "import-scoped"), (["def_file", "name"], d, sites.join(near.hint("merge"), "file").select("site", "def_file", "name"), "import-scoped")]
+    if packages is not None:
+        mates = packages.select("file", "package").join(packages.select(F.col("file").alias("def_file"), "package"), "package").where("file <> def_file").select("file", "def_file").distinct()
+        steps.append((["def_file", "name"], d, sites.join(mates.hint("merge"), "file").select("site", "def_file", "name"), "import-scoped"))
+    steps.append((["name"], d, sites.select("site", "name"), "global"))
+    marks = None
+    for rank, (keys, table, asked, _) in enumerate(steps):
+        there = asked.join(table.select(*keys).distinct().hint("merge"), keys, "left_semi").select("site", F.lit(rank).alias("rank"))
+        marks = there if marks is None else marks.unionByName(there)
+    first = cut(marks.groupBy("site").agg(F.min("rank").alias("rank")))
+    return [(keys, table, asked.join(first.where(F.col("rank") == rank).select("site").hint("merge"), "site", "left_semi"), tier) for rank, (keys, table, asked, tier) in enumerate(steps)]
+
+
+def lone_candidates(sites: DataFrame, defs: DataFrame, imports: DataFrame, packages: DataFrame | None = None) -> DataFrame:
+    """(site, id, confidence): what resolve_tiers and narrow_overloads leave of a site, where that is one definition.
+
+    Definitions of one name and file (of one name for the last tier) that take the same arguments are one row with their
+    number, so a site never meets all definitions of a name.
+    """
+    call = F.col("kind").isin(CALLABLE)
+    takes = ["required", "total"]
+    d = defs.select("id", "name", F.col("file").alias("def_file"), call.alias("callable"), *takes)
+    alike = lambda df, keys: df.where("callable").groupBy(*keys, *takes).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    facts = d.select("id", "callable", *takes).distinct()
+    found, sites = None, cut(sites)
+    for keys, table, asked, tier in _tiers(sites, d.select("id", "name", "def_file"), imports, defs, packages):
+        rows = d if "def_file" in table.columns else table.join(facts.hint("merge"), "id")
+        part = asked.join(alike(rows, keys).hint("merge"), keys).select("site", "n", "id", *takes, F.lit(TIER_CONFIDENCE[tier]).alias("confidence"))
+        found = part if found is None else found.unionByName(part)
+    found = found.join(sites.select("site", "arg_count").hint("merge"), "site")
+    fits = F.coalesce(F.col("arg_count").isNull() | F.col("total").isNull() | F.col("arg_count").between(F.coalesce("required", "total"), F.col("total")), F.lit(False))
+    sums = lambda c, w: [F.sum(F.when(w, F.col("n"))).alias(f"{c}_n"), F.min(F.when(w, F.col("id"))).alias(f"{c}_id")]
+    by = found.withColumn("fits", fits).groupBy("site").agg(*sums("fit", F.col("fits")), *sums("all", F.lit(True)), F.max("confidence").alias("confidence"))
+    n, one = F.coalesce("fit_n", "all_n"), F.when(F.col("fit_n").isNotNull(), F.col("fit_id")).otherwise(F.col("all_id"))
+    return by.where(n == 1).select("site", one.alias("id"), "confidence")
 
 
 def narrow_overloads(candidates: DataFrame, defs: DataFrame, sites: DataFrame) -> DataFrame:
