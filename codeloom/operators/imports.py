@@ -137,8 +137,11 @@ def _candidates(imports: DataFrame, rules: DataFrame | None) -> DataFrame:
         return plain.select(*key, "stage", "before", "place", "c.*")
     slashed = F.when(language.isin(*SEPARATORS), F.translate(spec, "\\.", "//")).otherwise(spec)
     r = rules.select(F.col("language").alias("l"), F.when(F.col("language").isin(*SEPARATORS), F.translate("prefix", "\\.", "//")).otherwise(F.col("prefix")).alias("prefix"), F.col("target").alias("base"))
-    opened = known.withColumn("whole", slashed).where(~F.col("spec").startswith(".")).withColumn("p", F.explode(F.transform(F.sequence(F.lit(1), F.length("whole")), lambda n: F.substr(F.col("whole"), F.lit(1), n))))
-    met = opened.join(r, (F.col("language") == F.col("l")) & (F.col("p") == F.col("prefix")))
+    # only prefixes as long as some rule's, which are as few as the longest rule has characters; the prefixes themselves are many
+    lengths = F.broadcast(r.select("l", F.length("prefix").alias("n")).where("n > 0").distinct())
+    opened = known.withColumn("whole", slashed).where(~F.col("spec").startswith(".")).join(lengths, (F.col("language") == F.col("l")) & (F.col("n") <= F.length("whole"))).drop("l")
+    opened = opened.withColumn("p", F.substr(F.col("whole"), F.lit(1), F.col("n"))).drop("n")
+    met = opened.join(r.hint("merge"), (F.col("language") == F.col("l")) & (F.col("p") == F.col("prefix")))
     rest = F.substr(F.col("whole"), F.length("p") + 1)
     # in languages of names a rule ends where a part ends; aliases of scripts are plain prefixes
     met = met.where(F.col("language").isin("typescript", "javascript") | (rest == "") | rest.startswith("/") | F.col("p").endswith("/"))
@@ -166,7 +169,8 @@ def resolve_imports(imports: DataFrame, files: DataFrame, rules: DataFrame | Non
     whole = index[0]
     for part in index[1:]:
         whole = whole.unionByName(part)
-    hit = _candidates(imports, rules).join(whole, ["how", "target"])
+    # both sides are much larger than the files they are estimated from: neither may be sent to all tasks
+    hit = _candidates(imports, rules).join(whole.hint("merge"), ["how", "target"])
     order = F.struct("stage", "before", "place")
     first = Window.partitionBy("file", "language", "spec")
     best_of = hit.withColumn("order", order).withColumn("least", F.min("order").over(first)).where("order = least")

@@ -32,3 +32,12 @@ def test_tiers_do_not_meet_all_definitions_of_a_name(spark):
     slow = resolution.narrow_overloads(resolution.resolve_tiers(sites, defs, named), defs, sites).collect()
     alone = {r["site"]: (r["id"], r["confidence"]) for r in slow if [x["site"] for x in slow].count(r["site"]) == 1}
     assert {r["site"]: (r["id"], r["confidence"]) for r in found.collect()} == alone == {"1": ("a1", 0.95), "3": ("a1", 0.5), "7": ("d1", 0.5), "9": ("a1", 0.9)}
+
+
+def test_import_candidates_are_not_sent_to_all_tasks(spark):
+    files = spark.createDataFrame([("app/m/P1.php",), ("lib/m1/P2.php",)], "path string")
+    rules = spark.createDataFrame([("php", "App\\", "app"), ("php", "App\\m1", "lib/m1"), ("php", "", "no")], "language string, prefix string, target string")
+    wanted = spark.createDataFrame([("w.php", "php", "App\\m\\P1"), ("w.php", "php", "App\\m1\\P2")], "file string, language string, spec string")
+    found = imports.resolve_imports(wanted, files, rules)
+    assert {(r["spec"], r["target"]) for r in found.collect()} == {("App\\m\\P1", "app/m/P1.php"), ("App\\m1\\P2", "lib/m1/P2.php")}
+    assert _plan(found).count("BroadcastExchange") <= 1  # the lengths of the rules
