@@ -35,6 +35,21 @@ def two_hop(edges: DataFrame, first: str, second: str) -> DataFrame:
     return x.join(y, "b").select("a", "b", "c")
 
 
+def two_hop_counts(edges: DataFrame, first: str, second: str, wide: int = 1_000) -> DataFrame:
+    """(a, n): how many distinct c two_hop finds for each a. What follows a b is sent to its a as one list of up to ``wide``.
+
+    So the shuffle carries lists and not triples. The lists of an a meet in one row; an a with more than ``wide`` b
+    counts its distinct pairs instead.
+    """
+    x = edges.where(F.col("type") == first).select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct().withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("a")) > wide)
+    y = edges.where(F.col("type") == second).select(F.col("src").alias("b"), F.col("dst").alias("c")).distinct()
+    piece = F.floor((F.row_number().over(Window.partitionBy("b").orderBy("c")) - 1) / wide)
+    lists = y.withColumn("piece", piece).groupBy("b", "piece").agg(F.collect_list("c").alias("cs")).select("b", "cs")
+    few = x.where("NOT many").select("a", "b").join(lists.hint("merge"), "b").groupBy("a").agg(F.size(F.array_distinct(F.flatten(F.collect_list("cs")))).cast("long").alias("n"))
+    many = x.where("many").select("a", "b").join(y.hint("merge"), "b").groupBy("a").agg(F.countDistinct("c").alias("n"))
+    return few.unionByName(many)
+
+
 def via_file(edges: DataFrame, defines: str = "DEFINES", uses: tuple[str, ...] = ("IMPORTS", "CALLS")) -> DataFrame:
     """(symbol, file, user): who imports or calls the file that defines a symbol."""
     d = edges.where(F.col("type") == defines).select(F.col("src").alias("file"), F.col("dst").alias("symbol"))

@@ -41,3 +41,12 @@ def test_import_candidates_are_not_sent_to_all_tasks(spark):
     found = imports.resolve_imports(wanted, files, rules)
     assert {(r["spec"], r["target"]) for r in found.collect()} == {("App\\m\\P1", "app/m/P1.php"), ("App\\m1\\P2", "lib/m1/P2.php")}
     assert _plan(found).count("BroadcastExchange") <= 1  # the lengths of the rules
+
+
+def test_two_hop_counts_equal_the_distinct_triples(spark):
+    rng = random.Random(3)
+    rows = list({(f"a{rng.randrange(5)}", f"b{rng.randrange(8)}", "X") for _ in range(30)} | {(f"b{rng.randrange(8)}", f"c{rng.randrange(9)}", "Y") for _ in range(30)})
+    edges = spark.createDataFrame(rows, "src string, dst string, type string")
+    want = {r["a"]: r["n"] for r in relational.two_hop(edges, "X", "Y").select("a", "c").distinct().groupBy("a").count().withColumnRenamed("count", "n").collect()}
+    for wide in (2, 1_000):
+        assert {r["a"]: r["n"] for r in relational.two_hop_counts(edges, "X", "Y", wide).collect()} == want
