@@ -50,3 +50,11 @@ def test_two_hop_counts_equal_the_distinct_triples(spark):
     want = {r["a"]: r["n"] for r in relational.two_hop(edges, "X", "Y").select("a", "c").distinct().groupBy("a").count().withColumnRenamed("count", "n").collect()}
     for wide in (2, 1_000):
         assert {r["a"]: r["n"] for r in relational.two_hop_counts(edges, "X", "Y", wide).collect()} == want
+
+
+def test_clones_of_one_remote_are_dealt_to_tasks(spark):
+    repos = spark.createDataFrame([(f"/p{i}", "same") for i in range(50)] + [("/q", "one"), ("/r", None)], "path string, remoteUrl string")
+    listed = reports.list_repos(repos)
+    got = {r["path"]: r["siblings"] for r in listed.collect()}
+    assert got["/q"] is None and got["/r"] is None and all(got[f"/p{i}"] == sorted(f"/p{k}" for k in range(50) if k != i) for i in range(50))
+    assert "BroadcastHashJoin" not in _plan(listed)
