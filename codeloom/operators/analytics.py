@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +9,7 @@ from ..functions.frameworks import path_multiplier
 from ..functions.predicates import is_test_file
 from ..functions.text import capitalize, sanitize_id
 from ..session import cut
-from .traverse import ancestors, drop_contained, longest_per_ends, traces
+from .traverse import drop_contained, hierarchy, longest_per_ends, traces
 
 # Folder names that say nothing about a community; name patterns of entry points and of utilities.
 GENERIC_FOLDERS = ["src", "lib", "core", "utils", "common", "shared", "helpers"]
@@ -176,17 +175,9 @@ def processes(nodes: DataFrame, calls: DataFrame, members: DataFrame, cap: int,
 # ---- method resolution order ----------------------------------------------------------------------------------
 
 
-def c3(parents: dict[str, list[str]], name: str, active: frozenset = frozenset()) -> list[str] | None:
-    """C3 linearisation without the class itself; None for a cycle or an inconsistent hierarchy."""
-    if name in active:
-        return None
-    rows = []
-    for parent in parents.get(name, []):
-        above = c3(parents, parent, active | {name})
-        if above is None:
-            return None
-        rows.append([parent, *above])
-    rows.append(list(parents.get(name, [])))
+def merge_orders(parents: list[str], orders: list[list[str]]) -> list[str] | None:
+    """C3 merge of the parents' own orders, without the class itself; None for an inconsistent hierarchy."""
+    rows = [[p, *order] for p, order in zip(parents, orders)] + [list(parents)]
     out = []
     while rows := [r for r in rows if r]:
         head = next((r[0] for r in rows if not any(r[0] in o[1:] for o in rows)), None)
@@ -197,32 +188,25 @@ def c3(parents: dict[str, list[str]], name: str, active: frozenset = frozenset()
     return out
 
 
-def linearize(heritage: DataFrame) -> DataFrame:
-    """(child, pos, ancestor) in C3 order; breadth-first order where C3 has no answer.
+def c3(parents: dict[str, list[str]], name: str, active: frozenset = frozenset()) -> list[str] | None:
+    """C3 linearisation without the class itself; None for a cycle or an inconsistent hierarchy."""
+    if name in active:
+        return None
+    orders = [c3(parents, parent, active | {name}) for parent in parents.get(name, [])]
+    return None if None in orders else merge_orders(parents.get(name, []), orders)
+
+
+def linear_orders(heritage: DataFrame) -> DataFrame:
+    """(child, order, exact): the ancestors of each class in C3 order; breadth first (exact = false) where C3 has no answer.
 
-    heritage (child, parent, seq). Each child's own ancestors' edges are collected (a class has few ancestors), so
-    hierarchies are spread over tasks by child.
+    heritage (child, parent, seq). A class is merged from its parents' orders (a class has few ancestors), bases first.
     """
-    above = ancestors(heritage)
-    scope = above.select("child", "ancestor", "depth").unionByName(heritage.select("child", F.col("child").alias("ancestor"), F.lit(0).alias("depth")).distinct())
-    edges = scope.join(heritage.select(F.col("child").alias("ancestor"), "parent", "seq"), "ancestor").select(F.col("child").alias("root"), F.col("ancestor").alias("child"), "parent", "seq", "depth")
-
-    def order(group: pd.DataFrame) -> pd.DataFrame:
-        root = group["root"].iloc[0]
-        parents: dict[str, list[str]] = {}
-        for row in group.drop_duplicates(["child", "parent"]).sort_values(["child", "seq", "parent"]).itertuples():
-            parents.setdefault(row.child, []).append(row.parent)
-        found, exact = c3(parents, root), True
-        if found is None:
-            found, queue, exact = [], list(parents.get(root, [])), False
-            while queue:
-                x = queue.pop(0)
-                if x not in found and x != root:
-                    found.append(x)
-                    queue.extend(parents.get(x, []))
-        return pd.DataFrame({"child": root, "pos": range(len(found)), "ancestor": found, "exact": exact})
-
-    return edges.groupBy("root").applyInPandas(order, "child string, pos int, ancestor string, exact boolean")
+    return hierarchy(heritage, merge_orders).select("child", F.coalesce("order", "near").alias("order"), F.col("order").isNotNull().alias("exact"))
+
+
+def linearize(heritage: DataFrame) -> DataFrame:
+    """(child, pos, ancestor, exact): linear_orders with a row for each ancestor, positions from 0."""
+    return linear_orders(heritage).select("child", F.posexplode("order").alias("pos", "ancestor"), "exact")
 
 
 def mro_collisions(mro: DataFrame, methods: DataFrame, heritage: DataFrame, strategy: str = "first-wins") -> DataFrame:

@@ -6,12 +6,17 @@ folder (lineage stays short, a lost executor costs one level). Nothing of the gr
 
 from __future__ import annotations
 
+import uuid
+from collections import deque
+from collections.abc import Callable
 from itertools import count
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, ensure_checkpoint_dir
 
 #: Rounds after which the parts of a result that grows in rounds are written as one, so that its plan stays small.
 MAX_PARTS = 50
@@ -62,18 +67,128 @@ def include_closure(includes: DataFrame, seeds: DataFrame, cap: int = 5_000, max
 
 def ancestors(heritage: DataFrame) -> DataFrame:
     """(child, ancestor, depth): every ancestor with its smallest distance, however far; heritage (child, parent, ..)."""
+    rows = hierarchy(heritage).select("child", F.explode(F.arrays_zip(F.col("near").alias("ancestor"), F.col("depth").alias("depth"))).alias("a"))
+    own = heritage.where("child = parent").select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
+    return rows.select("child", "a.ancestor", "a.depth").unionByName(own)
+
+
+def _met(heritage: DataFrame, roots: DataFrame) -> DataFrame:
+    """(child, ancestor, depth) for the children in roots (child), level by level, through circles too; nobody is its own ancestor.
+
+    The tables that meet are as large as the closure but are estimated from the files, so none may be sent to all tasks.
+    """
     step = heritage.select(F.col("child").alias("mid"), F.col("parent").alias("ancestor")).distinct()
-    seen = cut(heritage.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
+    seen = cut(heritage.where("child <> parent").join(roots, "child", "left_semi").select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
     frontier = seen
     for depth in count(2):
-        hop = frontier.select("child", F.col("ancestor").alias("mid")).join(step, "mid").where("child <> ancestor").select("child", "ancestor").distinct()
-        frontier = cut(hop.join(seen.select("child", "ancestor"), ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
+        hop = frontier.select("child", F.col("ancestor").alias("mid")).join(step.hint("merge"), "mid").where("child <> ancestor").select("child", "ancestor").distinct()
+        frontier = cut(hop.join(seen.select("child", "ancestor").hint("merge"), ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
     return seen
 
 
+def hierarchy(heritage: DataFrame, linear: Callable | None = None) -> DataFrame:
+    """(child, near, depth, order): all ancestors of each class breadth first (near, with their smallest distances in depth).
+
+    heritage (child, parent, seq or none); parents count in the order of seq, then name. order is what ``linear``, called
+    with the parents' names and their own orders, makes of them; null where it gives None, where a parent has none, and on
+    or above a circle.
+
+    Classes are done by levels, bases first: the ancestors of a class are merged from those of its parents, which are
+    handed to its level's folder as soon as they are known, so each is shuffled once for each class below it and nothing
+    is looked up again. Only classes on or above a circle are searched level by level.
+    """
+    spark = heritage.sparkSession
+    seq = F.min("seq") if "seq" in heritage.columns else F.lit(0)
+    links = heritage.where("child <> parent").groupBy("child", "parent").agg(seq.alias("seq"))
+    levels = topological_levels(heritage.select(F.col("child").alias("src"), F.col("parent").alias("dst")))
+    own = levels.withColumnRenamed("id", "child")
+    above = levels.withColumnsRenamed({"id": "parent", "level": "from"})
+    links = cut(links.join(own.hint("merge"), "child").join(above.hint("merge"), "parent"))
+    self_made = cut(heritage.where("child = parent").select("child").distinct().withColumn("own", F.lit(True)))
+    unordered = not self_made.isEmpty()
+    shape = "near array<string>, depth array<int>, order array<string>"
+
+    @F.arrow_udf(f"struct<{shape}>")
+    def merged(children: pa.Array, parents: pa.Array) -> pa.Array:
+        # lists as flat values and offsets: a class has few ancestors, but there are many classes
+        each, starts = parents.values, parents.offsets.to_pylist()
+        names, seqs = each.field("parent").to_pylist(), each.field("seq").to_pylist()
+        flat = {c: (each.field(c).values.to_numpy(zero_copy_only=False).tolist(), each.field(c).offsets.to_pylist()) for c in ("near", "depth", "order")}
+        known = each.field("order").is_valid().to_pylist()
+        part = lambda c, i: flat[c][0][flat[c][1][i] : flat[c][1][i + 1]]
+        near, depth, order = [], [], []
+        for child, first, last in zip(children.to_pylist(), starts, starts[1:]):
+            rows = sorted(range(first, last), key=lambda i: (seqs[i], names[i]))
+            pairs = [(0, names[i]) for i in rows]
+            for i in rows:
+                pairs.extend(zip(part("depth", i), part("near", i)))
+            pairs.sort(key=itemgetter(0))  # stable: of equal distances the earlier parent's come first
+            met: dict[str, int] = {}
+            for d, a in pairs:
+                if a not in met:
+                    met[a] = d + 1
+            met.pop(child, None)
+            near.append(list(met))
+            depth.append(list(met.values()))
+            order.append(linear([names[i] for i in rows], [part("order", i) for i in rows]) if linear and all(known[i] for i in rows) else None)
+        return pa.StructArray.from_arrays([pa.array(near, pa.list_(pa.string())), pa.array(depth, pa.list_(pa.int32())), pa.array(order, pa.list_(pa.string()))], ["near", "depth", "order"])
+
+    top = links.agg(F.max("level").alias("top")).first()["top"]
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/hierarchy-{uuid.uuid4().hex}"
+    none = F.array().cast("array<string>")
+    done = above.where("from = 0").select(F.col("parent").alias("child"), none.alias("near"), F.array().cast("array<int>").alias("depth"), none.alias("order"))
+    if unordered:
+        done = done.join(self_made, "child", "left").withColumn("order", F.when(F.col("own").isNull(), F.col("order"))).drop("own")
+    for level in range(1, (top or 0) + 1):
+        near = links.where((F.col("from") == level - 1) & (F.col("level") > 0))
+        handed = near.join(done.withColumnRenamed("child", "parent").hint("merge"), "parent").select("child", "level", "parent", "seq", "near", "depth", "order")
+        handed.write.mode("append").partitionBy("level").parquet(f"{path}/handed")
+        ready = spark.read.schema(handed.drop("level").schema).parquet(f"{path}/handed/level={level}")
+        rows = ready.groupBy("child").agg(F.collect_list(F.struct("parent", "seq", "near", "depth", "order")).alias("parents"))
+        done = rows.select("child", merged.asNondeterministic()("child", "parents").alias("m")).select("child", "m.*")
+        if unordered:
+            done = done.join(self_made, "child", "left").withColumn("order", F.when(F.col("own").isNull(), F.col("order"))).drop("own")
+        done.write.parquet(f"{path}/made/at={level}")
+        done = spark.read.schema(done.schema).parquet(f"{path}/made/at={level}")
+    out = spark.createDataFrame([], f"child string, {shape}") if not top or top < 0 else spark.read.schema(done.schema).parquet(f"{path}/made").drop("at")
+    circle = own.where("level = -1").select("child")
+    if circle.isEmpty():
+        return out
+    return out.unionByName(_breadth_first(heritage, circle, shape))
+
+
+def _breadth_first(heritage: DataFrame, roots: DataFrame, shape: str) -> DataFrame:
+    """What hierarchy gives for classes on or above a circle: each one's ancestors' edges are collected and walked."""
+    scope = _met(heritage, roots).unionByName(roots.select("child", F.col("child").alias("ancestor"), F.lit(0).alias("depth")))
+    seq = F.min("seq") if "seq" in heritage.columns else F.lit(0)
+    step = heritage.groupBy(F.col("child").alias("ancestor"), "parent").agg(seq.alias("seq"))
+    edges = scope.join(step.hint("merge"), "ancestor").groupBy("child").agg(F.sort_array(F.collect_list(F.struct("ancestor", "seq", "parent"))).alias("edges"))
+
+    @F.arrow_udf("struct<near array<string>, depth array<int>>")
+    def walked(children: pa.Array, edges: pa.Array) -> pa.Array:
+        out = []
+        for child, rows in zip(children.to_pylist(), edges.to_pylist()):
+            parents: dict[str, list[str]] = {}
+            for r in rows:
+                parents.setdefault(r["ancestor"], []).append(r["parent"])
+            met, queue = {child: 0}, deque([child])
+            while queue:
+                x = queue.popleft()
+                for y in parents.get(x, []):
+                    if y not in met:
+                        met[y] = met[x] + 1
+                        queue.append(y)
+            del met[child]
+            out.append({"near": list(met), "depth": list(met.values())})
+        return pa.array(out, pa.struct([("near", pa.list_(pa.string())), ("depth", pa.list_(pa.int32()))]))
+
+    return edges.select("child", walked.asNondeterministic()("child", "edges").alias("m")).select("child", "m.near", "m.depth", F.lit(None).cast("array<string>").alias("order"))
+
+
 def topological_levels(edges: DataFrame, max_levels: int | None = None) -> DataFrame:
     """(id, level): level 0 has no outgoing edge, each next level only points to lower ones; cycles get level -1.
 
@@ -85,7 +200,7 @@ def topological_levels(edges: DataFrame, max_levels: int | None = None) -> DataF
     levels = None
     for level in count():
         blocked = left.select(F.col("src").alias("id")).distinct()
-        ready = cut(nodes.join(blocked, "id", "left_anti"))
+        ready = cut(nodes.join(blocked.hint("merge"), "id", "left_anti"))
         if ready.isEmpty():
             break
         if level == max_levels:
@@ -94,8 +209,8 @@ def topological_levels(edges: DataFrame, max_levels: int | None = None) -> DataF
         levels = part if levels is None else levels.unionByName(part)
         if level % MAX_PARTS == MAX_PARTS - 1:
             levels = cut(levels)
-        nodes = cut(nodes.join(ready, "id", "left_anti"))
-        left = cut(left.join(ready.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        nodes = cut(nodes.join(ready.hint("merge"), "id", "left_anti"))
+        left = cut(left.join(ready.select(F.col("id").alias("dst")).hint("merge"), "dst", "left_anti").select("src", "dst"))
     rest = nodes.withColumn("level", F.lit(-1))
     return rest if levels is None else levels.unionByName(rest)
 

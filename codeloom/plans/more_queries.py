@@ -41,11 +41,12 @@ def ancestor_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mro_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order has each ancestor once, in whole positions from 0; where C3 succeeds, own parents stand as written."""
     heritage = _heritage(spark, sf_dir)
-    order = analytics.linearize(heritage)
-    whole = order.groupBy("child").agg(F.count(F.lit(1)).alias("ancestors"), ((F.countDistinct("ancestor") == F.count(F.lit(1))) & (F.max("pos") + 1 == F.count(F.lit(1)))).alias("each_once"))
-    placed = heritage.join(order.withColumnRenamed("ancestor", "parent"), ["child", "parent"]).where("exact")
-    kept = placed.groupBy("child").agg((F.max_by("pos", "seq") >= F.max("pos")).alias("parents_in_order"))
-    return whole.join(kept, "child", "left").withColumn("parents_in_order", F.coalesce("parents_in_order", F.lit(True)))
+    order = analytics.linear_orders(heritage).withColumn("ancestors", F.size("order").cast("long"))
+    own = heritage.groupBy("child").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "parent"))), lambda p: p["parent"]).alias("parents"))
+    at = F.transform("parents", lambda p: F.array_position("order", p))
+    kept = ~F.col("exact") | (F.element_at(at, -1) >= F.array_max(at))
+    each = F.size(F.array_distinct("order")) == F.size("order")
+    return order.join(own.hint("merge"), "child").select("child", "ancestors", each.alias("each_once"), kept.alias("parents_in_order"))
 
 
 @query("mro_c3")

@@ -23,6 +23,23 @@ def _walk(edges: dict, root: str) -> list[str]:
     return found
 
 
+@pytest.mark.parametrize("circles", [False, True])
+def test_orders_are_merged_from_parents(spark, circles):
+    rng, parents = random.Random(7), {}
+    for k in range(1, 30):
+        parents[f"K{k}"] = [f"K{p}" for p in rng.sample(range(max(0, k - 6), k), min(k, rng.choice([1, 2, 3])))]
+    if circles:
+        parents |= {"K3": ["K5", *parents["K3"]], "K20": ["K20", "K1"], "Alone": ["Alone"]}
+    rows = [(c, p, n, "EXTENDS") for c, ps in parents.items() for n, p in enumerate(dict.fromkeys(ps))]
+    heritage = spark.createDataFrame(rows, "child string, parent string, seq int, kind string")
+    got = {r["child"]: (r["order"], r["exact"]) for r in analytics.linear_orders(heritage).collect()}
+    for name in parents:
+        want = analytics.c3(parents, name)
+        assert (name not in got and name == "Alone") or got[name] == ((want, True) if want is not None else (_walk(parents, name), False))
+    near = {(r["child"], r["ancestor"]) for r in traverse.ancestors(heritage).collect()}
+    assert near == {(c, a) for c in parents for a in [*_walk(parents, c), *([c] if c in parents[c] else [])]}
+
+
 def test_tiers_do_not_meet_all_definitions_of_a_name(spark):
     schema = "id string, file string, name string, kind string, required int, total int"
     defs = spark.createDataFrame([("a1", "a", "f", "Function", 0, 1), ("b1", "b", "f", "Function", 2, 2), ("b2", "b", "f", "Function", 2, 2), ("c1", "c", "g", "Class", 0, 0), ("d1", "d", "g", "Function", 1, 1), ("e1", "e", "h", "Class", 0, 0)], schema)
