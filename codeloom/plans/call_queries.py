@@ -99,15 +99,14 @@ def _index(spark: SparkSession, sf_dir: str) -> tuple[vector_index.VectorIndex,
 def vector_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest rows of each query, in one job through all cells of the index."""
     index, queries = _index(spark, sf_dir)
-    return index.search_all(queries, 10, None).select("query", "key", F.round("distance", 6).alias("distance"))
+    return index.search_all(queries, 10, None, digits=6).select("query", "key", F.round("distance", 6).alias("distance"))
 
 
 @REGISTRY.query("vector_index_recall", "SELECT count(*)::BIGINT AS indexed, count(*) FILTER (vec_id % 50 = 0)::BIGINT AS queries, true AS whole_recall_exact, true AS recall_reached FROM embeddings")
 def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row is indexed; all cells give the exact answer, and as many as were measured to be enough when it was built at least nine tenths of it."""
     index, queries = _index(spark, sf_dir)
-    whole = vector_index.recall(index, queries, probes=len(index.centroids))
-    some = vector_index.recall(index, queries)
+    whole, some = vector_index.recalls(index, queries, [len(index.centroids), index.probes])
     counts = index.rows.agg(F.count(F.lit(1)).alias("indexed"), F.count_if(F.col("vec_id") % 50 == 0).alias("queries"))
     return counts.withColumn("whole_recall_exact", F.lit(whole == 1.0)).withColumn("recall_reached", F.lit(some >= 0.9))
 
@@ -116,14 +115,9 @@ def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_index_recall_by_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What share of the exact ten nearest the index finds over all queries, by how many of its cells are read."""
     index, queries = _index(spark, sf_dir)
-    exact = index.search_all(queries, 10, None).select("query", "key")
-    out, probes = None, min(vector_index.MIN_PROBES, len(index.centroids))
-    while probes:
-        found = index.search_all(queries, 10, probes).select("query", "key", F.lit(1).alias("hit"))
-        part = exact.join(found, ["query", "key"], "left").agg(F.lit(probes).alias("probes"), F.lit(len(index.centroids)).alias("cells"), (F.sum("hit") / F.count(F.lit(1))).alias("recall"))
-        out = part if out is None else out.unionByName(part)
-        probes = 0 if probes >= len(index.centroids) else min(2 * probes, len(index.centroids))
-    return out if out is not None else spark.createDataFrame([], "probes int, cells int, recall double")
+    tried = [p for p in vector_index.steps(index) if p]
+    cells, measured = len(index.centroids), vector_index.recalls(index, queries, tried)
+    return spark.createDataFrame([(p, cells, r) for p, r in zip(tried, measured, strict=True)], "probes int, cells int, recall double")
 
 
 @REGISTRY.query("crash_marker", "SELECT doc_id, unnest(['first', 'second', 'third']) AS build, unnest([false, true, false]) AS dirty, unnest([NULL, 'second', 'second']) AS made_in FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id")

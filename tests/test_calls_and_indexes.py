@@ -190,3 +190,34 @@ def test_files_are_read_in_time_linear_in_their_length():
         assert took[1] < 10 * took[0] + 0.5, (name, took)
     facts = brace_facts(shapes["methods"](10_000), "typescript")
     assert sum(f[0] == "Method" for f in facts) == 10_000 == sum(f[0] == "call" for f in facts)
+
+
+def test_vector_index_blocks(spark, monkeypatch):
+    """Blocks, slices and files smaller than the data change nothing; ties of rounded distances go by the key; recall agrees with real searches."""
+    monkeypatch.setattr(vector_index, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(vector_index, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(vector_index, "FILE_ROWS", 10)
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(90)]
+    rows += [(100 + i, [x * (1 + 1e-9 * (30 - i)) for x in rows[0][1][:-1]] + [rows[0][1][-1]]) for i in range(30)]
+    rows += [(200, None), (201, [1.0, 2.0]), (202, [0.0] * 6), (203, []), (204, [None, 1.0, 0.0, 0.0, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = vector_index.build(vectors, "vec_id", cells=6)
+    asked = vectors.where("vec_id % 9 = 0 OR vec_id > 200").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    pairs = vectors.crossJoin(asked).select("query", F.col("vec_id").alias("key"), F.round(search.cosine_distance(F.col("embedding"), F.col("vector")), 6).alias("distance")).where("distance IS NOT NULL")
+    want = {}
+    for r in sorted(pairs.collect(), key=lambda r: (r["query"], r["distance"], r["key"])):
+        want.setdefault(r["query"], []).append((r["key"], r["distance"]))
+    got = {}
+    for r in index.search_all(asked, 7, None, digits=6).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append((r["key"], round(r["distance"], 6)))
+    assert {q: [k for k, _ in v] for q, v in got.items()} == {q: [k for k, _ in v[:7]] for q, v in want.items()}
+    assert all(abs(a[1] - b[1]) < 2e-6 for q, v in got.items() for a, b in zip(v, want[q], strict=False))
+    exact = {(r["query"], r["key"]) for r in index.search_all(asked, 7, None).collect()}
+    tried = vector_index.steps(index)
+    assert tried == [4, 6]
+    for probes, share in zip([1, *tried], vector_index.recalls(index, asked, [1, *tried], 7), strict=True):
+        found = {(r["query"], r["key"]) for r in index.search_all(asked, 7, probes).collect()}
+        assert abs(len(exact & found) / len(exact) - share) < 1e-12
+    plan = index.search_all(asked, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan.replace("FlatMapCoGroupsInArrow", "") and "FlatMapCoGroupsInArrow" in plan
