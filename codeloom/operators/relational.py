@@ -114,6 +114,23 @@ def range_overlap_join(left: DataFrame, right: DataFrame, key: str, width: int)
     return joined.where(F.col("__bin") == F.floor(F.greatest("start", "r_start") / width)).drop("__bin")
 
 
+def overlapped(left: DataFrame, right: DataFrame, key: str, width: int) -> DataFrame:
+    """Rows of right (key, r_start, r_end, ..) whose closed range overlaps some range of left (key, start, end), once each.
+
+    No pairs are made and no range is cut into bins: a row is met if of the ranges that start before its end one reaches
+    its start. That is a running maximum over bins of positions, and before them one over the bins' own maxima.
+    """
+    bin_of = lambda c: F.floor(F.col(c) / width).cast("long").alias("__bin")
+    x = left.where(F.col("start") <= F.col("end")).select(key, F.col("start").alias("__at"), bin_of("start"), F.lit(0).alias("__kind"), F.col("end").alias("__reach"))
+    y = right.where(F.col("r_start") <= F.col("r_end")).select("*", F.col("r_end").alias("__at"), bin_of("r_end"), F.lit(1).alias("__kind"))
+    rows = x.unionByName(y, allowMissingColumns=True).where(F.col(key).isNotNull())
+    earlier = Window.partitionBy(key).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(key, "__bin").agg(F.max("__reach").alias("__reach")).select(key, "__bin", F.max("__reach").over(earlier).alias("__before"))
+    inside = Window.partitionBy(key, "__bin").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.withColumn("__reach", F.max("__reach").over(inside)).where("__kind = 1").join(carried, [key, "__bin"])
+    return run.where(F.greatest("__reach", "__before") >= F.col("r_start")).select(*right.columns)
+
+
 def innermost(sites: DataFrame, scopes: DataFrame, width: int = 256) -> DataFrame:
     """For each site (file, pos, site) the scope (file, r_start, r_end, scope) that starts last around it."""
     points = sites.withColumn("start", F.col("pos")).withColumn("end", F.col("pos"))

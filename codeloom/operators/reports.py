@@ -9,7 +9,7 @@ from ..functions.extract import reason_fetches, reason_keys
 from ..functions.risk import api_risk, change_risk
 from ..model import Graph
 from .analytics import aggregate_clusters
-from .relational import range_overlap_join
+from .relational import overlapped
 
 # Kind bonus of symbol candidates.
 KIND_PRIORITY = {"Class": 5, "Interface": 4, "Function": 3, "Method": 2, "Constructor": 1}
@@ -65,7 +65,7 @@ def detect_changes(hunks: DataFrame, symbols: DataFrame, steps: DataFrame, width
     """(touched symbols, affected processes, risk): hunks (filePath, startLine, endLine), symbols (id, filePath, startLine, endLine), steps (id, process, step)."""
     left = hunks.select("filePath", F.col("startLine").alias("start"), F.col("endLine").alias("end"))
     right = symbols.where("startLine IS NOT NULL AND endLine IS NOT NULL").select("filePath", "id", F.col("startLine").alias("r_start"), F.col("endLine").alias("r_end"))
-    touched = range_overlap_join(left, right, "filePath", width).select("id", "filePath").distinct()
+    touched = overlapped(left, right, "filePath", width).select("id", "filePath").distinct()
     affected = steps.join(touched.select("id"), "id", "left_semi").groupBy("process").agg(F.countDistinct("id").alias("changed_steps"), F.min("step").alias("first_step"))
     risk = affected.agg(F.count(F.lit(1)).alias("affected_processes")).withColumn("risk", change_risk(F.col("affected_processes")))
     return touched, affected, risk

@@ -75,3 +75,18 @@ def test_clones_of_one_remote_are_dealt_to_tasks(spark):
     got = {r["path"]: r["siblings"] for r in listed.collect()}
     assert got["/q"] is None and got["/r"] is None and all(got[f"/p{i}"] == sorted(f"/p{k}" for k in range(50) if k != i) for i in range(50))
     assert "BroadcastHashJoin" not in _plan(listed)
+
+
+def test_overlapped_makes_no_pairs_and_no_bins_of_ranges(spark):
+    """A range as long as the whole file is one row, however narrow the bins; the rows met are those of the pairs."""
+    rng = random.Random(9)
+    left = [(f"f{rng.randrange(3)}", a, a + rng.randrange(-2, 30)) for a in (rng.randrange(400) for _ in range(25))] + [("long", 0, 10**12), (None, 0, 400)]
+    right = [(i, f"f{rng.randrange(4)}", a, a + rng.randrange(-1, 12)) for i, a in enumerate(rng.randrange(400) for _ in range(200))] + [(900, "long", 10**12 - 1, 10**12 + 5), (901, "long", 10**12 + 1, 10**12 + 5), (902, None, 1, 2)]
+    x = spark.createDataFrame(left, "file string, start long, end long")
+    y = spark.createDataFrame(right, "id int, file string, r_start long, r_end long")
+    want = sorted({r[0] for r in right for s in left if r[1] is not None and r[1] == s[0] and s[1] <= s[2] and r[2] <= r[3] and s[1] <= r[3] and s[2] >= r[2]})
+    for width in (7, 1000):
+        met = relational.overlapped(x, y, "file", width)
+        assert met.columns == y.columns and sorted(r["id"] for r in met.collect()) == want and 900 in want and 901 not in want
+    touched = reports.detect_changes(x.toDF("filePath", "startLine", "endLine"), y.toDF("id", "filePath", "startLine", "endLine"), spark.createDataFrame([], "id int, process string, step int"))[0]
+    assert "Generate" not in touched._jdf.queryExecution().executedPlan().toString()
