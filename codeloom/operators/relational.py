@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 # ---- expands --------------------------------------------------------------------------------------------------
 
 
@@ -59,12 +61,14 @@ def via_file(edges: DataFrame, defines: str = "DEFINES", uses: tuple[str, ...] =
 
 def diamonds(edges: DataFrame, kind: str) -> DataFrame:
     """(top, left, right, bottom): bottom reaches top by two different middles, left < right."""
-    e = edges.where(F.col("type") == kind).select("src", "dst").distinct()
-    pair = e.alias("x").join(e.alias("y"), (F.col("x.src") == F.col("y.src")) & (F.col("x.dst") < F.col("y.dst")))
-    pair = pair.select(F.col("x.src").alias("bottom"), F.col("x.dst").alias("left_mid"), F.col("y.dst").alias("right_mid"))
-    up = e.select(F.col("src").alias("left_mid"), F.col("dst").alias("top"))
-    up2 = e.select(F.col("src").alias("right_mid"), F.col("dst").alias("top"))
-    return pair.join(up, "left_mid").join(up2, ["right_mid", "top"]).select("top", "left_mid", "right_mid", "bottom")
+    # paths of two edges are met by their ends: which ends have two paths is counted on hashes of them alone, and only
+    # these paths are made with their nodes; Spark broadcasts the hashes where they are few
+    e = stored(edges.where(F.col("type") == kind).select("src", "dst").distinct(), "diamond-edges")
+    paths = e.select(F.col("src").alias("bottom"), F.col("dst").alias("mid")).join(e.select(F.col("src").alias("mid"), F.col("dst").alias("top")), "mid").withColumn("ends", F.xxhash64("bottom", "top"))
+    twice = stored(paths.select("ends").repartition("ends").groupBy("ends").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ends"), "diamond-ends")
+    met = paths.join(twice, "ends").select("bottom", "top", "mid")
+    left, right = met.withColumnRenamed("mid", "left_mid"), met.withColumnRenamed("mid", "right_mid")
+    return left.join(right, ["bottom", "top"]).where("left_mid < right_mid").select("top", "left_mid", "right_mid", "bottom")
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:

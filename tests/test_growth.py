@@ -90,3 +90,17 @@ def test_overlapped_makes_no_pairs_and_no_bins_of_ranges(spark):
         assert met.columns == y.columns and sorted(r["id"] for r in met.collect()) == want and 900 in want and 901 not in want
     touched = reports.detect_changes(x.toDF("filePath", "startLine", "endLine"), y.toDF("id", "filePath", "startLine", "endLine"), spark.createDataFrame([], "id int, process string, step int"))[0]
     assert "Generate" not in touched._jdf.queryExecution().executedPlan().toString()
+
+
+def test_diamonds_join_only_ends_with_two_paths(spark):
+    """Ends that one path joins take no part in the joins of paths; the diamonds are those of all pairs of middles."""
+    rng = random.Random(4)
+    pairs = sorted({(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(120)} | {(f"c{i}", f"c{i + 1}") for i in range(50)})
+    edges = spark.createDataFrame([(a, b, "CALLS") for a, b in pairs] + [(pairs[0][0], pairs[0][1], "CALLS"), ("n0", None, "CALLS"), (None, "n0", "CALLS"), ("n1", "c1", "USES")], "src string, dst string, type string")
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+    want = sorted((t, x, y, a) for a in out for x in out[a] for y in out[a] if x < y for t in out.get(x, []) if t in out.get(y, []))
+    got = relational.diamonds(edges, "CALLS")
+    assert want and sorted(map(tuple, got.collect())) == want
+    assert "diamond-ends" in "".join(got.inputFiles())
