@@ -6,7 +6,10 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from codeloom.operators import analytics, calls, imports, relational, reports, resolution, traverse
+from codeloom.sources import brace_parsers, parsers
 
 
 def _plan(df) -> str:
@@ -104,3 +107,13 @@ def test_diamonds_join_only_ends_with_two_paths(spark):
     got = relational.diamonds(edges, "CALLS")
     assert want and sorted(map(tuple, got.collect())) == want
     assert "diamond-ends" in "".join(got.inputFiles())
+
+
+def test_files_of_one_split_are_parsed_by_all_cores(spark):
+    files = spark.range(200).coalesce(1).selectExpr("concat('m', id, '.py') AS path", "concat('def f', id, '(): pass') AS content")
+    found = parsers.parse_python(files)
+    tasks = found.select(F.spark_partition_id().alias("task"), "name").collect()
+    assert sorted(r["name"] for r in tasks) == sorted(f"f{i}" for i in range(200))
+    assert len({r["task"] for r in tasks}) >= spark.sparkContext.defaultParallelism
+    typescript = brace_parsers.parse_typescript(files.withColumn("content", F.lit("function g() {}")))
+    assert typescript.select(F.spark_partition_id().alias("task")).distinct().count() >= spark.sparkContext.defaultParallelism
