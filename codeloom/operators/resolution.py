@@ -183,13 +183,20 @@ def wildcard_bindings(imports: DataFrame, exports: DataFrame, cap: int = 1_000)
 
 
 def propagate_types(known: DataFrame, links: DataFrame) -> DataFrame:
-    """Fixpoint of types over import links: known (name, type), links (name, source); the first type reached stays."""
-    state = cut(known.select("name", "type").dropDuplicates(["name"]))
+    """Fixpoint of types over import links: known (name, type), links (name, source); the first type reached stays.
+
+    Only the names of the last round go on, as the others' links were followed before. No table is sent to all tasks.
+    """
+    fresh = cut(known.select("name", "type").dropDuplicates(["name"]))
+    state, parts = fresh, 1
     while True:  # every round adds names or is the last
-        fresh = cut(links.join(state.withColumnRenamed("name", "source"), "source").select("name", "type").join(state.select("name"), "name", "left_anti").groupBy("name").agg(F.min("type").alias("type")))
+        reached = links.select("name", "source").join(fresh.withColumnRenamed("name", "source").hint("merge"), "source").groupBy("name").agg(F.min("type").alias("type"))
+        fresh = cut(reached.join(state.select("name").hint("merge"), "name", "left_anti"))
         if fresh.isEmpty():
             break
-        state = cut(state.unionByName(fresh))
+        state, parts = state.unionByName(fresh), parts + 1
+        if parts % 10 == 0:
+            state = cut(state)
     return state
 
 

@@ -117,3 +117,27 @@ def test_files_of_one_split_are_parsed_by_all_cores(spark):
     assert len({r["task"] for r in tasks}) >= spark.sparkContext.defaultParallelism
     typescript = brace_parsers.parse_typescript(files.withColumn("content", F.lit("function g() {}")))
     assert typescript.select(F.spark_partition_id().alias("task")).distinct().count() >= spark.sparkContext.defaultParallelism
+
+
+def test_types_spread_without_broadcasts(spark):
+    """Chains, circles, two types for a name in one round, null names: as in a walk round by round; nothing goes to all tasks."""
+    known = [("a", "A"), ("b", "B"), ("z", "Z"), (None, "N")]
+    links = [("c", "a"), ("c", "b"), ("d", "c"), ("e", "d"), ("d", "e"), ("a", "b"), ("x", "y"), ("y", "x"), ("e", "z"), (None, "a"), ("q", None)] + [(f"k{i + 1}", f"k{i}") for i in range(12)] + [("k0", "a")]
+    kn, ln = spark.createDataFrame(known, "name string, type string"), spark.createDataFrame(links, "name string, source string")
+    want, last = dict(known), dict(known)
+    while last:
+        step = {}
+        for name, source in links:
+            if source is not None and name is not None and source in last and name not in want:
+                step[name] = min(step.get(name, last[source]), last[source])
+        want.update(step)
+        last = step
+    sent = []
+    real = resolution.cut
+    resolution.cut = lambda df: (sent.append(_plan(df)), real(df))[1]
+    try:
+        got = {r["name"]: r["type"] for r in resolution.propagate_types(kn, ln).where("name IS NOT NULL").collect()}
+    finally:
+        resolution.cut = real
+    assert got == {k: v for k, v in want.items() if k is not None}
+    assert len(sent) > 10 and not any("Broadcast" in p for p in sent)
