@@ -11,7 +11,7 @@ and those of other lengths than the first are kept in a cell of their own that e
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -54,16 +54,24 @@ def fit_centroids(sample: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.nd
 
 @dataclass
 class VectorIndex:
-    """Stored rows in folders by cell, and the centroids (cells * dimensions numbers)."""
+    """Stored rows in folders by cell, and the centroids (cells * dimensions numbers).
+
+    least_probes None: measured with ``trials``, once, when a search first asks how many cells it should read.
+    """
 
     rows: DataFrame
     centroids: np.ndarray
     key: str
     vec: str
-    least_probes: int = MIN_PROBES
+    least_probes: int | None = MIN_PROBES
+    trials: list[tuple[int, list[float]]] = field(default_factory=list)
+    target: float = TARGET
 
     @property
     def probes(self) -> int:
+        if self.least_probes is None:
+            queries = self.rows.sparkSession.createDataFrame(self.trials, "query long, vector array<double>")
+            self.least_probes = enough_probes(self, queries, target=self.target)
         return min(len(self.centroids), max(self.least_probes, math.ceil(PROBE_SHARE * len(self.centroids))))
 
     def near(self, query, probes: int) -> list[int]:
@@ -214,8 +222,8 @@ def _nearest(k: int, digits: int | None):
 def build(vectors: DataFrame, key: str, vec: str = "embedding", cells: int | None = None, sample_rows: int = SAMPLE_ROWS, target: float | None = TARGET) -> VectorIndex:
     """Fit on the sample, then put every row into its cell and the cells into folders.
 
-    How many cells a search reads by itself is measured: as many as reach the target recall for TRIALS rows of the
-    sample as queries (None: PROBE_SHARE of the cells, not measured).
+    How many cells a search reads by itself is measured when the first search asks for it: as many as reach the target
+    recall for TRIALS rows of the sample as queries (None: PROBE_SHARE of the cells, not measured).
     """
     some = vectors.where(F.col(vec).isNotNull()).orderBy(F.xxhash64(key), key).limit(sample_rows).select(vec).collect()
     width = len(some[0][0]) if some else 0
@@ -227,10 +235,12 @@ def build(vectors: DataFrame, key: str, vec: str = "embedding", cells: int | Non
     @F.arrow_udf("int")
     def cell(column: pa.Array) -> pa.Array:
         out = np.full(len(column), _ODD, np.int32)
-        values = column.to_pylist()
-        at = [i for i, v in enumerate(values) if v is not None and len(v) == width and None not in v]
-        if at and len(centroids):
-            out[at] = (np.array([values[i] for i in at], float) @ centroids.T).argmax(1)
+        at = np.flatnonzero(pc.fill_null(pc.list_value_length(column), _ODD).to_numpy(zero_copy_only=False) == width)
+        if len(at) and len(centroids):
+            flat = column.take(pa.array(at)).flatten()
+            whole = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, width).any(1)
+            values = pc.fill_null(flat.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False).reshape(-1, width)
+            out[at[whole]] = (values[whole] @ centroids.T).argmax(1)
         return pa.array(out)
 
     placed = vectors.withColumn("cell", cell.asNondeterministic()(vec))
@@ -246,7 +256,7 @@ def build(vectors: DataFrame, key: str, vec: str = "embedding", cells: int | Non
     index = VectorIndex(stored(spread.repartition("cell", "file").drop("file"), "vector-index", "cell"), centroids, key, vec)
     if target is not None and len(sample):
         trials = [(i, sample[i].tolist()) for i in np.linspace(0, len(sample) - 1, min(TRIALS, len(sample))).astype(int).tolist()]
-        index.least_probes = enough_probes(index, vectors.sparkSession.createDataFrame(trials, "query long, vector array<double>"), target=target)
+        index.least_probes, index.trials, index.target = None, trials, target
     return index
 
 

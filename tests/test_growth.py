@@ -8,7 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import analytics, calls, imports, relational, reports, resolution, traverse
+from codeloom.operators import analytics, calls, imports, relational, reports, resolution, traverse, vector_index
 from codeloom.sources import brace_parsers, parsers
 
 
@@ -141,3 +141,20 @@ def test_types_spread_without_broadcasts(spark):
         resolution.cut = real
     assert got == {k: v for k, v in want.items() if k is not None}
     assert len(sent) > 10 and not any("Broadcast" in p for p in sent)
+
+
+def test_recall_is_measured_when_a_search_asks(spark):
+    """A search that says which cells it reads pays for no exact search; rows with nulls or other lengths are in the odd cell."""
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(300)] + [(300, None), (301, [1.0, None, 0.0, 0.0]), (302, [1.0]), (303, [])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    real, asked = vector_index.enough_probes, []
+    vector_index.enough_probes = lambda *a, **b: (asked.append(1), real(*a, **b))[1]
+    try:
+        index = vector_index.build(vectors, "vec_id", cells=8)
+        odd = {r["vec_id"] for r in index.rows.where("cell = -1").collect()}
+        exact = [r["vec_id"] for r in index.search(rows[0][1], 5, None).collect()]
+        assert odd == {300, 301, 302, 303} and exact[0] == 0 and not asked
+        assert 0 < index.probes <= 8 and index.probes >= vector_index.MIN_PROBES and len(asked) == 1
+    finally:
+        vector_index.enough_probes = real
