@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -31,13 +32,29 @@ NODE_SCHEMA = T.StructType(
 )
 EDGE_SCHEMA = T.StructType([T.StructField("src", _TEXT), T.StructField("dst", _TEXT), T.StructField("type", _TEXT), T.StructField("confidence", T.DoubleType()), T.StructField("reason", _TEXT), T.StructField("step", T.IntegerType())])
 
+#: Rows of the table that a graph is made of, for each of the graph's tasks.
+TASK_ROWS = 250_000
+
+
+def tasks_for(rows: DataFrame) -> int:
+    """Tasks for a graph made of these rows (whose number Parquet's footers tell): what a task holds doesn't grow with them."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / TASK_ROWS))
+
 
 @dataclass
 class Graph:
-    """Typed property graph. ``nodes`` follows NODE_SCHEMA (missing columns allowed), ``edges`` EDGE_SCHEMA."""
+    """Typed property graph. ``nodes`` follows NODE_SCHEMA (missing columns allowed), ``edges`` EDGE_SCHEMA.
+
+    tasks: how many tasks share the graph's rows in joins and aggregations (None: as Spark's settings have it).
+    """
 
     nodes: DataFrame
     edges: DataFrame
+    tasks: int | None = None
+
+    def dealt(self, rows: DataFrame, *keys) -> DataFrame:
+        """rows dealt by their keys to the graph's tasks, so that joins and aggregations by these keys take place there."""
+        return rows.repartition(self.tasks, *keys) if self.tasks else rows
 
     def label(self, *labels: str) -> DataFrame:
         """Nodes of some labels; a partition filter where nodes are partitioned by label."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import Graph
+from ..model import Graph, tasks_for
 from ..sources.tables import table
 
 NODE_COLUMNS = ["id", "label", "name", "filePath", "startLine", "endLine", "isExported", "content", "heuristicLabel", "cohesion"]
@@ -39,16 +39,18 @@ def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(_named("Function:", key).alias("id"), F.concat(F.lower("p_type"), F.lit("_"), (key % 50).cast("string")).alias("name"), path.alias("filePath"), line.alias("startLine"), (line + 7).alias("endLine"), (F.col("p_size") > 25).alias("isExported"), F.col("p_name").alias("content"), F.replace("p_brand", F.lit("#"), F.lit("_")).alias("brand"), key.alias("key"))
 
 
-def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, confidence) of distinct calls: the next line of the same order."""
+def calls(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
+    """(src, dst, confidence) of distinct calls: the next line of the same order. Orders and pairs are dealt to tasks."""
+    tasks = tasks or tasks_for(table(spark, sf_dir, "lineitem"))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    li = table(spark, sf_dir, "lineitem").withColumn("next", F.lead("l_partkey").over(w)).where("next <> l_partkey")
-    return li.groupBy("l_partkey", "next").agg(F.max(F.round(1 - F.col("l_discount"), 2)).alias("c"))
+    li = table(spark, sf_dir, "lineitem").repartition(tasks, "l_orderkey").withColumn("next", F.lead("l_partkey").over(w)).where("next <> l_partkey")
+    return li.repartition(tasks, "l_partkey", "next").groupBy("l_partkey", "next").agg(F.max(F.round(1 - F.col("l_discount"), 2)).alias("c"))
 
 
 def code_graph(spark: SparkSession, sf_dir: str) -> Graph:
     t = lambda name: table(spark, sf_dir, name)
     c, f = F.col, functions(spark, sf_dir)
+    tasks = tasks_for(t("lineitem"))
     classes = t("supplier").withColumn("path", F.concat(F.lit("src/m"), (c("s_nationkey") + 1).cast("string"), F.lit("/class.ts")))
     paths = f.select("filePath").unionByName(classes.select(c("path").alias("filePath"))).distinct()
     brands = f.select("brand").distinct()
@@ -60,13 +62,13 @@ def code_graph(spark: SparkSession, sf_dir: str) -> Graph:
         _nodes(brands, "Process", _named("proc_", c("brand")), name=c("brand"), heuristicLabel=c("brand")),
     ]
     step = F.row_number().over(Window.partitionBy("brand").orderBy("key"))
-    called = calls(spark, sf_dir)
+    called = calls(spark, sf_dir, tasks)
     s = t("supplier").where("s_suppkey % 10 <> 0")
     edges = [
         _edges(f, F.concat(F.lit("File:"), "filePath"), c("id"), "DEFINES"),
         _edges(classes, F.concat(F.lit("File:"), "path"), _named("Class:", c("s_suppkey")), "DEFINES"),
         _edges(called, _named("Function:", c("l_partkey")), _named("Function:", c("next")), "CALLS", c("c")),
-        _edges(t("lineitem").select("l_suppkey", "l_partkey").distinct(), _named("Class:", c("l_suppkey")), _named("Function:", c("l_partkey")), "HAS_METHOD"),
+        _edges(t("lineitem").select("l_suppkey", "l_partkey").repartition(tasks, "l_suppkey", "l_partkey").distinct(), _named("Class:", c("l_suppkey")), _named("Function:", c("l_partkey")), "HAS_METHOD"),
         _edges(f, c("id"), _named("comm_", c("key") % 25), "MEMBER_OF"),
         _edges(f, c("id"), _named("proc_", c("brand")), "STEP_IN_PROCESS", step=step),
         _edges(s, _named("Class:", c("s_suppkey")), _named("Class:", c("s_suppkey") - c("s_suppkey") % 10), "EXTENDS", F.lit(0.9)),
@@ -76,7 +78,7 @@ def code_graph(spark: SparkSession, sf_dir: str) -> Graph:
         whole_nodes = whole_nodes.unionByName(part)
     for part in edges[1:]:
         whole_edges = whole_edges.unionByName(part)
-    return Graph(whole_nodes, whole_edges)
+    return Graph(whole_nodes, whole_edges, tasks)
 
 
 CODE_SQL = """

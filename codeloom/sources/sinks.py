@@ -31,7 +31,7 @@ def bulk_load(graph: Graph, labels: list[str], path: str) -> dict[str, int]:
     """write_graph of the edges between known labels; counts of inserted and skipped edges."""
     fit, dropped = split_by_labels(graph.edges, labels)
     write_graph(Graph(graph.nodes.where(F.col("label").isin(labels)), fit.drop("from_label", "to_label")), path)
-    return {"inserted": fit.count(), "skipped": dropped.count()}
+    return {"inserted": graph.edges.sparkSession.read.schema(graph.edges.schema).parquet(f"{path}/edges").count(), "skipped": dropped.count()}
 
 
 def ndjson(graph: Graph, with_content: bool = False) -> DataFrame:

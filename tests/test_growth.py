@@ -8,7 +8,9 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import analytics, calls, imports, relational, reports, resolution, traverse, vector_index
+from codeloom import model
+from codeloom.operators import analytics, calls, graph_update, imports, relational, reports, resolution, traverse, vector_index
+from codeloom.plans import code_graph, derived
 from codeloom.sources import brace_parsers, parsers
 
 
@@ -158,3 +160,34 @@ def test_recall_is_measured_when_a_search_asks(spark):
         assert 0 < index.probes <= 8 and index.probes >= vector_index.MIN_PROBES and len(asked) == 1
     finally:
         vector_index.enough_probes = real
+
+
+def test_tasks_of_a_graph_follow_its_rows(spark, sf_dir, monkeypatch):
+    """Whatever the shuffle settings are, no task of the large exchanges gets more than its share of the rows."""
+    monkeypatch.setattr(model, "TASK_ROWS", 100)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    for g in (code_graph.code_graph(spark, sf_dir), derived.trade_graph(spark, sf_dir)):
+        assert g.tasks == -(-lines // 100) > spark.sparkContext.defaultParallelism
+        assert _plan(g.edges).count(f", {g.tasks}), REPARTITION_BY_NUM") >= 2
+
+
+def test_references_and_calls_are_counted_where_they_are_dealt(spark):
+    rng = random.Random(8)
+    nodes = spark.createDataFrame([(f"n{i}", f"f{i % 4}", f"name{i % 9}", "Function") for i in range(40)], "id string, filePath string, name string, label string")
+    rows = sorted({(f"n{rng.randrange(40)}", f"n{rng.choice([0, rng.randrange(40)])}", rng.choice(["CALLS", "USES"])) for _ in range(400)})
+    g = model.Graph(nodes, spark.createDataFrame(rows, "src string, dst string, type string"), 7)
+    want = {}
+    for a, b, kind in rows:
+        for key in ((b, "incoming", kind.lower()), (a, "outgoing", kind.lower())):
+            want[key] = want.get(key, 0) + 1
+    counts = relational.reference_counts(g, 3)
+    assert {(r["id"], r["side"], r["rel"]): r["n"] for r in counts.collect()} == want
+    pairs = reports.inter_file_calls(g)
+    of = {f"n{i}": (f"f{i % 4}", f"name{i % 9}") for i in range(40)}
+    assert sorted(map(tuple, pairs.collect())) == sorted({(*of[a], *of[b]) for a, b, kind in rows if kind == "CALLS" and of[a][0] != of[b][0]})
+    left = graph_update.detach_delete(g, nodes.where("filePath = 'f1'"))
+    assert left.tasks == 7 and sorted(map(tuple, left.edges.select("src", "dst", "type").collect())) == sorted(r for r in rows if "f1" not in (of[r[0]][0], of[r[1]][0]))
+    around = {r["id"]: r for r in reports.context(g, nodes.select("id"), 5).collect()}
+    assert around["n0"]["incoming"]["calls"] == sorted(a for a, b, kind in rows if (b, kind) == ("n0", "CALLS"))[:5]
+    for df in (counts, pairs, left.edges):
+        assert ", 7), REPARTITION_BY_NUM" in _plan(df)
