@@ -49,16 +49,17 @@ def context(graph: Graph, ids: DataFrame, limit: int = 30) -> DataFrame:
     The two sides are aggregated apart, so they don't multiply. At most ``limit`` references per side and type, in
     a stated order (type, other id).
     """
+    asked = graph.dealt(ids.select("id"), "id")
 
     def side(near: str, far: str, name: str) -> DataFrame:
-        e = graph.edges.where("type <> 'STEP_IN_PROCESS' AND type <> 'MEMBER_OF'").join(ids.select(F.col("id").alias(near)), near, "left_semi")
+        e = graph.dealt(graph.edges.where("type <> 'STEP_IN_PROCESS' AND type <> 'MEMBER_OF'"), near).join(asked.withColumnRenamed("id", near), near, "left_semi")
         w = Window.partitionBy(near, "type").orderBy(far)
         top = e.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit)
         per = top.groupBy(F.col(near).alias("id"), F.lower("type").alias("rel")).agg(F.sort_array(F.collect_list(far)).alias("refs"))
         return per.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("rel", "refs")))).alias(name))
 
-    flows = graph.type("STEP_IN_PROCESS").join(ids.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_set("dst")).alias("processes"))
-    return ids.select("id").join(graph.nodes, "id").join(side("dst", "src", "incoming"), "id", "left").join(side("src", "dst", "outgoing"), "id", "left").join(flows, "id", "left")
+    flows = graph.dealt(graph.type("STEP_IN_PROCESS"), "src").join(asked.withColumnRenamed("id", "src"), "src", "left_semi").groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_set("dst")).alias("processes"))
+    return asked.join(graph.dealt(graph.nodes, "id"), "id").join(side("dst", "src", "incoming"), "id", "left").join(side("src", "dst", "outgoing"), "id", "left").join(flows, "id", "left")
 
 
 def detect_changes(hunks: DataFrame, symbols: DataFrame, steps: DataFrame, width: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -157,7 +158,9 @@ def inter_file_calls(graph: Graph) -> DataFrame:
     """Distinct (from_file, from_name, to_file, to_name) of calls between files."""
     a = graph.nodes.select(F.col("id").alias("src"), F.col("filePath").alias("from_file"), F.col("name").alias("from_name"))
     b = graph.nodes.select(F.col("id").alias("dst"), F.col("filePath").alias("to_file"), F.col("name").alias("to_name"))
-    return graph.type("CALLS").join(a, "src").join(b, "dst").where("from_file <> to_file").select("from_file", "from_name", "to_file", "to_name").distinct()
+    named = graph.dealt(graph.type("CALLS").select("src", "dst"), "src").join(graph.dealt(a, "src"), "src")
+    pairs = graph.dealt(named, "dst").join(graph.dealt(b, "dst"), "dst").where("from_file <> to_file").select("from_file", "from_name", "to_file", "to_name")
+    return graph.dealt(pairs, *pairs.columns).distinct()
 
 
 def module_calls(graph: Graph, files: DataFrame, limit: int = 30) -> dict[str, DataFrame]:
