@@ -67,8 +67,8 @@ def detach_delete(graph: Graph, ids: DataFrame) -> Graph:
     gone = ids.select("id").distinct()
     edges = graph.edges
     for end in ("src", "dst"):
-        edges = edges.join(gone.select(F.col("id").alias("__gone")), F.col(end) == F.col("__gone"), "left_anti")
-    return Graph(graph.nodes.join(gone, "id", "left_anti").select(*graph.nodes.columns), edges)
+        edges = graph.dealt(edges, end).join(gone.select(F.col("id").alias("__gone")), F.col(end) == F.col("__gone"), "left_anti")
+    return Graph(graph.nodes.join(gone, "id", "left_anti").select(*graph.nodes.columns), edges, graph.tasks)
 
 
 def create_edges(graph: Graph, rows: DataFrame, once: bool = False) -> tuple[Graph, DataFrame]:
