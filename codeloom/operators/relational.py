@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import Graph
 from ..session import stored
 
 # ---- expands --------------------------------------------------------------------------------------------------
@@ -52,6 +53,21 @@ def two_hop_counts(edges: DataFrame, first: str, second: str, wide: int = 1_000)
     return few.unionByName(many)
 
 
+def reference_counts(graph: Graph, spread: int = 64) -> DataFrame:
+    """(id, side, rel, n): how many edges of a type come in and go out, for each node.
+
+    Edges are dealt to the graph's tasks before they are counted, as counting where they are read holds all nodes of
+    a task's input; the edges of one node are spread over some tasks first, which hand on one row each.
+    """
+
+    def side(near: str, far: str, name: str) -> DataFrame:
+        e = graph.edges.select(F.col(near).alias("id"), F.lower("type").alias("rel"), F.pmod(F.xxhash64(far), F.lit(spread)).alias("part"))
+        counted = graph.dealt(e, "id", "rel", "part").groupBy("id", "rel", "part").agg(F.count(F.lit(1)).alias("n"))
+        return graph.dealt(counted, "id", "rel").groupBy("id", "rel").agg(F.sum("n").alias("n")).select("id", F.lit(name).alias("side"), "rel", "n")
+
+    return side("dst", "src", "incoming").unionByName(side("src", "dst", "outgoing"))
+
+
 def via_file(edges: DataFrame, defines: str = "DEFINES", uses: tuple[str, ...] = ("IMPORTS", "CALLS")) -> DataFrame:
     """(symbol, file, user): who imports or calls the file that defines a symbol."""
     d = edges.where(F.col("type") == defines).select(F.col("src").alias("file"), F.col("dst").alias("symbol"))

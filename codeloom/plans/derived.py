@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import Graph
+from ..model import Graph, tasks_for
 from ..sources.tables import table
 
 
@@ -18,10 +18,11 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Customers, orders, parts, suppliers, nations and regions as one typed graph."""
     t = lambda name: table(spark, sf_dir, name)
     li, part = t("lineitem"), F.col
+    tasks = tasks_for(li)
     edges = (
         _edge(t("orders"), "Order", part("o_orderkey"), "Customer", part("o_custkey"), "PLACED_BY")
-        .unionByName(_edge(li.groupBy("l_orderkey", "l_partkey").agg(F.max(F.round(1 - F.col("l_discount"), 2)).alias("c")), "Order", part("l_orderkey"), "Part", part("l_partkey"), "CALLS", part("c")))
-        .unionByName(_edge(li.select("l_partkey", "l_suppkey").distinct(), "Part", part("l_partkey"), "Supplier", part("l_suppkey"), "CALLS"))
+        .unionByName(_edge(li.repartition(tasks, "l_orderkey", "l_partkey").groupBy("l_orderkey", "l_partkey").agg(F.max(F.round(1 - F.col("l_discount"), 2)).alias("c")), "Order", part("l_orderkey"), "Part", part("l_partkey"), "CALLS", part("c")))
+        .unionByName(_edge(li.select("l_partkey", "l_suppkey").repartition(tasks, "l_partkey", "l_suppkey").distinct(), "Part", part("l_partkey"), "Supplier", part("l_suppkey"), "CALLS"))
         .unionByName(_edge(t("customer"), "Customer", part("c_custkey"), "Nation", part("c_nationkey"), "MEMBER_OF"))
         .unionByName(_edge(t("supplier"), "Supplier", part("s_suppkey"), "Nation", part("s_nationkey"), "MEMBER_OF"))
         .unionByName(_edge(t("nation"), "Nation", part("n_nationkey"), "Region", part("n_regionkey"), "CONTAINS"))
@@ -35,7 +36,7 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> Graph:
         .unionByName(node(t("nation"), "Nation", part("n_nationkey"), "n_name"))
         .unionByName(node(t("region"), "Region", part("r_regionkey"), "r_name"))
     )
-    return Graph(nodes, edges)
+    return Graph(nodes, edges, tasks)
 
 
 TRADE_SQL = """
