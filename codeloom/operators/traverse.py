@@ -276,10 +276,28 @@ def longest_per_ends(paths: DataFrame, path: str = "path") -> DataFrame:
     return ends.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__a", "__b", "__n")
 
 
+def _lists(edges: DataFrame, near: str, far: str, wide: int = 1_000) -> DataFrame:
+    """(id, next): what follows each node, in lists of up to ``wide``."""
+    piece = F.floor((F.row_number().over(Window.partitionBy(near).orderBy(far)) - 1) / wide)
+    return edges.withColumn("piece", piece).groupBy(F.col(near).alias("id"), "piece").agg(F.collect_list(far).alias("next")).select("id", "next")
+
+
+def _reached(lists: DataFrame, root: DataFrame) -> DataFrame:
+    """(id): the root and all that lists (id, next) lead to. Only a node reached for the first time sends its lists on."""
+    hit = frontier = cut(root)
+    while True:
+        near = lists.join(frontier, "id").select(F.explode("next").alias("id")).distinct()
+        frontier = cut(near.join(hit, "id", "left_anti"))
+        if frontier.isEmpty():
+            return hit
+        hit = cut(hit.unionByName(frontier))
+
+
 def strongly_connected(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(id, scc): scc is the smallest id of the component. Forward-backward colouring in rounds.
 
-    Each round spreads the largest id forward until it is stable; the nodes that reach their colour's root backwards
+    The first round takes the component of the node with the most pairs of edges in and out, which is the giant one if
+    there is one: what it reaches and what reaches it, each edge followed once. Each further round spreads the largest id forward until it is stable; the nodes that reach their colour's root backwards
     form its component and leave the graph. Before each round nodes without edges in or out, components of their own,
     are taken off until there are none. More than max_rounds rounds of colouring, if it is given, are an error.
     """
@@ -293,7 +311,16 @@ def strongly_connected(edges: DataFrame, max_rounds: int | None = None) -> DataF
         if parts % MAX_PARTS == 0:
             out = cut(out)
 
-    for number in count():
+    outward, inward = cut(_lists(left, "src", "dst")), cut(_lists(left, "dst", "src"))
+    degree = lambda lists, name: lists.groupBy("id").agg(F.sum(F.size("next")).alias(name))
+    root = degree(outward, "o").join(degree(inward, "i"), "id").orderBy(F.desc(F.col("o") * F.col("i")), "id").select("id").limit(1)
+    giant = cut(_reached(outward, root).join(_reached(inward, root), "id", "left_semi"))
+    if not giant.isEmpty():
+        add(giant.crossJoin(F.broadcast(giant.agg(F.min("id").alias("scc")))))
+        nodes = cut(nodes.join(giant, "id", "left_anti"))
+        left = cut(left.join(giant.withColumnRenamed("id", "src"), "src", "left_anti").join(giant.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
+
+    for number in count(1):
         while True:
             inner = left.select(F.col("src").alias("id")).intersect(left.select(F.col("dst").alias("id")))
             alone = cut(nodes.join(inner, "id", "left_anti"))

@@ -191,3 +191,16 @@ def test_references_and_calls_are_counted_where_they_are_dealt(spark):
     assert around["n0"]["incoming"]["calls"] == sorted(a for a, b, kind in rows if (b, kind) == ("n0", "CALLS"))[:5]
     for df in (counts, pairs, left.edges):
         assert ", 7), REPARTITION_BY_NUM" in _plan(df)
+
+
+def test_giant_component_is_not_coloured(spark, monkeypatch):
+    """What is strongly connected with the busiest node is found by two searches; only the rest is coloured."""
+    rng = random.Random(2)
+    giant = [(f"g{i}", f"g{(i + 1) % 9}") for i in range(9)] + [(f"g{rng.randrange(9)}", f"g{rng.randrange(9)}") for _ in range(20)]
+    rest = [("u", "v"), ("v", "u"), ("v", "g0"), ("g1", "w")]
+    sent, real = [], traverse.cut
+    monkeypatch.setattr(traverse, "cut", lambda df: (sent.append(df.columns), real(df))[1])
+    found = lambda rows: {r["id"]: r["scc"] for r in traverse.strongly_connected(spark.createDataFrame(rows, "src string, dst string")).collect()}
+    assert found(giant) == {f"g{i}": "g0" for i in range(9)}
+    assert ["id", "c"] not in sent and ["id", "next"] in sent
+    assert found(giant + rest) == {f"g{i}": "g0" for i in range(9)} | {"u": "u", "v": "u", "w": "w"}
