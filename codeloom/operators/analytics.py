@@ -75,17 +75,19 @@ def communities(edges: DataFrame, rounds: int = 5, large: int | None = None) ->
     quality, best = -1.0, state
     for step in range(2 * rounds):
         weight = state.groupBy("comm").agg(F.sum("d").alias("w"))
-        links = near.join(state.select(F.col("id").alias("b"), "comm"), "b").groupBy(F.col("a").alias("id"), "comm").agg(F.count(F.lit(1)).alias("k"))
-        scored = links.join(weight, "comm").join(state.select("id", "d", F.col("comm").alias("own")), "id")
+        # only the links of the half that may move are made; a neighbour brings the weight of its community along
+        known = state.join(weight, "comm").select(F.col("id").alias("b"), "comm", "w")
+        turn = lambda c: F.pmod(F.xxhash64(c), F.lit(2)) == step % 2  # noqa: B023, E731
+        links = near.where(turn("a")).join(known, "b").groupBy(F.col("a").alias("id"), "comm").agg(F.count(F.lit(1)).alias("k"), F.max("w").alias("w"))
+        scored = links.join(state.select("id", "d", F.col("comm").alias("own")), "id")
         # the node's own degree doesn't count against the community it is in
         rest = F.col("w") - F.when(F.col("comm") == F.col("own"), F.col("d")).otherwise(0)
         gain = F.col("k") - F.col("d") * rest / F.lit(float(total))
         pick = Window.partitionBy("id").orderBy(F.desc(F.round(gain, 9)), F.desc((F.col("comm") == F.col("own")).cast("int")), "comm")
         wish = scored.withColumn("gain", gain).withColumn("n", F.row_number().over(pick)).where("n = 1").where(F.col("gain") > 0).select("id", F.col("comm").alias("wish"))
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == step % 2
-        state = cut(state.join(wish, "id", "left").select("id", "d", F.when(turn & F.col("wish").isNotNull(), F.col("wish")).otherwise(F.col("comm")).alias("comm")))
+        state = cut(state.join(wish, "id", "left").select("id", "d", F.when(F.col("wish").isNotNull(), F.col("wish")).otherwise(F.col("comm")).alias("comm")))
         if step % 2:
-            now = modularity(near, state.select("id", "comm"))
+            now = modularity(near, state)
             if now <= quality + 1e-9:
                 break
             quality, best = now, state
@@ -94,13 +96,13 @@ def communities(edges: DataFrame, rounds: int = 5, large: int | None = None) ->
 
 
 def modularity(near: DataFrame, members: DataFrame) -> float:
-    """Modularity of a partition of an undirected graph given both ways."""
+    """Modularity of a partition of an undirected graph given both ways; members (id, comm), and d, the degrees, if they are known."""
     m = members.select("id", "comm")
-    d = near.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("d")).join(m, "id").groupBy("comm").agg(F.sum("d").alias("d"))
-    total = d.agg(F.sum("d")).first()[0] or 1
-    inside = near.join(m.withColumnRenamed("id", "a"), "a").join(m.select(F.col("id").alias("b"), F.col("comm").alias("c2")), "b").where("comm = c2").count()
-    spread = d.agg(F.sum((F.col("d") / F.lit(float(total))) ** 2)).first()[0] or 0.0
-    return inside / total - spread
+    known = members if "d" in members.columns else near.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("d")).join(m, "id")
+    row = known.groupBy("comm").agg(F.sum("d").alias("d")).agg(F.sum("d").alias("total"), F.sum(F.col("d").cast("double") ** 2).alias("squares")).first()
+    total = row["total"] or 1
+    inside = 2 * near.where("a < b").join(m.withColumnRenamed("id", "a"), "a").join(m.select(F.col("id").alias("b"), F.col("comm").alias("c2")), "b").where("comm = c2").count()
+    return inside / total - (row["squares"] or 0.0) / total**2
 
 
 def community_nodes(members: DataFrame, paths: DataFrame, edges: DataFrame) -> DataFrame:

@@ -204,3 +204,20 @@ def test_giant_component_is_not_coloured(spark, monkeypatch):
     assert found(giant) == {f"g{i}": "g0" for i in range(9)}
     assert ["id", "c"] not in sent and ["id", "next"] in sent
     assert found(giant + rest) == {f"g{i}": "g0" for i in range(9)} | {"u": "u", "v": "u", "w": "w"}
+
+
+def test_only_nodes_that_may_move_look_at_their_links(spark, monkeypatch):
+    rows = [(f"{k}{i}", f"{k}{j}") for k in "abc" for i in range(5) for j in range(i)] + [("a0", "b0"), ("b1", "c1")]
+    edges = spark.createDataFrame(rows, "src string, dst string")
+    sent, real = [], analytics.cut
+    monkeypatch.setattr(analytics, "cut", lambda df: (sent.append(_plan(df)), real(df))[1])
+    found = analytics.communities(edges)
+    of = {r["id"]: r["comm"] for r in found.collect()}
+    assert set(of) == {x for r in rows for x in r}
+    assert sum("pmod(xxhash64(a#" in p for p in sent) >= 2
+    degree = {x: sum(x in r for r in rows) for x in of}
+    shares = [sum(d for x, d in degree.items() if of[x] == c) / (2 * len(rows)) for c in set(of.values())]
+    want = sum(of[a] == of[b] for a, b in rows) / len(rows) - sum(x * x for x in shares)
+    near = analytics.neighbours(edges)
+    with_d = found.join(near.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("d")), "id")
+    assert analytics.modularity(near, found) == pytest.approx(want) == analytics.modularity(near, with_d)
