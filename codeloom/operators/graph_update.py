@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import EDGE_SCHEMA, Graph
@@ -71,15 +71,26 @@ def detach_delete(graph: Graph, ids: DataFrame) -> Graph:
     return Graph(graph.nodes.join(gone, "id", "left_anti").select(*graph.nodes.columns), edges, graph.tasks)
 
 
-def create_edges(graph: Graph, rows: DataFrame, once: bool = False) -> tuple[Graph, DataFrame]:
-    """(graph with the new edges, rows refused because an end is no node). once: edges that exist by (src, dst, type) stay as they are."""
-    new = _like(rows, graph.edges.dtypes)
-    ids = graph.nodes.select(F.col("id").alias("__id"))
-    good = new.join(ids, F.col("src") == F.col("__id"), "left_semi").join(ids, F.col("dst") == F.col("__id"), "left_semi")
-    bad = new.join(ids, F.col("src") == F.col("__id"), "left_anti").unionByName(new.join(ids, F.col("src") == F.col("__id"), "left_semi").join(ids, F.col("dst") == F.col("__id"), "left_anti"))
+def create_edges(graph: Graph, rows: DataFrame, once: bool = False, same: dict[str, Column] | None = None, matched: bool = False) -> tuple[Graph, DataFrame]:
+    """(graph with the new edges, rows refused because an end is no node). once: edges that exist by (src, dst, type) stay as they are.
+
+    same: columns with one value for all rows, put in last. matched: the ends were taken from the graph's nodes, so only null ids are refused.
+    """
+    keys = ["src", "dst", "type"]
+    whole = lambda df: _like(df.withColumns(same) if same else df, graph.edges.dtypes)
+    given = {c.lower() for c in rows.columns}
+    new = _like(rows, [(c, kind) for c, kind in graph.edges.dtypes if c in keys or c.lower() in given])
+    if matched:
+        good, bad = new.where("src IS NOT NULL AND dst IS NOT NULL"), new.where("src IS NULL OR dst IS NULL")
+    else:
+        ids = graph.nodes.select(F.col("id").alias("__id"))
+        good = new.join(ids, F.col("src") == F.col("__id"), "left_semi").join(ids, F.col("dst") == F.col("__id"), "left_semi")
+        bad = new.join(ids, F.col("src") == F.col("__id"), "left_anti").unionByName(new.join(ids, F.col("src") == F.col("__id"), "left_semi").join(ids, F.col("dst") == F.col("__id"), "left_anti"))
     if once:
-        good = good.join(graph.edges.select("src", "dst", "type"), ["src", "dst", "type"], "left_anti").select(*graph.edges.columns).dropDuplicates(["src", "dst", "type"])
-    return Graph(graph.nodes, graph.edges.unionByName(good)), bad
+        # The filter is written out here: known edges that this step made before then have the plan of good, and one exchange serves both.
+        known = graph.edges.where("src IS NOT NULL AND dst IS NOT NULL").select(*[F.col(c).alias(f"__{c}") for c in keys])
+        good = graph.dealt(good, "src", "dst").dropDuplicates(keys).join(known, [F.col(c) == F.col(f"__{c}") for c in keys], "left_anti")
+    return Graph(graph.nodes, graph.edges.unionByName(whole(good)), graph.tasks), whole(bad)
 
 
 def copy_from(graph: Graph, label: str, path: str) -> tuple[Graph, DataFrame]:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from codeloom import model
 from codeloom.operators import analytics, calls, graph_update, imports, relational, reports, resolution, traverse, vector_index
-from codeloom.plans import code_graph, derived
+from codeloom.plans import code_graph, cypher_queries, derived
+from codeloom.plans.sql import Update, update
 from codeloom.sources import brace_parsers, parsers
 
 
@@ -221,3 +222,37 @@ def test_only_nodes_that_may_move_look_at_their_links(spark, monkeypatch):
     near = analytics.neighbours(edges)
     with_d = found.join(near.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("d")), "id")
     assert analytics.modularity(near, found) == pytest.approx(want) == analytics.modularity(near, with_d)
+
+
+def test_merged_pairs_are_shuffled_once(spark, sf_dir):
+    """What a pattern finds isn't looked up among the nodes again, and both statements read one shuffle of the pairs."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # a plan that isn't adaptive shows what is used again
+    try:
+        plan = _plan(cypher_queries.cypher_merge_edges(spark, sf_dir)).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    pairs = [line.split("Exchange", 1) for line in plan if "Exchange" in line and "hashpartitioning(src#" in line]
+    assert sorted(before.endswith("Reused") for before, _ in pairs) == [False, True, True]
+    assert not any("LeftSemi" in line or "SortAggregate" in line for line in plan)
+
+
+def test_merged_edges_keep_what_exists(spark):
+    rng = random.Random(5)
+    nodes = [(f"k{i}", "Class") for i in range(4)] + [(f"f{i}", "Function") for i in range(12)] + [(None, "Class")]
+    edges = sorted({(f"k{rng.randrange(4)}", f"f{rng.randrange(12)}", "HAS_METHOD") for _ in range(30)} | {(f"f{rng.randrange(12)}", f"f{rng.randrange(12)}", "CALLS") for _ in range(30)})
+    paths = {(a, c) for a, b, m in edges if m == "HAS_METHOD" for x, c, n in edges if n == "CALLS" and x == b}
+    old = (*min(paths), "USES")
+    made = spark.createDataFrame([(*e, 0.25) for e in [*edges, old]] + [("k0", None, "USES", 0.25)], "src string, dst string, type string, confidence double")
+    g = model.Graph(spark.createDataFrame(nodes, "id string, label string"), made.selectExpr("*", "CAST(NULL AS string) AS reason", "CAST(NULL AS int) AS step"), 7)
+    text = "MATCH (k:Class)-[m:HAS_METHOD]->(f:Function)-[c:CALLS]->(g:Function) MERGE (k)-[:USES {confidence: %s, reason: 'a__b', step: 3}]->(g)"
+    for value, want in (("0.5", 0.5), ("c.confidence + 0.25", 0.5)):
+        once = update(g, text % value)
+        twice = update(once, text % "0.75")
+        assert once.tasks == twice.tasks == 7 and ", 7), REPARTITION_BY_NUM" in _plan(once.edges)
+        for merged in (once, twice):
+            rows = [tuple(r) for r in merged.type("USES").where("dst IS NOT NULL").collect()]
+            assert sorted(rows) == sorted([(*old, 0.25, None, None)] + [(a, c, "USES", want, "a__b", 3) for a, c in paths - {old[:2]}])
+            assert merged.edges.count() == len(edges) + len(paths) + 1
+    alone = Update(g)
+    linked = alone.change("MATCH (k:Class) MERGE (k)-[:USES {confidence: 1.0}]->(k)")
+    assert linked.edges.count() == len(edges) + 2 + 4 and [tuple(r) for r in alone.refused.collect()] == [(None, None, "USES", 1.0, None, None)]
