@@ -38,18 +38,30 @@ def two_hop(edges: DataFrame, first: str, second: str) -> DataFrame:
     return x.join(y, "b").select("a", "b", "c")
 
 
-def two_hop_counts(edges: DataFrame, first: str, second: str, wide: int = 1_000) -> DataFrame:
+def two_hop_counts(edges: DataFrame, first: str, second: str, wide: int = 1_000, tasks: int | None = None, middle: Column | None = None) -> DataFrame:
     """(a, n): how many distinct c two_hop finds for each a. What follows a b is sent to its a as one list of up to ``wide``.
 
-    So the shuffle carries lists and not triples. The lists of an a meet in one row; an a with more than ``wide`` b
-    counts its distinct pairs instead.
+    So the shuffle carries lists and not triples, and the lists hold numbers of four bytes and not ids. The lists of an
+    a meet in one row; an a with more than ``wide`` b counts its distinct pairs instead.
+
+    tasks: how many tasks share the rows (None: as Spark's settings have it). middle: a condition on b that every node
+    with edges on both sides meets, so that edges which go on nowhere aren't shuffled.
     """
-    x = edges.where(F.col("type") == first).select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct().withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("a")) > wide)
-    y = edges.where(F.col("type") == second).select(F.col("src").alias("b"), F.col("dst").alias("c")).distinct()
-    piece = F.floor((F.row_number().over(Window.partitionBy("b").orderBy("c")) - 1) / wide)
-    lists = y.withColumn("piece", piece).groupBy("b", "piece").agg(F.collect_list("c").alias("cs")).select("b", "cs")
-    few = x.where("NOT many").select("a", "b").join(lists.hint("merge"), "b").groupBy("a").agg(F.size(F.array_distinct(F.flatten(F.collect_list("cs")))).cast("long").alias("n"))
-    many = x.where("many").select("a", "b").join(y.hint("merge"), "b").groupBy("a").agg(F.countDistinct("c").alias("n"))
+    dealt = lambda rows, key: rows.repartition(tasks, key) if tasks else rows
+    through = F.lit(True) if middle is None else middle
+    x = dealt(edges.where(F.col("type") == first).select(F.col("src").alias("a"), F.col("dst").alias("b")).where(through), "a").distinct().withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("a")) > wide)
+    y = edges.where(F.col("type") == second).select(F.col("src").alias("b"), F.col("dst").alias("c")).where(through)
+    # the c are numbered by parts, so no task sees them all: a number is c's rank in its part, times the parts, plus the part
+    parts = 16 * (tasks or 4)
+    ranked = dealt(y.withColumn("part", F.pmod(F.xxhash64("c"), F.lit(parts))), "part").withColumn("number", F.when(F.col("c").isNotNull(), F.dense_rank().over(Window.partitionBy("part").orderBy("c")).cast("long") * parts + F.col("part")))
+    block = F.shiftright("number", 31)
+    numbered = dealt(ranked.select("b", block.cast("int").alias("block"), F.col("number").bitwiseAND(2**31 - 1).cast("int").alias("number")), "b").distinct()
+    piece = F.floor((F.row_number().over(Window.partitionBy("b").orderBy("block", "number")) - 1) / wide)
+    lists = numbered.withColumn("piece", piece).groupBy("b", "block", "piece").agg(F.collect_list("number").alias("numbers")).select("b", "block", "numbers")
+    sent = dealt(dealt(x.where("NOT many").select("a", "b"), "b").join(lists.hint("merge"), "b").select("a", "block", "numbers"), "a")
+    few = sent.groupBy("a", "block").agg(F.size(F.array_distinct(F.flatten(F.collect_list("numbers")))).cast("long").alias("n")).groupBy("a").agg(F.sum("n").alias("n"))
+    few = few.select(F.col("a").alias("a"), "n")  # an a of its own: otherwise the optimizer keeps a projection here only, and the union's halves don't share the shuffle of x
+    many = dealt(x.where("many").select("a", "b"), "b").join(numbered.hint("merge"), "b").groupBy("a").agg(F.countDistinct(F.when(F.col("number").isNotNull(), F.struct("block", "number"))).alias("n"))
     return few.unionByName(many)
 
 

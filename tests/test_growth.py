@@ -75,6 +75,25 @@ def test_two_hop_counts_equal_the_distinct_triples(spark):
         assert {r["a"]: r["n"] for r in relational.two_hop_counts(edges, "X", "Y", wide).collect()} == want
 
 
+def test_two_hop_counts_send_numbers_through_the_graphs_tasks(spark):
+    """Lists of numbers and not of ids go to the graph's tasks; edges without a middle that may go on aren't shuffled; nulls are no ends."""
+    rng = random.Random(6)
+    rows = [(f"a{rng.randrange(6)}", f"b{rng.randrange(8)}", "X") for _ in range(60)] + [(f"b{rng.randrange(8)}", f"c{rng.randrange(40)}", "X") for _ in range(90)]
+    rows += [("a0", None, "X"), (None, "b1", "X"), ("b2", None, "X"), ("a7", "b9", "X"), ("b9", None, "X"), ("c1", "d1", "Y"), ("a8", "b-none", "X")]
+    out = {}
+    for src, dst, kind in rows:
+        if kind == "X":
+            out.setdefault(src, set()).add(dst)
+    want = {a: len({c for b in bs if b is not None and b in out for c in out[b] if c is not None}) for a, bs in out.items() if any(b is not None and b in out for b in bs)}
+    edges = spark.createDataFrame(rows, "src string, dst string, type string")
+    for wide in (2, 1_000):
+        counts = relational.two_hop_counts(edges, "X", "X", wide, tasks=3, middle=F.col("b").startswith("b"))
+        assert {r["a"]: r["n"] for r in counts.collect()} == want and want["a7"] == 0 and None in want and "a8" not in want
+    by_graph = [line for line in _plan(counts).splitlines() if "REPARTITION_BY_NUM" in line]
+    assert all(", 3)" in line for line in by_graph) and "collect_list(c#" not in _plan(counts) and "collect_list(cs#" not in _plan(counts)
+    assert _plan(counts).count("Exchange") == len(by_graph) == 5  # x by a and by b, y by c and by b, the lists by a; the hubs, of which there are none here, share the first
+
+
 def test_clones_of_one_remote_are_dealt_to_tasks(spark):
     repos = spark.createDataFrame([(f"/p{i}", "same") for i in range(50)] + [("/q", "one"), ("/r", None)], "path string, remoteUrl string")
     listed = reports.list_repos(repos)
