@@ -102,6 +102,17 @@ def test_clones_of_one_remote_are_dealt_to_tasks(spark):
     assert "BroadcastHashJoin" not in _plan(listed)
 
 
+def test_lists_of_clones_are_built_in_as_many_tasks_as_asked_for(spark):
+    """However many shuffle partitions there are; remotes without a name and clones without siblings stay."""
+    repos = spark.createDataFrame([(f"/p{i:02}", "same") for i in range(40)] + [("/q", "one"), ("/r", None), ("/s", None)], "path string, remoteUrl string")
+    listed = reports.list_repos(repos, tasks=9)
+    got = {r["path"]: r["siblings"] for r in listed.collect()}
+    assert len(got) == 43 and got["/q"] is None and got["/r"] is None and got["/s"] is None
+    assert all(got[f"/p{i:02}"] == [f"/p{k:02}" for k in range(40) if k != i] for i in range(40))
+    exchanges = [line for line in _plan(listed).splitlines() if "Exchange" in line]
+    assert len(exchanges) == 3 and all(", 9), REPARTITION_BY_NUM" in line for line in exchanges)
+
+
 def test_overlapped_makes_no_pairs_and_no_bins_of_ranges(spark):
     """A range as long as the whole file is one row, however narrow the bins; the rows met are those of the pairs."""
     rng = random.Random(9)
